@@ -109,6 +109,16 @@ def verdicts(docs: DataFrame, most_docs: int = 30, least_left: int = 30) -> Data
     return out.withColumn("kept", ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("removed")) >= least_left * F.col("n_words")))
 
 
+def keep_good(docs: DataFrame, most_docs: int = 30, least_left: int = 30) -> DataFrame:
+    """The rows of docs that verdicts keeps, with all their columns. Only what is rejected for its lines goes through a join."""
+    lost = removed_lines(docs, most_docs).select("row", "removed")
+    sizes = docs.select(row_key().alias("row"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("n"))
+    bare = sizes.join(materialize(lost, "lost"), "row").where(100 * (F.col("n") - F.col("removed")) < least_left * F.col("n"))
+    bare = materialize(bare.select(F.col("row").alias("_bare")).distinct(), "bare")
+    good = let(words_of(F.col("text")), lambda w: (F.size(w) >= 50) & (100 * repeated_words(w) <= 50 * F.size(w)))
+    return docs.where(good).join(bare, row_key() == F.col("_bare"), "left_anti")
+
+
 def remove_lines(docs: DataFrame, most_docs: int = 30) -> DataFrame:
     """docs with their hosts' frequent lines taken out of the texts; see removed_lines. Null texts stay null."""
     lost = removed_lines(docs, most_docs).select(F.col("row").alias("_row"), F.col("lines").alias("_lines"))

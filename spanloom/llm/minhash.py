@@ -254,9 +254,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     found = classes.select("cid", "fp", "doc_id").join(roots, "cid", "left").select("cid", "fp", "doc_id", label)
     ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_fp = found.join(ids, "root").select("fp", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(by_fp, "fp", "left")
+    out = rows.select("doc_id", "rid", F.col("n").alias("n_shingles"), "fp").join(by_fp, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "rid")
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates keeps: one of each component, and of repeated rows one."""
+    found = materialize(near_duplicates(docs, size, percent), "duplicates")
+    rid = F.xxhash64(F.col("doc_id"), F.col("text"))
+    gone = materialize(found.where(~F.col("kept")).select(F.col("rid").alias("_rid")).distinct(), "gone")
+    left = docs.join(gone, rid == F.col("_rid"), "left_anti")
+    again = materialize(found.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy(F.col("rid").alias("_rid")).count().where("count > 1").select("_rid"), "repeated")
+    if again.isEmpty():
+        return left
+    one = left.join(again, rid == F.col("_rid"), "left_semi").withColumn("_rid", rid).dropDuplicates(["_rid"]).drop("_rid")
+    return left.join(again, rid == F.col("_rid"), "left_anti").unionByName(one)
 
 
 def _most_bits(threshold: float, miss: float) -> int:

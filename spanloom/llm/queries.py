@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linefreq, minhash, mixture, packing, shards
+from . import crf, langid, linefreq, minhash, mixture, mpegaudio, packing, shards, warc, wrappers
 from .common import documents, word_count
 
 
@@ -17,9 +17,32 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def crc_mod(n: int) -> Column:
+    """crc32 of doc_id as text, mod n; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records in ZIP packages and read back by ranges."""
+    return warc.round_trip(spark, pages(spark, sf_dir)).drop("url")
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents by two-word shingles at a similarity of 0.8."""
-    return minhash.near_duplicates(documents(spark, sf_dir), size=2, percent=80)
+    return minhash.near_duplicates(documents(spark, sf_dir), size=2, percent=80).drop("rid")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learnt from those whose checksum mod 5 is not 0."""
+    return langid.identify(documents(spark, sf_dir), crc_mod(5) != 0)
 
 
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +50,22 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.verdicts(documents(spark, sf_dir)).drop("row", "removed")
 
 
+def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts carried by audio frames and read back."""
+    return mpegaudio.features(mpegaudio.store(documents(spark, sf_dir)))
+
+
+def op6_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages by their hosts' wrappers."""
+    return wrappers.main_texts(pages(spark, sf_dir))
+
+
+def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from labels of those whose checksum mod 4 is not 2."""
+    out = crf.tag(documents(spark, sf_dir), labels(spark, sf_dir), crc_mod(4) != 2)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
+
+
 def op8_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of the same mixture; the law is `rows`."""
     out = shards.interleave(documents(spark, sf_dir), 8)
@@ -44,7 +83,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_dedup, op4_line_frequency, op8_interleaved_shards, op9_mixture, op10_best_fit_packing)}
+    found = (op1_warc_zip, op2_minhash_dedup, op3_language_id, op4_line_frequency, op5_mpeg_audio, op6_wrapper_extraction, op7_crf_toxicity, op8_interleaved_shards, op9_mixture, op10_best_fit_packing)
+    return {f.__name__: f for f in found}
 
 
 _OP4 = r"""
