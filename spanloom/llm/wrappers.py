@@ -328,7 +328,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 tree = json.loads(wrapper)
                 known[name] = slots(tree, article_level(tree))
             texts.append(extract(parse(source), known[name]))
-        yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"].tolist(), "text": texts, "n_chars": [len(t) for t in texts]})
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
