@@ -296,7 +296,7 @@ def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _rows(found: dict[str, dict]) -> pd.DataFrame:
-    return pd.DataFrame({"host": list(found), "wrapper": [json.dumps(w) for w in found.values()]}, columns=["host", "wrapper"])
+    return pd.DataFrame({"host": list(found), "wrapper": [json.dumps(w) for w in found.values()]}, columns=["host", "wrapper"], dtype=object)
 
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
