@@ -134,7 +134,8 @@ def _writer(folder: str):
                     package = None
         if package is not None:
             finish()
-        yield pd.DataFrame(done, columns=["path", "records"])
+        if done:
+            yield pd.DataFrame(done, columns=["path", "records"])
 
     return run
 
