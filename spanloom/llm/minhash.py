@@ -1,9 +1,10 @@
 """Near-duplicate documents: banded MinHash, sequential Bayesian pruning, exact verification, components.
 
 Every step works on *classes*: texts with the same set of shingles are one class, so that copies are never
-compared with each other. Candidates are the classes that share a band. A band's bucket is first tried as a
-star around one pivot; after that only pairs that are still in different components are tried, so that a bucket
-of thousands of near copies costs about one comparison a member while no link between different texts is lost.
+compared with each other. Candidates are the classes that share a band. A band's bucket is tried as a star around one
+pivot, then around another for the members that are not yet in its component, and so on while that helps; at last the
+pairs that are still in different components are tried one by one. So a bucket of thousands of near copies costs a few
+comparisons a member, while no link between components is lost.
 Candidate pairs go through two sieves: their signatures are compared batch by batch until the posterior
 probability of reaching the threshold falls below the chosen miss probability, and the survivors' whole sets
 are intersected.
@@ -27,6 +28,8 @@ ROWS, BANDS, BATCH = 6, 40, 24
 BLOCK = 1 << 15
 #: Sets that are held at once for one pivot.
 CHUNK = 64
+#: Turns of stars before what is left in mixed buckets is tried pair by pair.
+MOST_TURNS = 8
 PIVOT_SEEDS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
@@ -224,32 +227,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     by_text = full.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("rid").alias("rid"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = materialize(by_text.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    seeds = F.array(*map(F.lit, PIVOT_SEEDS))
-    banded = classes.select("cid", "n", "bits", F.explode("bands").alias("key"))
-    seed = lambda key: F.element_at(seeds, (key.bitwiseAND(F.lit(3)) + 1).cast("int"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("c"), F.min(F.col("cid").bitwiseXOR(seed(F.col("key")))).alias("x")).where("c > 1")
-    members = materialize(banded.join(shared.select("key", F.col("x").bitwiseXOR(seed(F.col("key"))).alias("pivot")), "key"), "members")
-
     sized = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
-    stars = members.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"), F.col("n").alias("n_b")).distinct()
-    stars = stars.join(classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a")), "a").where(sized(F.col("n_a"), F.col("n_b")))
-    likely = bayes_prune(stars, classes, threshold, miss)
-    best = materialize(likely.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")), "best")
-    first = materialize(verify(best, classes, docs, size, percent), "links")
-    roots = components(first)
-
-    label = F.coalesce("root", "cid").alias("root")
-    labelled = materialize(members.join(roots, "cid", "left").select("key", "cid", "n", "bits", label), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = labelled.join(mixed, "key")
-    x, y = open_.alias("x"), open_.alias("y")
+    banded = classes.select("cid", "n", "bits", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    members = materialize(banded.join(shared, "key").withColumn("root", F.col("cid")), "members")
+    links, tried, labelled, before = None, None, members, None
+    for turn in range(MOST_TURNS):
+        stars = _stars(labelled, turn).where(sized(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
+        stars = stars if tried is None else stars.join(tried, ["a", "b"], "left_anti")
+        likely = bayes_prune(stars, classes, threshold, miss)
+        best = materialize(likely.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")), "best")
+        tried = best.select("a", "b") if tried is None else tried.union(best.select("a", "b"))
+        new = materialize(verify(best, classes, docs, size, percent), "links")
+        links = new if links is None else links.union(new)
+        roots = components(links)
+        labelled = materialize(members.drop("root").join(roots, "cid", "left").select("key", "cid", "n", "bits", F.coalesce("root", "cid").alias("root")), "labelled")
+        counts = labelled.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        mixed = materialize(counts.where("c * c > same").select("key", "c", ((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs")), "mixed")
+        left, rows_left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+        labelled = labelled.join(mixed.select("key"), "key")
+        if left <= rows_left or before is not None and left > before / 2:
+            break
+        before = left
+
+    x, y = labelled.alias("x"), labelled.alias("y")
     far = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & sized(F.col("x.n"), F.col("y.n")) & (far <= _most_bits(threshold, miss))
     rest = x.join(y, on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(bayes_prune(rest.join(tried, ["a", "b"], "left_anti"), classes, threshold, miss), "rest")
-    second = verify(rest, classes, docs, size, percent)
-    roots = components(first.union(second))
+    roots, label = components(links.union(verify(rest, classes, docs, size, percent))), F.coalesce("root", "cid").alias("root")
 
     found = classes.select("cid", "fp", "doc_id").join(roots, "cid", "left").select("cid", "fp", "doc_id", label)
     ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -272,6 +279,16 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return left.join(again, rid == F.col("_rid"), "left_anti").unionByName(one)
 
 
+def _stars(labelled: DataFrame, turn: int) -> DataFrame:
+    """a (a bucket's pivot), b (a member in another component), n_a, n_b. The pivot is the member whose id is least when exclusive-or mixes it with a seed, which the turn and the key's lowest bits pick."""
+    seeds = F.array(*(F.lit((s ^ (turn * 0x9E3779B97F4A7C15)) & (1 << 63) - 1) for s in PIVOT_SEEDS))
+    seed = F.element_at(seeds, (F.col("key").bitwiseAND(F.lit(3)) + 1).cast("int"))
+    pivots = labelled.groupBy("key").agg(F.min(F.col("cid").bitwiseXOR(seed)).alias("x")).select("key", F.col("x").bitwiseXOR(seed).alias("a"))
+    of = labelled.select("cid", "n", "root").distinct().select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    own = pivots.join(of, "a")
+    return labelled.join(own, "key").where("root <> root_a").select("a", F.col("cid").alias("b"), "n_a", F.col("n").alias("n_b"))
+
+
 def _most_bits(threshold: float, miss: float) -> int:
     """Of 64 one-bit hashes, the most that may differ: P(Bin(64, (1 - threshold) / 2) > most) is at most the miss probability."""
     p, tail, d = (1 - threshold) / 2, 0.0, 64
