@@ -1,0 +1,55 @@
+"""The given tables as session data: the canonical events of `events`, and tools, models and usage of the order tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session is a user. Signups and purchases open and close turns, clicks open tools, hooks and skills, views close them, write messages and change modes, errors abort."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k, kind = F.col("k"), F.col("event_type")
+    of = (
+        F.when(kind == "signup", "turn_start").when(kind == "purchase", "turn_end").when(kind == "error", "abort")
+        .when(kind == "click", F.when(k % 7 == 0, "hook_start").when(k % 11 == 1, "skill_invoked").otherwise("tool_start"))
+        .otherwise(F.when(k % 7 == 0, "hook_end").when(k % 5 == 1, "assistant_message").when(k % 13 == 2, "mode_changed").when(k % 13 == 3, "model_change").otherwise("tool_complete"))
+    )
+    text = lambda c: c.cast("string")
+    tool = F.when(k % 2 == 0, F.concat(F.lit("mcp__s"), text(k % 3), F.lit("__t"), text(k % 4))).otherwise(F.concat(F.lit("tool"), text(k % 5)))
+    name = F.when(F.col("kind").isin("hook_start", "hook_end"), F.concat(F.lit("hook"), text(k % 3))).when(F.col("kind") == "skill_invoked", F.concat(F.lit("skill"), text(k % 2))).when(F.col("kind") == "tool_start", tool)
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    is_message = F.col("kind") == "assistant_message"
+    return e.withColumn("kind", of).select(
+        F.col("user_id").cast("string").alias("session_id"), seq.cast("long").alias("seq"), F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), "kind", name.alias("name"), F.concat(F.lit("c"), text(k)).alias("call_id"),
+        F.when(is_message, F.concat(F.lit("gpt-5-m"), text(k % 3))).alias("model"), F.when(is_message, k.cast("long")).alias("output_tokens"), F.when(k % 3 == 0, "plan").when(k % 3 == 1, "autopilot").otherwise("interactive").alias("mode"),
+        (F.col("event_id") % 5 != 0).alias("success"), F.when(F.col("event_id") % 5 == 0, "failed").alias("error_message"),
+    )
+
+
+def order_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call a line item: session is the order, server the part's brand, tool its type; with the customer."""
+    line, part, orders = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
+    clean = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]", "-")
+    rows = line.join(part, line.l_partkey == part.p_partkey).join(orders, line.l_orderkey == orders.o_orderkey)
+    return rows.select(F.col("o_orderkey").cast("string").alias("session_id"), "o_custkey", clean("p_brand").alias("server"), clean("p_type").alias("tool"), (F.col("l_quantity") * 1000).cast("long").alias("duration_ms"), (F.col("l_returnflag") != "R").alias("ok"))
+
+
+def loaded_tools(calls: DataFrame, kind: str) -> DataFrame:
+    """Tools that a session has loaded: those that its customer used in any order; on the wire those of servers with an even last character, in the configuration those with a length other than 8 or an odd one."""
+    own = calls.select("o_custkey", "session_id").distinct()
+    used = calls.select("o_custkey", "server", "tool").distinct()
+    even = F.ascii(F.substring("server", -1, 1)) % 2 == 0
+    return own.join(used, "o_custkey").where(even if kind == "wire" else ~even | (F.length("tool") % 2 == 0)).select("session_id", "server", "tool")
+
+
+def order_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counters a line item: session is the order, model its priority."""
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    rows = line.join(orders, line.l_orderkey == orders.o_orderkey)
+    n = lambda c: F.floor(c).cast("long")
+    return rows.select(F.col("o_orderkey").cast("string").alias("session_id"), F.col("o_orderpriority").alias("model"), n(F.col("l_extendedprice")).alias("input_tokens"), n(F.col("l_quantity")).alias("output_tokens"), n(F.col("l_extendedprice") * F.col("l_discount")).alias("cache_read"), n(F.col("l_extendedprice") * F.col("l_tax")).alias("cache_write"))

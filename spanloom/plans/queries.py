@@ -1,0 +1,382 @@
+"""Queries by their number in the survey, each beside the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..functions.percentiles import ceiling_rank
+from ..operators import audit, episodes, flame, ranks, redact, waste
+from . import inputs
+from .sql import CTES, WASTE
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+class Episodes:
+    """The episode tables of the given events; all rest on one sort by session."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.events = inputs.events(spark, sf_dir)
+        self.rows = episodes.routed(self.events)
+        self.calls = episodes.tool_calls(self.rows)
+        self.hooks = episodes.hook_calls(self.rows)
+        self.turns = episodes.turns(self.rows)
+        self.modes = episodes.mode_segments(self.rows)
+
+    @property
+    def walls(self) -> DataFrame:
+        return episodes.session_wall(self.rows, self.turns, self.calls, self.hooks, self.modes)
+
+
+def query(sql: str | None = None, ctes: str = CTES):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = ctes + sql
+        return f
+
+    return add
+
+
+def on_episodes(sql: str | None = None):
+    def add(f: Callable[[Episodes], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(Episodes(spark, sf_dir))
+            # instants go out as they came in, without a zone
+            return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in out.dtypes if kind == "timestamp"})
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        return query(sql)(run)
+
+    return add
+
+
+@on_episodes("SELECT session_id, name, start_seq, commit_seq, status, error_message, duration_ms FROM calls")
+def D2_tool_calls(e):
+    return e.calls.select("session_id", "name", "start_seq", "commit_seq", "status", "error_message", "duration_ms")
+
+
+@on_episodes("SELECT session_id, name, start_seq, commit_seq, success, synthesized, duration_ms FROM hooks")
+def D3_hook_calls(e):
+    return e.hooks.select("session_id", "name", "start_seq", "commit_seq", "success", "synthesized", "duration_ms")
+
+
+@on_episodes("SELECT session_id, seq, route FROM r4 WHERE kind = 'abort'")
+def D4_abort_routes(e):
+    return e.rows.where("kind = 'abort'").select("session_id", "seq", F.col("abort_route").alias("route"))
+
+
+@on_episodes("SELECT session_id, start_seq, turn_seq, turn_id FROM calls")
+def D5_turn_of_call(e):
+    return e.calls.select("session_id", "start_seq", "turn_seq", "turn_id")
+
+
+@on_episodes("""SELECT s.session_id, s.name AS skill, s.seq AS skill_seq, c.name, c.call_index FROM r4 s JOIN calls c USING (session_id)
+ WHERE s.kind = 'skill_invoked' AND (c.commit_seq BETWEEN s.seq + 1 AND s.seq + 49 OR c.commit_seq IS NULL AND s.last_seq - s.seq <= 48)""")
+def D7_skill_triggered(e):
+    return episodes.skill_triggered(e.rows, e.calls)
+
+
+@on_episodes("SELECT session_id, turn_id, status, model, output_tokens, mode, abort_reason FROM turns")
+def E1_turns(e):
+    return e.turns.select("session_id", "turn_id", "status", "model", "output_tokens", "mode", "abort_reason")
+
+
+@on_episodes("""SELECT t.session_id, t.turn_id, t.status, t.model, t.output_tokens, t.mode, (epoch_us(t.ended_at) - epoch_us(t.started_at)) // 1000 AS duration_ms, coalesce(c.n, 0) AS tools, coalesce(h.n, 0) AS hooks
+ FROM turns t LEFT JOIN (SELECT session_id, turn_seq, count(*) AS n FROM calls GROUP BY ALL) c USING (session_id, turn_seq) LEFT JOIN (SELECT session_id, turn_seq, count(*) AS n FROM hooks GROUP BY ALL) h USING (session_id, turn_seq)""")
+def E2_turn_summary(e):
+    return ranks.turn_summary(e.turns, e.calls, e.hooks)
+
+
+_P = "list_sort(list(duration_ms))[round({p} * (count(*) - 1))::BIGINT + 1] AS {n}"
+_P50, _P95 = _P.format(p="0.5::DOUBLE", n="p50"), _P.format(p="0.95::DOUBLE", n="p95")
+
+
+_RANK = f"""SELECT session_id, name, count(*) AS calls, count_if(status = 'success')::BIGINT AS ok, count_if(status = 'failure')::BIGINT AS fail, count_if(status IN ('orphan', 'open_at_end'))::BIGINT AS orphan, 0::BIGINT AS user_requested,
+ sum(duration_ms)::BIGINT AS total_ms, max(duration_ms) AS max_ms, {_P50}, {_P95} FROM calls GROUP BY session_id, name"""
+
+
+@on_episodes(_RANK)
+def E3_tool_rank(e):
+    return ranks.tool_rank(e.calls)
+
+
+@on_episodes(f"SELECT session_id, name, count(*) AS calls, count_if(success)::BIGINT AS ok, count_if(NOT success)::BIGINT AS fail, count_if(synthesized)::BIGINT AS synthesized, sum(duration_ms)::BIGINT AS total_ms, {_P50}, {_P95} FROM hooks GROUP BY session_id, name")
+def E4_hook_rank(e):
+    return ranks.hook_rank(e.hooks)
+
+
+_SOURCE = "CASE WHEN regexp_matches(name, '^mcp__.*?__') THEN 'mcp' WHEN regexp_matches(name, '^skill__.*?__') THEN 'skill' ELSE 'builtin' END"
+_NAME = "regexp_extract(name, '^mcp__(.*?)__', 1)"
+_BY_TOOL = f"SELECT name, {_SOURCE} AS source_kind, {_NAME} AS source_name, count(*) AS calls, count_if(status = 'success')::BIGINT AS ok, count_if(status = 'failure')::BIGINT AS fail, sum(duration_ms)::BIGINT AS total_ms, count(DISTINCT session_id) AS sessions, {_P50}, {_P95} FROM calls GROUP BY name"
+
+
+@on_episodes(_BY_TOOL)
+def E11_by_tool(e):
+    return ranks.by_tool(e.calls)
+
+
+@on_episodes("SELECT session_id, started_at, wall_ms FROM walls")
+def E15_session_wall(e):
+    return e.walls
+
+
+@on_episodes("SELECT count(*) AS sessions, coalesce(sum(wall_ms), 0)::BIGINT AS total_wall_ms FROM walls")
+def E16_header(e):
+    return ranks.header(e.walls)
+
+
+@on_episodes("""SELECT CAST(started_at AS DATE) AS day, count(*) AS sessions, sum(wall_ms)::BIGINT AS wall_ms, coalesce(sum(t), 0)::BIGINT AS tool_ms, coalesce(sum(k), 0)::BIGINT AS output_tokens,
+ CASE WHEN sum(wall_ms) > 0 THEN least(100.0::DOUBLE, 100.0::DOUBLE * coalesce(sum(t), 0)::DOUBLE / sum(wall_ms)::DOUBLE) ELSE 0 END::FLOAT AS utilisation,
+ CASE WHEN sum(wall_ms) > 0 THEN least(100.0::DOUBLE, 100.0::DOUBLE * coalesce(sum(t), 0)::DOUBLE / sum(wall_ms)::DOUBLE) ELSE 0 END::FLOAT < 20::FLOAT AS low
+ FROM walls LEFT JOIN (SELECT session_id, sum(duration_ms) AS t FROM calls GROUP BY 1) USING (session_id) LEFT JOIN (SELECT session_id, sum(output_tokens) AS k FROM turns GROUP BY 1) USING (session_id) GROUP BY 1""")
+def E13_by_day(e):
+    return ranks.by_day(e.walls, e.calls, e.turns)
+
+
+@on_episodes("""SELECT f.model, count(*) AS sessions, sum(n)::BIGINT AS turns, coalesce(sum(k), 0)::BIGINT AS output_tokens, sum(wall_ms)::BIGINT AS wall_ms FROM
+ (SELECT session_id, arg_min(struct_pack(m := model), turn_seq).m AS model, count(*) AS n, sum(output_tokens) AS k FROM turns GROUP BY 1) f JOIN walls USING (session_id) WHERE f.model IS NOT NULL GROUP BY 1""")
+def E14_by_model(e):
+    return ranks.by_model(e.walls, e.turns)
+
+
+@on_episodes("""SELECT session_id, mode, count(*) AS turns, coalesce(sum((epoch_us(ended_at) - epoch_us(started_at)) // 1000), 0)::BIGINT AS duration_ms, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens, coalesce(sum(n), 0)::BIGINT AS tool_calls
+ FROM turns LEFT JOIN (SELECT session_id, turn_seq, count(*) AS n FROM calls GROUP BY ALL) USING (session_id, turn_seq) GROUP BY 1, 2""")
+def E25_by_mode(e):
+    return ranks.by_mode(e.turns, e.calls)
+
+
+@on_episodes("""SELECT w.session_id, w.started_at, t.model, coalesce(t.turns, 0) AS turns, coalesce(t.k, 0)::BIGINT AS output_tokens, span_ms FROM walls w LEFT JOIN
+ (SELECT session_id, arg_min(model, turn_seq) FILTER (model IS NOT NULL) AS model, count(*) AS turns, sum(output_tokens) AS k, (epoch_us(max(started_at)) - epoch_us(min(started_at))) // 1000 AS span_ms FROM turns GROUP BY 1) t USING (session_id)""")
+def E27_session_list(e):
+    return ranks.session_list(e.turns, e.walls)
+
+
+@on_episodes("SELECT session_id, model, turns, output_tokens FROM (SELECT session_id, started_at FROM walls ORDER BY started_at DESC, session_id LIMIT 20) LEFT JOIN (SELECT session_id, arg_min(model, turn_seq) FILTER (model IS NOT NULL) AS model, count(*) AS turns, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens FROM turns GROUP BY 1) USING (session_id)")
+def G1_latest_sessions(e):
+    """Top-k: the 20 latest sessions."""
+    return ranks.session_list(e.turns, e.walls).orderBy(F.desc("started_at"), "session_id").limit(20).select("session_id", "model", "turns", "output_tokens")
+
+
+@on_episodes("""SELECT kind, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN ts < lag_ts THEN 'non_monotonic' END, CASE WHEN kind = 'tool_complete' AND tool_orphan THEN 'orphan_tool' END, CASE WHEN kind = 'hook_end' AND hook_orphan THEN 'orphan_hook' END,
+ CASE WHEN kind = 'turn_end' AND turn_seq IS NULL THEN 'orphan_turn_end' END, CASE WHEN route = 'session' THEN 'session_abort' END], lambda x: x IS NOT NULL)) AS kind FROM (SELECT *, lag(ts) OVER (PARTITION BY session_id ORDER BY seq) AS lag_ts FROM r4)) GROUP BY 1""")
+def E30_warning_counts(e):
+    return episodes.warnings(e.rows).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@on_episodes("""SELECT pair, starts, ends, starts - ends AS delta, CASE WHEN abs(starts - ends) / greatest(starts, ends) < 0.05 THEN 'ok' WHEN abs(starts - ends) / greatest(starts, ends) < 0.2 THEN 'minor' ELSE 'severe' END AS class FROM
+ (SELECT CASE WHEN kind LIKE 'turn%' THEN 'turn' WHEN kind LIKE 'tool%' THEN 'tool' ELSE 'hook' END AS pair, count_if(kind LIKE '%start')::BIGINT AS starts, count_if(kind NOT LIKE '%start')::BIGINT AS ends FROM ev WHERE kind IN ('turn_start', 'turn_end', 'tool_start', 'tool_complete', 'hook_start', 'hook_end') GROUP BY 1)""")
+def E32_balance(e):
+    return audit.balance(e.events)
+
+
+@on_episodes("SELECT kind, count(*) AS n, CASE WHEN kind IN ('mode_changed', 'model_change') THEN list_sort(list(event_id ORDER BY ts, session_id, seq)[:2]) END AS samples FROM ev GROUP BY kind")
+def E31_kind_counts(e):
+    known = ("turn_start", "turn_end", "tool_start", "tool_complete", "hook_start", "hook_end", "abort", "skill_invoked", "assistant_message")
+    return audit.kind_counts(e.events, known)
+
+
+@on_episodes("SELECT *, CASE WHEN calls > 0 THEN floor(100 * ok / calls)::BIGINT END AS ok_pct, CASE WHEN sum(total_ms) OVER (PARTITION BY session_id) > 0 THEN floor(100 * total_ms / sum(total_ms) OVER (PARTITION BY session_id))::BIGINT END AS time_pct FROM (" + _RANK + ")")
+def E34_percent_columns(e):
+    return ranks.percent_columns(ranks.tool_rank(e.calls))
+
+
+@on_episodes("SELECT session_id, turn_id, name, status, duration_ms, " + _SOURCE + " AS source FROM calls WHERE turn_seq IS NOT NULL")
+def E37_turn_detail(e):
+    return e.calls.where("turn_seq is not null").select("session_id", "turn_id", "name", "status", "duration_ms", S.source_kind(F.col("name")).alias("source"))
+
+
+@on_episodes("SELECT session_id, seq, tool_level AS level, tool_orphan AS orphan FROM r4 WHERE kind IN ('tool_start', 'tool_complete', 'abort')")
+def F3_stack_depth(e):
+    return e.rows.where("kind in ('tool_start', 'tool_complete', 'abort')").select("session_id", "seq", F.col("tool_level").alias("level"), F.col("tool_orphan").alias("orphan"))
+
+
+@on_episodes("SELECT session_id, greatest(1, coalesce(p, top, 1))::BIGINT AS scale_ms FROM (SELECT session_id, quantile_disc(ms, 0.95) FILTER (status = 'completed') AS p, max(ms) AS top FROM (SELECT session_id, status, (epoch_us(ended_at) - epoch_us(started_at)) // 1000 AS ms FROM turns) GROUP BY 1)")
+def F6_flame_scale(e):
+    return ranks.flame_scale(e.turns, e.calls)
+
+
+@on_episodes("SELECT name, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95 FROM calls GROUP BY 1")
+def F5_ceiling_percentiles(e):
+    return ceiling_rank(e.calls, ["name"], "duration_ms", {"p50": 50, "p95": 95})
+
+
+@on_episodes("SELECT session_id, seq, mode_now FROM r4")
+def F7_current_mode(e):
+    return e.rows.select("session_id", "seq", "mode_now")
+
+
+@on_episodes("SELECT session_id, seq, mode, started_at, ended_at FROM modes")
+def F8_mode_segments(e):
+    return e.modes
+
+
+@on_episodes("SELECT session_id, name, call_index, start_seq FROM calls")
+def F9_call_index(e):
+    return e.calls.select("session_id", "name", "call_index", "start_seq")
+
+
+@on_episodes("SELECT session_id, name, call_index, status, duration_ms FROM (SELECT *, row_number() OVER (PARTITION BY session_id, name ORDER BY call_index DESC) AS r FROM calls) WHERE r <= 5")
+def F11_recent_calls(e):
+    return ranks.recent_calls(e.calls)
+
+
+@on_episodes()
+def F12_flame_events(e):
+    """An ordered fold; tested against a plain loop."""
+    return flame.marks(flame.adjusted(e.turns, e.calls))
+
+
+@on_episodes("SELECT DISTINCT session_id, last_ts FROM r4")
+def F13_last_event(e):
+    return e.rows.select("session_id", "last_ts").distinct()
+
+
+_NOW = "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+@on_episodes(f"SELECT session_id, name, start_seq, false AS blocking, (epoch_us({_NOW}) - epoch_us(started_at)) // 1000 AS age_ms FROM calls WHERE status = 'open_at_end' AND (epoch_us({_NOW}) - epoch_us(started_at)) // 1000 >= 300000")
+def C9_pending_calls(e):
+    return ranks.pending(e.calls, F.to_timestamp(F.lit("2024-02-01 00:00:00")))
+
+
+@on_episodes(f"""SELECT t.session_id, t.turn_id, CASE WHEN t.status = 'aborted' THEN 'aborted' WHEN coalesce(p, false) THEN 'pending' WHEN t.status = 'open' THEN 'open' WHEN p IS NULL THEN 'no_tools' ELSE 'normal' END AS class
+ FROM turns t LEFT JOIN (SELECT session_id, turn_seq, bool_or(status = 'open_at_end' AND (epoch_us({_NOW}) - epoch_us(started_at)) // 1000 >= 300000) AS p FROM calls GROUP BY ALL) USING (session_id, turn_seq)""")
+def C10_turn_class(e):
+    return ranks.turn_class(e.turns, e.calls, ranks.pending(e.calls, F.to_timestamp(F.lit("2024-02-01 00:00:00"))))
+
+
+@on_episodes("SELECT name, CASE WHEN fail / calls > 0.5 THEN 'high' WHEN fail > 0 AND calls >= 3 THEN 'medium' ELSE 'low' END AS severity FROM (" + _BY_TOOL + ")")
+def C11_severity(e):
+    return ranks.by_tool(e.calls).select("name", S.severity(F.col("calls"), F.col("fail")).alias("severity"))
+
+
+@on_episodes("SELECT DISTINCT name, regexp_extract(name, '^mcp__(.*?)__(.*)$', 1) AS server, CASE WHEN name LIKE 'mcp\\_\\_%' ESCAPE '\\' THEN regexp_extract(name, '^mcp__(.*?)__(.*)$', 2) ELSE name END AS short, CASE WHEN name LIKE 'mcp\\_\\_%' ESCAPE '\\' THEN 'mcp:' || regexp_extract(name, '^mcp__(.*?)__(.*)$', 1) || '::' || regexp_extract(name, '^mcp__(.*?)__(.*)$', 2) ELSE name END AS display FROM calls")
+def C5_tool_names(e):
+    n = F.col("name")
+    return e.calls.select("name").distinct().select("name", F.coalesce(S.split_full_name(n)["server"], F.lit("")).alias("server"), S.short_name(n).alias("short"), S.display_name(n).alias("display"))
+
+
+@on_episodes("SELECT original, '<uuid-' || row_number() OVER (ORDER BY place, original) || '>' AS pseudonym FROM (SELECT turn_id AS original, min(epoch_us(started_at)) AS place FROM turns GROUP BY 1)")
+def F14_pseudonyms(e):
+    return redact.pseudonyms(e.turns.select(F.col("turn_id").alias("id"), F.unix_micros("started_at").alias("place")), per_bucket=10**10)
+
+
+@on_episodes("SELECT CASE WHEN name LIKE 'mcp\\_\\_%' ESCAPE '\\' THEN 'mcp__' || substr(sha256(regexp_extract(name, '^mcp__(.*?)__(.*)$', 1)), 1, 8) || '__' || regexp_extract(name, '^mcp__(.*?)__(.*)$', 2) ELSE name END AS name, count(*) AS calls FROM calls GROUP BY 1")
+def H4_hashed_servers(e):
+    return redact.redact_tools(e.calls.groupBy("name").agg(F.count("*").alias("calls")), anonymize=True)
+
+
+@on_episodes("""SELECT 'gpt-5' AS model, sum(sessions)::BIGINT AS sessions, sum(turns)::BIGINT AS turns, sum(output_tokens)::BIGINT AS output_tokens, sum(wall_ms)::BIGINT AS wall_ms FROM (SELECT f.model, count(*) AS sessions, sum(n) AS turns, coalesce(sum(k), 0) AS output_tokens, sum(wall_ms) AS wall_ms FROM
+ (SELECT session_id, arg_min(struct_pack(m := model), turn_seq).m AS model, count(*) AS n, sum(output_tokens) AS k FROM turns GROUP BY 1) f JOIN walls USING (session_id) WHERE f.model IS NOT NULL GROUP BY 1)""")
+def E33_consolidated_models(e):
+    return redact.consolidate(ranks.by_model(e.walls, e.turns))
+
+
+# Order tables: usage and waste.
+
+_USAGE = """WITH u AS (SELECT o_orderkey::VARCHAR AS session_id, o_orderpriority AS model, floor(l_extendedprice)::BIGINT AS input_tokens, floor(l_quantity)::BIGINT AS output_tokens, floor(l_extendedprice * l_discount)::BIGINT AS cache_read, floor(l_extendedprice * l_tax)::BIGINT AS cache_write FROM lineitem JOIN orders ON l_orderkey = o_orderkey) """
+_SUMS = "sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_read)::BIGINT AS cache_read, sum(cache_write)::BIGINT AS cache_write"
+
+
+def _metrics(by: str) -> str:
+    return f"""SELECT *, input_tokens + output_tokens + cache_read + cache_write AS total, CASE WHEN cache_read + cache_write > 0 THEN CASE WHEN cache_read + input_tokens > 0 THEN cache_read / (cache_read + input_tokens) ELSE 0 END END AS naive,
+ CASE WHEN cache_read + cache_write > 0 THEN cache_read / (cache_read + cache_write) END AS honest, CASE WHEN cache_read + cache_write > 0 THEN round(0.9::DOUBLE * cache_read)::BIGINT END AS gross, CASE WHEN cache_read + cache_write > 0 THEN round(0.9::DOUBLE * cache_read - 0.25::DOUBLE * cache_write)::BIGINT END AS net
+ FROM (SELECT {by}, {_SUMS} FROM u GROUP BY ALL)"""
+
+
+@query(_metrics("session_id, model"), _USAGE)
+def E9_cache_metrics(spark, sf_dir):
+    return ranks.model_usage(inputs.order_usage(spark, sf_dir), ["session_id", "model"])
+
+
+@query(_metrics("model"), _USAGE)
+def E10_cache_by_model(spark, sf_dir):
+    return ranks.model_usage(inputs.order_usage(spark, sf_dir), ["model"])
+
+
+@query("SELECT session_id, model, input_tokens + output_tokens + cache_read + cache_write AS total FROM (SELECT session_id, model, " + _SUMS + " FROM u GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY total DESC, model) = 1", _USAGE)
+def E23_dominant_model(spark, sf_dir):
+    return ranks.dominant_model(ranks.model_usage(inputs.order_usage(spark, sf_dir), ["session_id", "model"]))
+
+
+@query("SELECT model, " + _SUMS + ", round(0.9::DOUBLE * sum(cache_read) - 0.25::DOUBLE * sum(cache_write))::BIGINT AS net_saved FROM u GROUP BY ROLLUP (model)", _USAGE)
+def E26_model_table(spark, sf_dir):
+    return ranks.model_table(inputs.order_usage(spark, sf_dir))
+
+
+def _waste(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = inputs.order_tools(spark, sf_dir)
+    called = calls.groupBy("session_id", "server", "tool").agg(F.count("*").alias("call_count"))
+    costs = calls.select("server", "tool", (F.length("tool") * 10).alias("tokens")).where("server like '%1'").distinct()
+    return waste.waste_tools(inputs.loaded_tools(calls, "wire"), inputs.loaded_tools(calls, "config"), called, costs)
+
+
+@query("SELECT * FROM wt", WASTE)
+def D8_waste_tools(spark, sf_dir):
+    return _waste(spark, sf_dir)
+
+
+@query("SELECT session_id, server, loaded, called, unused, unused_tokens, called = 0 AS fully_unused FROM ws", WASTE)
+def E18_waste_servers(spark, sf_dir):
+    return waste.waste_servers(_waste(spark, sf_dir))
+
+
+@query("""SELECT session_id, count(*) AS loaded, count_if(call_count = 0)::BIGINT AS unused, sum(CASE WHEN call_count = 0 THEN tokens ELSE 0 END)::BIGINT AS wasted_tokens,
+ CASE WHEN bool_or(origin IN ('wire', 'both')) AND bool_or(origin IN ('config', 'both')) THEN 'wire_and_config' WHEN bool_or(origin IN ('wire', 'both')) THEN 'wire' WHEN bool_or(origin IN ('config', 'both')) THEN 'config' ELSE 'calls' END AS data_source FROM wt GROUP BY 1""", WASTE)
+def E19_waste_totals(spark, sf_dir):
+    return waste.waste_totals(_waste(spark, sf_dir))
+
+
+_CROSS = "SELECT server, count(*) AS sessions, count_if(calls = 0)::BIGINT AS zero_sessions, sum(calls)::BIGINT AS calls, sum(unused_tokens)::BIGINT AS unused_tokens FROM (SELECT session_id, server, sum(call_count) AS calls, sum(CASE WHEN call_count = 0 THEN tokens ELSE 0 END) AS unused_tokens FROM wt GROUP BY ALL) GROUP BY 1"
+
+
+@query(_CROSS, WASTE)
+def E20_cross_servers(spark, sf_dir):
+    return waste.cross_servers(_waste(spark, sf_dir))
+
+
+@query("SELECT server, tool, count(DISTINCT session_id) AS sessions, sum(call_count)::BIGINT AS calls FROM wt GROUP BY 1, 2", WASTE)
+def E36_cross_tools(spark, sf_dir):
+    return waste.cross_tools(_waste(spark, sf_dir))
+
+
+@query("SELECT * FROM (" + _CROSS + ") WHERE unused_tokens > 0 ORDER BY unused_tokens DESC, zero_sessions, server DESC LIMIT 1", WASTE)
+def E22_largest_waste(spark, sf_dir):
+    """Top-k: the server with the largest waste."""
+    return waste.largest_waste(waste.cross_servers(_waste(spark, sf_dir)))
+
+
+@query("""SELECT server, tools, calls, fail, total_ms, sessions, unused, unused_sessions, wasted_tokens FROM
+ (SELECT server, count(DISTINCT tool) AS tools, count(*) AS calls, count_if(NOT ok)::BIGINT AS fail, sum(duration_ms)::BIGINT AS total_ms, count(DISTINCT session_id) AS sessions FROM ot GROUP BY 1)
+ FULL JOIN (SELECT server, sum(unused)::BIGINT AS unused, count_if(called = 0)::BIGINT AS unused_sessions, sum(unused_tokens)::BIGINT AS wasted_tokens FROM ws GROUP BY 1) USING (server)""", WASTE)
+def E12_by_server(spark, sf_dir):
+    calls = inputs.order_tools(spark, sf_dir)
+    named = calls.select("session_id", F.concat(F.lit("mcp__"), "server", F.lit("__"), "tool").alias("name"), F.when(F.col("ok"), "success").otherwise("failure").alias("status"), "duration_ms")
+    return ranks.by_server(named, waste.waste_servers(_waste(spark, sf_dir)))
+
+
+@query("SELECT DISTINCT o_orderpriority AS model, array_to_string(string_split(o_orderpriority, '-')[:2], '-') AS family, substr(sha256(o_orderpriority), 1, 8) AS hash, 'cl100k' AS tokenizer FROM orders", "")
+def H3_model_names(spark, sf_dir):
+    m = F.col("o_orderpriority")
+    return inputs.table(spark, sf_dir, "orders").select(m.alias("model"), S.model_family(m).alias("family"), S.short_hash(m).alias("hash"), S.tokenizer_class(m).alias("tokenizer")).distinct()
+
+
+@query(r"""SELECT doc_id, line, unnest(list_filter(regexp_extract_all(x, '(?:/home/|/Users/|[A-Za-z]:\\Users\\)([A-Za-z0-9._-]+)', 1), lambda n: n NOT IN ('user', 'runner', 'example'))) AS name
+ FROM (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""", "")
+def C15_home_leaks(spark, sf_dir):
+    return audit.leaks(inputs.table(spark, sf_dir, "documents"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
