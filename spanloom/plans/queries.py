@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.percentiles import ceiling_rank
 from ..operators import audit, episodes, flame, ranks, redact, waste
+from ..sources import store
+from ..streaming import telemetry
 from . import inputs
 from .sql import CTES, WASTE
 
@@ -374,6 +376,56 @@ def C15_home_leaks(spark, sf_dir):
     return audit.leaks(inputs.table(spark, sf_dir, "documents"))
 
 
+# Store, telemetry and logs, over tables that Spark derives from the given ones.
+
+
+def _refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = inputs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("started_at"), F.concat(F.lit("/s/"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_custkey").alias("mtime"), "o_orderkey")
+    files = o.where("o_orderkey % 3 <> 0").drop("o_orderkey")
+    store_ = o.where("o_orderkey % 5 <> 0").withColumn("mtime", F.col("mtime") + F.col("o_orderkey") % 2).drop("o_orderkey")
+    return files, store_
+
+
+_REFS = "WITH o AS (SELECT o_orderkey::VARCHAR AS id, epoch_ms(o_orderdate) AS started_at, '/s/' || o_orderkey AS path, o_custkey AS mtime, o_orderkey AS k FROM orders) "
+
+
+@query("""SELECT id, CASE WHEN k % 3 <> 0 THEN mtime ELSE mtime + k % 2 END AS mtime, started_at, path, CASE WHEN k % 3 <> 0 AND k % 5 <> 0 AND k % 2 = 1 THEN 'mtime' ELSE '' END AS differs, CASE WHEN k % 3 <> 0 THEN 'file' ELSE 'store' END AS origin FROM o WHERE k % 3 <> 0 OR k % 5 <> 0""", _REFS)
+def D11_merged_refs(spark, sf_dir):
+    return store.merge_refs(*_refs(spark, sf_dir))
+
+
+@query("SELECT id, started_at, path, CASE WHEN k % 3 <> 0 THEN mtime ELSE mtime + k % 2 END AS mtime, CASE WHEN k % 3 <> 0 THEN 2 ELSE 1 END::BIGINT AS ingested_at FROM o WHERE k % 3 <> 0 OR k % 5 <> 0", _REFS)
+def B1_upsert(spark, sf_dir):
+    files, old = _refs(spark, sf_dir)
+    return store.upsert(old.withColumn("ingested_at", F.lit(1).cast("long")), files.withColumn("ingested_at", F.lit(2).cast("long")))
+
+
+@query("SELECT id, started_at FROM o WHERE k % 3 <> 0 AND started_at >= 800000000000", _REFS)
+def A12_window_scan(spark, sf_dir):
+    files, _ = _refs(spark, sf_dir)
+    return store.newer(files, 900_000_000_000, 100_000_000_000).select("id", "started_at")
+
+
+@query("SELECT o.id AS session_id, l_linenumber::INT AS line FROM lineitem JOIN o ON l_orderkey = k WHERE k % 3 <> 0 AND NOT coalesce(started_at < 800000000000, false)", _REFS)
+def B6_prune(spark, sf_dir):
+    files, _ = _refs(spark, sf_dir)
+    kids = inputs.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("session_id"), F.col("l_linenumber").alias("line"))
+    return store.prune(files, kids, 900_000_000_000, 100_000_000_000)[1]
+
+
+@on_episodes("SELECT count(*) AS sessions, min(started_at) AS first, max(started_at) AS last, (SELECT count(*) FROM calls) AS tools, (SELECT count(*) FROM turns) AS turns FROM walls")
+def B7_store_stats(e):
+    return store.stats(e.walls, e.calls, e.turns)
+
+
+@on_episodes("""SELECT session_id, tool_name, count(*) AS calls, count_if(status = 'failure')::BIGINT AS fail, sum(ms)::BIGINT AS total_ms FROM (SELECT session_id, tool_name, status, event_type, CASE WHEN lag(event_type) OVER w = 'tool_start' THEN greatest(0, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) // 1000) ELSE 0 END AS ms FROM
+ (SELECT session_id, mode AS tool_name, CASE WHEN success THEN 'success' ELSE 'failure' END AS status, CASE WHEN kind = 'tool_start' THEN 'tool_start' ELSE 'tool_result' END AS event_type, ts FROM ev WHERE kind IN ('tool_start', 'tool_complete')) WINDOW w AS (PARTITION BY session_id, tool_name ORDER BY ts, event_type = 'tool_result')) WHERE event_type = 'tool_result' GROUP BY 1, 2""")
+def E29_telemetry_tools(e):
+    rows = e.events.where("kind in ('tool_start', 'tool_complete')")
+    typed = rows.select("session_id", F.when(F.col("kind") == "tool_start", "tool_start").otherwise("tool_result").alias("event_type"), "ts", F.lit("t").alias("turn_id"), F.col("mode").alias("tool_name"), F.when(F.col("success"), "success").otherwise("failure").alias("status"))
+    return telemetry.session_tools(typed)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

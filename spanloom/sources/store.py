@@ -1,0 +1,65 @@
+"""Stored sessions as Parquet: upserts by id, windows, pruning, statistics, and merging with files."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str = "id", at: str = "ingested_at") -> DataFrame:
+    """The latest row of each id of both tables; among equal times the new one."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    latest = Window.partitionBy(key).orderBy(F.desc(at), F.desc("_new"))
+    return both.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r", "_new")
+
+
+def replace_children(old: DataFrame, new: DataFrame, key: str = "session_id") -> DataFrame:
+    """Old child rows of sessions that new does not hold, and new's."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def newer(sessions: DataFrame, now_ms: int, since_ms: int | None) -> DataFrame:
+    """Sessions that began within the window, newest first; without a window all that have a start."""
+    kept = sessions.where("started_at is not null") if since_ms is None else sessions.where(F.col("started_at") >= now_ms - since_ms)
+    return kept.orderBy(F.desc("started_at"), "id")
+
+
+def expired(now_ms: int, retention_ms: int) -> Column:
+    return F.coalesce(F.col("started_at") < now_ms - retention_ms, F.lit(False))
+
+
+def prune(sessions: DataFrame, children: DataFrame, now_ms: int, retention_ms: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables without sessions older than the retention; a session without a start stays."""
+    kept = sessions.where(~expired(now_ms, retention_ms))
+    return kept, children.join(kept.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+
+
+def stats(sessions: DataFrame, tools: DataFrame, turns: DataFrame) -> DataFrame:
+    """One row: the three tables' counts, and the first and last start."""
+    s = sessions.agg(F.count("*").alias("sessions"), F.min("started_at").alias("first"), F.max("started_at").alias("last"))
+    return s.crossJoin(tools.agg(F.count("*").alias("tools"))).crossJoin(turns.agg(F.count("*").alias("turns")))
+
+
+def merge_refs(files: DataFrame, store: DataFrame) -> DataFrame:
+    """References (id, started_at, path, mtime) of both sides, the file's values first, with the names of fields that differ where both have one."""
+    j = files.alias("f").join(store.alias("s"), F.col("f.id") == F.col("s.id"), "full")
+    cols = ("mtime", "started_at", "path")
+    both = F.col("f.id").isNotNull() & F.col("s.id").isNotNull()
+    diff = F.filter(F.array(*[F.when(both & (F.col(f"f.{c}") != F.col(f"s.{c}")), F.lit(c)) for c in cols]), lambda x: x.isNotNull())
+    return j.select(F.coalesce("f.id", "s.id").alias("id"), *[F.coalesce(f"f.{c}", f"s.{c}").alias(c) for c in cols], F.concat_ws(",", diff).alias("differs"), F.when(F.col("f.id").isNotNull(), "file").otherwise("store").alias("origin"))
+
+
+def fall_through(store: DataFrame, files: DataFrame, key: str = "session_id") -> DataFrame:
+    """Stored rows, and files' rows of sessions that the store lacks."""
+    return store.unionByName(files.join(store.select(key).distinct(), key, "left_anti"))
+
+
+def report_lines(rows: DataFrame) -> DataFrame:
+    """One JSON object a row."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A roll-up as CSV with a header, rates with two decimals."""
+    two = {c: F.format_string("%.2f", c) for c, kind in rows.dtypes if kind in ("double", "float")}
+    rows.withColumns(two).write.option("header", True).csv(path)
