@@ -29,8 +29,8 @@ BLOCK = 1 << 15
 #: Sets that are held at once for one pivot.
 CHUNK = 64
 #: Turns of stars before what is left in mixed buckets is tried pair by pair.
-MOST_TURNS = 8
-PIVOT_SEEDS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
+MOST_TURNS = 6
+PIVOT_SEEDS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD, 0x61C8864680B583EB, 0x106689D45497FDB5)
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -77,14 +77,14 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band; the two lowest bits name the band's pivot seed."""
+    """A 64-bit key for each band; the three lowest bits name the band's pivot seed."""
     keys = np.empty((len(sig), BANDS), np.uint64)
     for b in range(BANDS):
         x = np.full(len(sig), 0xA0761D6478BD642F * (b + 1) & (1 << 64) - 1, np.uint64)
         for r in range(ROWS):
             x = (x ^ sig[:, b * ROWS + r]) * np.uint64(0xE7037ED1A0B428DB)
             x ^= x >> np.uint64(29)
-        keys[:, b] = x & ~np.uint64(3) | np.uint64(b % len(PIVOT_SEEDS))
+        keys[:, b] = x & ~np.uint64(7) | np.uint64(b % len(PIVOT_SEEDS))
     return keys.view(np.int64)
 
 
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
         mixed = materialize(counts.where("c * c > same").select("key", "c", ((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs")), "mixed")
         left, rows_left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
         labelled = labelled.join(mixed.select("key"), "key")
-        if left <= rows_left or before is not None and left > before / 2:
+        if left <= rows_left or before is not None and left > 0.7 * before:
             break
         before = left
 
@@ -282,7 +282,7 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def _stars(labelled: DataFrame, turn: int) -> DataFrame:
     """a (a bucket's pivot), b (a member in another component), n_a, n_b. The pivot is the member whose id is least when exclusive-or mixes it with a seed, which the turn and the key's lowest bits pick."""
     seeds = F.array(*(F.lit((s ^ (turn * 0x9E3779B97F4A7C15)) & (1 << 63) - 1) for s in PIVOT_SEEDS))
-    seed = F.element_at(seeds, (F.col("key").bitwiseAND(F.lit(3)) + 1).cast("int"))
+    seed = F.element_at(seeds, (F.col("key").bitwiseAND(F.lit(7)) + 1).cast("int"))
     pivots = labelled.groupBy("key").agg(F.min(F.col("cid").bitwiseXOR(seed)).alias("x")).select("key", F.col("x").bitwiseXOR(seed).alias("a"))
     of = labelled.select("cid", "n", "root").distinct().select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
     own = pivots.join(of, "a")
