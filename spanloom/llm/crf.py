@@ -27,7 +27,7 @@ BEGINNINGS = (3, 4, 5, 6)
 #: Tokens of one chain; a document is as many chains as it needs.
 CHAIN = 64
 #: Words whose emissions a task keeps at hand.
-MEMORY = 300_000
+MEMORY = 150_000
 
 
 def features(word: str) -> list[int]:
