@@ -12,18 +12,27 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import millis, mode_of
 
-BY = Window.partitionBy("session_id").orderBy("seq")
-SO_FAR = BY.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = BY.rowsBetween(Window.unboundedPreceding, -1)
 SKILL_WINDOW = 49
 ORPHAN = "<orphan>"
 
 
+def by_session():
+    return Window.partitionBy("session_id").orderBy("seq")
+
+
+def so_far():
+    return by_session().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def before():
+    return by_session().rowsBetween(Window.unboundedPreceding, -1)
+
+
 def stack_levels(events: DataFrame, push: Column, pop: Column, prefix: str) -> DataFrame:
     """adds {prefix}_level (depth of a start, or of the start that an end closes) and {prefix}_orphan (an end on an empty stack)."""
     s, low = f"_{prefix}_s", f"_{prefix}_low"
-    rows = events.withColumn(s, F.sum(F.when(push, 1).when(pop, -1).otherwise(0)).over(SO_FAR))
-    rows = rows.withColumn(low, F.least(F.lit(0), F.coalesce(F.min(s).over(BEFORE), F.lit(0))))
+    rows = events.withColumn(s, F.sum(F.when(push, 1).when(pop, -1).otherwise(0)).over(so_far()))
+    rows = rows.withColumn(low, F.least(F.lit(0), F.coalesce(F.min(s).over(before()), F.lit(0))))
     orphan = pop & (F.col(s) < F.col(low))
     depth = F.col(s) - F.least(F.col(low), F.col(s))
     level = F.when(push, depth).when(pop & ~orphan, depth + 1)
@@ -38,11 +47,11 @@ def routed(events: DataFrame) -> DataFrame:
     rows = stack_levels(rows, kind == "hook_start", (kind == "hook_end") | past_tools, "hook")
     past_hooks = past_tools & F.col("hook_orphan")
     slot = F.when(kind.isin("turn_start", "turn_end") | past_hooks, F.struct((kind == "turn_start").alias("open"), F.col("seq"), F.col("event_id"), F.col("ts")))
-    rows = rows.withColumn("_slot", F.last(slot, ignorenulls=True).over(BEFORE))
+    rows = rows.withColumn("_slot", F.last(slot, ignorenulls=True).over(before()))
     is_open = F.coalesce(F.col("_slot.open"), F.lit(False))
     rows = rows.withColumn("open_turn_seq", F.when(is_open, F.col("_slot.seq"))).withColumn("open_turn_id", F.when(is_open, F.col("_slot.event_id")))
     route = F.when(kind != "abort", None).when(~F.col("tool_orphan"), "tool").when(~F.col("hook_orphan"), "hook").when(is_open, "turn").otherwise("session")
-    rows = rows.withColumn("abort_route", route).withColumn("mode_now", F.coalesce(F.last(F.when(kind == "mode_changed", mode_of(F.col("mode"))), ignorenulls=True).over(SO_FAR), F.lit("interactive")))
+    rows = rows.withColumn("abort_route", route).withColumn("mode_now", F.coalesce(F.last(F.when(kind == "mode_changed", mode_of(F.col("mode"))), ignorenulls=True).over(so_far()), F.lit("interactive")))
     whole = Window.partitionBy("session_id")
     return rows.drop("_slot").withColumn("last_seq", F.max("seq").over(whole)).withColumn("last_ts", F.max_by("ts", "seq").over(whole))
 
@@ -101,9 +110,9 @@ def turns(rows: DataFrame) -> DataFrame:
 def mode_segments(rows: DataFrame) -> DataFrame:
     """F8: one row a mode change; it ends at the next one, else at the last model change after it, else at the session's last event."""
     changes = rows.where(F.col("kind").isin("mode_changed", "model_change"))
-    after = BY.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    after = by_session().rowsBetween(Window.currentRow, Window.unboundedFollowing)
     model_end = F.last(F.when(F.col("kind") == "model_change", F.col("ts")), ignorenulls=True).over(after)
-    next_mode = F.first(F.when(F.col("kind") == "mode_changed", F.col("ts")), ignorenulls=True).over(BY.rowsBetween(1, Window.unboundedFollowing))
+    next_mode = F.first(F.when(F.col("kind") == "mode_changed", F.col("ts")), ignorenulls=True).over(by_session().rowsBetween(1, Window.unboundedFollowing))
     seg = changes.withColumn("m", model_end).withColumn("nx", next_mode).where(F.col("kind") == "mode_changed")
     return seg.select("session_id", "seq", mode_of(F.col("mode")).alias("mode"), F.col("ts").alias("started_at"), F.greatest("ts", F.coalesce("nx", "m", "last_ts")).alias("ended_at"))
 
@@ -137,7 +146,7 @@ def user_requested(rows: DataFrame, calls: DataFrame) -> DataFrame:
 
 def warnings(rows: DataFrame) -> DataFrame:
     """session_id, kind, ref, at for timestamps that go back, orphan ends, calls left open and session-level aborts."""
-    back = F.lag("ts").over(BY)
+    back = F.lag("ts").over(by_session())
     marked = rows.withColumn("_back", F.col("ts") < back)
     kind = F.col("kind")
     found = F.filter(

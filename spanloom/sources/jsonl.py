@@ -62,7 +62,7 @@ def decode(raw: DataFrame, live: Column | None = None, unknown_ts: str = "epoch"
     requests = F.from_json(_field("data.toolRequests"), "array<struct<toolCallId: string, arguments: string>>")
     usage = F.from_json(_field("data.modelMetrics"), "map<string, struct<usage: struct<inputTokens: bigint, outputTokens: bigint, cacheReadTokens: bigint, cacheWriteTokens: bigint>>>")
     z = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    metrics = F.transform_values(usage, lambda _, v: F.struct(z(v["usage.inputTokens"]).alias("input"), z(v["usage.outputTokens"]).alias("output"), z(v["usage.cacheReadTokens"]).alias("cache_read"), z(v["usage.cacheWriteTokens"]).alias("cache_write")))
+    metrics = F.transform_values(usage, lambda _, v: F.struct(z(v["usage"]["inputTokens"]).alias("input"), z(v["usage"]["outputTokens"]).alias("output"), z(v["usage"]["cacheReadTokens"]).alias("cache_read"), z(v["usage"]["cacheWriteTokens"]).alias("cache_write")))
     events = good.select(
         F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1).alias("session_id"), "file_path", F.col("line_no").alias("seq"), F.when(F.col("kind").isNull(), "").otherwise(_field("id")).alias("event_id"),
         F.when(F.col("kind").isNull(), F.timestamp_millis(F.lit(0))).otherwise(F.try_to_timestamp(_field("timestamp"))).alias("ts"), F.coalesce("kind", F.lit("unknown")).alias("kind"),

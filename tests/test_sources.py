@@ -1,0 +1,41 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from spanloom.sources import jsonl
+
+
+def event(kind, i, **data):
+    return json.dumps({"type": kind, "id": f"e{i}", "timestamp": f"2024-01-01T00:00:{i:02d}Z", "data": data})
+
+
+def test_log_lines_become_events_and_warnings(spark, tmp_path):
+    folder = tmp_path / "abc"
+    folder.mkdir()
+    start = event("session.start", 0, sessionId="S", version=1, producer="p", copilotVersion="1.0", startTime="2024-01-01T00:00:00Z", context={"cwd": "/w"}, alreadyInUse=False)
+    notice = "<tools_changed_notice>New tools available: mcp__a__b, plain</tools_changed_notice>"
+    text = [start, "", "no json", event("user.message", 3, content="x", interactionId="i", transformedContent=notice), event("tool.execution_start", 4, toolCallId="c", toolName="mcp__a__b", arguments={}), event("tool.execution_complete", 5, success=True), event("odd.thing", 6)]
+    (folder / "events.jsonl").write_text("\n".join(text) + '\n{"type": "abort", "da')
+    events, warnings = jsonl.decode(jsonl.lines(spark, str(tmp_path / "*/events.jsonl")), live=F.lit(True))
+    got = {r["seq"]: r for r in events.collect()}
+    assert [(got[s]["kind"]) for s in sorted(got)] == ["session_start", "user_message", "tool_start", "unknown"]
+    assert got[3]["loaded_tools"] == ["mcp__a__b"] and got[4]["name"] == "mcp__a__b" and got[6]["event_id"] == ""
+    assert sorted(r["line_no"] for r in warnings.collect()) == [2, 5]
+    assert [r["session_id"] for r in jsonl.sessions(events).collect()] == ["S"]
+
+
+def test_windows():
+    assert jsonl.since_seconds("2h") == 7200 and jsonl.since_seconds("all") is None
+    with pytest.raises(ValueError):
+        jsonl.since_seconds("soon")
+
+
+def test_unknown_agents_are_refused():
+    with pytest.raises(ValueError):
+        jsonl.decoder("other")
+
+
+def test_tool_configuration(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"mcpServers": {"a": {}}, "servers": {"b": {"tools": ["x", "y"]}}}))
+    assert {tuple(r) for r in jsonl.server_config(spark, str(tmp_path / "c.json")).collect()} == {("a", None), ("b", "x"), ("b", "y")}
