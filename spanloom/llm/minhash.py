@@ -2,9 +2,13 @@
 
 Every step works on *classes*: texts with the same set of shingles are one class, so that copies are never
 compared with each other. Candidates are the classes that share a band. A band's bucket is tried as a star around one
-pivot, then around another for the members that are not yet in its component, and so on while that helps; at last the
-pairs that are still in different components are tried one by one. So a bucket of thousands of near copies costs a few
-comparisons a member, while no link between components is lost.
+pivot, then around another for the members that are not yet in its component, and so on while that helps. At last, small
+buckets that still hold several components are tried pair by pair, and the members of large ones are written as
+*differences* from a set at their centre. With m shingles of the centre missing and a others added, a member costs
+100 m + t a, for a threshold of t percent. Two members are linked if and only if (100 + t) times their common differences
+is at least the sum of their costs less (100 - t) times the centre's size. So members far from the centre must have about
+half of their differences in common, and an inverted list over each member's rarest differences finds all such pairs:
+exactly, and without trying the pairs within a bucket. No link between components is lost.
 Candidate pairs go through two sieves: their signatures are compared batch by batch until the posterior
 probability of reaching the threshold falls below the chosen miss probability, and the survivors' whole sets
 are intersected.
@@ -20,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import ASCII_LOWER, WORD_RE, materialize
 
@@ -28,8 +33,10 @@ ROWS, BANDS, BATCH = 6, 40, 24
 BLOCK = 1 << 15
 #: Sets that are held at once for one pivot.
 CHUNK = 64
-#: Turns of stars before what is left in mixed buckets is tried pair by pair.
-MOST_TURNS = 6
+#: Turns of stars before what is left in mixed buckets is tried by pairs or by differences.
+MOST_TURNS = 3
+#: Members of a bucket up to which its pairs are tried one by one.
+SMALL = 8
 PIVOT_SEEDS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD, 0x61C8864680B583EB, 0x106689D45497FDB5)
 
 
@@ -181,8 +188,8 @@ def _intersect(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose whole sets meet the threshold. A pivot's set is sent once for every CHUNK of its partners."""
+def _around(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, compare, schema: str) -> DataFrame:
+    """`compare` over the whole sets of pairs (a, b), grouped by pivot a. A pivot's set is sent once for every CHUNK of its partners."""
     pairs = pairs.select("a", "b")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rid", "fp"), "cid"), "wanted")
     texts = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("rid"), "text")
@@ -191,7 +198,55 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     members = dealt.select("a", "chunk", F.col("b").alias("cid"))
     pivots = chunks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("cid"))
-    return members.unionByName(pivots).join(sets, "cid").groupBy("a", "chunk").applyInPandas(_intersect(percent), "a long, b long").distinct()
+    return members.unionByName(pivots).join(sets, "cid").groupBy("a", "chunk").applyInPandas(compare, schema)
+
+
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose whole sets meet the threshold."""
+    return _around(pairs, classes, docs, size, _intersect(percent), "a long, b long").distinct()
+
+
+def _differences(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, out = int(pdf["a"].iloc[0]), []
+        pivot = pdf.loc[pdf["cid"] == a, "words"]
+        if len(pivot):
+            x = np.frombuffer(pivot.iloc[0], np.uint64)
+            # a centre or member met twice, as repeated rows can do, gives equal rows
+            for b, words in {b: w for b, w in zip(pdf["cid"], pdf["words"], strict=True) if b != a}.items():
+                y = np.frombuffer(words, np.uint64)
+                lost, new = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                out.append((a, b, (100 - percent) * len(x), 100 * len(lost) + percent * len(new), np.concatenate([lost, new]).view(np.int64)))
+        return pd.DataFrame(out, columns=["ref", "cid", "slack", "cost", "d"])
+
+    return run
+
+
+def _by_differences(labelled: DataFrame, large: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links with centres, pairs (a, b) that may be links) for the buckets in `large` (key). A bucket's centre is the class with most links in its largest component."""
+    counts = labelled.join(large, "key").groupBy("key", "root").agg(F.count("*").alias("m"))
+    largest = counts.groupBy("key").agg(F.max_by("root", F.struct("m", -F.col("root"))).alias("main"))
+    inside = labelled.select(F.col("cid").alias("a"), "root").distinct()
+    hubs = links.groupBy("a").count().join(inside, "a").groupBy(F.col("root").alias("main")).agg(F.max_by("a", F.struct("count", "a")).alias("hub"))
+    centres = largest.join(hubs, "main", "left").select("key", F.coalesce("hub", "main").alias("ref"))
+    around = materialize(labelled.join(centres, "key").select("ref", "cid", "root", "n").distinct().where("ref <> cid"), "around")
+
+    found = materialize(_around(around.select(F.col("ref").alias("a"), F.col("cid").alias("b")), classes, docs, size, _differences(percent), "ref long, cid long, slack long, cost long, d array<long>"), "differences")
+    linked = found.where("cost <= slack").select(F.col("ref").alias("a"), F.col("cid").alias("b"))
+
+    each = found.select("ref", "cid", F.explode("d").alias("e"))
+    often = each.groupBy("ref", "e").count().where("count > 1")
+    rarest = each.join(often, ["ref", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("ref", "cid").orderBy(F.desc("count"), "e")))
+    # ranks count from the commonest difference, so those met once need no row; a pair that needs k differences in common shares one of rank k or more, in both
+    own = found.select("ref", "cid", "slack", "cost", (F.col("cost") > F.col("slack")).alias("far")).join(around, ["ref", "cid"])
+    least = F.when(F.col("far"), F.col("cost") + 1 - F.col("slack")).otherwise(F.col("cost") + 1)
+    listed = materialize(rarest.join(own, ["ref", "cid"]).where(F.col("rank") * (100 + percent) >= least).drop("count"), "listed")
+    x, y = listed.where("far").alias("x"), listed.alias("y")
+    need = F.col("x.cost") + F.col("y.cost") - F.col("x.slack")
+    on = (F.col("x.ref") == F.col("y.ref")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.far") | (F.col("x.cid") < F.col("y.cid")))
+    deep = F.least("x.rank", "y.rank") * (100 + percent) >= need
+    close = F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n")
+    return linked, x.join(y, on & deep & close).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -245,18 +300,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
         counts = labelled.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("same"))
         mixed = materialize(counts.where("c * c > same").select("key", "c", ((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs")), "mixed")
         left, rows_left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
-        labelled = labelled.join(mixed.select("key"), "key")
+        labelled = materialize(labelled.join(mixed.select("key"), "key"), "labelled")
         if left <= rows_left or before is not None and left > 0.7 * before:
             break
         before = left
 
-    x, y = labelled.alias("x"), labelled.alias("y")
+    x, y = (labelled.join(mixed.where(F.col("c") <= SMALL).select("key"), "key").alias(side) for side in "xy")
     far = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & sized(F.col("x.n"), F.col("y.n")) & (far <= _most_bits(threshold, miss))
-    rest = x.join(y, on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    small = x.join(y, on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    linked, large = _by_differences(labelled, mixed.where(F.col("c") > SMALL).select("key"), links, classes, docs, size, percent)
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(bayes_prune(rest.join(tried, ["a", "b"], "left_anti"), classes, threshold, miss), "rest")
-    roots, label = components(links.union(verify(rest, classes, docs, size, percent))), F.coalesce("root", "cid").alias("root")
+    rest = materialize(bayes_prune(small.union(large).distinct().join(tried, ["a", "b"], "left_anti"), classes, threshold, miss), "rest")
+    roots, label = components(links.union(linked).union(verify(rest, classes, docs, size, percent))), F.coalesce("root", "cid").alias("root")
 
     found = classes.select("cid", "fp", "doc_id").join(roots, "cid", "left").select("cid", "fp", "doc_id", label)
     ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -63,6 +63,35 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(texts, k)
 
 
+@pytest.mark.parametrize(("k", "turns"), [(2, 1), (5, 1), (2, 3)])
+def test_large_buckets_of_unlinked_copies_equal_brute_force(spark, monkeypatch, k, turns):
+    """Copies at all distances from their base, with copies of the far ones: links that only the differences find."""
+    monkeypatch.setattr(minhash, "MOST_TURNS", turns)
+    rng = np.random.default_rng(k)
+    edit = lambda words, n: [f"v{rng.integers(60)}" if i in set(rng.integers(0, len(words), n).tolist()) else w for i, w in enumerate(words)]
+    texts = {}
+    for g in range(3):
+        base = [f"w{x}" for x in rng.integers(0, 400, 150)]
+        for c in range(70):
+            copy = edit(base, int(rng.integers(0, 26 if k == 2 else 12)))
+            texts[g * 1000 + c] = " ".join(copy)
+            if c % 3 == 0:
+                texts[g * 1000 + 500 + c] = " ".join(edit(copy, int(rng.integers(1, 12 if k == 2 else 5))))
+    asked = []
+    by_differences = minhash._by_differences
+
+    def spy(*args):
+        asked.append(by_differences(*args))
+        return asked[-1]
+
+    monkeypatch.setattr(minhash, "_by_differences", spy)
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k)
+    expected = brute_components(texts, k)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == expected
+    assert 3 < len({c for _, c in expected.values()}) < len(texts)
+    assert turns > 1 or asked[0][1].count() > 0
+
+
 def test_pruning_spares_likely_pairs():
     stops = minhash.least_matches(0.8, 1e-6)
     assert all(m < 0.8 * n for n, m in stops) and stops[-1][1] > 0.6 * stops[-1][0]
