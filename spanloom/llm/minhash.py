@@ -283,9 +283,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     classes = materialize(by_text.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     sized = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
-    banded = classes.select("cid", "n", "bits", F.explode("bands").alias("key"))
+    banded = classes.select("cid", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = materialize(banded.join(shared, "key").withColumn("root", F.col("cid")), "members")
+    members = materialize(banded.join(shared, "key").join(classes.select("cid", "n", "bits"), "cid").select("key", "cid", "n", "bits", F.col("cid").alias("root")), "members")
     links, tried, labelled, before = None, None, members, None
     for turn in range(MOST_TURNS):
         stars = _stars(labelled, turn).where(sized(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
