@@ -19,10 +19,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,6 +41,23 @@ SMALL = 8
 PIVOT_SEEDS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD, 0x61C8864680B583EB, 0x106689D45497FDB5)
 
 
+#: Spark's runtime Bloom filter: 2 MB whatever the tables' sizes. Past some ten million wanted rows it lets most rows through, and the join is a plain one.
+RUNTIME_FILTER = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in (("enabled", "true"), ("applicationSideScanSizeThreshold", "0"), ("creationSideThreshold", "1g"), ("expectedNumItems", "2000000"), ("numBits", str(1 << 24)))}
+
+
+@contextmanager
+def _filtered_joins(spark: SparkSession) -> Iterator[None]:
+    """Joins that are planned meanwhile drop rows without a partner before they shuffle, if the other side is a filtered scan."""
+    before = {k: spark.conf.get(k) for k in RUNTIME_FILTER}
+    try:
+        for k, v in RUNTIME_FILTER.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     """Each text's distinct shingles as sorted 64-bit hashes; a text with fewer words is one shingle, one without words none."""
     words = [WORD_RE.findall(t.translate(ASCII_LOWER)) if t else [] for t in texts]
@@ -193,7 +211,9 @@ def _around(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, co
     pairs = pairs.select("a", "b")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rid", "fp"), "cid"), "wanted")
     texts = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("rid"), "text")
-    sets = materialize(texts.join(wanted, "rid").mapInPandas(_sets(size), "cid long, words binary"), "sets")
+    with _filtered_joins(docs.sparkSession):
+        # ids are never negative; the runtime filter is only made from a scan with a condition
+        sets = materialize(texts.join(wanted.where("cid >= 0"), "rid").mapInPandas(_sets(size), "cid long, words binary"), "sets")
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     members = dealt.select("a", "chunk", F.col("b").alias("cid"))
@@ -202,8 +222,8 @@ def _around(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, co
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose whole sets meet the threshold."""
-    return _around(pairs, classes, docs, size, _intersect(percent), "a long, b long").distinct()
+    """Of pairs (a, b), those whose whole sets meet the threshold; of repeated rows, a pair may come again."""
+    return _around(pairs, classes, docs, size, _intersect(percent), "a long, b long")
 
 
 def _differences(percent: int):
@@ -250,22 +270,22 @@ def _by_differences(labelled: DataFrame, large: DataFrame, links: DataFrame, cla
 
 
 def components(links: DataFrame) -> DataFrame:
-    """cid, root for every class with a link: the smallest id that can be reached. Edges are turned into stars, towards larger and smaller neighbours by turns, until nothing changes; each round is a written table."""
+    """cid, root for every class with a link: the smallest id that can be reached. Edges are turned into stars, towards larger and smaller neighbours by turns, until all are stars; each round is a written table."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.distinct(), "large")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v")
         edges = materialize(small.distinct(), "edges")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("cid"), F.col("v").alias("root"))
-        state = now
+    return edges.select(F.col("u").alias("cid"), F.col("v").alias("root"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each upper end has one edge and is no lower end."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    return ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).where("ups > 1 or ups = 1 and low = 0").isEmpty()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -286,16 +306,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     banded = classes.select("cid", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = materialize(banded.join(shared, "key").join(classes.select("cid", "n", "bits"), "cid").select("key", "cid", "n", "bits", F.col("cid").alias("root")), "members")
-    links, tried, labelled, before = None, None, members, None
+    # from here on, only classes that share a band
+    near = materialize(classes.select("cid", "rid", "fp", "sig").join(members.select("cid"), "cid", "left_semi"), "near")
+    links, roots, tried, labelled, before = None, None, None, members, None
     for turn in range(MOST_TURNS):
         stars = _stars(labelled, turn).where(sized(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
         stars = stars if tried is None else stars.join(tried, ["a", "b"], "left_anti")
-        likely = bayes_prune(stars, classes, threshold, miss)
+        likely = bayes_prune(stars, near, threshold, miss)
         best = materialize(likely.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")), "best")
         tried = best.select("a", "b") if tried is None else tried.union(best.select("a", "b"))
-        new = materialize(verify(best, classes, docs, size, percent), "links")
+        new = materialize(verify(best, near, docs, size, percent), "links")
         links = new if links is None else links.union(new)
-        roots = components(links)
+        roots = components(new if roots is None else new.union(_stars_of(roots)))
         labelled = materialize(members.drop("root").join(roots, "cid", "left").select("key", "cid", "n", "bits", F.coalesce("root", "cid").alias("root")), "labelled")
         counts = labelled.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("same"))
         mixed = materialize(counts.where("c * c > same").select("key", "c", ((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs")), "mixed")
@@ -309,10 +331,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     far = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & sized(F.col("x.n"), F.col("y.n")) & (far <= _most_bits(threshold, miss))
     small = x.join(y, on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    linked, large = _by_differences(labelled, mixed.where(F.col("c") > SMALL).select("key"), links, classes, docs, size, percent)
+    linked, large = _by_differences(labelled, mixed.where(F.col("c") > SMALL).select("key"), links, near, docs, size, percent)
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(bayes_prune(small.union(large).distinct().join(tried, ["a", "b"], "left_anti"), classes, threshold, miss), "rest")
-    roots, label = components(links.union(linked).union(verify(rest, classes, docs, size, percent))), F.coalesce("root", "cid").alias("root")
+    rest = materialize(bayes_prune(small.union(large).distinct().join(tried, ["a", "b"], "left_anti"), near, threshold, miss), "rest")
+    roots = components(_stars_of(roots).union(linked).union(verify(rest, near, docs, size, percent)))
+    label = F.coalesce("root", "cid").alias("root")
 
     found = classes.select("cid", "fp", "doc_id").join(roots, "cid", "left").select("cid", "fp", "doc_id", label)
     ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -335,6 +358,11 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return left.join(again, rid == F.col("_rid"), "left_anti").unionByName(one)
 
 
+def _stars_of(roots: DataFrame) -> DataFrame:
+    """Components that are known, as links."""
+    return roots.select(F.col("root").alias("a"), F.col("cid").alias("b"))
+
+
 def _stars(labelled: DataFrame, turn: int) -> DataFrame:
     """a (a bucket's pivot), b (a member in another component), n_a, n_b. The pivot is the member whose id is least when exclusive-or mixes it with a seed, which the turn and the key's lowest bits pick."""
     seeds = F.array(*(F.lit((s ^ (turn * 0x9E3779B97F4A7C15)) & (1 << 63) - 1) for s in PIVOT_SEEDS))
