@@ -275,7 +275,7 @@ def components(links: DataFrame) -> DataFrame:
     while not _are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v")
         edges = materialize(small.distinct(), "edges")
@@ -367,10 +367,9 @@ def _stars(labelled: DataFrame, turn: int) -> DataFrame:
     """a (a bucket's pivot), b (a member in another component), n_a, n_b. The pivot is the member whose id is least when exclusive-or mixes it with a seed, which the turn and the key's lowest bits pick."""
     seeds = F.array(*(F.lit((s ^ (turn * 0x9E3779B97F4A7C15)) & (1 << 63) - 1) for s in PIVOT_SEEDS))
     seed = F.element_at(seeds, (F.col("key").bitwiseAND(F.lit(7)) + 1).cast("int"))
-    pivots = labelled.groupBy("key").agg(F.min(F.col("cid").bitwiseXOR(seed)).alias("x")).select("key", F.col("x").bitwiseXOR(seed).alias("a"))
-    of = labelled.select("cid", "n", "root").distinct().select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    own = pivots.join(of, "a")
-    return labelled.join(own, "key").where("root <> root_a").select("a", F.col("cid").alias("b"), "n_a", F.col("n").alias("n_b"))
+    x = F.col("cid").bitwiseXOR(seed)
+    pivots = labelled.groupBy("key").agg(F.min_by("cid", x).alias("a"), F.min_by("n", x).alias("n_a"), F.min_by("root", x).alias("root_a"))
+    return labelled.join(pivots, "key").where("root <> root_a").select("a", F.col("cid").alias("b"), "n_a", F.col("n").alias("n_b"))
 
 
 def _most_bits(threshold: float, miss: float) -> int:
