@@ -230,15 +230,28 @@ def slots(wrapper: dict, level: int, least: int = 3) -> dict:
             elif not _outside(x["k"]):
                 linked = level == 3 and x["k"].split(".")[0] in ("li", "ul", "ol") and _only_links(x)
                 found = walk(x, not linked and (inside or _holds(x["k"], level) if level < 3 else inside or x["k"] == "body"))
-                if x["k"] in kids:
-                    old = kids[x["k"]]
-                    found = {"text": old["text"] or found["text"], "kids": old["kids"] | found["kids"]}
-                kids[x["k"]] = found
+                kids[x["k"]] = _united(kids[x["k"]], found) if x["k"] in kids else found
         return {"text": text, "kids": kids}
 
     return walk(wrapper, level == 3 and not _has_body(wrapper))
 
 
+def _united(a: dict, b: dict) -> dict:
+    """Two readings of one key as one, at every depth."""
+    out = {"text": a["text"] or b["text"], "kids": dict(a["kids"])}
+    todo = [(out["kids"], b["kids"])]
+    while todo:
+        into, more = todo.pop()
+        for key, x in more.items():
+            if key in into:
+                old = into[key]
+                into[key] = {"text": old["text"] or x["text"], "kids": dict(old["kids"])}
+                todo.append((into[key]["kids"], x["kids"]))
+            else:
+                into[key] = x
+    return out
+
+
 def _has_body(wrapper: dict) -> bool:
     return any(x["k"].split(".")[0] == "body" or _has_body(x) for x in wrapper.get("c", ()) if x["k"] != "#text")
 

@@ -269,3 +269,10 @@ def test_wrappers_read_articles(spark):
     assert all(got[i] == "\n\n".join([f"T{i} & u"] + ["p qr"] * (1 + i % 4)) for i in range(8)) and got[8] == got[9] == ""
     tree = json.loads(next(r["wrapper"] for r in wrappers.wrappers(df).collect() if r["host"] == "h1"))
     assert ")+" in wrappers.expression(tree) and "#PCDATA" in wrappers.expression(tree)
+
+
+def test_keys_that_return_keep_their_texts(spark):
+    page = lambda i: f"<body><article><div><p>text{i} <a href=x>link{i}</a></p></div><h2>head{i}</h2><div><p><img src=x></p></div></article>"
+    df = spark.createDataFrame([(i, "http://h/", page(i)) for i in range(4)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(df).collect()}
+    assert got == {i: f"text{i} link{i}\n\nhead{i}" for i in range(4)}
