@@ -18,7 +18,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and keep enough words once their source's frequent lines are gone."""
+    """Documents that pass the base rules and keep enough words once their source's frequent lines are gone; without those lines."""
     return linefreq.keep_good(docs)
 
 

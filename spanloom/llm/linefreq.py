@@ -109,19 +109,26 @@ def verdicts(docs: DataFrame, most_docs: int = 30, least_left: int = 30) -> Data
     return out.withColumn("kept", ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("removed")) >= least_left * F.col("n_words")))
 
 
+def _with_lost(docs: DataFrame, most_docs: int, rows: DataFrame) -> DataFrame:
+    """rows of docs with _removed and _lines of removed_lines; both null where a row loses nothing."""
+    lost = materialize(removed_lines(docs, most_docs), "lost")
+    return rows.join(lost.select(F.col("row").alias("_row"), F.col("removed").alias("_removed"), F.col("lines").alias("_lines")), row_key() == F.col("_row"), "left")
+
+
+def _text_left() -> Column:
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lines", i)), "\n")
+    return F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left)
+
+
 def keep_good(docs: DataFrame, most_docs: int = 30, least_left: int = 30) -> DataFrame:
-    """The rows of docs that verdicts keeps, with all their columns. Only what is rejected for its lines goes through a join."""
-    lost = removed_lines(docs, most_docs).select("row", "removed")
-    sizes = docs.select(row_key().alias("row"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("n"))
-    bare = sizes.join(materialize(lost, "lost"), "row").where(100 * (F.col("n") - F.col("removed")) < least_left * F.col("n"))
-    bare = materialize(bare.select(F.col("row").alias("_bare")).distinct(), "bare")
+    """The rows of docs that verdicts keeps, with all their columns, their hosts' frequent lines taken out of the texts."""
     good = let(words_of(F.col("text")), lambda w: (F.size(w) >= 50) & (100 * repeated_words(w) <= 50 * F.size(w)))
-    return docs.where(good).join(bare, row_key() == F.col("_bare"), "left_anti")
+    n = F.regexp_count("text", F.lit(WORD))
+    rows = _with_lost(docs, most_docs, docs.where(good))
+    enough = F.col("_removed").isNull() | (100 * (n - F.col("_removed")) >= least_left * n)
+    return rows.where(enough).withColumn("text", _text_left()).select(*docs.columns)
 
 
 def remove_lines(docs: DataFrame, most_docs: int = 30) -> DataFrame:
     """docs with their hosts' frequent lines taken out of the texts; see removed_lines. Null texts stay null."""
-    lost = removed_lines(docs, most_docs).select(F.col("row").alias("_row"), F.col("lines").alias("_lines"))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lines", i)), "\n")
-    out = docs.join(lost, row_key() == F.col("_row"), "left")
-    return out.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    return _with_lost(docs, most_docs, docs).withColumn("text", _text_left()).select(*docs.columns)

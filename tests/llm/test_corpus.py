@@ -276,3 +276,13 @@ def test_keys_that_return_keep_their_texts(spark):
     df = spark.createDataFrame([(i, "http://h/", page(i)) for i in range(4)], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in wrappers.main_texts(df).collect()}
     assert got == {i: f"text{i} link{i}\n\nhead{i}" for i in range(4)}
+
+
+def test_quality_stage_removes_the_lines_of_what_it_keeps(spark):
+    from corpus_pipeline import quality_rules
+
+    own = lambda i: " ".join(f"own{i}x{j}" for j in range(60))
+    rows = [(i, f"{own(i)}\nShare this page\nlast {i} of {i}x", "en", "h") for i in range(40)] + [(100, "Share this page\n" * 40, "en", "h"), (101, None, "en", "h")]
+    got = {r["doc_id"]: r for r in quality_rules(spark, odd_docs(spark, rows), "").collect()}
+    assert set(got) == set(range(40)) and got[0]["text"] == rows[0][1] and got[7]["key"] == "clash"
+    assert all(got[i]["text"] == f"{own(i)}\nlast {i} of {i}x" for i in range(1, 40))
