@@ -3,7 +3,9 @@
 A page is a sequence of tags and texts. Its elements nest, so an expression is kept as a tree: an element's content is a
 row of parts, each an element, a text or a group of parts, and each required, optional or repeated. Two pages' rows are
 aligned; what matches is merged, a mismatch of texts makes a text slot, a mismatch of tags an optional part, and equal parts
-in a row one repeated part. The wrapper says for each slot whether it belongs to the article, and pages are read by it.
+in a row one repeated part. The wrapper says for each element whether it belongs to the article, and pages are read by it. A
+block of text that most of a host's pages have equally often at one place (the path of keys to its element) is a constant of
+the host's template, however long, and never part of an article; what returns more or less often from page to page is content.
 """
 
 from __future__ import annotations
@@ -11,7 +13,10 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,10 +49,18 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACE = re.compile(r"[\x20\x09-\x0D\xA0]+")
-#: Texts longer than this are slots at once; a row's repeats are sought up to this many parts.
+#: Constants longer than this are kept as hashes; a row's repeats are sought up to this many parts.
 CONSTANT, PERIOD = 80, 3
 
 
+def _hash(start: int, text: str) -> int:
+    return int.from_bytes(blake2b(b"%d " % start + text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+#: The hash of a path of keys, from that of its parent (0 for a page) and the last key.
+_path = lru_cache(1 << 17)(_hash)
+
+
 class Node:
     """An element of a page, or a text (tag #text)."""
 
@@ -115,15 +128,15 @@ def _key(tag: str, attributes: str) -> str:
 
 
 def infer(page: Node) -> dict:
-    """A page as an expression of its own: k key, q one of 1 ? + *, c content of elements and groups, t the constant of a text (null: a slot), n how many pages have it."""
+    """A page as an expression of its own: k key, q one of 1 ? + *, c content of elements and groups, t the constant of a text, or its hash (null: a slot)."""
     parts = []
     for kid in page.kids:
         if kid.tag == "#text":
             text = SPACE.sub(" ", kid.text).strip()
-            parts.append({"k": "#text", "q": "1", "t": text if len(text) <= CONSTANT else None, "n": 1})
+            parts.append({"k": "#text", "q": "1", "t": text if len(text) <= CONSTANT else f"#CONSTANT {_hash(0, text):x}"})
         elif kid.tag != "#space":
             parts.append(infer(kid))
-    return {"k": page.key, "q": "1", "c": fold(parts), "n": 1}
+    return {"k": page.key, "q": "1", "c": fold(parts)}
 
 
 def _repeat(a: str, b: str, joined: bool = False) -> str:
@@ -134,7 +147,7 @@ def _repeat(a: str, b: str, joined: bool = False) -> str:
 
 def merge(a: dict, b: dict, joined: bool = False) -> dict:
     """Two parts of one key as one. joined: they stand in one row, and become a repeated part."""
-    out = {"k": a["k"], "q": _repeat(a["q"], b["q"], joined), "n": max(a["n"], b["n"]) if joined else a["n"] + b["n"]}
+    out = {"k": a["k"], "q": _repeat(a["q"], b["q"], joined)}
     if a["k"] == "#text":
         return out | {"t": a["t"] if a["t"] == b["t"] else None}
     return out | {"c": align(a["c"], b["c"])}
@@ -158,7 +171,7 @@ def fold(parts: list[dict]) -> list[dict]:
                 out += run if end > at + period else parts[at : at + 1]
                 at = end if end > at + period else at + 1
             else:
-                out.append({"k": "(" + " ".join(keys) + ")", "q": "+", "c": run, "n": max(x["n"] for x in run)})
+                out.append({"k": "(" + " ".join(keys) + ")", "q": "+", "c": run})
                 at = end
         parts = out
     return parts
@@ -195,6 +208,7 @@ def expression(wrapper: dict) -> str:
     return inner if wrapper["q"] == "1" else f"({inner}){wrapper['q']}"
 
 
+@lru_cache(1 << 16)
 def _outside(key: str) -> bool:
     tag, *words = key.split(".")
     return tag in OUTSIDE or bool(set(words) & OUTSIDE_WORDS)
@@ -210,46 +224,26 @@ def _has(wrapper: dict, level: int) -> bool:
 
 
 def article_level(wrapper: dict) -> int:
-    """What marks the host's articles: 0 <article>, 1 <main>, 2 a class or id, 3 nothing, so all of the body but links' lists, constants and what stands outside."""
+    """What marks the host's articles: 0 <article>, 1 <main>, 2 a class or id, 3 nothing, so all of the body but links' lists and what stands outside."""
     return next((level for level in range(3) if _has(wrapper, level)), 3)
 
 
-def slots(wrapper: dict, level: int, least: int = 3) -> dict:
-    """The wrapper by keys: for each element its contents' keys, and whether texts there are the article's. Without a marked article, constants that `least` pages share are not."""
-
-    def walk(node: dict, inside: bool) -> dict:
-        kids: dict = {}
-        rows = list(node.get("c", ()))
-        text = False
+def slots(wrapper: dict, level: int) -> dict[int, bool]:
+    """The wrapper by paths of keys: for each element that is not outside, whether texts there are the article's."""
+    reading: dict[int, bool] = {}
+    todo = [(wrapper, 0, level == 3 and not _has_body(wrapper))]
+    while todo:
+        node, path, inside = todo.pop()
+        reading[path] = inside or reading.get(path, False)
+        rows = list(node["c"])
         while rows:
-            x = rows.pop(0)
+            x = rows.pop()
             if x["k"][0] == "(":
-                rows = list(x["c"]) + rows
-            elif x["k"] == "#text":
-                text |= inside and not (level == 3 and x["t"] is not None and x["n"] >= least)
-            elif not _outside(x["k"]):
+                rows += x["c"]
+            elif x["k"] != "#text" and not _outside(x["k"]):
                 linked = level == 3 and x["k"].split(".")[0] in ("li", "ul", "ol") and _only_links(x)
-                found = walk(x, not linked and (inside or _holds(x["k"], level) if level < 3 else inside or x["k"] == "body"))
-                kids[x["k"]] = _united(kids[x["k"]], found) if x["k"] in kids else found
-        return {"text": text, "kids": kids}
-
-    return walk(wrapper, level == 3 and not _has_body(wrapper))
-
-
-def _united(a: dict, b: dict) -> dict:
-    """Two readings of one key as one, at every depth."""
-    out = {"text": a["text"] or b["text"], "kids": dict(a["kids"])}
-    todo = [(out["kids"], b["kids"])]
-    while todo:
-        into, more = todo.pop()
-        for key, x in more.items():
-            if key in into:
-                old = into[key]
-                into[key] = {"text": old["text"] or x["text"], "kids": dict(old["kids"])}
-                todo.append((into[key]["kids"], x["kids"]))
-            else:
-                into[key] = x
-    return out
+                todo.append((x, _path(path, x["k"]), not linked and (inside or _holds(x["k"], level) if level < 3 else inside or x["k"] == "body")))
+    return reading
 
 
 def _has_body(wrapper: dict) -> bool:
@@ -260,34 +254,55 @@ def _only_links(node: dict) -> bool:
     return all(x["k"].split(".")[0] == "a" or x["k"] != "#text" and _only_links(x) for x in node["c"]) and bool(node["c"]) if node["k"].split(".")[0] != "a" else True
 
 
-def extract(page: Node, reading: dict) -> str:
-    """The page's article: the texts at the wrapper's slots, block by block."""
-    blocks: list[str] = []
+def blocks(page: Node, reading: dict[int, bool] | None = None) -> list[tuple[int, str]]:
+    """The page's blocks of text, each with the path of its element: those at the wrapper's slots, or all that are not outside."""
+    found: list[tuple[int, str]] = []
     line: list[str] = []
 
-    def end() -> None:
+    def end(path: int) -> None:
         text = SPACE.sub(" ", html.unescape("".join(line))).strip(" ")
         line.clear()
         if text:
-            blocks.append(text)
+            found.append((path, text))
 
-    def walk(node: Node, at: dict) -> None:
-        for kid in node.kids:
+    stack = [(iter(page.kids), 0, reading is None or reading.get(0, False), 0, True)]
+    while stack:
+        kids, path, keep, block, closes = stack[-1]
+        for kid in kids:
             if kid.tag in ("#text", "#space"):
-                if at["text"]:
+                if keep:
                     line.append(kid.text)
             elif kid.tag == "br":
                 line.append(" ")
-            elif kid.key in at["kids"]:
-                if kid.tag not in INLINE:
-                    end()
-                walk(kid, at["kids"][kid.key])
-                if kid.tag not in INLINE:
-                    end()
+            elif not _outside(kid.key):
+                at = _path(path, kid.key)
+                inner = True if reading is None else reading.get(at)
+                if inner is None:
+                    continue
+                closes = kid.tag not in INLINE
+                if closes:
+                    end(block)
+                stack.append((iter(kid.kids), at, inner, at if closes else block, closes))
+                break
+        else:
+            stack.pop()
+            if closes:
+                end(block)
+    return found
+
+
+def extract(page: Node, reading: dict[int, bool], constants: frozenset[int] = frozenset()) -> str:
+    """The page's article: the blocks at the wrapper's slots that are no constants."""
+    found = blocks(page, reading)
+    if constants:
+        dropped = {block for block, line in _counted(found).items() if line in constants}
+        found = [block for block in found if block not in dropped]
+    return "\n\n".join(text for _, text in found)
 
-    walk(page, reading)
-    end()
-    return "\n\n".join(blocks)
+
+def _counted(found: list[tuple[int, str]]) -> dict[tuple[int, str], int]:
+    """A hash of each block's path, text and number on the page."""
+    return {(path, text): _hash(path, f"{times} {text}") for (path, text), times in Counter(found).items()}
 
 
 def host(url: Column) -> Column:
@@ -327,11 +342,32 @@ def wrappers(pages: DataFrame, fan_in: int = 256) -> DataFrame:
     return materialize(some.groupBy("host").applyInPandas(_merged, "host string, wrapper string"), "wrappers")
 
 
+def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for name, source in zip(pdf["host"], pdf["html"], strict=True):
+            if isinstance(source, str) and source:
+                found, page = blocks(parse(source)), _hash(0, source)
+                rows += [(name, page, path, None) for path in {path for path, _ in found}]
+                rows += [(name, page, path, line) for (path, _), line in _counted(found).items()]
+        columns = zip(*rows, strict=True) if rows else ((),) * 4
+        yield pd.DataFrame({k: pd.Series(v, dtype=t) for (k, t), v in zip({"host": object, "page": "int64", "path": "int64", "line": "Int64"}.items(), columns, strict=True)})
+
+
+def host_constants(pages: DataFrame, least: int = 3) -> DataFrame:
+    """host, constants (hashes of path, number and text): the blocks that at least `least` pages of a host have equally often at one path, and more than half of its pages with blocks there. Equal pages count once."""
+    placed = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(_placed, "host string, page long, path long, line long")
+    counts = materialize(placed.groupBy("host", "path", "line").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= least), "counts")
+    have = counts.where("line is null").select("host", "path", F.col("pages").alias("all_pages"))
+    shared = counts.where("line is not null").join(have, ["host", "path"]).where(2 * F.col("pages") > F.col("all_pages"))
+    return shared.groupBy("host").agg(F.collect_list("line").alias("constants"))
+
+
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, dict] = {}
+    known: dict[str, tuple] = {}
     for pdf in batches:
         texts = []
-        for name, wrapper, source in zip(pdf["host"], pdf["wrapper"], pdf["html"], strict=True):
+        for name, wrapper, constants, source in zip(pdf["host"], pdf["wrapper"], pdf["constants"], pdf["html"], strict=True):
             if not isinstance(source, str) or not source or not isinstance(wrapper, str):
                 texts.append("")
                 continue
@@ -339,8 +375,8 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(known) > 1000:
                     known.clear()
                 tree = json.loads(wrapper)
-                known[name] = slots(tree, article_level(tree))
-            texts.append(extract(parse(source), known[name]))
+                known[name] = slots(tree, article_level(tree)), frozenset(() if constants is None else map(int, constants))
+            texts.append(extract(parse(source), *known[name]))
         yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"].tolist(), "text": texts, "n_chars": [len(t) for t in texts]})
 
 
@@ -351,4 +387,5 @@ def main_texts(pages: DataFrame) -> DataFrame:
     empty text. Repeated rows get equal results. Other columns are ignored. An empty table gives an empty result.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host(F.col("url")).alias("host"))
-    return rows.join(wrappers(pages), "host", "left").select("page_id", "url", "html", "host", "wrapper").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    known = materialize(wrappers(pages).join(host_constants(pages), "host", "left"), "known")
+    return rows.join(known, "host", "left").select("page_id", "url", "html", "host", "wrapper", "constants").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")

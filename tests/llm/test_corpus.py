@@ -286,3 +286,13 @@ def test_quality_stage_removes_the_lines_of_what_it_keeps(spark):
     got = {r["doc_id"]: r for r in quality_rules(spark, odd_docs(spark, rows), "").collect()}
     assert set(got) == set(range(40)) and got[0]["text"] == rows[0][1] and got[7]["key"] == "clash"
     assert all(got[i]["text"] == f"{own(i)}\nlast {i} of {i}x" for i in range(1, 40))
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "{}"])
+def test_texts_that_a_host_repeats_are_no_article(spark, wrap):
+    notice = "This notice of our house stands on every page of the host, word by word, and is longer than eighty characters."
+    inner = lambda i: f"<h1>T{i}</h1><p>Share this</p><p>own{i} <b>Note</b> <i>it</i></p><p>{notice}</p><p>seen on two</p><div>Sponsored</div>".replace("seen on two", "seen on two" if i < 2 else f"own too{i}")
+    rows = [(i, "http://h/", f"<body>{wrap.format(inner(i))}") for i in range(4)] + [(10 + i, "http://copies/", "<body>" + wrap.format("<p>one</p><p>and the same</p>")) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i}\n\nown{i} Note it\n\n" + ("seen on two" if i < 2 else f"own too{i}") for i in range(4))
+    assert all(got[10 + i] == "one\n\nand the same" for i in range(5))
