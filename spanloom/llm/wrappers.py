@@ -14,9 +14,10 @@ import html
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -129,14 +130,37 @@ def _key(tag: str, attributes: str) -> str:
 
 def infer(page: Node) -> dict:
     """A page as an expression of its own: k key, q one of 1 ? + *, c content of elements and groups, t the constant of a text, or its hash (null: a slot)."""
-    parts = []
-    for kid in page.kids:
-        if kid.tag == "#text":
-            text = SPACE.sub(" ", kid.text).strip()
-            parts.append({"k": "#text", "q": "1", "t": text if len(text) <= CONSTANT else f"#CONSTANT {_hash(0, text):x}"})
-        elif kid.tag != "#space":
-            parts.append(infer(kid))
-    return {"k": page.key, "q": "1", "c": fold(parts)}
+    stack: list[tuple[Node, Iterator[Node], list[dict]]] = [(page, iter(page.kids), [])]
+    while True:
+        node, kids, parts = stack[-1]
+        for kid in kids:
+            if kid.tag == "#text":
+                text = SPACE.sub(" ", kid.text).strip()
+                parts.append({"k": "#text", "q": "1", "t": text if len(text) <= CONSTANT else f"#CONSTANT {_hash(0, text):x}"})
+            elif kid.tag != "#space":
+                stack.append((kid, iter(kid.kids), []))
+                break
+        else:
+            whole = {"k": node.key, "q": "1", "c": _run(_fold(parts))}
+            stack.pop()
+            if not stack:
+                return whole
+            stack[-1][2].append(whole)
+
+
+def _run(step: Generator) -> Any:
+    """The result of a generator that yields others and is sent their results: recursion to any depth, on a stack of its own."""
+    stack, value = [step], None
+    while stack:
+        try:
+            asked = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(asked)
+            value = None
+    return value
 
 
 def _repeat(a: str, b: str, joined: bool = False) -> str:
@@ -145,15 +169,20 @@ def _repeat(a: str, b: str, joined: bool = False) -> str:
     return {(False, False): "1", (False, True): "?", (True, False): "+", (True, True): "*"}[many, none]
 
 
-def merge(a: dict, b: dict, joined: bool = False) -> dict:
+def merge(a: dict, b: dict) -> dict:
+    """Two wrappers of one host as one."""
+    return _run(_merge(a, b))
+
+
+def _merge(a: dict, b: dict, joined: bool = False) -> Generator:
     """Two parts of one key as one. joined: they stand in one row, and become a repeated part."""
     out = {"k": a["k"], "q": _repeat(a["q"], b["q"], joined)}
     if a["k"] == "#text":
         return out | {"t": a["t"] if a["t"] == b["t"] else None}
-    return out | {"c": align(a["c"], b["c"])}
+    return out | {"c": (yield _align(a["c"], b["c"]))}
 
 
-def fold(parts: list[dict]) -> list[dict]:
+def _fold(parts: list[dict]) -> Generator:
     """Equal runs of parts that follow each other become one repeated part, or a repeated group of up to PERIOD parts."""
     for period in range(1, PERIOD + 1):
         row = [x["k"] for x in parts]
@@ -165,7 +194,9 @@ def fold(parts: list[dict]) -> list[dict]:
             keys, end = [x["k"] for x in run], at + period
             if len(run) == period and (period == 1 or len(set(keys)) > 1):
                 while [x["k"] for x in parts[end : end + period]] == keys and (period > 1 or keys != ["#text"]):
-                    run = [merge(x, y, joined=period == 1) for x, y in zip(run, parts[end : end + period], strict=True)]
+                    both, run = zip(run, parts[end : end + period], strict=True), []
+                    for x, y in both:
+                        run.append((yield _merge(x, y, joined=period == 1)))
                     end += period
             if end == at + period or period == 1:
                 out += run if end > at + period else parts[at : at + 1]
@@ -177,10 +208,13 @@ def fold(parts: list[dict]) -> list[dict]:
     return parts
 
 
-def align(a: list[dict], b: list[dict]) -> list[dict]:
+def _align(a: list[dict], b: list[dict]) -> Generator:
     """Two rows as one: the longest common run of keys is merged, and other parts become optional."""
     if [x["k"] for x in a] == [x["k"] for x in b]:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
+        same = []
+        for x, y in zip(a, b, strict=True):
+            same.append((yield _merge(x, y)))
+        return same
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -188,24 +222,49 @@ def align(a: list[dict], b: list[dict]) -> list[dict]:
     out, i, j = [], 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i]["k"] == b[j]["k"]:
-            out.append(merge(a[i], b[j]))
+            out.append((yield _merge(a[i], b[j])))
             i, j = i + 1, j + 1
         else:
             left = j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]
             x = a[i] if left else b[j]
             out.append(x | {"q": _repeat(x["q"], "?")})
             i, j = i + left, j + (not left)
-    return fold(out)
+    return (yield _fold(out))
+
+
+def flat(wrapper: dict) -> list[dict]:
+    """A wrapper as a list of its parts, each before those that its c names by their places: JSON of one depth."""
+    parts, at = [wrapper], 0
+    while at < len(parts):
+        if "c" in parts[at]:
+            kids = parts[at]["c"]
+            parts[at] = parts[at] | {"c": list(range(len(parts), len(parts) + len(kids)))}
+            parts += kids
+        at += 1
+    return parts
 
 
-def expression(wrapper: dict) -> str:
-    """A wrapper as a regular expression over tags, constants and #PCDATA slots."""
-    if wrapper["k"] == "#text":
-        inner = "#PCDATA" if wrapper["t"] is None else wrapper["t"]
-    else:
-        inner = " ".join(map(expression, wrapper["c"]))
-        inner = inner if wrapper["k"][0] in "(#" else f"<{wrapper['k']}>{' ' + inner + ' ' if inner else ''}</{wrapper['k'].split('.')[0]}>"
-    return inner if wrapper["q"] == "1" else f"({inner}){wrapper['q']}"
+def nested(parts: list[dict]) -> dict:
+    """The wrapper of a flat list."""
+    whole: list[dict] = [dict(x) for x in parts]
+    for x in whole:
+        if "c" in x:
+            x["c"] = [whole[i] for i in x["c"]]
+    return whole[0]
+
+
+def expression(parts: list[dict]) -> str:
+    """A flat wrapper as a regular expression over tags, constants and #PCDATA slots."""
+    said: list[str] = [""] * len(parts)
+    for at in range(len(parts) - 1, -1, -1):
+        x = parts[at]
+        if x["k"] == "#text":
+            inner = "#PCDATA" if x["t"] is None else x["t"]
+        else:
+            inner = " ".join(said[i] for i in x["c"])
+            inner = inner if x["k"][0] in "(#" else f"<{x['k']}>{' ' + inner + ' ' if inner else ''}</{x['k'].split('.')[0]}>"
+        said[at] = inner if x["q"] == "1" else f"({inner}){x['q']}"
+    return said[0]
 
 
 @lru_cache(1 << 16)
@@ -220,7 +279,14 @@ def _holds(key: str, level: int) -> bool:
 
 
 def _has(wrapper: dict, level: int) -> bool:
-    return not _outside(wrapper["k"]) and (_holds(wrapper["k"], level) or any(_has(x, level) for x in wrapper.get("c", ())))
+    todo = [wrapper]
+    while todo:
+        x = todo.pop()
+        if x["k"][0] == "(" or not _outside(x["k"]):
+            if x["k"][0] != "(" and _holds(x["k"], level):
+                return True
+            todo += x.get("c", ())
+    return False
 
 
 def article_level(wrapper: dict) -> int:
@@ -247,11 +313,23 @@ def slots(wrapper: dict, level: int) -> dict[int, bool]:
 
 
 def _has_body(wrapper: dict) -> bool:
-    return any(x["k"].split(".")[0] == "body" or _has_body(x) for x in wrapper.get("c", ()) if x["k"] != "#text")
+    todo = [wrapper]
+    while todo:
+        for x in todo.pop().get("c", ()):
+            if x["k"].split(".")[0] == "body":
+                return True
+            todo.append(x)
+    return False
 
 
 def _only_links(node: dict) -> bool:
-    return all(x["k"].split(".")[0] == "a" or x["k"] != "#text" and _only_links(x) for x in node["c"]) and bool(node["c"]) if node["k"].split(".")[0] != "a" else True
+    todo = [node]
+    while todo:
+        kids = todo.pop()["c"]
+        if not kids or any(x["k"] == "#text" for x in kids):
+            return False
+        todo += [x for x in kids if x["k"].split(".")[0] != "a"]
+    return True
 
 
 def blocks(page: Node, reading: dict[int, bool] | None = None) -> list[tuple[int, str]]:
@@ -324,19 +402,19 @@ def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _rows(found: dict[str, dict]) -> pd.DataFrame:
-    return pd.DataFrame({"host": list(found), "wrapper": [json.dumps(w) for w in found.values()]}, columns=["host", "wrapper"], dtype=object)
+    return pd.DataFrame({"host": list(found), "wrapper": [json.dumps(flat(w)) for w in found.values()]}, columns=["host", "wrapper"], dtype=object)
 
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     whole = None
     for text in sorted(pdf["wrapper"]):
-        one = json.loads(text)
+        one = nested(json.loads(text))
         whole = one if whole is None else merge(whole, one)
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(whole)]})
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(flat(whole))]})
 
 
 def wrappers(pages: DataFrame, fan_in: int = 256) -> DataFrame:
-    """host, wrapper (JSON) for each host of pages (url, html), as a written table. Each task merges its pages to one wrapper a host; those are merged in two rounds, so that a host with very many pages is never in one task whole."""
+    """host, wrapper (flat, as JSON) for each host of pages (url, html), as a written table. Each task merges its pages to one wrapper a host; those are merged in two rounds, so that a host with very many pages is never in one task whole."""
     parts = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(_partial, "host string, wrapper string")
     some = parts.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(fan_in)).alias("part")).applyInPandas(_merged, "host string, wrapper string")
     return materialize(some.groupBy("host").applyInPandas(_merged, "host string, wrapper string"), "wrappers")
@@ -374,7 +452,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if name not in known:
                 if len(known) > 1000:
                     known.clear()
-                tree = json.loads(wrapper)
+                tree = nested(json.loads(wrapper))
                 known[name] = slots(tree, article_level(tree)), frozenset(() if constants is None else map(int, constants))
             texts.append(extract(parse(source), *known[name]))
         yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"].tolist(), "text": texts, "n_chars": [len(t) for t in texts]})

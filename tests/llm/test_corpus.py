@@ -296,3 +296,13 @@ def test_texts_that_a_host_repeats_are_no_article(spark, wrap):
     got = {r["page_id"]: r["text"] for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"T{i}\n\nown{i} Note it\n\n" + ("seen on two" if i < 2 else f"own too{i}") for i in range(4))
     assert all(got[10 + i] == "one\n\nand the same" for i in range(5))
+
+
+@pytest.mark.parametrize(("start", "end"), [("<div>", "</div>"), ("<b>", ""), ("<ul><li>", "</li></ul>")])
+def test_pages_of_thousands_of_nested_elements(spark, start, end):
+    deep = lambda i, n: f"<body><article><h1>T{i}</h1>{start * n}deep{i}{end * n}</article>"
+    rows = [(i, "http://h/", deep(i, 4000 + i)) for i in range(3)] + [(i, "http://flat/", f"<body>{start * 3000}x{i}{end * 3000}") for i in (3, 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(df).collect()}
+    assert all(got[i] == f"T{i}\n\ndeep{i}" for i in range(3)) and got[3] == "x3" and got[4] == "x4"
+    assert all("#PCDATA" in wrappers.expression(json.loads(r["wrapper"])) for r in wrappers.wrappers(df).collect())
