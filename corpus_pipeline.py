@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: A learnt model, hashed signatures and a tokenizer are beyond SQL; the tests hold each stage against a brute-force version.
+#: A learnt model, hashed signatures and a tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
