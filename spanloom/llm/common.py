@@ -16,9 +16,11 @@ ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstu
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine will do only for a session whose tasks all run on it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -36,6 +38,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keys(*names: str) -> tuple[Column, Column]:
+    """Two 64-bit keys, equal for rows that are equal in these columns; together they tell rows apart at any size of a table."""
+    nulls = F.concat(*(F.col(n).isNull().cast("string") for n in names))
+    return F.xxhash64(nulls, *names), F.xxhash64(*reversed(names), nulls)
+
+
 def word_count(text: Column) -> Column:
     """Words in a text as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

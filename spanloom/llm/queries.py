@@ -47,7 +47,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality metrics and verdicts of all documents; their source is the host."""
-    return linefreq.verdicts(documents(spark, sf_dir)).drop("row", "removed")
+    return linefreq.verdicts(documents(spark, sf_dir)).drop("removed")
 
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +100,12 @@ base AS (SELECT g.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text,
         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM g LEFT JOIN rep USING (doc_id)),
 lines AS (SELECT doc_id, source, unnest(full_lines) AS x FROM g),
 norm AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'), ' ') AS x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM lines),
-often AS (SELECT source, x, min(doc_id) AS first FROM norm GROUP BY source, x HAVING count(DISTINCT doc_id) > 30),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM documents GROUP BY source),
+many AS (SELECT source, x, min(doc_id) AS first, count(DISTINCT doc_id) AS docs FROM norm GROUP BY source, x HAVING count(DISTINCT doc_id) > 5),
+often AS (SELECT m.source, x, first FROM many m JOIN hosts h ON m.source IS NOT DISTINCT FROM h.source WHERE 100 * m.docs > h.docs),
 lost AS (SELECT n.doc_id, sum(n.n) AS removed FROM norm n JOIN often o ON n.x = o.x AND n.source IS NOT DISTINCT FROM o.source WHERE n.doc_id <> o.first GROUP BY n.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
-SELECT f.*, NOT base_failed AND 100 * (n_words - coalesce(removed, 0)) >= 30 * n_words AS kept FROM f LEFT JOIN lost USING (doc_id)
+SELECT f.*, NOT base_failed AND 100 * (n_words - coalesce(removed, 0)) >= 75 * n_words AS kept FROM f LEFT JOIN lost USING (doc_id)
 """
 
 _DRAWS = ", ".join(f"('0x' || substr(md5('17:{i}:' || coalesce(doc_id::VARCHAR, 'null')), {1 + 8 * j}, 8))::BIGINT" for i in range(8) for j in range(4))

@@ -208,14 +208,26 @@ def test_frequent_lines_go_but_for_the_first_document(spark):
     own = lambda i: " ".join(f"own{i}x{j}" for j in range(60))
     menu = " ".join(f"menu{j}" for j in range(30))
     rows = [(i, f"{menu}\n{own(i)}", "en", "h") for i in range(40)] + [(100 + i, f"{menu} \n" * 2 + " ".join(f"m{i}y{j}" for j in range(20)), "en", "h") for i in range(3)] + [(200, f"{menu}\n{own(200)}", "en", "other")]
-    got = {r["doc_id"]: r for r in linefreq.verdicts(odd_docs(spark, rows)).collect()}
+    got = {r["doc_id"]: r for r in linefreq.verdicts(odd_docs(spark, rows), 30, 1, 30).collect()}
     assert got[0]["removed"] == 0 and got[1]["removed"] == 30 and got[200]["removed"] == 0 and got[1]["kept"] and not got[100]["kept"] and got[100]["removed"] == 60
-    texts = {r["doc_id"]: r["text"] for r in linefreq.remove_lines(odd_docs(spark, rows)).collect()}
+    texts = {r["doc_id"]: r["text"] for r in linefreq.remove_lines(odd_docs(spark, rows), 30).collect()}
     assert texts[1] == own(1) and texts[0].startswith("menu0")
-    assert {r["doc_id"] for r in linefreq.keep_good(odd_docs(spark, rows)).collect()} == {d for d, r in got.items() if r["kept"]}
+    assert {r["doc_id"] for r in linefreq.keep_good(odd_docs(spark, rows), 30, 1, 30).collect()} == {d for d, r in got.items() if r["kept"]}
     assert len(linefreq.verdicts(odd_docs(spark)).collect()) == 9
 
 
+def test_depleted_documents_are_rejected(spark):
+    """The default limits: a line goes with over five documents and over a hundredth of the host's; documents that lose over a quarter of their words are rejected, but for the first that has the lines."""
+    own = lambda i, n: " ".join(f"own{chr(97 + i // 26)}{chr(97 + i % 26)}{'x' * j}" for j in range(n))
+    menu = " ".join(f"menu{'x' * j}" for j in range(20))
+    rows = [(i, f"{menu}\n{own(i, 40 if i < 6 else 80)}", "en", "h") for i in range(12)] + [(100 + i, f"{menu}\n{own(300 + i, 40)}", "en", "few") for i in range(5)]
+    got = {r["doc_id"]: r for r in linefreq.verdicts(odd_docs(spark, rows)).collect()}
+    assert [got[i]["removed"] for i in range(12)] == [0] + [20] * 11 and all(not r["base_failed"] for r in got.values())
+    assert sorted(i for i in got if not got[i]["kept"]) == [1, 2, 3, 4, 5]
+    assert {r["doc_id"] for r in linefreq.keep_good(odd_docs(spark, rows)).collect()} == {i for i in got if got[i]["kept"]}
+    assert linefreq.keep_good(odd_docs(spark, [])).count() == linefreq.verdicts(odd_docs(spark, [])).count() == 0
+
+
 def test_interleaved_shards(spark):
     rows = [(i, f"t{i}", "en", f"s{i % 3 if i % 2 else 0}") for i in range(800)]
     got = shards.interleave(odd_docs(spark, rows), 8).collect()
@@ -282,10 +294,11 @@ def test_quality_stage_removes_the_lines_of_what_it_keeps(spark):
     from corpus_pipeline import quality_rules
 
     own = lambda i: " ".join(f"own{i}x{j}" for j in range(60))
-    rows = [(i, f"{own(i)}\nShare this page\nlast {i} of {i}x", "en", "h") for i in range(40)] + [(100, "Share this page\n" * 40, "en", "h"), (101, None, "en", "h")]
+    last = lambda i: f"last of {chr(97 + i // 26)}{chr(97 + i % 26)}"
+    rows = [(i, f"{own(i)}\nShare this page\n{last(i)}", "en", "h") for i in range(40)] + [(100, "Share this page\n" * 40, "en", "h"), (101, None, "en", "h")]
     got = {r["doc_id"]: r for r in quality_rules(spark, odd_docs(spark, rows), "").collect()}
     assert set(got) == set(range(40)) and got[0]["text"] == rows[0][1] and got[7]["key"] == "clash"
-    assert all(got[i]["text"] == f"{own(i)}\nlast {i} of {i}x" for i in range(1, 40))
+    assert all(got[i]["text"] == f"{own(i)}\n{last(i)}" for i in range(1, 40))
 
 
 @pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "{}"])
