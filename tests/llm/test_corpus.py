@@ -8,15 +8,21 @@ import json
 import re
 import struct
 import zipfile
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from spanloom.llm import crf, langid, linefreq, minhash, mixture, mpegaudio, packing, shards, warc, wrappers
 from spanloom.llm.common import word_count
 from spanloom.llm.queries import tokenizer_path
 
+WHOLE = Tokenizer.from_file(tokenizer_path())
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, size int, key string"
 
 
@@ -252,12 +258,61 @@ def test_mixture_meets_its_targets(spark):
     assert len(mixture.mix(odd_docs(spark), word_count(F.col("text"))).collect()) == 9
 
 
-def test_both_tokenizers_agree():
-    from tokenizers import Tokenizer
-
-    encode, whole = packing.encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
-    for t in ["Hello  world's 12 ab\n\n  x\t", "Ça été – «naïve» ß ñ", "<|endoftext|>a", "中文 emoji 🎉", "a b\x00\x85", "x" * 5000]:
-        assert encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(), st.text("ab'sdZ .,!?)\n\t\r\x0b\x1c\x85\xa0\u2003\u20281é中\u0301<|>"), st.sampled_from(["<|endoftext|>", " ", "  ", "don't", "\n\n"]))))
+def test_ids_of_parts_are_those_of_whole_texts(parts):
+    text = "".join(parts).encode("utf-8", "replace").decode()
+    assert "".join(packing.PART.findall(text)) == text
+    assert packing.encoder(tokenizer_path())([text])[0].tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_odd_texts():
+    texts = ["Hello  world's 12 ab\n\n  x\t", "Ça été – «naïve» ß ñ", "<|endoftext|>a", "中文 emoji 🎉", "a b\x00\x85", "x" * 5000, ""]
+    assert [x.tolist() for x in packing.encoder(tokenizer_path())(texts)] == [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def plain_sum_of_squares(lengths, most):
+    """Bins with gaps in a list; each possible place is tried and the sum of squared counts counted anew."""
+    gaps, where = [], []
+    for s in lengths:
+        best = None
+        for b, g in [*enumerate(gaps), (len(gaps), most)]:
+            if g >= s:
+                after = [*gaps, most] if b == len(gaps) else list(gaps)
+                after[b] -= s
+                counts = Counter(x for x in after if 0 < x < most)
+                cost = (sum(n * n for n in counts.values()), b == len(gaps), g)
+                best = min(best, (cost, -b)) if best else (cost, -b)
+        b = -best[1]
+        gaps = [*gaps, most] if b == len(gaps) else gaps
+        where.append((most - gaps[b], gaps[b]))
+        gaps[b] -= s
+    return where, len(gaps)
+
+
+@pytest.mark.parametrize("most", [7, 20, 64])
+def test_sum_of_squares_equals_trying_each_place(most):
+    """Equal offsets of all pieces and equally many bins; bins with one gap are exchangeable."""
+    rng = np.random.default_rng(most)
+    for _ in range(4):
+        lengths = rng.integers(1, most + 1, 70)
+        where, offset = packing.sum_of_squares(lengths, most)
+        plain, bins = plain_sum_of_squares(lengths.tolist(), most)
+        assert offset.tolist() == [at for at, _ in plain] and where.max() + 1 == bins
+
+
+def test_packing_wastes_little(spark):
+    """Against the bound of all ids over the length of a sequence."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 900, int(rng.lognormal(5, 1)))), "en", "s") for i in range(600)]
+    got = packing.pack(odd_docs(spark, rows), tokenizer_path()).collect()
+    bound = -(-sum(r["length"] for r in got) // 1024)
+    assert bound <= len({r["sequence_id"] for r in got}) <= 1.02 * bound
+    ids = {i: [*WHOLE.encode(t, add_special_tokens=False).ids, 2] for i, t, *_ in rows}
+    for r in got:
+        piece = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+        assert r["ids_crc32"] == zlib.crc32(piece.tobytes()) and (len(ids[r["doc_id"]]) > 1024 or r["piece"] == 0)
+    assert packing.pack(odd_docs(spark, []), tokenizer_path()).count() == 0
 
 
 def test_packing(spark):
