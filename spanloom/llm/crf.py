@@ -3,7 +3,7 @@
 Only whole documents are labelled, so tokens get their training labels from a cover: the words and word beginnings that
 are common in toxic documents, next to unknown in the others, and together explain the toxic ones. The field then learns
 weights of hashed word features and of transitions between two states (clean, toxic). Forward and backward sums are kept
-as odds of the toxic state, so that a step over many chains is one line of numpy.
+as odds of the toxic state, so that a step over many chains is one line of numpy. A document is one chain, however long.
 """
 
 from __future__ import annotations
@@ -14,18 +14,19 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[^\W_]+")
 FEATURE_BITS = 18
 BEGINNINGS = (3, 4, 5, 6)
-#: Tokens of one chain; a document is as many chains as it needs.
-CHAIN = 64
+#: Tokens that are stepped through side by side; a document of more is carried from block to block exactly.
+BLOCK = 64
 #: Words whose emissions a task keeps at hand.
 MEMORY = 150_000
 
@@ -69,26 +70,65 @@ def covered(word: str, found: set[str]) -> bool:
     return word in found or any(f"{word[:n]}*" in found for n in BEGINNINGS if 4 <= n < len(word))
 
 
-def odds(emission: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward odds, backward odds and the toxic state's marginal for chains in rows; emission is the toxic state's score less the clean one's, moves[i, j] the score of going from i to j."""
-    m, x = np.exp(moves), np.ascontiguousarray(np.exp(np.clip(emission, -30, 30)).T)
-    ahead, back = np.empty_like(x), np.ones_like(x)
-    ahead[0] = x[0]
-    for t in range(1, len(x)):
-        r = ahead[t - 1]
-        ahead[t] = x[t] * (m[0, 1] + r * m[1, 1]) / (m[0, 0] + r * m[1, 0])
-    for t in range(len(x) - 2, -1, -1):
-        r = x[t + 1] * back[t + 1]
-        back[t] = (m[1, 0] + m[1, 1] * r) / (m[0, 0] + m[0, 1] * r)
-    both = ahead * back
-    return ahead.T, back.T, (both / (1 + both)).T
+def _ahead(x: np.ndarray, lengths: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Forward odds of chains that lie one after another in x (exponentials of emissions); m are the exponentials of the moves.
 
-
-def chains(emission: np.ndarray) -> np.ndarray:
-    """Tokens' emissions as rows of CHAIN, the last filled up with tokens that are surely clean."""
-    out = np.full(-(-len(emission) // CHAIN) * CHAIN, -30.0)
-    out[: len(emission)] = emission
-    return out.reshape(-1, CHAIN)
+    A step takes odds r to x (m01 + r m11) / (m00 + r m10). Chains are cut into blocks and the blocks stepped through side by
+    side. What a block makes of any incoming odds is the product of its steps as matrices; by those, odds are carried over the
+    cuts first, so a chain of any length gets its exact sums.
+    """
+    blocks = -(-lengths // BLOCK)
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(len(x)) + np.repeat(first * BLOCK - (np.cumsum(lengths) - lengths), lengths)
+    cells = np.ones(int(blocks.sum()) * BLOCK)
+    cells[place] = x
+    cells = np.ascontiguousarray(cells.reshape(-1, BLOCK).T)
+
+    def steps(of: np.ndarray, start: np.ndarray) -> np.ndarray:
+        out = np.empty_like(of)
+        out[0] = start
+        for t in range(1, len(of)):
+            r = out[t - 1]
+            out[t] = of[t] * (m[0, 1] + r * m[1, 1]) / (m[0, 0] + r * m[1, 0])
+        return out
+
+    out = np.empty_like(cells)
+    out[:, first] = steps(cells[:, first], cells[0, first])
+    if (blocks > 1).any():
+        inner = np.setdiff1d(np.arange(cells.shape[1]), first)
+        of = cells[:, inner]
+        # toxic and clean sums of a block that is entered in the clean state (a, c) or in the toxic one (b, d)
+        a, b, c, d = of[0] * m[0, 1], of[0] * m[1, 1], np.full(len(inner), m[0, 0]), np.full(len(inner), m[1, 0])
+        for t in range(1, BLOCK):
+            a, c = of[t] * (c * m[0, 1] + a * m[1, 1]), c * m[0, 0] + a * m[1, 0]
+            b, d = of[t] * (d * m[0, 1] + b * m[1, 1]), d * m[0, 0] + b * m[1, 0]
+            size = a + b + c + d
+            a, b, c, d = a / size, b / size, c / size, d / size
+        where = np.full(cells.shape[1], -1)
+        where[inner] = np.arange(len(inner))
+        entry, r, live = np.empty(len(inner)), out[-1, first], np.arange(len(lengths))
+        for k in range(1, int(blocks.max())):
+            keep = blocks[live] > k
+            live, r = live[keep], r[keep]
+            at = where[first[live] + k]
+            entry[at] = r
+            r = (a[at] + r * b[at]) / (c[at] + r * d[at])
+        out[:, inner] = steps(of, of[0] * (m[0, 1] + entry * m[1, 1]) / (m[0, 0] + entry * m[1, 0]))
+    return out.T.ravel()[place]
+
+
+def odds(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward odds, backward odds times exp(emission), and the toxic state's marginal for chains that lie one after another; emission is the toxic state's score less the clean one's, moves[i, j] the score of going from i to j."""
+    lengths = np.asarray(lengths)
+    lengths = lengths[lengths > 0]
+    if not len(lengths):
+        return (np.zeros(0),) * 3
+    m, x = np.exp(moves), np.exp(np.clip(emission, -30, 30))
+    ahead = _ahead(x, lengths, m)
+    # read backwards, a chain is a chain whose moves are transposed
+    back = _ahead(x[::-1], lengths[::-1], m.T)[::-1]
+    both = ahead * back / x
+    return ahead, back, both / (1 + both)
 
 
 @dataclass
@@ -106,7 +146,7 @@ def _summary(p: np.ndarray) -> list[float]:
     return [1.0, math.log(total + 1e-3), float(p.max()) if len(p) else 0.0, math.log(total / (len(p) + 20) + 1e-5)]
 
 
-def train(texts: list[str], toxic: list[int], prior: float, epochs: int = 6, batch: int = 256, rate: float = 0.3, seed: int = 17) -> Model:
+def train(texts: list[str], toxic: list[int], prior: float, epochs: int = 6, batch: int = 64, rate: float = 0.3, seed: int = 17) -> Model:
     """Fits the field on four documents in five, and on the fifth the logistic curve that makes scores of marginals; prior is the share of toxic documents among all, which the sample need not have."""
     words = [TOKEN.findall(t.lower()) for t in texts]
     ids: dict[str, int] = {}
@@ -117,34 +157,28 @@ def train(texts: list[str], toxic: list[int], prior: float, epochs: int = 6, bat
     marked = np.array([covered(w, found) for w in vocabulary] or [False])
     table = np.array([features(w) for w in vocabulary] or [features("")], np.int32)
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
-    fit, rest = order[len(texts) // 5 :], order[: len(texts) // 5]
-    rows = [(c[at : at + CHAIN], toxic[i]) for i in fit for c in [codes[i]] for at in range(0, len(c), CHAIN)]
-    tags = [marked[r] & bool(t) for r, t in rows]
-    positive = [k for k, g in enumerate(tags) if g.any()]
-    negative = [k for k, g in enumerate(tags) if not g.any()]
-    negative = [negative[k] for k in rng.permutation(len(negative))[: max(2000, 4 * len(positive))]]
-    use = np.array(positive + negative, int)
+    shuffled = rng.permutation(len(texts))
+    fit, rest = shuffled[len(texts) // 5 :], shuffled[: len(texts) // 5]
+    use = np.array([i for i in fit if len(codes[i])], int)
     weights, moves = np.zeros(1 << FEATURE_BITS, np.float64), np.zeros((2, 2))
     weights[0] = -2.0
     gained, gained_moves = np.full(1 << FEATURE_BITS, 1e-6), np.full((2, 2), 1e-6)
-    for _ in range(epochs if len(use) else 0):
-        for at in range(0, len(use), batch):
-            part = rng.permutation(use)[:batch]
-            n = max(len(rows[k][0]) for k in part)
-            code, tag, live = np.zeros((len(part), n), np.int32), np.zeros((len(part), n)), np.zeros((len(part), n), bool)
-            for j, k in enumerate(part):
-                length = len(rows[k][0])
-                code[j, :length], tag[j, :length], live[j, :length] = rows[k][0], tags[k], True
-            score = np.where(live, weights[table[code]].sum(axis=2), -30.0)
-            ahead, back, p = odds(score, moves)
+    for _ in range(epochs):
+        order = rng.permutation(use)
+        for at in range(0, len(order), batch):
+            part = order[at : at + batch]
+            code, lengths = np.concatenate([codes[i] for i in part]), np.array([len(codes[i]) for i in part])
+            tag = (marked[code] & np.repeat([bool(toxic[i]) for i in part], lengths)).astype(float)
+            score = weights[table[code]].sum(axis=1)
+            ahead, back, p = odds(score, lengths, moves)
             # gradient of the log likelihood: what is tagged less what is expected
-            g = np.bincount(table[code[live]].ravel(), np.repeat((tag - p)[live], table.shape[1]), 1 << FEATURE_BITS) / len(part)
-            m, pairs = np.exp(moves), live[:, 1:]
-            r, s = ahead[:, :-1], np.exp(np.clip(score[:, 1:], -30, 30)) * back[:, 1:]
-            joint = np.stack([np.ones_like(r) * m[0, 0], m[0, 1] * s, r * m[1, 0], r * m[1, 1] * s])
-            joint = (joint / joint.sum(axis=0))[:, pairs].sum(axis=1).reshape(2, 2)
-            a, b = tag[:, :-1][pairs], tag[:, 1:][pairs]
+            g = np.bincount(table[code].ravel(), np.repeat(tag - p, table.shape[1]), 1 << FEATURE_BITS) / len(part)
+            inside = np.ones(len(code) - 1, bool)
+            inside[np.cumsum(lengths)[:-1] - 1] = False
+            m, r, s = np.exp(moves), ahead[:-1][inside], back[1:][inside]
+            joint = np.stack([np.full(len(r), m[0, 0]), m[0, 1] * s, r * m[1, 0], r * m[1, 1] * s])
+            joint = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+            a, b = tag[:-1][inside], tag[1:][inside]
             gold = np.array([[((1 - a) * (1 - b)).sum(), ((1 - a) * b).sum()], [(a * (1 - b)).sum(), (a * b).sum()]])
             gm = (gold - joint) / len(part)
             g -= 1e-5 * weights
@@ -154,8 +188,8 @@ def train(texts: list[str], toxic: list[int], prior: float, epochs: int = 6, bat
             moves += 0.2 * rate * gm / np.sqrt(gained_moves)
     model = Model(weights.astype(np.float32), moves - moves[0, 0], np.zeros(4))
     emission = model.weights[table].sum(axis=1) if len(vocabulary) else np.zeros(1)
-    use = rest if len({toxic[i] for i in rest}) > 1 else order
-    x = np.array([_summary(odds(chains(emission[codes[i]]), model.moves)[2].ravel()[: len(codes[i])] if len(codes[i]) else np.zeros(0)) for i in use]).reshape(-1, 4)
+    use = rest if len({toxic[i] for i in rest}) > 1 else shuffled
+    x = np.array([_summary(p) for p in split_marginals([emission[codes[i]] for i in use], model.moves)]).reshape(-1, 4)
     y = np.array([toxic[i] for i in use], float)
     # classes count as they do among all documents
     each = np.where(y > 0, prior / max(y.sum(), 1), (1 - prior) / max(len(y) - y.sum(), 1))
@@ -182,13 +216,15 @@ def marginals(model: Model, texts: list[str], memory: dict[str, float]) -> list[
             memory.update(zip(new, model.emissions(new), strict=True))
             e = [memory[w] for w in ws]
         emissions.append(np.array(e))
-    blocks = [chains(e) for e in emissions]
-    p = odds(np.concatenate(blocks), model.moves)[2] if blocks and sum(map(len, blocks)) else np.empty((0, CHAIN))
-    out, at = [], 0
-    for e, b in zip(emissions, blocks, strict=True):
-        out.append(p[at : at + len(b)].ravel()[: len(e)])
-        at += len(b)
-    return out
+    return split_marginals(emissions, model.moves)
+
+
+def split_marginals(emissions: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
+    """The toxic marginals of each chain's tokens."""
+    if not emissions:
+        return []
+    lengths = np.array([len(e) for e in emissions])
+    return np.split(odds(np.concatenate(emissions), lengths, moves)[2], np.cumsum(lengths)[:-1])
 
 
 def document_score(model: Model, p: np.ndarray) -> float:
@@ -209,20 +245,20 @@ def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[list[int]]:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int) -> tuple[list[str], list[int], float]:
-    """Texts and labels of about `most` documents of each class, picked by a hash of doc_id, most + most / 4 at most; and the share of toxic ones among all that may be learnt from."""
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int, most_bytes: int) -> tuple[list[str], list[int], float]:
+    """Texts and labels of `most` documents of each class, or of all it has: those with the least hashes of doc_id; of rows that repeat a doc_id one. A class's texts end where they pass half of most_bytes. And the share of toxic ones among all that may be learnt from."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    texts, toxic = [], []
-    for label in (0, 1):
-        n = counts.get(label, 0)
-        if n:
-            part = known.where((F.col("toxic") == label) & (F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(10**6)) < F.lit(int(min(1, most / n) * 10**6)))).limit(most + most // 4)
-            # at most most + most / 4 ids: small whatever the tables' sizes
-            rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(part), "doc_id").limit(2 * most).collect()
-            found = sorted(r["text"] for r in rows)
-            texts, toxic = texts + found, toxic + [label] * len(found)
-    return texts, toxic, counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
+    counts = {r["toxic"]: r["n"] for r in known.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    h = F.xxhash64(F.lit("sample"), "doc_id")
+    picked = [known.where(F.col("toxic") == label).select("doc_id", "toxic", h.alias("h")).orderBy("h", "doc_id").limit(most) for label in counts]
+    if not picked:
+        return [], [], 0.0
+    # two times `most` ids at the most, whatever the tables' sizes
+    ids = F.broadcast(reduce(DataFrame.union, picked))
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(ids, "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("h", "doc_id"))
+    found = sorted((r["toxic"], r["text"]) for r in rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes // 2).select("toxic", "text").collect())
+    return [t for _, t in found], [y for y, _ in found], counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
 
 
 def _score(model: Model | None):
@@ -253,8 +289,8 @@ def _keep(model: Model | None, least: float):
     return run
 
 
-def fitted(docs: DataFrame, labels: DataFrame, learn: Column, most: int) -> Model | None:
-    texts, toxic, prior = sample(docs, labels, learn, most)
+def fitted(docs: DataFrame, labels: DataFrame, learn: Column, most: int, most_bytes: int = 64_000_000) -> Model | None:
+    texts, toxic, prior = sample(docs, labels, learn, most, most_bytes)
     return train(texts, toxic, prior) if len(set(toxic)) == 2 else None
 
 
@@ -266,7 +302,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, learn: Column, least: float =
 def tag(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1200) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out (learn is false), score, spans (begins and ends of toxic runs in characters).
 
-    Trains on a sample of about `most` toxic and as many other documents from labels (doc_id, toxic) for which learn holds;
+    Trains on a sample of `most` toxic and as many other documents from labels (doc_id, toxic) for which learn holds (64 MB at most; see sample);
     a document labelled twice is toxic if either label says so. Every whole text is scored. Null and empty texts are scored as
     texts without tokens; with nothing to learn from, or but one class, all score 0. Repeated rows get equal results.
     An empty table gives an empty result.

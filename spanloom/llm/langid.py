@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
+from .common import materialize
+
 BUCKET_BITS, DIM = 15, 16
 #: Lengths in characters of the subwords; a blank stands for white space, so that some mark words' ends.
 GRAMS = (1, 2, 3, 4)
@@ -19,6 +19,11 @@ GRAMS = (1, 2, 3, 4)
 BLOCK = 1 << 18
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's categories L stands in the text; digits, fractions and enclosed numbers are none."""
+    return any(map(str.isalpha, text))
+
+
 @dataclass
 class Model:
     """languages, and for each bucket the embedding times the softmax's weights; scores are divided by temperature. Below reject_below a prediction is marked as rejected."""
@@ -82,11 +87,12 @@ def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str], languages: list[str], epochs: int = 12, rate: float = 60.0, batch: int = 32, seed: int = 17) -> Model:
-    """Fits embeddings and weights on nine texts in ten; the tenth sets the temperature by likelihood, and reject_below as the score that half of its wrong predictions stay under (0.5 if none is wrong)."""
+    """Fits embeddings and weights on nine texts in ten of each language; the tenth sets the temperature by likelihood, and reject_below as the score that half of its wrong predictions stay under (0.5 if none is wrong)."""
     names, rng = sorted(set(languages)), np.random.default_rng(seed)
     y = np.array([names.index(x) for x in languages])
     order = rng.permutation(len(texts))
-    held, fit = order[: len(texts) // 10], order[len(texts) // 10 :]
+    place = {i: k for c in range(len(names)) for k, i in enumerate(order[y[order] == c].tolist())}
+    held, fit = np.array([i for i in order if place[i] % 10 == 9], int), np.array([i for i in order if place[i] % 10 != 9], int)
     shares = {i: _counted(texts[i]) for i in fit}
     e = rng.normal(0, 0.3, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     w, b = rng.normal(0, 0.3, (DIM, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
@@ -117,16 +123,21 @@ def train(texts: list[str], languages: list[str], epochs: int = 12, rate: float
     return model
 
 
-def sample(docs: DataFrame, learn: Column, most: int) -> tuple[list[str], list[str]]:
-    """About `most` labelled texts, the languages as evenly as they can be: a language with n texts gives each with probability most / languages / n, by a hash of doc_id; most + most / 4 at most."""
+def sample(docs: DataFrame, learn: Column, most: int, least: int, most_bytes: int) -> tuple[list[str], list[str]]:
+    """Labelled texts, the languages as evenly as they can be: each of k languages gives max(most / k, least) texts, picked by a hash, or all that it has; fewer where they would pass most_bytes / k bytes, one at least. No language is left out."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
-    if not counts:
+    counts = materialize(rows.groupBy(F.col("lang").alias("name")).agg(F.count("*").alias("n")), "languages")
+    k = counts.count()
+    if not k:
         return [], []
-    bound = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1, most / len(counts) / n) * 10**6)))])
-    taken = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(10**6)) < F.element_at(bound, F.col("lang"))).select("text", "lang")
-    found = sorted((r["text"], r["lang"]) for r in taken.limit(most + most // 4).collect())
-    found = [x for x in found if LETTER.search(x[0])]
+    each = max(most // k, least)
+    h = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(10**9)) / F.lit(10.0**9)
+    # twice the rows that are wanted, so that the cut below finds enough of them
+    few = rows.join(counts, F.col("lang") == F.col("name")).where(h * F.col("n") < F.lit(2.0 * each)).select("lang", "text", h.alias("h"), F.octet_length("text").alias("size"))
+    by_hash = Window.partitionBy("lang").orderBy("h", "text")
+    few = few.withColumns({"rank": F.row_number().over(by_hash), "before": F.sum("size").over(by_hash) - F.col("size")})
+    taken = few.where((F.col("rank") <= each) & ((F.col("rank") == 1) | (F.col("before") + F.col("size") <= F.lit(most_bytes // k)))).select("text", "lang")
+    found = [(t, x) for t, x in sorted((r["text"], r["lang"]) for r in taken.collect()) if has_letter(t)]
     return [t for t, _ in found], [x for _, x in found]
 
 
@@ -136,7 +147,7 @@ def _predict(model: Model | None):
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
                 texts = [t if isinstance(t, str) else "" for t in part["text"]]
-                full = [i for i, t in enumerate(texts) if model and LETTER.search(t)]
+                full = [i for i, t in enumerate(texts) if model and has_letter(t)]
                 lang, score = ["und"] * len(texts), [0.0] * len(texts)
                 if full:
                     p = softmax(scores(model, [texts[i] for i in full]))
@@ -148,15 +159,15 @@ def _predict(model: Model | None):
     return run
 
 
-def identify(docs: DataFrame, learn: Column, most: int = 2000) -> DataFrame:
+def identify(docs: DataFrame, learn: Column, most: int = 2000, least: int = 20, most_bytes: int = 32_000_000) -> DataFrame:
     """Per row of docs (doc_id, text, lang): doc_id, held_out (learn is false), lang_pred, score, rejected.
 
-    Trains on a sample of about `most` rows for which learn holds and lang is not null, and predicts every whole text from
-    its characters alone. score is the calibrated probability of lang_pred. Texts that are null, empty or have no
+    Trains on a sample of `most` rows for which learn holds and lang is not null (at least `least` of each language, if it has
+    them, and about most_bytes bytes; see sample), and predicts every whole text from its characters alone. score is the calibrated probability of lang_pred. Texts that are null, empty or have no
     letter get `und`, score 0 and rejected; so do all if there is nothing to learn from. rejected also marks scores
     under the model's threshold. Repeated rows get equal results. An empty table gives an empty result.
     """
-    texts, languages = sample(docs, learn, most)
+    texts, languages = sample(docs, learn, most, least, most_bytes)
     model = train(texts, languages) if texts else None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~F.coalesce(learn, F.lit(True))).alias("held_out"), "text")
     return rows.mapInPandas(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

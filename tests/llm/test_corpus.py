@@ -172,7 +172,31 @@ def test_marginals_equal_enumeration():
         weight[path] = np.exp(sum(x * y for x, y in zip(path, e[0], strict=True)) + sum(moves[a, b] for a, b in itertools.pairwise(path)))
     total = sum(weight.values())
     expected = [sum(w for p, w in weight.items() if p[t]) / total for t in range(6)]
-    assert np.allclose(crf.odds(e, moves)[2][0], expected)
+    assert np.allclose(crf.odds(e[0], [6], moves)[2], expected)
+
+
+def plain_marginals(e, moves):
+    """Sums in logarithms, token by token."""
+    n = len(e)
+    score = np.stack([np.zeros(n), e], axis=1)
+    ahead, back = np.zeros((n, 2)), np.zeros((n, 2))
+    ahead[0] = score[0]
+    for t in range(1, n):
+        ahead[t] = score[t] + np.logaddexp(ahead[t - 1, 0] + moves[0], ahead[t - 1, 1] + moves[1])
+    for t in range(n - 2, -1, -1):
+        back[t] = np.logaddexp(moves[:, 0] + score[t + 1, 0] + back[t + 1, 0], moves[:, 1] + score[t + 1, 1] + back[t + 1, 1])
+    both = ahead + back
+    return 1 / (1 + np.exp(both[:, 0] - both[:, 1]))
+
+
+@pytest.mark.parametrize("scale", [0.3, 2, 8])
+def test_marginals_of_whole_documents_equal_plain_sums(scale):
+    """Documents of all lengths around the blocks' edges, and one of 20,000 tokens."""
+    rng = np.random.default_rng(3)
+    moves = np.array([[0, -2], [-1, 2]]) * scale / 2
+    chains = [rng.normal(-1, scale, n).clip(-30, 30) for n in (1, 0, 63, 64, 65, 127, 128, 129, 200, 2, 20_000, 640)]
+    got = crf.split_marginals(chains, moves)
+    assert all(np.allclose(g, plain_marginals(e, moves), atol=1e-9) if len(e) else not len(g) for g, e in zip(got, chains, strict=True))
 
 
 def test_toxicity_learns_and_scores_odd_rows(spark):
@@ -195,6 +219,21 @@ def test_language_identification(spark):
     assert all(got[i]["lang_pred"] == ("en" if i % 2 else "de") and got[i]["held_out"] for i in range(0, 200, 5))
     odd = langid.identify(odd_docs(spark), F.col("doc_id") < 0).collect()
     assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in odd)
+    signs = langid.identify(odd_docs(spark, rows + [(1000 + i, t, None, "s") for i, t in enumerate(["½ ²", "①②", "12 _ --", None, "", "ª"])]), F.col("doc_id") < 1000).collect()
+    assert [next(r for r in signs if r["doc_id"] == 1000 + i)["lang_pred"] == "und" for i in range(6)] == [True] * 5 + [False]
+    assert langid.identify(odd_docs(spark, []), F.col("doc_id") > 0).count() == 0
+
+
+def test_no_language_is_left_out(spark):
+    """More languages than any list of the commonest would hold, one of them with three texts."""
+    rng = np.random.default_rng(9)
+    words = {f"l{k}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(4)] for k in range(300)}
+    rows = [(k * 20 + i, " ".join(rng.choice(words[f"l{k}"], 30)), f"l{k}", "s") for k in range(300) for i in range(20 if k else 3)]
+    texts, names = langid.sample(odd_docs(spark, rows), F.col("doc_id") >= 0, 2000, 20, 32_000_000)
+    assert set(names) == set(words) and len(texts) == len(rows)
+    assert {names.count(x) for x in langid.sample(odd_docs(spark, rows), F.col("doc_id") >= 0, 2000, 2, 32_000_000)[1]} == {3, 20}
+    few = langid.sample(odd_docs(spark, rows), F.col("doc_id") >= 0, 2000, 2, 1)
+    assert sorted(few[1]) == sorted(words)
 
 
 def test_repeated_words_equal_counting(spark):
