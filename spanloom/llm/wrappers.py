@@ -2,10 +2,11 @@
 
 A page is a sequence of tags and texts. Its elements nest, so an expression is kept as a tree: an element's content is a
 row of parts, each an element, a text or a group of parts, and each required, optional or repeated. Two pages' rows are
-aligned; what matches is merged, a mismatch of texts makes a text slot, a mismatch of tags an optional part, and equal parts
-in a row one repeated part. The wrapper says for each element whether it belongs to the article, and pages are read by it. A
-block of text that most of a host's pages have equally often at one place (the path of keys to its element) is a constant of
-the host's template, however long, and never part of an article; what returns more or less often from page to page is content.
+aligned; what matches is merged, a mismatch of tags makes an optional part, and equal parts in a row one repeated part. A block
+of text that most of a host's pages have equally often at one place (the path of keys to its element) is a token of the host's
+template, however long, and stands in the expression as a constant; all other texts are slots, as they mismatch from page to
+page. Pages are read by the expression alone: an article is the texts at the slots of the elements that belong to it, and what
+matches a constant is dropped.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from functools import lru_cache
 from hashlib import blake2b
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,17 +43,27 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 OUTSIDE = frozenset("head nav header footer aside form script style noscript template iframe svg math button select textarea input object dialog menu title".split())
 OUTSIDE_WORDS = frozenset("ad ads advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup sidebar side menu nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar header footer copyright legal share sharing social related recommended recommendations trending tags widget comment comments disqus replies reply respond discussion login search hidden skip".split())
 ARTICLE, ARTICLE_WORDS = ("article", "main"), frozenset("article content post entry story body text".split())
-TOKEN = re.compile(
-    r"([^<]+)"  # a text
-    r"|<(?:(/?)(?!(?:%s)\b)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>"  # a tag
-    r"|(%s)\b[^>]*>.*?(?:</\5\s*>|\Z)"  # an element without markup inside, whole
-    r"|!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?/][^>]*>?|[a-zA-Z][^>]*\Z|())" % (("|".join(sorted(RAW)),) * 2),  # what is skipped, else a bare sign
-    re.S | re.I,
-)
+
+
+def _tokens(attributes: str) -> re.Pattern[str]:
+    """A token of a page; no character is tried twice, whatever stands open."""
+    return re.compile(
+        r"([^<]++)"  # a text
+        rf"|<(?:(/?)(?!(?:{'|'.join(sorted(RAW))})\b)([a-zA-Z][^\s/>]*+)({attributes})>"  # a tag
+        rf"|({'|'.join(sorted(RAW))})\b[^>]*+>.*?(?:</\5\s*+>|\Z)"  # an element without markup inside, whole
+        r"|!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?/][^>]*+>?|[a-zA-Z][^>]*+\Z|(?![a-zA-Z!?/])())",  # what is skipped, else a bare sign
+        re.S | re.I,
+    )
+
+
+#: Attributes may quote the sign that ends a tag. A page with a tag for which that leads to no end is read by the second from there on.
+TOKEN, PLAIN_TOKEN = _tokens(r"(?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"), _tokens(r"[^>]*+")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACE = re.compile(r"[\x20\x09-\x0D\xA0]+")
-#: Constants longer than this are kept as hashes; a row's repeats are sought up to this many parts.
-CONSTANT, PERIOD = 80, 3
+#: Constants of more characters are written as their hashes in an expression; they are compared by hashes at any length.
+SHOWN = 80
+#: Bits of one table by which rows are aligned; longer rows are aligned by halves.
+TABLE_BITS = 1 << 29
 
 
 def _hash(start: int, text: str) -> int:
@@ -63,7 +75,7 @@ _path = lru_cache(1 << 17)(_hash)
 
 
 class Node:
-    """An element of a page, or a text (tag #text)."""
+    """An element of a page, or a text (tag #text; its key is that of its constant, if it is one)."""
 
     __slots__ = ("key", "kids", "tag", "text")
 
@@ -74,8 +86,13 @@ class Node:
 def parse(source: str) -> Node:
     """The tree of a page, however broken: open elements end where their parents do or where HTML implies it."""
     root = Node("#root")
-    stack = [root]
-    for m in TOKEN.finditer(source):
+    stack, token, at = [root], TOKEN, 0
+    while at < len(source):
+        m = token.match(source, at)
+        if m is None:
+            token = PLAIN_TOKEN
+            continue
+        at = m.end()
         text, closing, name, attributes, raw, bare = m.groups()
         if text is not None or bare is not None:
             text = text or "<"
@@ -128,15 +145,31 @@ def _key(tag: str, attributes: str) -> str:
     return ".".join([tag, *sorted(words)])
 
 
+def mark(page: Node, constants: frozenset[int]) -> Node:
+    """The page, its texts that are part of a host's constant block keyed by it."""
+    if constants:
+        found = blocks(page)
+        lines = _counted([(path, text) for path, text, _ in found])
+        for path, text, nodes in found:
+            if lines[path, text] in constants:
+                for node in nodes:
+                    node.key = _constant(lines[path, text])
+    return page
+
+
+def _constant(line: int) -> str:
+    return f"#={line & (1 << 64) - 1:016x}"
+
+
 def infer(page: Node) -> dict:
-    """A page as an expression of its own: k key, q one of 1 ? + *, c content of elements and groups, t the constant of a text, or its hash (null: a slot)."""
+    """A page as an expression of its own: k key, q one of 1 ? + *, c content of elements and groups, t the text of a constant, or its hash (null: a slot)."""
     stack: list[tuple[Node, Iterator[Node], list[dict]]] = [(page, iter(page.kids), [])]
     while True:
         node, kids, parts = stack[-1]
         for kid in kids:
             if kid.tag == "#text":
-                text = SPACE.sub(" ", kid.text).strip()
-                parts.append({"k": "#text", "q": "1", "t": text if len(text) <= CONSTANT else f"#CONSTANT {_hash(0, text):x}"})
+                text = SPACE.sub(" ", kid.text).strip() if kid.key != "#text" else None
+                parts.append({"k": kid.key, "q": "1", "t": text if text is None or len(text) <= SHOWN else f"#CONSTANT {_hash(0, text):x}"})
             elif kid.tag != "#space":
                 stack.append((kid, iter(kid.kids), []))
                 break
@@ -177,23 +210,37 @@ def merge(a: dict, b: dict) -> dict:
 def _merge(a: dict, b: dict, joined: bool = False) -> Generator:
     """Two parts of one key as one. joined: they stand in one row, and become a repeated part."""
     out = {"k": a["k"], "q": _repeat(a["q"], b["q"], joined)}
-    if a["k"] == "#text":
-        return out | {"t": a["t"] if a["t"] == b["t"] else None}
+    if "t" in a:
+        return out | {"t": min(a["t"], b["t"]) if a["t"] is not None and b["t"] is not None else None}
     return out | {"c": (yield _align(a["c"], b["c"]))}
 
 
+def _returns(row: list[str], period: int) -> bool:
+    """Whether a run of `period` keys is followed by the same keys somewhere in the row."""
+    if len(row) < 64:
+        return any(row[i : i + period] == row[i + period : i + 2 * period] for i in range(len(row) - 2 * period + 1))
+    number = {k: i for i, k in enumerate(dict.fromkeys(row))}
+    codes = np.array([number[k] for k in row])
+    differ = np.flatnonzero(codes[:-period] != codes[period:])
+    return int(np.diff(differ, prepend=-1, append=len(row) - period).max()) > period
+
+
 def _fold(parts: list[dict]) -> Generator:
-    """Equal runs of parts that follow each other become one repeated part, or a repeated group of up to PERIOD parts."""
-    for period in range(1, PERIOD + 1):
+    """Equal runs of parts that follow each other become one repeated part, or a repeated group of parts, however many."""
+    period = 1
+    while 2 * period <= len(parts):
         row = [x["k"] for x in parts]
-        if not any(row[i : i + period] == row[i + period : i + 2 * period] for i in range(len(row) - 2 * period + 1)):
+        if len(set(row)) == len(row):
+            break
+        if not _returns(row, period):
+            period += 1
             continue
         out, at = [], 0
         while at < len(parts):
             run = parts[at : at + period]
-            keys, end = [x["k"] for x in run], at + period
+            keys, end = row[at : at + period], at + period
             if len(run) == period and (period == 1 or len(set(keys)) > 1):
-                while [x["k"] for x in parts[end : end + period]] == keys and (period > 1 or keys != ["#text"]):
+                while row[end : end + period] == keys and (period > 1 or keys[0][0] != "#"):
                     both, run = zip(run, parts[end : end + period], strict=True), []
                     for x, y in both:
                         run.append((yield _merge(x, y, joined=period == 1)))
@@ -205,31 +252,60 @@ def _fold(parts: list[dict]) -> Generator:
                 out.append({"k": "(" + " ".join(keys) + ")", "q": "+", "c": run})
                 at = end
         parts = out
+        period += 1
     return parts
 
 
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence of two rows. A bit of rows[j] is 0 where one more key of a makes that of a and b[: j + 1] longer; each key of b takes one step over all bits."""
+    if len(a) * len(b) > TABLE_BITS and len(b) > 1:
+        half = len(b) // 2
+        ahead, back = _lengths(a, b[:half]), _lengths(a[::-1], b[half:][::-1])
+        at = int((ahead + back[::-1]).argmax())
+        return _common(a[:at], b[:half]) + [(i + at, j + half) for i, j in _common(a[at:], b[half:])]
+    rows = list(_steps(a, b))
+    i, j, out = len(a) - 1, len(b) - 1, []
+    while i >= 0 and j >= 0:
+        if rows[j] >> i & 1:
+            i -= 1
+        elif j and not rows[j - 1] >> i & 1:
+            j -= 1
+        else:
+            out.append((i, j))
+            i, j = i - 1, j - 1
+    return out[::-1]
+
+
+def _steps(a: list[str], b: list[str]) -> Iterator[int]:
+    where: dict[str, int] = {}
+    for i, k in enumerate(a):
+        where[k] = where.get(k, 0) | 1 << i
+    full = bits = (1 << len(a)) - 1
+    for k in b:
+        u = bits & where.get(k, 0)
+        bits = (bits + u | bits - u) & full
+        yield bits
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of a[:i] and b, for i from 0 on."""
+    bits = (1 << len(a)) - 1
+    for bits in _steps(a, b):  # noqa: B007
+        pass
+    ones = np.unpackbits(np.frombuffer(bits.to_bytes(-(-len(a) // 8), "little"), np.uint8), count=len(a), bitorder="little")
+    return np.concatenate([[0], np.cumsum(1 - ones.astype(np.int64))])
+
+
 def _align(a: list[dict], b: list[dict]) -> Generator:
     """Two rows as one: the longest common run of keys is merged, and other parts become optional."""
-    if [x["k"] for x in a] == [x["k"] for x in b]:
-        same = []
-        for x, y in zip(a, b, strict=True):
-            same.append((yield _merge(x, y)))
-        return same
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i]["k"] == b[j]["k"] else max(best[i + 1][j], best[i][j + 1])
+    x, y = [p["k"] for p in a], [p["k"] for p in b]
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i]["k"] == b[j]["k"]:
-            out.append((yield _merge(a[i], b[j])))
-            i, j = i + 1, j + 1
-        else:
-            left = j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]
-            x = a[i] if left else b[j]
-            out.append(x | {"q": _repeat(x["q"], "?")})
-            i, j = i + left, j + (not left)
-    return (yield _fold(out))
+    for m, n in [*(zip(range(len(x)), range(len(y)), strict=True) if x == y else _common(x, y)), (len(a), len(b))]:
+        out += [p | {"q": _repeat(p["q"], "?")} for p in [*a[i:m], *b[j:n]]]
+        if m < len(a):
+            out.append((yield _merge(a[m], b[n])))
+        i, j = m + 1, n + 1
+    return out if x == y else (yield _fold(out))
 
 
 def flat(wrapper: dict) -> list[dict]:
@@ -258,7 +334,7 @@ def expression(parts: list[dict]) -> str:
     said: list[str] = [""] * len(parts)
     for at in range(len(parts) - 1, -1, -1):
         x = parts[at]
-        if x["k"] == "#text":
+        if "t" in x:
             inner = "#PCDATA" if x["t"] is None else x["t"]
         else:
             inner = " ".join(said[i] for i in x["c"])
@@ -294,9 +370,10 @@ def article_level(wrapper: dict) -> int:
     return next((level for level in range(3) if _has(wrapper, level)), 3)
 
 
-def slots(wrapper: dict, level: int) -> dict[int, bool]:
-    """The wrapper by paths of keys: for each element that is not outside, whether texts there are the article's."""
+def slots(wrapper: dict, level: int) -> tuple[dict[int, bool], frozenset[str]]:
+    """The wrapper by paths of keys: for each element that is not outside, whether texts at its slots are the article's; and the keys of the constants."""
     reading: dict[int, bool] = {}
+    constants: set[str] = set()
     todo = [(wrapper, 0, level == 3 and not _has_body(wrapper))]
     while todo:
         node, path, inside = todo.pop()
@@ -306,10 +383,12 @@ def slots(wrapper: dict, level: int) -> dict[int, bool]:
             x = rows.pop()
             if x["k"][0] == "(":
                 rows += x["c"]
-            elif x["k"] != "#text" and not _outside(x["k"]):
+            elif "t" in x:
+                constants |= {x["k"]} - {"#text"}
+            elif not _outside(x["k"]):
                 linked = level == 3 and x["k"].split(".")[0] in ("li", "ul", "ol") and _only_links(x)
                 todo.append((x, _path(path, x["k"]), not linked and (inside or _holds(x["k"], level) if level < 3 else inside or x["k"] == "body")))
-    return reading
+    return reading, frozenset(constants)
 
 
 def _has_body(wrapper: dict) -> bool:
@@ -326,22 +405,22 @@ def _only_links(node: dict) -> bool:
     todo = [node]
     while todo:
         kids = todo.pop()["c"]
-        if not kids or any(x["k"] == "#text" for x in kids):
+        if not kids or any("t" in x for x in kids):
             return False
         todo += [x for x in kids if x["k"].split(".")[0] != "a"]
     return True
 
 
-def blocks(page: Node, reading: dict[int, bool] | None = None) -> list[tuple[int, str]]:
-    """The page's blocks of text, each with the path of its element: those at the wrapper's slots, or all that are not outside."""
-    found: list[tuple[int, str]] = []
-    line: list[str] = []
+def blocks(page: Node, reading: dict[int, bool] | None = None) -> list[tuple[int, str, list[Node]]]:
+    """The page's blocks of text, each with the path of its element and its texts: those at the wrapper's slots, or all that are not outside."""
+    found: list[tuple[int, str, list[Node]]] = []
+    line: list[Node] = []
 
     def end(path: int) -> None:
-        text = SPACE.sub(" ", html.unescape("".join(line))).strip(" ")
-        line.clear()
+        text = SPACE.sub(" ", html.unescape("".join(x.text for x in line))).strip(" ")
         if text:
-            found.append((path, text))
+            found.append((path, text, [x for x in line if x.tag == "#text"]))
+        line.clear()
 
     stack = [(iter(page.kids), 0, reading is None or reading.get(0, False), 0, True)]
     while stack:
@@ -349,9 +428,9 @@ def blocks(page: Node, reading: dict[int, bool] | None = None) -> list[tuple[int
         for kid in kids:
             if kid.tag in ("#text", "#space"):
                 if keep:
-                    line.append(kid.text)
+                    line.append(kid)
             elif kid.tag == "br":
-                line.append(" ")
+                line.append(BREAK)
             elif not _outside(kid.key):
                 at = _path(path, kid.key)
                 inner = True if reading is None else reading.get(at)
@@ -369,11 +448,14 @@ def blocks(page: Node, reading: dict[int, bool] | None = None) -> list[tuple[int
     return found
 
 
-def extract(page: Node, reading: dict[int, bool], constants: frozenset[int] = frozenset()) -> str:
-    """The page's article: the blocks at the wrapper's slots that are no constants."""
-    found = blocks(page, reading)
+BREAK = Node("#space", text=" ")
+
+
+def extract(page: Node, reading: dict[int, bool], constants: frozenset[str] = frozenset()) -> str:
+    """The page's article: the blocks at the wrapper's slots that match none of its constants."""
+    found = [(path, text) for path, text, _ in blocks(page, reading)]
     if constants:
-        dropped = {block for block, line in _counted(found).items() if line in constants}
+        dropped = {block for block, line in _counted(found).items() if _constant(line) in constants}
         found = [block for block in found if block not in dropped]
     return "\n\n".join(text for _, text in found)
 
@@ -390,14 +472,17 @@ def host(url: Column) -> Column:
 
 def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     found: dict[str, dict] = {}
+    known: dict[str, frozenset[int]] = {}
     for pdf in batches:
-        for name, source in zip(pdf["host"], pdf["html"], strict=True):
+        for name, source, constants in zip(pdf["host"], pdf["html"], pdf["constants"], strict=True):
             if isinstance(source, str) and source:
-                one = infer(parse(source))
+                if name not in known:
+                    known[name] = frozenset(() if constants is None else map(int, constants))
+                one = infer(mark(parse(source), known[name]))
                 found[name] = merge(found[name], one) if name in found else one
         if len(found) > 5000:
             yield _rows(found)
-            found = {}
+            found, known = {}, {}
     yield _rows(found)
 
 
@@ -415,7 +500,8 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def wrappers(pages: DataFrame, fan_in: int = 256) -> DataFrame:
     """host, wrapper (flat, as JSON) for each host of pages (url, html), as a written table. Each task merges its pages to one wrapper a host; those are merged in two rounds, so that a host with very many pages is never in one task whole."""
-    parts = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(_partial, "host string, wrapper string")
+    rows = pages.select(host(F.col("url")).alias("host"), "html").join(host_constants(pages), "host", "left").select("host", "html", "constants")
+    parts = rows.mapInPandas(_partial, "host string, wrapper string")
     some = parts.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(fan_in)).alias("part")).applyInPandas(_merged, "host string, wrapper string")
     return materialize(some.groupBy("host").applyInPandas(_merged, "host string, wrapper string"), "wrappers")
 
@@ -425,7 +511,7 @@ def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for name, source in zip(pdf["host"], pdf["html"], strict=True):
             if isinstance(source, str) and source:
-                found, page = blocks(parse(source)), _hash(0, source)
+                found, page = [(path, text) for path, text, _ in blocks(parse(source))], _hash(0, source)
                 rows += [(name, page, path, None) for path in {path for path, _ in found}]
                 rows += [(name, page, path, line) for (path, _), line in _counted(found).items()]
         columns = zip(*rows, strict=True) if rows else ((),) * 4
@@ -438,14 +524,14 @@ def host_constants(pages: DataFrame, least: int = 3) -> DataFrame:
     counts = materialize(placed.groupBy("host", "path", "line").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= least), "counts")
     have = counts.where("line is null").select("host", "path", F.col("pages").alias("all_pages"))
     shared = counts.where("line is not null").join(have, ["host", "path"]).where(2 * F.col("pages") > F.col("all_pages"))
-    return shared.groupBy("host").agg(F.collect_list("line").alias("constants"))
+    return materialize(shared.groupBy("host").agg(F.collect_list("line").alias("constants")), "constants")
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[str, tuple] = {}
     for pdf in batches:
         texts = []
-        for name, wrapper, constants, source in zip(pdf["host"], pdf["wrapper"], pdf["constants"], pdf["html"], strict=True):
+        for name, wrapper, source in zip(pdf["host"], pdf["wrapper"], pdf["html"], strict=True):
             if not isinstance(source, str) or not source or not isinstance(wrapper, str):
                 texts.append("")
                 continue
@@ -453,7 +539,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(known) > 1000:
                     known.clear()
                 tree = nested(json.loads(wrapper))
-                known[name] = slots(tree, article_level(tree)), frozenset(() if constants is None else map(int, constants))
+                known[name] = slots(tree, article_level(tree))
             texts.append(extract(parse(source), *known[name]))
         yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"].tolist(), "text": texts, "n_chars": [len(t) for t in texts]})
 
@@ -465,5 +551,4 @@ def main_texts(pages: DataFrame) -> DataFrame:
     empty text. Repeated rows get equal results. Other columns are ignored. An empty table gives an empty result.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host(F.col("url")).alias("host"))
-    known = materialize(wrappers(pages).join(host_constants(pages), "host", "left"), "known")
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "host", "wrapper", "constants").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.join(wrappers(pages), "host", "left").select("page_id", "url", "html", "host", "wrapper").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")

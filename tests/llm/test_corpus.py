@@ -7,6 +7,7 @@ import itertools
 import json
 import re
 import struct
+import time
 import zipfile
 import zlib
 from collections import Counter
@@ -405,6 +406,51 @@ def test_texts_that_a_host_repeats_are_no_article(spark, wrap):
     assert all(got[10 + i] == "one\n\nand the same" for i in range(5))
 
 
+def test_constants_are_tokens_of_the_expression(spark):
+    """A host's expression holds its constants and drops them; that of one page alone cannot know them."""
+    page = lambda i: f"<body><article><h1>T{i}</h1>{f'<h2>part{i}</h2>' * (i % 2)}<p>own{i}</p><p>Read our <i>terms</i></p></article>"
+    df = spark.createDataFrame([(i, "http://h/", page(i)) for i in range(6)], "page_id long, url string, html string")
+    tree = json.loads(wrappers.wrappers(df).collect()[0]["wrapper"])
+    said = wrappers.expression(tree)
+    assert "Read our" in said and "terms" in said and "#PCDATA" in said and "</h2>)?" in said
+    whole, alone = wrappers.nested(tree), wrappers.infer(wrappers.parse(page(0)))
+    texts = [wrappers.extract(wrappers.parse(page(0)), *wrappers.slots(w, 0)) for w in (whole, alone)]
+    assert texts == ["T0\n\nown0", "T0\n\nown0\n\nRead our terms"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40), st.sampled_from([1 << 29, 4]))
+def test_aligned_rows_have_a_longest_common_subsequence(a, b, bits):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(wrappers, "TABLE_BITS", bits)
+        pairs = wrappers._common(a, b)
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(pairs))
+
+
+def test_groups_of_any_length_are_found():
+    keys = [f"k{i}" for i in range(7)]
+    for times in (2, 40):
+        row = [{"k": k, "q": "1", "c": []} for k in keys * times]
+        found = wrappers._run(wrappers._fold(row))
+        assert len(found) == 1 and found[0]["q"] == "+" and [x["k"] for x in found[0]["c"]] == keys
+
+
+@pytest.mark.parametrize("source", ["<a " + "x" * 40 + '"', "<p " * 400_000, '<a ">"' * 150_000, "<a '" * 250_000 + ">", '<a href="x' * 100_000, "<![CDATA[" * 100_000, "<script" * 150_000, "</" * 500_000, "a < b " * 200_000, "<b><i>" * 100_000 + "x"], ids=range(10))
+def test_broken_pages_are_read_in_one_go(source):
+    began = time.monotonic()
+    page = wrappers.parse("<body><article>" + source)
+    wrappers.blocks(page)
+    assert time.monotonic() - began < 20
+
+
+def test_tags_with_open_quotes_end_at_their_sign():
+    page = wrappers.parse("<article><p title='a > b'>one</p><p title=\"x>two</p><p>three</p></article>")
+    assert [text for _, text, _ in wrappers.blocks(page)] == ["one", "two", "three"]
+
+
 @pytest.mark.parametrize(("start", "end"), [("<div>", "</div>"), ("<b>", ""), ("<ul><li>", "</li></ul>")])
 def test_pages_of_thousands_of_nested_elements(spark, start, end):
     deep = lambda i, n: f"<body><article><h1>T{i}</h1>{start * n}deep{i}{end * n}</article>"
