@@ -38,6 +38,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder of its own in the shared folder for the tables of one run, which clear() removes when its result is written elsewhere."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.tables = spark, new_path(spark, name), 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables += 1
+        path = f"{self.path}/{self.tables:03d}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def row_keys(*names: str) -> tuple[Column, Column]:
     """Two 64-bit keys, equal for rows that are equal in these columns; together they tell rows apart at any size of a table."""
     nulls = F.concat(*(F.col(n).isNull().cast("string") for n in names))

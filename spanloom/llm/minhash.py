@@ -18,16 +18,17 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ASCII_LOWER, WORD_RE, materialize
+from .common import ASCII_LOWER, WORD_RE, Scratch, materialize
+
+Write = Callable[[DataFrame, str], DataFrame]
 
 ROWS, BANDS, BATCH = 6, 40, 24
 #: Shingles hashed at a time, so that a block stays in the processor's cache.
@@ -41,21 +42,8 @@ SMALL = 8
 PIVOT_SEEDS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD, 0x61C8864680B583EB, 0x106689D45497FDB5)
 
 
-#: Spark's runtime Bloom filter: 2 MB whatever the tables' sizes. Past some ten million wanted rows it lets most rows through, and the join is a plain one.
-RUNTIME_FILTER = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in (("enabled", "true"), ("applicationSideScanSizeThreshold", "0"), ("creationSideThreshold", "1g"), ("expectedNumItems", "2000000"), ("numBits", str(1 << 24)))}
-
-
-@contextmanager
-def _filtered_joins(spark: SparkSession) -> Iterator[None]:
-    """Joins that are planned meanwhile drop rows without a partner before they shuffle, if the other side is a filtered scan."""
-    before = {k: spark.conf.get(k) for k in RUNTIME_FILTER}
-    try:
-        for k, v in RUNTIME_FILTER.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+#: Links of one text from which they are dealt to many tasks when components are formed.
+HUB = 50_000
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -178,17 +166,27 @@ def bayes_prune(pairs: DataFrame, classes: DataFrame, threshold: float, miss: fl
 
 def _sets(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
+                part = part[~part["cid"].isin(seen)].drop_duplicates("cid") if part["cid"].isin(seen).any() or part["cid"].duplicated().any() else part
                 sets = shingle_sets(part["text"].tolist(), size)
                 # rows of which the key met by chance have another fingerprint
                 keep = [i for i, (s, fp) in enumerate(zip(sets, part["fp"], strict=True)) if fingerprint(s) == bytes(fp)]
-                yield pd.DataFrame({"cid": part["cid"].to_numpy()[keep], "words": [sets[i].tobytes() for i in keep]})
+                found = part["cid"].to_numpy()[keep]
+                seen.update(found.tolist())
+                yield pd.DataFrame({"cid": found, "words": [sets[i].tobytes() for i in keep]})
 
     return run
 
 
+def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """cid, words (the whole set) for the classes in wanted (cid, rid, fp). Of repeated rows a task gives one."""
+    texts = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("rid"), "text")
+    return texts.join(wanted, "rid").select("cid", "fp", "text").mapInPandas(_sets(size), "cid long, words binary")
+
+
 def _intersect(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, out = int(pdf["a"].iloc[0]), []
@@ -206,14 +204,9 @@ def _intersect(percent: int):
     return run
 
 
-def _around(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, compare, schema: str) -> DataFrame:
+def _around(pairs: DataFrame, sets: DataFrame, compare, schema: str) -> DataFrame:
     """`compare` over the whole sets of pairs (a, b), grouped by pivot a. A pivot's set is sent once for every CHUNK of its partners."""
     pairs = pairs.select("a", "b")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rid", "fp"), "cid"), "wanted")
-    texts = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("rid"), "text")
-    with _filtered_joins(docs.sparkSession):
-        # ids are never negative; the runtime filter is only made from a scan with a condition
-        sets = materialize(texts.join(wanted.where("cid >= 0"), "rid").mapInPandas(_sets(size), "cid long, words binary"), "sets")
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     members = dealt.select("a", "chunk", F.col("b").alias("cid"))
@@ -221,9 +214,9 @@ def _around(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, co
     return members.unionByName(pivots).join(sets, "cid").groupBy("a", "chunk").applyInPandas(compare, schema)
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose whole sets meet the threshold; of repeated rows, a pair may come again."""
-    return _around(pairs, classes, docs, size, _intersect(percent), "a long, b long")
+    return _around(pairs, sets, _intersect(percent), "a long, b long")
 
 
 def _differences(percent: int):
@@ -242,16 +235,16 @@ def _differences(percent: int):
     return run
 
 
-def _by_differences(labelled: DataFrame, large: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _by_differences(labelled: DataFrame, large: DataFrame, links: DataFrame, sets: DataFrame, percent: int, write: Write) -> tuple[DataFrame, DataFrame]:
     """(links with centres, pairs (a, b) that may be links) for the buckets in `large` (key). A bucket's centre is the class with most links in its largest component."""
     counts = labelled.join(large, "key").groupBy("key", "root").agg(F.count("*").alias("m"))
     largest = counts.groupBy("key").agg(F.max_by("root", F.struct("m", -F.col("root"))).alias("main"))
     inside = labelled.select(F.col("cid").alias("a"), "root").distinct()
     hubs = links.groupBy("a").count().join(inside, "a").groupBy(F.col("root").alias("main")).agg(F.max_by("a", F.struct("count", "a")).alias("hub"))
     centres = largest.join(hubs, "main", "left").select("key", F.coalesce("hub", "main").alias("ref"))
-    around = materialize(labelled.join(centres, "key").select("ref", "cid", "root", "n").distinct().where("ref <> cid"), "around")
+    around = write(labelled.join(centres, "key").select("ref", "cid", "root", "n").distinct().where("ref <> cid"), "around")
 
-    found = materialize(_around(around.select(F.col("ref").alias("a"), F.col("cid").alias("b")), classes, docs, size, _differences(percent), "ref long, cid long, slack long, cost long, d array<long>"), "differences")
+    found = write(_around(around.select(F.col("ref").alias("a"), F.col("cid").alias("b")), sets, _differences(percent), "ref long, cid long, slack long, cost long, d array<long>"), "differences")
     linked = found.where("cost <= slack").select(F.col("ref").alias("a"), F.col("cid").alias("b"))
 
     each = found.select("ref", "cid", F.explode("d").alias("e"))
@@ -260,7 +253,7 @@ def _by_differences(labelled: DataFrame, large: DataFrame, links: DataFrame, cla
     # ranks count from the commonest difference, so those met once need no row; a pair that needs k differences in common shares one of rank k or more, in both
     own = found.select("ref", "cid", "slack", "cost", (F.col("cost") > F.col("slack")).alias("far")).join(around, ["ref", "cid"])
     least = F.when(F.col("far"), F.col("cost") + 1 - F.col("slack")).otherwise(F.col("cost") + 1)
-    listed = materialize(rarest.join(own, ["ref", "cid"]).where(F.col("rank") * (100 + percent) >= least).drop("count"), "listed")
+    listed = write(rarest.join(own, ["ref", "cid"]).where(F.col("rank") * (100 + percent) >= least).drop("count"), "listed")
     x, y = listed.where("far").alias("x"), listed.alias("y")
     need = F.col("x.cost") + F.col("y.cost") - F.col("x.slack")
     on = (F.col("x.ref") == F.col("y.ref")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.far") | (F.col("x.cid") < F.col("y.cid")))
@@ -269,23 +262,36 @@ def _by_differences(labelled: DataFrame, large: DataFrame, links: DataFrame, cla
     return linked, x.join(y, on & deep & close).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, write: Write) -> DataFrame:
     """cid, root for every class with a link: the smallest id that can be reached. Edges are turned into stars, towards larger and smaller neighbours by turns, until all are stars; each round is a written table."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while not _are_stars(edges):
+    edges = write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    while True:
+        done, most = _stars_and_most(edges)
+        if done:
+            return edges.select(F.col("u").alias("cid"), F.col("v").alias("root"))
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _towards_least(both.where("v > u"), both, most, write).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v")
-        edges = materialize(small.distinct(), "edges")
-    return edges.select(F.col("u").alias("cid"), F.col("v").alias("root"))
+        edges = write(small.distinct(), "edges")
+
 
+def _towards_least(edges: DataFrame, both: DataFrame, most: int, write: Write) -> DataFrame:
+    """edges (u, v) with m, the least of u and its neighbours in both. Where a u has over HUB edges, edges are dealt by u and a part of v; the part's own minimum is all that is gathered by u."""
+    if most <= HUB:
+        return edges.join(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
+    part = F.pmod(F.xxhash64("v"), F.lit(1 + most // HUB)).alias("part")
+    parts = write(both.groupBy("u", part).agg(F.min("v").alias("m")), "parts")
+    least = parts.groupBy("u").agg(F.least(F.min("m"), F.col("u")).alias("m"))
+    return edges.select("u", "v", part).join(parts.select("u", "part").join(least, "u"), ["u", "part"])
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether each upper end has one edge and is no lower end."""
+
+def _stars_and_most(edges: DataFrame) -> tuple[bool, int]:
+    """Whether each upper end has one edge and is no lower end; and the most edges that one end has."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
-    return ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).where("ups > 1 or ups = 1 and low = 0").isEmpty()
+    each = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low"), F.count("*").alias("n"))
+    row = each.agg(F.count_if((F.col("ups") > 1) | (F.col("ups") == 1) & (F.col("low") == 0)).alias("other"), F.max("n").alias("most")).first()
+    return not row["other"], row["most"] or 0
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -294,35 +300,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     Texts are linked if their sets of distinct `size`-word shingles have 100 * intersection >= percent * union.
     Null texts and texts without words have no shingles and no links. Rows with a null doc_id count, but lend no id:
     their component_id is null only if all of the component have none, and they are kept only then. Repeated rows
-    get equal results. Other columns are ignored. An empty table gives an empty result.
+    get equal results. Other columns are ignored. An empty table gives an empty result. The result is a written table; those on the
+    way to it are removed.
     """
-    threshold = percent / 100
-    rows = materialize(sketch(docs, size), "sketch")
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    try:
+        return materialize(_near_duplicates(docs, size, percent, percent / 100, miss, scratch.write), "duplicates")
+    finally:
+        scratch.clear()
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int, threshold: float, miss: float, write: Write) -> DataFrame:
+    rows = write(sketch(docs, size), "sketch")
     full = rows.where("fp is not null")
     by_text = full.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("rid").alias("rid"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    classes = materialize(by_text.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes = write(by_text.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     sized = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
-    banded = classes.select("cid", F.explode("bands").alias("key"))
+    # dealt by key once, for the count and for the join
+    banded = classes.select("cid", F.explode("bands").alias("key")).repartition("key")
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = materialize(banded.join(shared, "key").join(classes.select("cid", "n", "bits"), "cid").select("key", "cid", "n", "bits", F.col("cid").alias("root")), "members")
-    # from here on, only classes that share a band
-    near = materialize(classes.select("cid", "rid", "fp", "sig").join(members.select("cid"), "cid", "left_semi"), "near")
+    members = write(banded.join(shared, "key").join(classes.select("cid", "n", "bits"), "cid").select("key", "cid", "n", "bits", F.col("cid").alias("root")), "members")
+    # from here on, only classes that share a band; their texts are read once
+    near = write(classes.select("cid", "rid", "fp", "sig").join(members.select("cid"), "cid", "left_semi"), "near")
+    sets = write(whole_sets(docs, write(near.select("cid", "rid", "fp"), "wanted"), size), "sets")
     links, roots, tried, labelled, before = None, None, None, members, None
     for turn in range(MOST_TURNS):
         stars = _stars(labelled, turn).where(sized(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
         stars = stars if tried is None else stars.join(tried, ["a", "b"], "left_anti")
         likely = bayes_prune(stars, near, threshold, miss)
-        best = materialize(likely.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")), "best")
+        best = write(likely.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")), "best")
         tried = best.select("a", "b") if tried is None else tried.union(best.select("a", "b"))
-        new = materialize(verify(best, near, docs, size, percent), "links")
+        new = write(verify(best, sets, percent), "links")
         links = new if links is None else links.union(new)
-        roots = components(new if roots is None else new.union(_stars_of(roots)))
-        labelled = materialize(members.drop("root").join(roots, "cid", "left").select("key", "cid", "n", "bits", F.coalesce("root", "cid").alias("root")), "labelled")
+        roots = components(new if roots is None else new.union(_stars_of(roots)), write)
+        labelled = write(members.drop("root").join(roots, "cid", "left").select("key", "cid", "n", "bits", F.coalesce("root", "cid").alias("root")), "labelled")
         counts = labelled.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("same"))
-        mixed = materialize(counts.where("c * c > same").select("key", "c", ((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs")), "mixed")
+        mixed = write(counts.where("c * c > same").select("key", "c", ((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs")), "mixed")
         left, rows_left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
-        labelled = materialize(labelled.join(mixed.select("key"), "key"), "labelled")
+        labelled = write(labelled.join(mixed.select("key"), "key"), "labelled")
         if left <= rows_left or before is not None and left > 0.7 * before:
             break
         before = left
@@ -331,10 +347,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     far = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & sized(F.col("x.n"), F.col("y.n")) & (far <= _most_bits(threshold, miss))
     small = x.join(y, on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    linked, large = _by_differences(labelled, mixed.where(F.col("c") > SMALL).select("key"), links, near, docs, size, percent)
+    linked, large = _by_differences(labelled, mixed.where(F.col("c") > SMALL).select("key"), links, sets, percent, write)
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(bayes_prune(small.union(large).distinct().join(tried, ["a", "b"], "left_anti"), near, threshold, miss), "rest")
-    roots = components(_stars_of(roots).union(linked).union(verify(rest, near, docs, size, percent)))
+    rest = write(bayes_prune(small.union(large).distinct().join(tried, ["a", "b"], "left_anti"), near, threshold, miss), "rest")
+    roots = components(_stars_of(roots).union(linked).union(verify(rest, sets, percent)), write)
     label = F.coalesce("root", "cid").alias("root")
 
     found = classes.select("cid", "fp", "doc_id").join(roots, "cid", "left").select("cid", "fp", "doc_id", label)
@@ -346,16 +362,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that near_duplicates keeps: one of each component, and of repeated rows one."""
-    found = materialize(near_duplicates(docs, size, percent), "duplicates")
-    rid = F.xxhash64(F.col("doc_id"), F.col("text"))
-    gone = materialize(found.where(~F.col("kept")).select(F.col("rid").alias("_rid")).distinct(), "gone")
-    left = docs.join(gone, rid == F.col("_rid"), "left_anti")
-    again = materialize(found.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy(F.col("rid").alias("_rid")).count().where("count > 1").select("_rid"), "repeated")
-    if again.isEmpty():
-        return left
-    one = left.join(again, rid == F.col("_rid"), "left_semi").withColumn("_rid", rid).dropDuplicates(["_rid"]).drop("_rid")
-    return left.join(again, rid == F.col("_rid"), "left_anti").unionByName(one)
+    """The rows of docs, with all their columns, that near_duplicates keeps: one of each component, and of repeated rows one. Null texts and those without words are kept, with their repeats. An empty table gives an empty result."""
+    found = near_duplicates(docs, size, percent)
+    gone = materialize(found.where(~F.col("kept")).select("rid").distinct(), "gone")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("rid"))
+    left = rows.join(gone, "rid", "left_anti")
+    again = materialize(found.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy("rid").count().where("count > 1").select("rid"), "repeated")
+    if not again.isEmpty():
+        left = left.join(again, "rid", "left_anti").unionByName(left.join(again, "rid", "left_semi").dropDuplicates(["rid"]))
+    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _stars_of(roots: DataFrame) -> DataFrame:
