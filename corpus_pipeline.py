@@ -13,29 +13,29 @@ from spanloom.llm.queries import crc_mod, labels, tokenizer_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.3; the field learns from the labels of those whose checksum mod 4 is not 2."""
+    """Documents that score under 0.3; the field learns from the labels of those whose checksum mod 4 is not 2. Null and empty texts score as texts without words and stay; without two classes of labels all stay. Repeated rows fare alike."""
     return crf.keep_clean(docs, labels(spark, sf_dir), crc_mod(4) != 2)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and keep enough words once their source's frequent lines are gone; without those lines."""
+    """Documents that pass the base rules and keep enough words once their source's frequent lines are gone; without those lines. Null, empty and short texts go; repeated rows count as one document and fare alike."""
     return linefreq.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
+    """One document of each group of near duplicates, the one with the smallest doc_id, and of repeated rows one. Null texts and those without words have no duplicates and stay."""
     return minhash.keep_first(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's weight asks for."""
+    """Each document as often as its source's weight asks for, repeats as rows of their own. Null sources are one source; documents without words are taken as often as any."""
     whole = docs.select("doc_id", "source", "text", F.struct("*").alias("_doc"))
     mixed = mixture.mix(whole, word_count(F.col("text")), keep=("_doc",))
     return mixed.where("copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), "copies"))).select("_doc.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents' pieces, packed into sequences of 1024 tokens."""
+    """The mixed documents' pieces, packed into sequences of 1024 tokens; a null text is one token. Each stage gives an empty table for an empty one, and carries further columns, whatever their names, up to here."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: A learnt model, hashed signatures and a tokenizer are beyond SQL.
+#: A learnt model, hashed signatures and a tokenizer are beyond SQL; the tests hold stages against brute force.
 ORACLE_SQL = None
 
 
