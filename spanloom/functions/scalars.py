@@ -53,8 +53,9 @@ def millis(start: Column, end: Column) -> Column:
 
 
 def saturating_sum(value: Column) -> Column:
-    """A sum of counters that stops at the largest long."""
-    return F.least(F.sum(value.cast("decimal(20,0)")), F.lit(MAX_LONG).cast("decimal(20,0)")).cast("long")
+    """A sum of counters that stops at the largest long; null if there are none."""
+    total, most = F.sum(value.cast("decimal(20,0)")), F.lit(MAX_LONG).cast("decimal(20,0)")
+    return F.when(total > most, most).otherwise(total).cast("long")
 
 
 def cache_metrics(inp: Column, read: Column, write: Column) -> Column:

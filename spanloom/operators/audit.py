@@ -35,3 +35,24 @@ def leaks(docs: DataFrame) -> DataFrame:
     """doc_id, line (from 1), name for each home path with a name that is not allowed."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "x"))
     return lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), F.explode(home_leaks(F.col("x"))).alias("name"))
+
+
+def raw_lines(lines: DataFrame, ids: tuple[str, ...] = (), limit: int = 0) -> DataFrame:
+    """file_path, session_id, line_no (from 1), line of log lines that are JSON objects; of the named sessions, or of the first `limit` by id (0: all)."""
+    rows = lines.where(F.try_parse_json("line").isNotNull() & F.ltrim("line").startswith("{")).withColumn("session_id", F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1))
+    if ids:
+        rows = rows.where(F.col("session_id").isin(*ids))
+    if limit:
+        rows = rows.join(rows.select("session_id").distinct().orderBy("session_id").limit(limit), "session_id", "left_semi")
+    return rows.select("file_path", "session_id", (F.col("line_no") + 1).alias("line_no"), "line")
+
+
+def aligned(raw: DataFrame, events: DataFrame) -> DataFrame:
+    """Raw lines beside the kinds of the events they became (events: file_path, seq, kind); lines that became none are left out."""
+    return raw.join(events.select("file_path", (F.col("seq") + 1).alias("line_no"), "kind"), ["file_path", "line_no"])
+
+
+def out_of_order(events: DataFrame) -> DataFrame:
+    """one row for each session in which any event is earlier than the one before it."""
+    back = F.col("ts") < F.lag("ts").over(Window.partitionBy("session_id").orderBy("seq"))
+    return events.withColumn("b", back).groupBy("session_id").agg(F.bool_or("b").alias("b")).where("b").select("session_id", F.lit("out_of_order").alias("kind"))

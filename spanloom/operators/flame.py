@@ -1,36 +1,91 @@
-"""Flame events: open and close marks of turns and their calls, without overlaps."""
+"""Flame events: open and close marks of turns and what they hold, without overlaps."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import display_name
 
-def adjusted(turns: DataFrame, calls: DataFrame) -> DataFrame:
-    """calls with their times in ms from the session's first turn, siblings moved so that none begins before the last one's end plus 1 ms, and cut at the turn's end. The fold runs over one turn's calls at a time.
+#: The number of the turn that gathers calls without a turn; it comes after all others.
+ORPHANS = 1 << 40
+SPANS = "session_id string, ordinal bigint, depth int, name string, open_ms bigint, close_ms bigint"
+
+
+def _rows(bounds: DataFrame, turns: DataFrame, calls: DataFrame, hooks: DataFrame | None, skills: DataFrame | None) -> DataFrame:
+    """One row a turn (part 0) or child: session_id, ordinal, part, seq, name, a, z, stop: times in ms from the session's start, not below 0."""
+
+    def ms(c: str | Column) -> Column:
+        at = F.col(c) if isinstance(c, str) else c
+        return F.greatest(F.lit(0), F.floor((F.unix_micros(at) - F.unix_micros("zero")) / 1000))
 
-    F10: turns are numbered by start, and an open one ends where the next begins.
-    """
     order = Window.partitionBy("session_id").orderBy("turn_seq")
-    t = turns.withColumns({"ordinal": F.row_number().over(order), "next_start": F.lead("started_at").over(order), "zero": F.min("started_at").over(Window.partitionBy("session_id"))})
-    t = t.withColumn("turn_end", F.coalesce("ended_at", "next_start", "started_at"))
-    ms = lambda c: F.floor((F.unix_micros(c) - F.unix_micros("zero")) / 1000)
-    joined = calls.where("turn_seq is not null").join(t.select("session_id", "turn_seq", "ordinal", "zero", "turn_end"), ["session_id", "turn_seq"])
-    kids = joined.groupBy("session_id", "ordinal").agg(F.max(ms("turn_end")).alias("stop"), F.array_sort(F.collect_list(F.struct(ms("started_at").alias("a"), F.col("start_seq"), ms("ended_at").alias("z"), F.col("name")))).alias("kids"))
-    empty = F.expr("cast(array() as array<struct<a: bigint, z: bigint, name: string>>)")
+    t = turns.withColumns({"ordinal": F.row_number().over(order).cast("long"), "next_start": F.lead("started_at").over(order)}).join(bounds, "session_id")
+    label = F.concat(F.lit("turn-"), F.col("ordinal").cast("string"), F.when(F.col("ended_at").isNull(), " (open)").otherwise(""))
+    closes = F.coalesce("ended_at", F.least("last", "next_start"))
+    out = t.select("session_id", "ordinal", F.lit(0).alias("part"), F.col("turn_seq").alias("seq"), label.alias("name"), ms("started_at").alias("a"), ms(closes).alias("z"), ms(F.coalesce("ended_at", "last")).alias("stop"))
+    places = t.select("session_id", "turn_seq", "ordinal")
+    tools = calls.select("session_id", "turn_seq", F.lit(1).alias("part"), F.col("start_seq").alias("seq"), display_name(F.col("name")).alias("name"), "started_at", "ended_at")
+    kids = tools
+    if hooks is not None:
+        kids = kids.unionByName(hooks.select("session_id", "turn_seq", F.lit(2).alias("part"), F.col("start_seq").alias("seq"), F.concat(F.lit("hook:"), "name").alias("name"), "started_at", "ended_at").where("turn_seq is not null"))
+    if skills is not None:
+        kids = kids.unionByName(skills.select("session_id", "turn_seq", F.lit(3).alias("part"), "seq", F.concat(F.lit("skill:"), "name").alias("name"), F.col("ts").alias("started_at"), F.col("ts").alias("ended_at")).where("turn_seq is not null"))
+    placed = kids.join(places, ["session_id", "turn_seq"], "left").where("turn_seq is null or ordinal is not null").join(bounds, "session_id")
+    return out.unionByName(placed.select("session_id", F.coalesce("ordinal", F.lit(ORPHANS)).alias("ordinal"), "part", "seq", "name", ms("started_at").alias("a"), ms("ended_at").alias("z"), F.lit(None).cast("long").alias("stop")))
+
 
-    def step(acc, x):
-        a = F.when(F.size(acc["out"]) == 0, x["a"]).otherwise(F.greatest(x["a"], acc["last"] + 1))
-        z = F.greatest(a, x["z"])
-        made = F.struct(a.alias("a"), z.alias("z"), x["name"].alias("name"))
-        return F.struct(F.concat(acc["out"], F.array(made)).alias("out"), z.alias("last"))
+def _shifted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by session, turn and start; all that is remembered is the turn at hand."""
+    session, ordinal, last, stop, top, orphans = None, None, 0, None, 0, None
+    for pdf in batches:
+        out = []
+        for s, o, part, name, a, z, bound in zip(pdf["session_id"], pdf["ordinal"], pdf["part"], pdf["name"], pdf["a"], pdf["z"], pdf["stop"], strict=True):
+            if s != session:
+                if orphans:
+                    out.append(_closed(session, orphans, last))
+                session, ordinal, top, orphans = s, None, 0, None
+            if part == 0:
+                ordinal, last, stop, top = o, a, bound, max(top, a, z)
+                out.append((s, o, 0, name, a, z))
+                continue
+            if o == ORPHANS and orphans is None:
+                last, stop = max(a, top), None
+                orphans = [last, z]
+            moved = a < last
+            begin = last + 1 if moved else a
+            end = begin + 1 if moved and z <= begin else z
+            end = max(begin, end if stop is None else min(end, stop))
+            if orphans:
+                orphans[1] = z
+            last, top = end, max(top, begin, end)
+            out.append((s, o, 1, name, begin, end))
+        yield pd.DataFrame(out, columns=["session_id", "ordinal", "depth", "name", "open_ms", "close_ms"])
+    if orphans:
+        yield pd.DataFrame([_closed(session, orphans, last)], columns=["session_id", "ordinal", "depth", "name", "open_ms", "close_ms"])
 
-    start = F.struct(empty.alias("out"), F.lit(0).cast("long").alias("last"))
-    folded = kids.select("session_id", "ordinal", "stop", F.explode(F.aggregate("kids", start, step)["out"]).alias("k"))
-    return folded.select("session_id", "ordinal", F.col("k.name").alias("name"), F.least("k.a", "stop").alias("open_ms"), F.least("k.z", "stop").alias("close_ms"))
+
+def _closed(session: str, orphans: list[int], last: int) -> tuple:
+    return (session, ORPHANS, 0, "turn-orphan", orphans[0], max(orphans[0], orphans[1], last))
+
+
+def adjusted(bounds: DataFrame, turns: DataFrame, calls: DataFrame, hooks: DataFrame | None = None, skills: DataFrame | None = None) -> DataFrame:
+    """session_id, ordinal, depth (0 a turn, 1 what it holds), name, open_ms, close_ms, in whole ms from the session's start.
+
+    A child that begins before its neighbour's end is moved to 1 ms after it (and lasts 1 ms at least); none ends after its turn, or
+    before it begins. F10: turns are numbered by start; an open one ends where the next begins, or with the session. Calls
+    without a turn are gathered in a last turn, which opens when all others are closed. bounds holds session_id, zero, last:
+    the times of a session's start and end. The fold needs the row before, so it runs over rows sorted by session, in Arrow batches, with
+    the state of one turn: no session is gathered as a group.
+    """
+    rows = _rows(bounds, turns, calls, hooks, skills).repartition("session_id").sortWithinPartitions("session_id", "ordinal", F.when(F.col("part") == 0, -1).otherwise(F.col("a")), "part", "seq")
+    return rows.select("session_id", "ordinal", "part", "name", "a", "z", "stop").mapInPandas(_shifted, SPANS)
 
 
 def marks(spans: DataFrame) -> DataFrame:
     """Two rows a span, O and C, in the order a viewer reads."""
     both = F.explode(F.array(F.struct(F.lit("O").alias("type"), F.col("open_ms").alias("at")), F.struct(F.lit("C").alias("type"), F.col("close_ms").alias("at"))))
-    return spans.select("session_id", "ordinal", "name", both.alias("m")).select("session_id", "ordinal", "name", "m.type", "m.at")
+    return spans.select("session_id", "ordinal", "depth", "name", both.alias("m")).select("session_id", "ordinal", "depth", "name", "m.type", "m.at")

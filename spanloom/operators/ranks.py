@@ -13,10 +13,6 @@ def _count(when: Column) -> Column:
     return F.count_if(when).cast("long")
 
 
-def _null_safe(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    return a.join(b, by, "left")
-
-
 def tool_rank(calls: DataFrame, requested: DataFrame | None = None) -> DataFrame:
     """Per session and tool: calls, ok, fail, orphan (with open ones), user_requested, total_ms, p50, p95, max_ms. Sort by total_ms descending, then name."""
     if requested is not None:
@@ -155,3 +151,45 @@ def model_table(usage: DataFrame) -> DataFrame:
     rolled = usage.rollup("model").agg(*[F.sum(c).alias(c) for c in counters])
     m = cache_metrics(F.col("input_tokens"), F.col("cache_read"), F.col("cache_write"))
     return rolled.withColumn("net_saved", m["net"])
+
+
+#: The columns that a rank or roll-up is sorted by, all from the largest; names break ties.
+SORTS = {"total": ("total_ms",), "calls": ("calls",), "success": ("_ratio", "calls"), "p50": ("p50",), "sessions": ("sessions",)}
+
+
+def ordered(rows: DataFrame, key: str = "total", limit: int = 0, by: str = "name", blocking_last: bool = False) -> DataFrame:
+    """A rank or roll-up sorted by a key of SORTS, then by name; the first `limit` rows, or all for 0. A roll-up by day stays in order of days.
+
+    blocking_last puts tools that wait for the user behind all others, sorted by total time whatever the key.
+    """
+    if by == "day":
+        out = rows.orderBy("day")
+    else:
+        keys = [F.when(F.col("calls") > 0, F.col("ok") / F.col("calls")).otherwise(0.0) if c == "_ratio" else F.col(c) for c in SORTS[key]]
+        if blocking_last:
+            waits = F.col(by).isin(*USER_BLOCKING)
+            keys = [waits.asc(), *[F.when(waits, F.col("total_ms")).otherwise(k).desc() for k in keys]]
+        else:
+            keys = [k.desc() for k in keys]
+        out = rows.orderBy(*keys, by)
+    return out.limit(limit) if limit else out
+
+
+def last_usage(events: DataFrame) -> DataFrame:
+    """session_id, model and the four counters of the last event that holds usage (empty maps count as none), missing counters being 0."""
+    full = events.where(F.coalesce(F.size("model_metrics"), F.lit(0)) > 0)
+    last = full.groupBy("session_id").agg(F.max_by("model_metrics", "seq").alias("m")).select("session_id", F.explode("m").alias("model", "u"))
+    zero = lambda c: F.coalesce(F.col(f"u.{c}"), F.lit(0).cast("long"))
+    return last.select("session_id", "model", zero("input").alias("input_tokens"), zero("output").alias("output_tokens"), zero("cache_read").alias("cache_read"), zero("cache_write").alias("cache_write"))
+
+
+def session_totals(sessions: DataFrame, usage: DataFrame) -> DataFrame:
+    """Sessions with the sums of last_usage's counters over models; null for a session without usage."""
+    counters = ("input_tokens", "output_tokens", "cache_read", "cache_write")
+    sums = usage.groupBy("session_id").agg(*[saturating_sum(F.col(c)).alias(f"total_{c}") for c in counters])
+    return sessions.join(sums, "session_id", "left")
+
+
+def announced(events: DataFrame) -> DataFrame:
+    """session_id, name: tools that any event of a session announces, once each."""
+    return events.select("session_id", F.explode("loaded_tools").alias("name")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import HEURISTIC_TOKENS
+from ..functions.scalars import HEURISTIC_TOKENS, split_full_name
 
 
 def waste_tools(wire: DataFrame, config: DataFrame, called: DataFrame, costs: DataFrame | None = None) -> DataFrame:
@@ -15,9 +15,18 @@ def waste_tools(wire: DataFrame, config: DataFrame, called: DataFrame, costs: Da
     lengths; a tool without one counts HEURISTIC_TOKENS.
     """
     by = ["session_id", "server", "tool"]
-    all_ = wire.select(*by).distinct().withColumn("w", F.lit(True)).join(config.select(*by).distinct().withColumn("c", F.lit(True)), by, "full").join(called, by, "full")
+    mark = lambda rows, w, c: rows.select(*by, F.lit(w).alias("w"), F.lit(c).alias("c"), F.lit(0).cast("long").alias("call_count"))
+    return marked_tools(mark(wire, True, False).unionByName(mark(config, False, True)), called, costs)
+
+
+def marked_tools(loaded: DataFrame, called: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+    """waste_tools of loaded tools (session_id, server, tool) that say whether the wire (w) or the configuration (c) has them: all sides are added up in one aggregate."""
+    by = ["session_id", "server", "tool"]
+    none = F.lit(False)
+    sides = loaded.select(*by, "w", "c", F.lit(0).cast("long").alias("call_count")).unionByName(called.select(*by, none.alias("w"), none.alias("c"), F.col("call_count").cast("long").alias("call_count")))
+    all_ = sides.groupBy(*by).agg(F.bool_or("w").alias("w"), F.bool_or("c").alias("c"), F.sum("call_count").alias("call_count"))
     origin = F.when(F.col("w") & F.col("c"), "both").when(F.col("w"), "wire").when(F.col("c"), "config").otherwise("inferred")
-    rows = all_.select(*by, origin.alias("origin"), F.coalesce("call_count", F.lit(0)).cast("long").alias("call_count"))
+    rows = all_.select(*by, origin.alias("origin"), "call_count")
     if costs is None:
         return rows.withColumn("tokens", F.lit(HEURISTIC_TOKENS).cast("long"))
     cost = costs.groupBy("server", "tool").agg(F.max("tokens").alias("t"))
@@ -52,3 +61,16 @@ def cross_tools(tools: DataFrame) -> DataFrame:
 def largest_waste(servers: DataFrame) -> DataFrame:
     """The server with the most unused tokens, above 0; among equals the last in E20's order."""
     return servers.where("unused_tokens > 0").orderBy(F.desc("unused_tokens"), "zero_sessions", F.desc("server")).limit(1)
+
+
+def never_called(tools: DataFrame, most: int = 20) -> DataFrame:
+    """Tools that sessions loaded and none called, by name, with the last of their servers: the first `most`, or all for 0."""
+    rows = tools.groupBy("tool").agg(F.sum("call_count").alias("calls"), F.max("server").alias("server")).where("calls = 0").select("tool", "server").orderBy("tool")
+    return rows.limit(most) if most else rows
+
+
+def announced_waste(announced: DataFrame, calls: DataFrame) -> DataFrame:
+    """waste_tools of stored sessions, from announced tools (session_id, name) and calls (session_id, name) alone: no configuration and no descriptions."""
+    parts = lambda rows: rows.withColumn("p", split_full_name(F.col("name"))).where("p is not null").select("session_id", "p.server", "p.tool")
+    called = parts(calls).groupBy("session_id", "server", "tool").agg(F.count("*").alias("call_count"))
+    return waste_tools(parts(announced), parts(announced).limit(0), called)

@@ -20,31 +20,40 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.when(k % 7 == 0, "hook_end").when(k % 5 == 1, "assistant_message").when(k % 13 == 2, "mode_changed").when(k % 13 == 3, "model_change").otherwise("tool_complete"))
     )
     text = lambda c: c.cast("string")
-    tool = F.when(k % 2 == 0, F.concat(F.lit("mcp__s"), text(k % 3), F.lit("__t"), text(k % 4))).otherwise(F.concat(F.lit("tool"), text(k % 5)))
+    tool = F.when(k % 2 == 0, F.concat(F.lit("mcp__s"), text(k % 3), F.lit("__t"), text(k % 4))).when(k % 17 == 3, "ask_user").otherwise(F.concat(F.lit("tool"), text(k % 5)))
     name = F.when(F.col("kind").isin("hook_start", "hook_end"), F.concat(F.lit("hook"), text(k % 3))).when(F.col("kind") == "skill_invoked", F.concat(F.lit("skill"), text(k % 2))).when(F.col("kind") == "tool_start", tool)
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     is_message = F.col("kind") == "assistant_message"
     return e.withColumn("kind", of).select(
         F.col("user_id").cast("string").alias("session_id"), seq.cast("long").alias("seq"), F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), "kind", name.alias("name"), F.concat(F.lit("c"), text(k)).alias("call_id"),
-        F.when(is_message, F.concat(F.lit("gpt-5-m"), text(k % 3))).alias("model"), F.when(is_message, k.cast("long")).alias("output_tokens"), F.when(k % 3 == 0, "plan").when(k % 3 == 1, "autopilot").otherwise("interactive").alias("mode"),
+        F.when(is_message, F.when(k % 3 == 2, "claude-haiku-4").otherwise(F.concat(F.lit("gpt-5-m"), text(k % 3)))).alias("model"), F.when(is_message, k.cast("long")).alias("output_tokens"), F.when(k % 3 == 0, "plan").when(k % 3 == 1, "autopilot").otherwise("interactive").alias("mode"),
         (F.col("event_id") % 5 != 0).alias("success"), F.when(F.col("event_id") % 5 == 0, "failed").alias("error_message"),
     )
 
 
+def order_parts(part: DataFrame) -> DataFrame:
+    """p_partkey, server, tool: a part's brand and type as names."""
+    clean = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]", "-")
+    return part.select("p_partkey", clean("p_brand").alias("server"), clean("p_type").alias("tool"))
+
+
 def order_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A call a line item: session is the order, server the part's brand, tool its type; with the customer."""
     line, part, orders = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
-    clean = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]", "-")
-    rows = line.join(part, line.l_partkey == part.p_partkey).join(orders, line.l_orderkey == orders.o_orderkey)
-    return rows.select(F.col("o_orderkey").cast("string").alias("session_id"), "o_custkey", clean("p_brand").alias("server"), clean("p_type").alias("tool"), (F.col("l_quantity") * 1000).cast("long").alias("duration_ms"), (F.col("l_returnflag") != "R").alias("ok"))
+    rows = line.join(order_parts(part), F.col("l_partkey") == F.col("p_partkey")).join(orders, line.l_orderkey == orders.o_orderkey)
+    return rows.select(F.col("o_orderkey").cast("string").alias("session_id"), "o_custkey", "server", "tool", (F.col("l_quantity") * 1000).cast("long").alias("duration_ms"), (F.col("l_returnflag") != "R").alias("ok"))
 
 
-def loaded_tools(calls: DataFrame, kind: str) -> DataFrame:
-    """Tools that a session has loaded: those that its customer used in any order; on the wire those of servers with an even last character, in the configuration those with a length other than 8 or an odd one."""
-    own = calls.select("o_custkey", "session_id").distinct()
-    used = calls.select("o_custkey", "server", "tool").distinct()
+def tool_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(loaded, called, costs) of the orders: a session has loaded the tools that its customer used in any order: on the wire (w) those of servers with an even last character, in the configuration (c) those with an even length or of the other servers. All three rest on one count by customer, session and tool, which is planned once."""
+    by = ["o_custkey", "session_id", "server", "tool"]
+    counted = order_tools(spark, sf_dir).groupBy(*by).agg(F.count("*").alias("call_count"))
+    own = counted.groupBy("o_custkey", "session_id").agg(F.sum("call_count").alias("n")).where("n > 0")
+    used = counted.groupBy("o_custkey", "server", "tool").agg(F.sum("call_count").alias("n")).where("n > 0")
     even = F.ascii(F.substring("server", -1, 1)) % 2 == 0
-    return own.join(used, "o_custkey").where(even if kind == "wire" else ~even | (F.length("tool") % 2 == 0)).select("session_id", "server", "tool")
+    loaded = own.drop("n").join(used.drop("n"), "o_custkey").select("session_id", "server", "tool", even.alias("w"), (~even | (F.length("tool") % 2 == 0)).alias("c"))
+    costs = order_parts(table(spark, sf_dir, "part")).where("server like '%1'").select("server", "tool", (F.length("tool") * 10).alias("tokens"))
+    return loaded, counted.select("session_id", "server", "tool", "call_count"), costs
 
 
 def order_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,3 +62,33 @@ def order_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line.join(orders, line.l_orderkey == orders.o_orderkey)
     n = lambda c: F.floor(c).cast("long")
     return rows.select(F.col("o_orderkey").cast("string").alias("session_id"), F.col("o_orderpriority").alias("model"), n(F.col("l_extendedprice")).alias("input_tokens"), n(F.col("l_quantity")).alias("output_tokens"), n(F.col("l_extendedprice") * F.col("l_discount")).alias("cache_read"), n(F.col("l_extendedprice") * F.col("l_tax")).alias("cache_write"))
+
+
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of `events` that announce two tools each: session_id, text."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    text = F.concat(F.lit("note <tools_changed_notice>\nNew tools available: mcp__s"), F.col("k") % 3, F.lit("__t"), F.col("k") % 4, F.lit(", plain, mcp__x__"), F.col("event_type"), F.lit("\n</tools_changed_notice> end"))
+    return e.select(F.col("user_id").cast("string").alias("session_id"), text.alias("text"))
+
+
+def shutdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage events of the orders: session_id, seq, model_metrics; every third line's map is empty, and cache counters are missing for even lines."""
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    rows = line.join(orders, line.l_orderkey == orders.o_orderkey)
+    n = lambda c: F.floor(c).cast("long")
+    odd = lambda c: F.when(F.col("l_linenumber") % 2 == 1, n(F.col(c)))
+    usage = F.struct(n(F.col("l_extendedprice")).alias("input"), n(F.col("l_quantity")).alias("output"), odd("l_suppkey").alias("cache_read"), odd("l_partkey").alias("cache_write"))
+    whole = F.create_map(F.col("o_orderpriority"), usage)
+    return rows.select(F.col("o_orderkey").cast("string").alias("session_id"), F.col("l_linenumber").cast("long").alias("seq"), F.when(F.col("l_linenumber") % 3 != 0, whole).otherwise(F.map_filter(whole, lambda k, v: F.lit(False))).alias("model_metrics"))
+
+
+def telemetry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed telemetry of `events`: clicks start tools, views end them, purchases report tokens, signups start a session with a model, errors are records of unknown names."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k, kind, text = F.col("k"), F.col("event_type"), lambda c: c.cast("string")
+    of = F.when(kind == "click", "tool_start").when(kind == "view", "tool_result").when(kind == "purchase", "token_usage").when(kind == "signup", "session_start").otherwise("unrecognised")
+    way = F.element_at(F.array(*map(F.lit, ("input", "output", "cache_read", "cache_creation"))), (k % 4 + 1).cast("int"))
+    return e.select(
+        text(F.col("user_id")).alias("session_id"), of.alias("event_type"), F.when(k % 2 == 0, "codex").otherwise("copilot").alias("agent"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("t"), text(k % 2)).alias("turn_id"), F.concat(F.lit("tool"), text(k % 3)).alias("tool_name"),
+        F.when(F.col("event_id") % 5 == 0, "failure").otherwise("success").alias("status"), F.lit(None).cast("string").alias("error_message"), F.concat(F.lit("m"), text(k % 2)).alias("model"), way.alias("direction"), k.cast("long").alias("value"),
+    )

@@ -10,32 +10,17 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.percentiles import ceiling_rank
 from ..operators import audit, episodes, flame, ranks, redact, waste
+from ..operators.bundle import Episodes
 from ..sources import store
 from ..streaming import telemetry
 from . import inputs
-from .sql import CTES, WASTE
+from .sql import CTES, FLAME, WASTE
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-class Episodes:
-    """The episode tables of the given events; all rest on one sort by session."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.events = inputs.events(spark, sf_dir)
-        self.rows = episodes.routed(self.events)
-        self.calls = episodes.tool_calls(self.rows)
-        self.hooks = episodes.hook_calls(self.rows)
-        self.turns = episodes.turns(self.rows)
-        self.modes = episodes.mode_segments(self.rows)
-
-    @property
-    def walls(self) -> DataFrame:
-        return episodes.session_wall(self.rows, self.turns, self.calls, self.hooks, self.modes)
-
-
 def query(sql: str | None = None, ctes: str = CTES):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -46,15 +31,15 @@ def query(sql: str | None = None, ctes: str = CTES):
     return add
 
 
-def on_episodes(sql: str | None = None):
+def on_episodes(sql: str | None = None, ctes: str = CTES):
     def add(f: Callable[[Episodes], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out = f(Episodes(spark, sf_dir))
+            out = f(Episodes(inputs.events(spark, sf_dir)))
             # instants go out as they came in, without a zone
             return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in out.dtypes if kind == "timestamp"})
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
-        return query(sql)(run)
+        return query(sql, ctes)(run)
 
     return add
 
@@ -199,7 +184,7 @@ def F3_stack_depth(e):
     return e.rows.where("kind in ('tool_start', 'tool_complete', 'abort')").select("session_id", "seq", F.col("tool_level").alias("level"), F.col("tool_orphan").alias("orphan"))
 
 
-@on_episodes("SELECT session_id, greatest(1, coalesce(p, top, 1))::BIGINT AS scale_ms FROM (SELECT session_id, quantile_disc(ms, 0.95) FILTER (status = 'completed') AS p, max(ms) AS top FROM (SELECT session_id, status, (epoch_us(ended_at) - epoch_us(started_at)) // 1000 AS ms FROM turns) GROUP BY 1)")
+@on_episodes("SELECT session_id, greatest(1, coalesce(p, top, 1))::BIGINT AS scale_ms FROM (SELECT session_id, quantile_disc(ms, 0.95) FILTER (status = 'completed' AND NOT waits) AS p, max(ms) AS top FROM (SELECT session_id, status, (epoch_us(ended_at) - epoch_us(started_at)) // 1000 AS ms, coalesce(w, false) AS waits FROM turns LEFT JOIN (SELECT DISTINCT session_id, turn_seq, true AS w FROM calls WHERE name = 'ask_user') USING (session_id, turn_seq)) GROUP BY 1)")
 def F6_flame_scale(e):
     return ranks.flame_scale(e.turns, e.calls)
 
@@ -229,10 +214,10 @@ def F11_recent_calls(e):
     return ranks.recent_calls(e.calls)
 
 
-@on_episodes()
+@on_episodes(" ", FLAME)
 def F12_flame_events(e):
-    """An ordered fold; tested against a plain loop."""
-    return flame.marks(flame.adjusted(e.turns, e.calls))
+    """The SQL follows the same rule by recursion."""
+    return flame.marks(flame.adjusted(e.bounds, e.turns, e.calls, e.hooks, e.skills))
 
 
 @on_episodes("SELECT DISTINCT session_id, last_ts FROM r4")
@@ -243,13 +228,13 @@ def F13_last_event(e):
 _NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 
 
-@on_episodes(f"SELECT session_id, name, start_seq, false AS blocking, (epoch_us({_NOW}) - epoch_us(started_at)) // 1000 AS age_ms FROM calls WHERE status = 'open_at_end' AND (epoch_us({_NOW}) - epoch_us(started_at)) // 1000 >= 300000")
+@on_episodes(f"SELECT session_id, name, start_seq, name = 'ask_user' AS blocking, (epoch_us({_NOW}) - epoch_us(started_at)) // 1000 AS age_ms FROM calls WHERE status = 'open_at_end' AND (epoch_us({_NOW}) - epoch_us(started_at)) // 1000 >= CASE name WHEN 'ask_user' THEN 30000 ELSE 300000 END")
 def C9_pending_calls(e):
     return ranks.pending(e.calls, F.to_timestamp(F.lit("2024-02-01 00:00:00")))
 
 
 @on_episodes(f"""SELECT t.session_id, t.turn_id, CASE WHEN t.status = 'aborted' THEN 'aborted' WHEN coalesce(p, false) THEN 'pending' WHEN t.status = 'open' THEN 'open' WHEN p IS NULL THEN 'no_tools' ELSE 'normal' END AS class
- FROM turns t LEFT JOIN (SELECT session_id, turn_seq, bool_or(status = 'open_at_end' AND (epoch_us({_NOW}) - epoch_us(started_at)) // 1000 >= 300000) AS p FROM calls GROUP BY ALL) USING (session_id, turn_seq)""")
+ FROM turns t LEFT JOIN (SELECT session_id, turn_seq, bool_or(status = 'open_at_end' AND (epoch_us({_NOW}) - epoch_us(started_at)) // 1000 >= CASE name WHEN 'ask_user' THEN 30000 ELSE 300000 END) AS p FROM calls GROUP BY ALL) USING (session_id, turn_seq)""")
 def C10_turn_class(e):
     return ranks.turn_class(e.turns, e.calls, ranks.pending(e.calls, F.to_timestamp(F.lit("2024-02-01 00:00:00"))))
 
@@ -265,7 +250,7 @@ def C5_tool_names(e):
     return e.calls.select("name").distinct().select("name", F.coalesce(S.split_full_name(n)["server"], F.lit("")).alias("server"), S.short_name(n).alias("short"), S.display_name(n).alias("display"))
 
 
-@on_episodes("SELECT original, '<uuid-' || row_number() OVER (ORDER BY place, original) || '>' AS pseudonym FROM (SELECT turn_id AS original, min(epoch_us(started_at)) AS place FROM turns GROUP BY 1)")
+@on_episodes("SELECT original, '<uuid-' || (row_number() OVER (ORDER BY place, original) - 1) || '>' AS pseudonym FROM (SELECT turn_id AS original, min(epoch_us(started_at)) AS place FROM turns GROUP BY 1)")
 def F14_pseudonyms(e):
     return redact.pseudonyms(e.turns.select(F.col("turn_id").alias("id"), F.unix_micros("started_at").alias("place")), per_bucket=10**10)
 
@@ -275,10 +260,10 @@ def H4_hashed_servers(e):
     return redact.redact_tools(e.calls.groupBy("name").agg(F.count("*").alias("calls")), anonymize=True)
 
 
-@on_episodes("""SELECT 'gpt-5' AS model, sum(sessions)::BIGINT AS sessions, sum(turns)::BIGINT AS turns, sum(output_tokens)::BIGINT AS output_tokens, sum(wall_ms)::BIGINT AS wall_ms FROM (SELECT f.model, count(*) AS sessions, sum(n) AS turns, coalesce(sum(k), 0) AS output_tokens, sum(wall_ms) AS wall_ms FROM
- (SELECT session_id, arg_min(struct_pack(m := model), turn_seq).m AS model, count(*) AS n, sum(output_tokens) AS k FROM turns GROUP BY 1) f JOIN walls USING (session_id) WHERE f.model IS NOT NULL GROUP BY 1)""")
+@on_episodes("SELECT array_to_string(string_split(model, '-')[:2], '-') AS model, count(*) AS turns, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens FROM turns WHERE model IS NOT NULL GROUP BY 1")
 def E33_consolidated_models(e):
-    return redact.consolidate(ranks.by_model(e.walls, e.turns))
+    by_model = e.turns.where("model is not null").groupBy("model").agg(F.count("*").alias("turns"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"))
+    return redact.redact_rollup(by_model)
 
 
 # Order tables: usage and waste.
@@ -314,10 +299,7 @@ def E26_model_table(spark, sf_dir):
 
 
 def _waste(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = inputs.order_tools(spark, sf_dir)
-    called = calls.groupBy("session_id", "server", "tool").agg(F.count("*").alias("call_count"))
-    costs = calls.select("server", "tool", (F.length("tool") * 10).alias("tokens")).where("server like '%1'").distinct()
-    return waste.waste_tools(inputs.loaded_tools(calls, "wire"), inputs.loaded_tools(calls, "config"), called, costs)
+    return waste.marked_tools(*inputs.tool_sets(spark, sf_dir))
 
 
 @query("SELECT * FROM wt", WASTE)
@@ -364,23 +346,35 @@ def E12_by_server(spark, sf_dir):
     return ranks.by_server(named, waste.waste_servers(_waste(spark, sf_dir)))
 
 
-@query("SELECT DISTINCT o_orderpriority AS model, array_to_string(string_split(o_orderpriority, '-')[:2], '-') AS family, substr(sha256(o_orderpriority), 1, 8) AS hash, 'cl100k' AS tokenizer FROM orders", "")
-def H3_model_names(spark, sf_dir):
-    m = F.col("o_orderpriority")
-    return inputs.table(spark, sf_dir, "orders").select(m.alias("model"), S.model_family(m).alias("family"), S.short_hash(m).alias("hash"), S.tokenizer_class(m).alias("tokenizer")).distinct()
+@on_episodes("SELECT DISTINCT model, array_to_string(string_split(model, '-')[:2], '-') AS family, substr(sha256(model), 1, 8) AS hash, CASE WHEN regexp_matches(model, '^(gpt-5|gpt-4o|o1|o3)') THEN 'o200k' ELSE 'cl100k' END AS tokenizer FROM ev WHERE model IS NOT NULL")
+def H3_model_names(e):
+    m = F.col("model")
+    return e.events.where("model is not null").select(m, S.model_family(m).alias("family"), S.short_hash(m).alias("hash"), S.tokenizer_class(m).alias("tokenizer")).distinct()
 
 
-@query(r"""SELECT doc_id, line, unnest(list_filter(regexp_extract_all(x, '(?:/home/|/Users/|[A-Za-z]:\\Users\\)([A-Za-z0-9._-]+)', 1), lambda n: n NOT IN ('user', 'runner', 'example'))) AS name
- FROM (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""", "")
+@query(r"""SELECT c_custkey AS doc_id, 2::BIGINT AS line, replace(c_name, '#', '_') AS name FROM customer WHERE c_custkey % 3 <> 1
+ UNION ALL SELECT c_custkey, 3, 'C' || c_nationkey FROM customer WHERE c_custkey % 3 <> 1 UNION ALL SELECT c_custkey, 3, 'm.' || c_custkey FROM customer WHERE c_custkey % 3 <> 1""", "")
 def C15_home_leaks(spark, sf_dir):
-    return audit.leaks(inputs.table(spark, sf_dir, "documents"))
+    """Texts of three lines made of each customer: no path, a Linux path, and paths of Windows and macOS; a third has names that are allowed."""
+    c = inputs.table(spark, sf_dir, "customer")
+    some = F.col("c_custkey") % 3 != 1
+    name = lambda x, other: F.when(some, x).otherwise(F.lit(other))
+    home, windows, mac = name(F.translate("c_name", "#", "_"), "runner"), name(F.concat(F.lit("C"), F.col("c_nationkey")), "user"), name(F.concat(F.lit("m."), F.col("c_custkey")), "example")
+    text = F.concat(F.lit("no path\ncd /home/"), home, F.lit("/src\nC:\\Users\\"), windows, F.lit(" and /Users/"), mac, F.lit("/x"))
+    return audit.leaks(c.select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
 
 
 # Store, telemetry and logs, over tables that Spark derives from the given ones.
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as stored sessions."""
+    return inputs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("started_at"), F.concat(F.lit("/s/"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_custkey").alias("mtime"), "o_orderkey")
+
+
 def _refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o = inputs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("started_at"), F.concat(F.lit("/s/"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_custkey").alias("mtime"), "o_orderkey")
+    """The orders as two sides that overlap: files lack every third order, the store every fifth."""
+    o = _orders(spark, sf_dir)
     files = o.where("o_orderkey % 3 <> 0").drop("o_orderkey")
     store_ = o.where("o_orderkey % 5 <> 0").withColumn("mtime", F.col("mtime") + F.col("o_orderkey") % 2).drop("o_orderkey")
     return files, store_
@@ -400,17 +394,15 @@ def B1_upsert(spark, sf_dir):
     return store.upsert(old.withColumn("ingested_at", F.lit(1).cast("long")), files.withColumn("ingested_at", F.lit(2).cast("long")))
 
 
-@query("SELECT id, started_at FROM o WHERE k % 3 <> 0 AND started_at >= 800000000000", _REFS)
+@query("SELECT id, started_at FROM o WHERE started_at >= 800000000000", _REFS)
 def A12_window_scan(spark, sf_dir):
-    files, _ = _refs(spark, sf_dir)
-    return store.newer(files, 900_000_000_000, 100_000_000_000).select("id", "started_at")
+    return store.newer(_orders(spark, sf_dir), 900_000_000_000, 100_000_000_000).select("id", "started_at")
 
 
-@query("SELECT o.id AS session_id, l_linenumber::INT AS line FROM lineitem JOIN o ON l_orderkey = k WHERE k % 3 <> 0 AND NOT coalesce(started_at < 800000000000, false)", _REFS)
+@query("SELECT o.id AS session_id, l_linenumber::INT AS line FROM lineitem JOIN o ON l_orderkey = k WHERE NOT coalesce(started_at < 800000000000, false)", _REFS)
 def B6_prune(spark, sf_dir):
-    files, _ = _refs(spark, sf_dir)
     kids = inputs.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("session_id"), F.col("l_linenumber").alias("line"))
-    return store.prune(files, kids, 900_000_000_000, 100_000_000_000)[1]
+    return store.prune(_orders(spark, sf_dir), kids, 900_000_000_000, 100_000_000_000)[1]
 
 
 @on_episodes("SELECT count(*) AS sessions, min(started_at) AS first, max(started_at) AS last, (SELECT count(*) FROM calls) AS tools, (SELECT count(*) FROM turns) AS turns FROM walls")
@@ -418,12 +410,108 @@ def B7_store_stats(e):
     return store.stats(e.walls, e.calls, e.turns)
 
 
-@on_episodes("""SELECT session_id, tool_name, count(*) AS calls, count_if(status = 'failure')::BIGINT AS fail, sum(ms)::BIGINT AS total_ms FROM (SELECT session_id, tool_name, status, event_type, CASE WHEN lag(event_type) OVER w = 'tool_start' THEN greatest(0, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) // 1000) ELSE 0 END AS ms FROM
- (SELECT session_id, mode AS tool_name, CASE WHEN success THEN 'success' ELSE 'failure' END AS status, CASE WHEN kind = 'tool_start' THEN 'tool_start' ELSE 'tool_result' END AS event_type, ts FROM ev WHERE kind IN ('tool_start', 'tool_complete')) WINDOW w AS (PARTITION BY session_id, tool_name ORDER BY ts, event_type = 'tool_result')) WHERE event_type = 'tool_result' GROUP BY 1, 2""")
-def E29_telemetry_tools(e):
-    rows = e.events.where("kind in ('tool_start', 'tool_complete')")
-    typed = rows.select("session_id", F.when(F.col("kind") == "tool_start", "tool_start").otherwise("tool_result").alias("event_type"), "ts", F.lit("t").alias("turn_id"), F.col("mode").alias("tool_name"), F.when(F.col("success"), "success").otherwise("failure").alias("status"))
-    return telemetry.session_tools(typed)
+_TELEMETRY = """WITH t0 AS (SELECT *, (props ->> 'k')::INT AS k FROM events),
+te AS (SELECT user_id::VARCHAR AS session_id, event_id, CASE event_type WHEN 'click' THEN 'tool_start' WHEN 'view' THEN 'tool_result' WHEN 'purchase' THEN 'token_usage' WHEN 'signup' THEN 'session_start' ELSE 'unrecognised' END AS event_type,
+    CASE WHEN k % 2 = 0 THEN 'codex' ELSE 'copilot' END AS agent, ts, 't' || (k % 2) AS turn_id, 'tool' || (k % 3) AS tool_name, CASE WHEN event_id % 5 = 0 THEN 'failure' ELSE 'success' END AS status, 'm' || (k % 2) AS model, ['input', 'output', 'cache_read', 'cache_creation'][k % 4 + 1] AS direction, k AS value FROM t0),
+good AS (SELECT * FROM te WHERE event_type <> 'unrecognised') """
+
+
+@query("""SELECT session_id, tool_name, count(*) AS calls, count_if(status = 'success')::BIGINT AS ok, count_if(status = 'failure')::BIGINT AS fail, count_if(status = 'open')::BIGINT AS orphan, sum(ms)::BIGINT AS total_ms, max(ms)::BIGINT AS max_ms, quantile_disc(ms, 0.5)::BIGINT AS p50, quantile_disc(ms, 0.95)::BIGINT AS p95, 'builtin' AS source FROM
+ (SELECT session_id, tool_name, CASE WHEN event_type = 'tool_start' THEN 'open' ELSE status END AS status, CASE WHEN event_type = 'tool_start' THEN (epoch_us(fin) - epoch_us(ts)) // 1000 WHEN was = 'tool_start' THEN (epoch_us(ts) - epoch_us(begun)) // 1000 ELSE 0 END AS ms FROM
+  (SELECT *, lag(event_type) OVER w AS was, lag(ts) OVER w AS begun, lead(ts) OVER w IS NULL AS is_last FROM good WHERE event_type LIKE 'tool%' WINDOW w AS (PARTITION BY session_id, tool_name, turn_id ORDER BY ts, event_type = 'tool_result'))
+  JOIN (SELECT session_id, max(ts) AS fin FROM good GROUP BY 1) USING (session_id) WHERE event_type = 'tool_result' OR is_last) GROUP BY 1, 2""", _TELEMETRY)
+def E29_telemetry_tools(spark, sf_dir):
+    return telemetry.session_tools(telemetry.split_records(inputs.telemetry_events(spark, sf_dir))[0])
+
+
+@query("""SELECT session_id, model, coalesce(sum(value) FILTER (direction = 'input'), 0)::BIGINT AS input, coalesce(sum(value) FILTER (direction = 'output'), 0)::BIGINT AS output, coalesce(sum(value) FILTER (direction = 'cache_read'), 0)::BIGINT AS cache_read, coalesce(sum(value) FILTER (direction = 'cache_creation'), 0)::BIGINT AS cache_creation FROM good WHERE event_type = 'token_usage' GROUP BY 1, 2
+ UNION ALL SELECT session_id, arg_max(model, ts) FILTER (event_type = 'session_start'), 0, 0, 0, 0 FROM good GROUP BY 1 HAVING count_if(event_type = 'token_usage') = 0 AND count_if(event_type = 'session_start') > 0""", _TELEMETRY)
+def E29_telemetry_usage(spark, sf_dir):
+    return telemetry.session_usage(telemetry.split_records(inputs.telemetry_events(spark, sf_dir))[0])
+
+
+@query("SELECT session_id, coalesce(arg_max(agent, ts) FILTER (event_type = 'session_start'), 'claude') AS agent, coalesce(min(ts) FILTER (event_type = 'session_start'), TIMESTAMP '2024-02-01 00:00:00') AS started_at, 0::BIGINT AS prompts FROM good GROUP BY 1", _TELEMETRY)
+def E29_telemetry_heads(spark, sf_dir):
+    out = telemetry.session_heads(telemetry.split_records(inputs.telemetry_events(spark, sf_dir))[0], F.to_timestamp(F.lit("2024-02-01 00:00:00")))
+    return out.withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
+
+
+@query("SELECT event_type, agent, count(*) AS records FROM te WHERE event_type = 'unrecognised' GROUP BY 1, 2", _TELEMETRY)
+def I7_dropped_records(spark, sf_dir):
+    return telemetry.dropped_counts(telemetry.split_records(inputs.telemetry_events(spark, sf_dir))[1])
+
+
+@query("""SELECT DISTINCT user_id::VARCHAR AS session_id, unnest(['mcp__s' || (k % 3) || '__t' || (k % 4), 'mcp__x__' || event_type]) AS name FROM (SELECT *, (props ->> 'k')::INT AS k FROM events)""", "")
+def G5_announced_tools(spark, sf_dir):
+    return ranks.announced(inputs.notices(spark, sf_dir).select("session_id", S.announced_tools(F.col("text")).alias("loaded_tools")))
+
+
+@query("""SELECT session_id, model, floor(l_extendedprice)::BIGINT AS input_tokens, floor(l_quantity)::BIGINT AS output_tokens, CASE WHEN l_linenumber % 2 = 1 THEN l_suppkey ELSE 0 END::BIGINT AS cache_read, CASE WHEN l_linenumber % 2 = 1 THEN l_partkey ELSE 0 END::BIGINT AS cache_write
+ FROM (SELECT o_orderkey::VARCHAR AS session_id, o_orderpriority AS model, lineitem.* FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber % 3 <> 0) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY l_linenumber DESC) = 1""", "")
+def E6_last_usage(spark, sf_dir):
+    return ranks.last_usage(inputs.shutdowns(spark, sf_dir))
+
+
+@on_episodes("SELECT session_id, 'out_of_order' AS kind FROM (SELECT session_id, ts < lag(ts) OVER (PARTITION BY session_id ORDER BY event_id::BIGINT) AS b FROM ev) GROUP BY 1 HAVING bool_or(b)")
+def F2_out_of_order(e):
+    """Events in the order of their ids, which is not that of their times."""
+    return audit.out_of_order(e.events.withColumn("seq", F.col("event_id").cast("long")))
+
+
+@on_episodes("SELECT name, calls, total_ms FROM (" + _BY_TOOL + ") ORDER BY calls > 0 AND name = 'ask_user', CASE WHEN name = 'ask_user' THEN total_ms ELSE calls END DESC, name LIMIT 8")
+def C12_tools_by_calls(e):
+    """Top-k: the eight tools with most calls; those that wait for the user stand last."""
+    return ranks.ordered(ranks.by_tool(e.calls), "calls", 8, blocking_last=True).select("name", "calls", "total_ms")
+
+
+@on_episodes("SELECT name, calls, ok FROM (" + _BY_TOOL + ") ORDER BY ok / calls DESC, calls DESC, name LIMIT 5")
+def G2_tools_by_success(e):
+    """Top-k: the five tools with the largest share of successes."""
+    return ranks.ordered(ranks.by_tool(e.calls), "success", 5).select("name", "calls", "ok")
+
+
+@on_episodes("SELECT name, sessions FROM (" + _BY_TOOL + ") ORDER BY sessions DESC, name LIMIT 5")
+def G3_tools_by_sessions(e):
+    """Top-k: the five tools that most sessions call."""
+    return ranks.ordered(ranks.by_tool(e.calls), "sessions", 5).select("name", "sessions")
+
+
+@query("SELECT tool, max(server) AS server FROM wt GROUP BY 1 HAVING sum(call_count) = 0", WASTE.replace("FULL JOIN cc", "FULL JOIN (SELECT * FROM cc WHERE tool NOT LIKE 'P%') cc"))
+def G6_never_called(spark, sf_dir):
+    """Loaded tools that no session calls, where the calls of tools with a P are unknown."""
+    loaded, called, costs = inputs.tool_sets(spark, sf_dir)
+    return waste.never_called(waste.marked_tools(loaded, called.where("tool not like 'P%'"), costs), 0)
+
+
+@query("SELECT id, started_at, path, mtime FROM o WHERE k = 7", _REFS)
+def A13_lookup(spark, sf_dir):
+    return store.lookup(_orders(spark, sf_dir).drop("o_orderkey"), "7", "id")
+
+
+@query("SELECT id, started_at FROM o WHERE started_at >= 813600000000 ORDER BY started_at DESC, id LIMIT 200", _REFS)
+def E28_dashboard(spark, sf_dir):
+    """Top-k: the dashboard's 200 latest sessions of a window of 1,000 days."""
+    return store.dashboard(_orders(spark, sf_dir), 900_000_000_000, days=1000).select("id", "started_at")
+
+
+@query("SELECT id, path FROM o ORDER BY mtime DESC, id LIMIT 1 OFFSET 1", _REFS)
+def C3_previous_session(spark, sf_dir):
+    """Top-k: the session changed last but one."""
+    return store.selected(_orders(spark, sf_dir), "previous").select("id", "path")
+
+
+@query("SELECT session_id, l_quantity AS quantity FROM (SELECT o_orderkey::VARCHAR AS session_id, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE epoch_ms(o_orderdate) >= 800000000000)", "")
+def E17_stored_rows(spark, sf_dir):
+    kids = inputs.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("session_id"), F.col("l_quantity").alias("quantity"))
+    return store.in_window(kids, _orders(spark, sf_dir), 900_000_000_000, 100_000_000_000)
+
+
+@query("""SELECT server, tool, count(*) AS sessions, sum(n)::BIGINT AS calls FROM (SELECT coalesce(n, 0) AS n, regexp_extract(name, '^mcp__(.*?)__(.*)$', 1) AS server, regexp_extract(name, '^mcp__(.*?)__(.*)$', 2) AS tool FROM
+ (SELECT user_id::VARCHAR AS session_id, 'mcp__s' || (k % 3) || '__t' || (k % 4) AS name FROM k UNION SELECT user_id::VARCHAR, 'mcp__x__' || event_type FROM events)
+ FULL JOIN (SELECT session_id, name, count(*) AS n FROM calls WHERE name LIKE 'mcp%' GROUP BY ALL) USING (session_id, name)) GROUP BY 1, 2""")
+def E35_announced_waste(spark, sf_dir):
+    announced = ranks.announced(inputs.notices(spark, sf_dir).select("session_id", S.announced_tools(F.col("text")).alias("loaded_tools")))
+    return waste.cross_tools(waste.announced_waste(announced, Episodes(inputs.events(spark, sf_dir)).calls))
 
 
 def queries() -> dict[str, Query]:

@@ -6,8 +6,8 @@ kd AS (SELECT *, CASE event_type WHEN 'signup' THEN 'turn_start' WHEN 'purchase'
     WHEN 'click' THEN CASE WHEN k % 7 = 0 THEN 'hook_start' WHEN k % 11 = 1 THEN 'skill_invoked' ELSE 'tool_start' END
     ELSE CASE WHEN k % 7 = 0 THEN 'hook_end' WHEN k % 5 = 1 THEN 'assistant_message' WHEN k % 13 = 2 THEN 'mode_changed' WHEN k % 13 = 3 THEN 'model_change' ELSE 'tool_complete' END END AS kind FROM k),
 ev AS (SELECT user_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id::VARCHAR AS event_id, ts, kind,
-    CASE WHEN kind IN ('hook_start', 'hook_end') THEN 'hook' || (k % 3) WHEN kind = 'skill_invoked' THEN 'skill' || (k % 2) WHEN kind = 'tool_start' THEN CASE WHEN k % 2 = 0 THEN 'mcp__s' || (k % 3) || '__t' || (k % 4) ELSE 'tool' || (k % 5) END END AS name,
-    CASE WHEN kind = 'assistant_message' THEN 'gpt-5-m' || (k % 3) END AS model, CASE WHEN kind = 'assistant_message' THEN k::BIGINT END AS output_tokens,
+    CASE WHEN kind IN ('hook_start', 'hook_end') THEN 'hook' || (k % 3) WHEN kind = 'skill_invoked' THEN 'skill' || (k % 2) WHEN kind = 'tool_start' THEN CASE WHEN k % 2 = 0 THEN 'mcp__s' || (k % 3) || '__t' || (k % 4) WHEN k % 17 = 3 THEN 'ask_user' ELSE 'tool' || (k % 5) END END AS name,
+    CASE WHEN kind = 'assistant_message' THEN CASE WHEN k % 3 = 2 THEN 'claude-haiku-4' ELSE 'gpt-5-m' || (k % 3) END END AS model, CASE WHEN kind = 'assistant_message' THEN k::BIGINT END AS output_tokens,
     CASE k % 3 WHEN 0 THEN 'plan' WHEN 1 THEN 'autopilot' ELSE 'interactive' END AS mode, event_id % 5 <> 0 AS success, CASE WHEN event_id % 5 = 0 THEN 'failed' END AS error_message FROM kd),
 r1 AS (SELECT *, sum(CASE WHEN kind = 'tool_start' THEN 1 WHEN kind IN ('tool_complete', 'abort') THEN -1 ELSE 0 END) OVER w AS s FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
 r1b AS (SELECT *, least(0, coalesce(min(s) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM r1),
@@ -49,3 +49,27 @@ cc AS (SELECT session_id, server, tool, count(*) AS call_count FROM ot GROUP BY
 wt AS (SELECT session_id, server, tool, CASE WHEN w AND c THEN 'both' WHEN w THEN 'wire' WHEN c THEN 'config' ELSE 'inferred' END AS origin, coalesce(call_count, 0) AS call_count, CASE WHEN server LIKE '%1' THEN length(tool) * 10 ELSE 200 END::BIGINT AS tokens FROM lt FULL JOIN cc USING (session_id, server, tool)),
 ws AS (SELECT session_id, server, count(*) AS loaded, count_if(call_count > 0)::BIGINT AS called, count_if(call_count = 0)::BIGINT AS unused, sum(CASE WHEN call_count = 0 THEN tokens ELSE 0 END)::BIGINT AS unused_tokens FROM wt GROUP BY ALL)
 """
+
+FLAME = CTES.replace("WITH", "WITH RECURSIVE", 1) + r"""
+, bd AS (SELECT session_id, arg_min(ts, seq) AS zero, arg_max(ts, seq) AS fin FROM ev GROUP BY 1),
+tn AS (SELECT t.*, row_number() OVER w AS ordinal, lead(t.started_at) OVER w AS nxt, zero, fin FROM turns t JOIN bd USING (session_id) WINDOW w AS (PARTITION BY t.session_id ORDER BY turn_seq)),
+tr AS (SELECT session_id, turn_seq, ordinal, 'turn-' || ordinal || CASE WHEN ended_at IS NULL THEN ' (open)' ELSE '' END AS name, greatest(0, (epoch_us(started_at) - epoch_us(zero)) // 1000) AS a,
+    greatest(0, (epoch_us(coalesce(ended_at, least(fin, nxt))) - epoch_us(zero)) // 1000) AS z, greatest(0, (epoch_us(coalesce(ended_at, fin)) - epoch_us(zero)) // 1000) AS stop FROM tn),
+kd0 AS (SELECT session_id, turn_seq, 1 AS part, start_seq AS seq, CASE WHEN name LIKE 'mcp\_\_%' ESCAPE '\' THEN 'mcp:' || regexp_extract(name, '^mcp__(.*?)__(.*)$', 1) || '::' || regexp_extract(name, '^mcp__(.*?)__(.*)$', 2) ELSE name END AS name, started_at, ended_at FROM calls
+    UNION ALL SELECT session_id, turn_seq, 2, start_seq, 'hook:' || name, started_at, ended_at FROM hooks WHERE turn_seq IS NOT NULL
+    UNION ALL SELECT session_id, turn_seq, 3, seq, 'skill:' || name, ts, ts FROM r4 WHERE kind = 'skill_invoked' AND turn_seq IS NOT NULL),
+kids AS (SELECT k.session_id, ordinal, k.name, t.a AS first, stop, greatest(0, (epoch_us(started_at) - epoch_us(zero)) // 1000) AS a, greatest(0, (epoch_us(ended_at) - epoch_us(zero)) // 1000) AS z, part, seq
+    FROM kd0 k JOIN bd USING (session_id) LEFT JOIN tr t ON t.session_id = k.session_id AND t.turn_seq = k.turn_seq WHERE k.turn_seq IS NULL OR ordinal IS NOT NULL),
+nk AS (SELECT *, row_number() OVER (PARTITION BY session_id, ordinal ORDER BY a, part, seq) AS n FROM kids WHERE ordinal IS NOT NULL),
+f1 AS (SELECT session_id, ordinal, name, n, a AS b, greatest(least(z, stop), a) AS e FROM nk WHERE n = 1 AND a >= first
+    UNION ALL SELECT session_id, ordinal, name, n, first + 1, greatest(least(greatest(z, first + 2), stop), first + 1) FROM nk WHERE n = 1 AND a < first
+    UNION ALL SELECT k.session_id, k.ordinal, k.name, k.n, CASE WHEN k.a < f.e THEN f.e + 1 ELSE k.a END, greatest(least(CASE WHEN k.a < f.e THEN greatest(k.z, f.e + 2) ELSE k.z END, k.stop), CASE WHEN k.a < f.e THEN f.e + 1 ELSE k.a END)
+      FROM f1 f JOIN nk k ON k.session_id = f.session_id AND k.ordinal = f.ordinal AND k.n = f.n + 1),
+tops AS (SELECT session_id, max(m) AS top FROM (SELECT session_id, greatest(a, z) AS m FROM tr UNION ALL SELECT session_id, greatest(b, e) FROM f1) GROUP BY 1),
+ok AS (SELECT k.*, greatest(coalesce(top, 0), min(a) OVER (PARTITION BY k.session_id)) AS begin_, row_number() OVER (PARTITION BY k.session_id ORDER BY a, part, seq) AS n, count(*) OVER (PARTITION BY k.session_id) AS c FROM kids k LEFT JOIN tops USING (session_id) WHERE ordinal IS NULL),
+f2 AS (SELECT session_id, name, n, c, z, begin_, CASE WHEN a < begin_ THEN begin_ + 1 ELSE a END AS b, CASE WHEN a < begin_ THEN greatest(z, begin_ + 2) ELSE greatest(z, a) END AS e FROM ok WHERE n = 1
+    UNION ALL SELECT k.session_id, k.name, k.n, k.c, k.z, k.begin_, CASE WHEN k.a < f.e THEN f.e + 1 ELSE k.a END, CASE WHEN k.a < f.e THEN greatest(k.z, f.e + 2) ELSE greatest(k.z, k.a) END FROM f2 f JOIN ok k ON k.session_id = f.session_id AND k.n = f.n + 1),
+sp AS (SELECT session_id, ordinal, 0 AS depth, name, a AS open_ms, z AS close_ms FROM tr UNION ALL SELECT session_id, ordinal, 1, name, b, e FROM f1
+    UNION ALL SELECT session_id, 1099511627776, 1, name, b, e FROM f2 UNION ALL SELECT session_id, 1099511627776, 0, 'turn-orphan', begin_, greatest(begin_, z, e) FROM f2 WHERE n = c)
+SELECT session_id, ordinal::BIGINT AS ordinal, depth::INT AS depth, name, type, CASE type WHEN 'O' THEN open_ms ELSE close_ms END::BIGINT AS at FROM sp, (VALUES ('O'), ('C')) v(type)
+"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +65,52 @@ def write_csv(rows: DataFrame, path: str) -> None:
     """A roll-up as CSV with a header, rates with two decimals."""
     two = {c: F.format_string("%.2f", c) for c, kind in rows.dtypes if kind in ("double", "float")}
     rows.withColumns(two).write.option("header", True).csv(path)
+
+
+def lookup(rows: DataFrame, session: str, key: str = "session_id") -> DataFrame:
+    """The stored rows of one session; none if it is not stored."""
+    return rows.where(F.col(key) == session)
+
+
+def selected(refs: DataFrame, selector: str) -> DataFrame:
+    """The reference (id, path, mtime) that a selector means: latest, previous, an id, or a path of a log or its folder. None if there is no such session."""
+    if selector in ("latest", "previous"):
+        # the two newest of all, not a window over all of them
+        top = refs.orderBy(F.desc("mtime"), "id").limit(2).withColumn("_r", F.row_number().over(Window.orderBy(F.desc("mtime"), "id")))
+        return top.where(F.col("_r") == (1 if selector == "latest" else 2)).drop("_r")
+    if "/" in selector or "\\" in selector:
+        whole = selector.rstrip("/\\")
+        return refs.where(F.col("path").isin(whole, f"{whole}/events.jsonl"))
+    if not re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", selector):
+        raise ValueError(f"not a session: {selector!r} (latest, previous, an id or a path)")
+    return refs.where(F.col("id") == selector)
+
+
+def agent_of(text: Column) -> Column:
+    """C17: a stored agent; copilot for what is unknown or null."""
+    return F.when(text.isin("copilot", "claude", "codex"), text).otherwise("copilot")
+
+
+def in_window(rows: DataFrame, sessions: DataFrame, now_ms: int, since_ms: int | None, key: str = "session_id") -> DataFrame:
+    """The rows of stored sessions that began within a window, for the same roll-ups as over logs."""
+    ids = newer(sessions, now_ms, since_ms).select(F.col("id").alias(key))
+    return rows.join(ids, key, "left_semi")
+
+
+def dashboard(sessions: DataFrame, now_ms: int, days: int = 30, most: int = 200) -> DataFrame:
+    """The `most` latest sessions of the last `days` days."""
+    return newer(sessions, now_ms, days * 86_400_000).limit(most)
+
+
+def outcome(sessions: DataFrame, warnings: DataFrame) -> DataFrame:
+    """One row: sessions that a batch took in, and files of which no session came (their lines are warnings); see ingest."""
+    failed = warnings.select("file_path").distinct().join(sessions.select("file_path").distinct(), "file_path", "left_anti")
+    return sessions.agg(F.count("*").alias("stored")).crossJoin(failed.agg(F.count("*").alias("failed")))
+
+
+def ingest(old: DataFrame, sessions: DataFrame, warnings: DataFrame, key: str = "id") -> DataFrame:
+    """The store with a batch's sessions written through. Files that fail are counted, and only if none succeeds is it an error."""
+    row = outcome(sessions, warnings).first()
+    if row["failed"] and not row["stored"]:
+        raise ValueError(f"none of {row['failed']} logs could be stored")
+    return upsert(old, sessions.select(*old.columns), key)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import scalars as S
+from ..functions.percentiles import ceiling_rank
+from ..operators.ranks import pending
 
 #: Limits of a live session.
 IDLE_MS, MOST_BYTES, MOST_EVENTS = 300_000, 16 << 20, 100_000
@@ -55,84 +57,150 @@ def typed_spans(spans: DataFrame) -> DataFrame:
     return rows.select(S.session_of(F.col("resource"), F.col("attrs")).alias("session_id"), F.col("e.t").alias("event_type"), agent(F.col("resource")).alias("agent"), F.col("e.ts").alias("ts"), a("turn.id").alias("turn_id"), a("tool.name").alias("tool_name"), F.when(tool & (F.col("e.t") == "tool_result"), F.when(F.col("status_code") == 2, "failure").otherwise("success")).alias("status"), F.col("status_message").alias("error_message"), none.alias("model"), none.alias("direction"), F.lit(None).cast("long").alias("value"))
 
 
+def split_records(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Typed events that can be kept, and those that are dropped: records without a session, with bad values, or with names that nobody knows."""
+    bad = F.col("session_id").isNull() | F.coalesce(F.col("event_type").isin("error", "unrecognised"), F.lit(True))
+    return typed.where(~bad), typed.where(bad)
+
+
+def dropped_counts(dropped: DataFrame) -> DataFrame:
+    """event_type, agent, records of what was dropped; for a table, or for a stream in update mode."""
+    return dropped.groupBy("event_type", "agent").agg(F.count("*").alias("records"))
+
+
 def paired(typed: DataFrame) -> DataFrame:
-    """Tool results with the time since their start: within a session, tool and turn a result belongs to the event right before it if that is a start, else it took 0 ms."""
+    """Tool results with the time since their start: within a session, tool and turn a result belongs to the event right before it if that is a start, else it took 0 ms.
+
+    A start that nothing follows is open when its session ends: it becomes a result of status `open`, with the time up to
+    the session's end, or without one to its last event.
+    """
     w = Window.partitionBy("session_id", "tool_name", "turn_id").orderBy("ts", F.col("event_type") == "tool_result")
-    rows = typed.where(F.col("event_type").isin("tool_start", "tool_result")).withColumn("p", F.lag(F.struct("event_type", "ts")).over(w))
-    ms = F.when(F.col("p.event_type") == "tool_start", S.millis(F.col("p.ts"), F.col("ts"))).otherwise(0).cast("long")
-    return rows.where("event_type = 'tool_result'").select("session_id", "tool_name", "turn_id", "ts", "status", ms.alias("duration_ms"))
+    ends = typed.groupBy("session_id").agg(F.coalesce(F.max(F.when(F.col("event_type") == "session_end", F.col("ts"))), F.max("ts")).alias("end"))
+    rows = typed.where(F.col("event_type").isin("tool_start", "tool_result")).withColumns({"p": F.lag(F.struct("event_type", "ts")).over(w), "is_last": F.lead("ts").over(w).isNull()})
+    done, is_open = F.col("event_type") == "tool_result", (F.col("event_type") == "tool_start") & F.col("is_last")
+    rows = rows.where(done | is_open).join(ends, "session_id")
+    at = F.when(done, F.col("ts")).otherwise(F.col("end"))
+    ms = F.when(is_open, S.millis(F.col("ts"), F.col("end"))).when(F.col("p.event_type") == "tool_start", S.millis(F.col("p.ts"), F.col("ts"))).otherwise(0).cast("long")
+    return rows.select("session_id", "tool_name", "turn_id", at.alias("ts"), F.when(is_open, "open").otherwise(F.col("status")).alias("status"), ms.alias("duration_ms"))
 
 
 def session_tools(typed: DataFrame) -> DataFrame:
-    """Per session and tool the calls, failures and total time; sources are always builtin here."""
-    return paired(typed).groupBy("session_id", "tool_name").agg(F.count("*").alias("calls"), F.count_if(F.col("status") == "failure").alias("fail"), F.sum("duration_ms").alias("total_ms"))
+    """Per session and tool the calls, ok, fail, orphan (open ones), total, longest and nearest-rank percentiles of the time; sources are always builtin here."""
+    by, status = ["session_id", "tool_name"], F.col("status")
+    calls = paired(typed)
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False))).cast("long")
+    agg = calls.groupBy(*by).agg(F.count("*").alias("calls"), n(status == "success").alias("ok"), n(status == "failure").alias("fail"), n(status == "open").alias("orphan"), F.sum("duration_ms").alias("total_ms"), F.max("duration_ms").alias("max_ms"))
+    return agg.join(ceiling_rank(calls, by, "duration_ms", {"p50": 50, "p95": 95}), by).withColumn("source", F.lit("builtin"))
 
 
 def session_usage(typed: DataFrame) -> DataFrame:
-    """Per session and model the four token directions side by side."""
-    return typed.where("event_type = 'token_usage'").groupBy("session_id", "model").pivot("direction", ["input", "output", "cache_read", "cache_creation"]).agg(F.sum("value")).na.fill(0)
+    """Per session and model the four token directions side by side, sums stopping at the largest long; a session without usage has a row of zeros for the model that it started with, if it named one."""
+    ways = ("input", "output", "cache_read", "cache_creation")
+    used = F.col("event_type") == "token_usage"
+    sums = [F.coalesce(S.saturating_sum(F.when(F.col("direction") == w, F.col("value"))), F.lit(0)).alias(w) for w in ways]
+    usage = typed.where(used).groupBy("session_id", "model").agg(*sums)
+    start = F.max_by("model", F.when(F.col("event_type") == "session_start", F.col("ts")))
+    none = typed.groupBy("session_id").agg(F.bool_or(used).alias("any"), start.alias("model")).where("not any and model is not null")
+    return usage.unionByName(none.select("session_id", "model", *[F.lit(0).cast("long").alias(w) for w in ways]))
 
 
-CLOSED = "session_id string, reason string, n_events bigint, n_tools bigint, open_tools bigint, first_ts timestamp, last_ts timestamp"
+def session_heads(typed: DataFrame, now: Column) -> DataFrame:
+    """Per session its agent and start by its start event (of several the last one's agent and the first one's time), else claude and now; and prompts."""
+    started = F.col("event_type") == "session_start"
+    agg = typed.groupBy("session_id").agg(F.max_by("agent", F.when(started, F.col("ts"))).alias("agent"), F.min(F.when(started, F.col("ts"))).alias("started_at"), F.count_if(F.col("event_type") == "prompt").cast("long").alias("prompts"))
+    return agg.select("session_id", F.coalesce("agent", F.lit("claude")).alias("agent"), F.coalesce("started_at", now).alias("started_at"), "prompts")
 
 
 class Sessions(StatefulProcessor):
-    """Counters of a live session, and its open calls as (tool, turn) keys, so that state stays small however long it lives. It closes on its end, on a limit, or when nothing has arrived for IDLE_MS; calls that are open then count as open_tools. A later event opens it anew."""
+    """A live session's events, kept until it closes: on its end, on a limit (MOST_EVENTS, MOST_BYTES: so state is bounded), or when nothing has arrived for IDLE_MS.
+
+    It then gives its events in order of time (G8), and for each call that is open a result of status `open` at the session's end, or
+    without one at its last event. A later event opens it anew (I6); see stored_events for what becomes of both parts.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "n bigint, bytes bigint, tools bigint, first timestamp, last timestamp, timer bigint")
-        self.open = handle.getMapState("open", "tool string, turn string", "n bigint")
+        self.events = handle.getListState("events", TYPED)
+        self.seen = handle.getValueState("seen", "n bigint, bytes bigint, timer bigint")
 
-    def _close(self, key, reason: str) -> pd.DataFrame:
-        n, _, tools, first, last, timer = self.seen.get()
-        left = sum(int(v[0]) for v in self.open.values())
-        if timer:
+    def _close(self, reason: str) -> pd.DataFrame:
+        rows = pd.DataFrame(list(self.events.get()), columns=COLUMNS)
+        if (timer := self.seen.get()[2]) > 0:
             self.handle.deleteTimer(timer)
         self.seen.clear()
-        self.open.clear()
-        return pd.DataFrame([[key[0], reason, n, tools, left, first, last]], columns=[c.split()[0] for c in CLOSED.split(", ")])
+        self.events.clear()
+        rows["ts"] = pd.to_datetime(rows["ts"])
+        rows = rows.sort_values("ts", kind="stable", na_position="first")
+        ended = rows.loc[rows["event_type"] == "session_end", "ts"]
+        at = ended.max() if len(ended) else rows["ts"].max()
+        calls = rows[rows["event_type"].isin(["tool_start", "tool_result"])].fillna({"turn_id": "", "tool_name": ""})
+        last = calls.sort_values(["ts", "event_type"], key=lambda c: c if c.name == "ts" else c == "tool_result", kind="stable").groupby(["tool_name", "turn_id"], sort=True).tail(1)
+        left = rows.loc[last.index[last["event_type"] == "tool_start"]].assign(event_type="tool_result", status="open", ts=at)
+        return pd.concat([rows, left]).assign(reason=reason)[COLUMNS + ["reason"]]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, size, tools, first, last, timer = self.seen.get() if self.seen.exists() else (0, 0, 0, None, None, 0)
+        n, size, timer = self.seen.get() if self.seen.exists() else (0, 0, -1)
         ended = False
         for pdf in rows:
-            for r in pdf.itertuples():
-                n, size = n + 1, size + 64 + sum(len(x) for x in (r.tool_name, r.error_message, r.model) if isinstance(x, str))
-                first, last = min(first or r.ts, r.ts), max(last or r.ts, r.ts)
-                call = (str(r.tool_name), str(r.turn_id))
-                if r.event_type == "tool_start":
-                    self.open.updateValue(call, (1,))
-                elif r.event_type == "tool_result":
-                    tools += 1
-                    if self.open.containsKey(call):
-                        self.open.removeKey(call)
-                ended |= r.event_type == "session_end"
-        if timer:
+            pdf = pdf[COLUMNS]
+            n, ended = n + len(pdf), ended or bool((pdf["event_type"] == "session_end").any())
+            size += 64 * len(pdf) + int(sum(pdf[c].str.len().sum() for c in ("tool_name", "error_message", "model") if pdf[c].notna().any()))
+            self.events.appendList([tuple(None if x is None or x is pd.NaT or x != x else int(x) if c == "value" else x.to_pydatetime() if c == "ts" else x for c, x in zip(COLUMNS, r, strict=True)) for r in pdf.itertuples(index=False, name=None)])
+        if timer > 0:
             self.handle.deleteTimer(timer)
-        now = timerValues.getCurrentProcessingTimeInMs()
-        self.seen.update((n, size, tools, first, last, now + IDLE_MS))
-        self.handle.registerTimer(now + IDLE_MS)
+        timer = timerValues.getCurrentProcessingTimeInMs() + IDLE_MS
+        self.seen.update((n, size, timer))
+        self.handle.registerTimer(timer)
         reason = "end" if ended else "events" if n > MOST_EVENTS else "bytes" if size > MOST_BYTES else ""
         if reason:
-            yield self._close(key, reason)
+            yield self._close(reason)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.seen.exists():
-            n, size, tools, first, last, _ = self.seen.get()
-            self.seen.update((n, size, tools, first, last, 0))
-            yield self._close(key, "idle")
+            n, size, _ = self.seen.get()
+            self.seen.update((n, size, -1))
+            yield self._close("idle")
 
     def close(self) -> None:
         pass
 
 
+COLUMNS = [c.split()[0] for c in TYPED.split(", ")]
+
+
 def closed_sessions(typed: DataFrame) -> DataFrame:
-    """A row for each session that closes, from a stream of typed events; bad and unrecognised ones are dropped before."""
-    good = typed.where(F.col("session_id").isNotNull() & ~F.col("event_type").isin("error", "unrecognised"))
-    return good.groupBy("session_id").transformWithStateInPandas(Sessions(), CLOSED, "append", "processingTime")
+    """The events of each session that closes, with the reason, from a stream of typed events; records that split_records drops are left out."""
+    return split_records(typed)[0].groupBy("session_id").transformWithStateInPandas(Sessions(), TYPED + ", reason string", "append", "processingTime")
+
+
+def persist(closed: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Writes closed sessions to a store that grows by one folder a batch; a batch that runs again replaces its own folder, so nothing counts twice."""
+
+    def flush(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return closed.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
+
+
+def stored_events(stored: DataFrame, late: str = "merge") -> DataFrame:
+    """The events of a store that persist wrote (with its column batch). Of a session that closed, and opened again by late events, `merge` takes all its parts (and drops results that an earlier close made up), `replace` the last one only."""
+    if late == "replace":
+        latest = Window.partitionBy("session_id")
+        return stored.withColumn("_last", F.max("batch").over(latest)).where("batch = _last").drop("_last")
+    if late != "merge":
+        raise ValueError(f"late must be merge or replace, not {late!r}")
+    return stored.where(~F.coalesce((F.col("event_type") == "tool_result") & (F.col("status") == "open"), F.lit(False)))
 
 
 def idle_windows(typed: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """The same grouping by event time: native session windows with a watermark."""
     return typed.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "tool_result").alias("tools")).select("session_id", "w.start", "w.end", "events", "tools")
+
+
+def waiting_calls(typed: DataFrame, now: Column) -> DataFrame:
+    """Calls of sessions without an end that wait long enough to tell the user, from their stored or collected events; see ranks.pending."""
+    w = Window.partitionBy("session_id", "tool_name", "turn_id").orderBy("ts", F.col("event_type") == "tool_result")
+    ended = typed.where("event_type = 'session_end'").select("session_id").distinct()
+    rows = typed.where(F.col("event_type").isin("tool_start", "tool_result")).withColumn("n", F.lead("ts").over(w))
+    left = rows.where("event_type = 'tool_start' and n is null").join(ended, "session_id", "left_anti")
+    return pending(left.select("session_id", F.col("tool_name").alias("name"), F.unix_micros("ts").alias("start_seq"), F.col("ts").alias("started_at"), F.lit("open_at_end").alias("status")), now)
