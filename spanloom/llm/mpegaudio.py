@@ -22,7 +22,8 @@ XING_BYTES = 8 + 4 + 4 + 100 + 4
 
 #: What the writer makes: MPEG 1 layer III, 48 kHz, mono, every frame but the table's with a checksum.
 SIDE, TOP_KBPS, TABLE_KBPS = 17, 14, 5
-SEEK_EVERY = 32
+#: A tag of the old kind, without texts: with it, no payload's bytes can be taken for one.
+OLD_TAG = b"TAG" + bytes(124) + b"\xff"
 
 
 def crc16(data: bytes) -> int:
@@ -46,6 +47,9 @@ def parse_header(data: bytes, at: int) -> dict | None:
     rate, samples = RATES[version][rate_n], (SAMPLES_1 if version == 3 else SAMPLES_2)[layer]
     length = (12 * kbps * 1000 // rate + padding) * 4 if layer == 1 else samples // 8 * kbps * 1000 // rate + padding
     side = 0 if layer < 3 else (17 if mono else 32) if version == 3 else (9 if mono else 17)
+    if layer == 1:  # four bits a subband and channel; from the bound on, the channels of joint stereo share them
+        bound = 4 * (data[at + 3] >> 4 & 3) + 4 if data[at + 3] >> 6 == 1 else 32
+        side = 16 if mono else (4 * bound + 4 * 32) // 8
     return {"version": version, "layer": layer, "protected": protected, "kbps": kbps, "rate": rate, "samples": samples, "length": length, "side": side}
 
 
@@ -66,7 +70,7 @@ def _checksum(covered: bytes) -> int:
 
 
 def encode(payload: bytes) -> bytes:
-    """An audio file that carries the payload: an ID3v2 tag with its length, a frame with the variable-rate table, then silent frames, the payload's bytes lying where their ancillary data lie. All but the last have the top bit rate."""
+    """An audio file that carries the payload: an ID3v2 tag with its length, a frame with the variable-rate table, then silent frames, the payload's bytes lying where their ancillary data lie, and an empty ID3v1 tag. All but the last have the top bit rate."""
     room = {k: 3 * KBPS_1[3][k - 1] - 6 - SIDE for k in range(1, 15)}
     frames, at = [], 0
     while at < len(payload):
@@ -87,7 +91,7 @@ def encode(payload: bytes) -> bytes:
     text = b"\x00payload_bytes\x00" + str(len(payload)).encode()
     frame = b"TXXX" + struct.pack(">IH", len(text), 0) + text
     tag = b"ID3\x03\x00\x00" + bytes(len(frame) >> s & 0x7F for s in (21, 14, 7, 0)) + frame
-    return tag + xing + bytes(table - len(xing)) + b"".join(frames)
+    return tag + xing + bytes(table - len(xing)) + b"".join(frames) + OLD_TAG
 
 
 def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
@@ -114,7 +118,8 @@ def probe(data: bytes) -> dict:
     """What an audio file holds: tags, frames, samples, rate, exact duration, offsets of frames, the variable-rate table, checksums and the bytes that frames carry.
 
     Reading goes from frame to frame; where no header stands, bytes are skipped up to the next header that another header of
-    the same kind follows (or that ends the file). A cut last frame is not counted.
+    the same kind follows (or that ends the file). A cut last frame is not counted. Checksums of layers I and III are verified; what
+    those of layer II cover hangs on tables of allocations that are not read here.
     """
     tags, at, end = _tags(data)
     offsets, carried, skipped, bad, checked, table, rate, samples = [], [], 0, 0, 0, None, 0, 0
@@ -145,7 +150,7 @@ def probe(data: bytes) -> dict:
         elif not offsets and table is None and data[at + 36 : at + 40] == b"VBRI":
             table = dict(zip(("bytes", "frames"), struct.unpack_from(">II", data, at + 46), strict=True)) | {"kind": "VBRI"}
         else:
-            if h["protected"] and h["layer"] == 3:
+            if h["protected"] and h["layer"] != 2:
                 checked += 1
                 bad += _checksum(data[at + 2 : at + 4] + data[body : body + h["side"]]) != struct.unpack_from(">H", data, at + 4)[0]
             offsets.append(at)
@@ -177,7 +182,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for media in pdf["media"]:
             p = probe(media)
-            seek = p["offsets"][::SEEK_EVERY]
+            seek = p["offsets"]
             t = p["table"] or {"kind": "none", "frames": -1, "bytes": -1}
             out.append({
                 "payload_bytes": len(p["payload"]), "payload_sha256": hashlib.sha256(p["payload"]).hexdigest(), "tail_crc32": zlib.crc32(p["payload"][-64:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
@@ -189,5 +194,5 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Per row of media (doc_id, n_bytes, media): digests of the carried bytes and of the file, frames, exact duration, the byte offset of every SEEK_EVERY-th frame, and all of it as one feature text."""
+    """Per row of media (doc_id, n_bytes, media): digests of the carried bytes and of the file, frames, exact duration, the byte offset of every frame, and all of it as one feature text. Repeated rows get equal results; an empty table gives an empty result."""
     return media.mapInPandas(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_s double, seek_offsets array<long>")

@@ -164,6 +164,8 @@ def directory(source) -> dict[str, tuple[int, int, int]]:
     source.seek(length - tail)
     data = source.read(tail)
     at = data.rfind(END)
+    while at >= 0 and (at + END_SIZE > len(data) or at + END_SIZE + struct.unpack_from("<H", data, at + END_SIZE - 2)[0] != len(data)):
+        at = data.rfind(END, 0, at)  # a comment may hold the signature; the record is followed by its comment and nothing else
     if at < 0:
         raise ValueError("no end record: not a ZIP package")
     count, size, start = struct.unpack_from("<HII", data, at + 10)

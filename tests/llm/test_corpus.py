@@ -158,6 +158,29 @@ def test_packages_reject_what_is_packed():
         warc.directory(io.BytesIO(b"no package"))
 
 
+def test_comments_that_hold_the_end_records_signature():
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("a", "bytes")
+        z.comment = b"x" + warc.END + b"\x00" * 30
+    first, length = warc.stored(b, warc.directory(b)["a"])
+    assert b.getvalue()[first : first + length] == b"bytes"
+
+
+def test_warc_contract_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    pages = [(int(i), f"http://h/{i}", [None, "", "a", "bb", "é" * 40, f"own{i}"][rng.integers(6)]) for i in rng.permutation(80)]
+    payload = {i: (h or "").encode() for i, _, h in pages}
+    for least in (0, 3):
+        expected = {}
+        for i, data in payload.items():
+            last = max(j for j, other in payload.items() if other == data)
+            revisit = last != i and len(data) >= least
+            expected[i] = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", last if revisit else None)
+        got = warc.round_trip(spark, spark.createDataFrame(pages, "page_id long, url string, html string"), least).collect()
+        assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got} == expected
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a/", "x"), (2, None, "x"), (3, "http://b/ \n", "é"), (4, "u", None), (5, "u", ""), (None, "u", "x")]
     got = warc.round_trip(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
@@ -180,6 +203,39 @@ def test_audio_carries_bytes_and_resynchronises():
     assert mpegaudio.probe(bytes(flipped))["bad"] == 1
 
 
+def test_payloads_that_look_like_tags_or_frames_come_back():
+    frame = mpegaudio._head(14, False)
+    for data in (b"TAG" + b"x" * 125, b"a" * 64 + b"TAG" + b"y" * 125, b"ID3\x03\x00\x00\x00\x00\x00\x7f" * 64, frame * 256, b"Xing" * 64, bytes(64), b"\xff" * 4096):
+        media = mpegaudio.encode(data)
+        p = mpegaudio.probe(media)
+        assert p["payload"] == data and p["bad"] == p["skipped"] == 0
+        assert all(media[a] == 0xFF for a in p["offsets"]) and p["duration_s"] == p["samples"] / 48000
+
+
+def test_layer_one_checksums():
+    """Three mono frames of layer I at 32 kHz, the last with a wrong checksum."""
+    head = bytes((0xFF, 0xFE, 1 << 4 | 2 << 2, 0xC0))
+    length = mpegaudio.parse_header(head + bytes(100), 0)["length"]
+    side = bytes(range(16))
+    frame = head + struct.pack(">H", mpegaudio.crc16(head[2:] + side)) + side
+    frame += bytes(length - len(frame))
+    p = mpegaudio.probe(frame * 2 + frame[:6] + b"\xff" + frame[7:])
+    assert (len(p["offsets"]), p["checked"], p["bad"], p["samples"]) == (3, 3, 1, 3 * 384)
+
+
+def test_audio_contract_by_brute_force(spark):
+    texts = ["", None, "a", "x" * 63, "y" * 64, "é中" * 500, "z" * 20000]
+    df = odd_docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r for r in mpegaudio.features(mpegaudio.store(df)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        data = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+        media = mpegaudio.encode(data)
+        assert (r["media_bytes"], r["media_sha256"], r["n_frames"]) == (len(media), hashlib.sha256(media).hexdigest(), len(r["seek_offsets"]))
+
+
 def test_audio_of_odd_rows(spark):
     got = mpegaudio.features(mpegaudio.store(odd_docs(spark))).collect()
     assert len(got) == 9
@@ -310,6 +366,105 @@ def test_interleaved_shards(spark):
     assert len(shards.interleave(odd_docs(spark), 8).collect()) == 9 and shards.interleave(odd_docs(spark, []), 8).count() == 0
 
 
+def test_interleaving_equals_plain_ranks(spark):
+    """Shard, slot, size and checksum of each row, by sorting lists; also with null ids, null sources, equal rows and a hot source."""
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 250)), f"é{rng.integers(3)}", "en", ["a", "a", "a", "b", None][rng.integers(5)]) for _ in range(300)] + [(None, None, "en", "a"), (None, "", "en", None)]
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    ranked = []
+    for source in ("a", "b", None):
+        mine = sorted((r for r in rows if r[3] == source), key=lambda r: (digest(f"17:{'null' if r[0] is None else r[0]}"), digest(r[1] or "")))
+        ranked += [((2 * k + 1) / (2 * len(mine)), source is None, source or "", k, r) for k, r in enumerate(mine)]
+    ranked.sort(key=lambda x: x[:4])
+    n, expected = len(rows), []
+    for at, (*_, r) in enumerate(ranked):
+        shard = at * 8 // n
+        text = (r[1] or "").encode()
+        expected.append((r[0], len(text) + 1, zlib.crc32(text), shard, at - -(-shard * n // 8)))
+    order = lambda x: tuple((v is None, v or 0) for v in x)
+    got = [tuple(r[c] for c in ("doc_id", "size", "text_crc32", "shard", "slot")) for r in shards.interleave(odd_docs(spark, rows), 8).collect()]
+    assert sorted(got, key=order) == sorted(expected, key=order)
+
+
+@pytest.mark.parametrize("name", ["near_duplicates", "keep_first", "audio", "crf", "keep_clean", "mixture", "pack", "pages", "shards"])
+def test_empty_tables_give_empty_results(spark, name):
+    docs, labels = odd_docs(spark, []), spark.createDataFrame([], "doc_id long, toxic int")
+    run = {
+        "near_duplicates": lambda: minhash.near_duplicates(docs), "keep_first": lambda: minhash.keep_first(docs), "audio": lambda: mpegaudio.features(mpegaudio.store(docs)), "crf": lambda: crf.tag(docs, labels, F.col("doc_id") > 0),
+        "keep_clean": lambda: crf.keep_clean(docs, labels, F.col("doc_id") > 0), "mixture": lambda: mixture.mix(docs, word_count(F.col("text"))), "pack": lambda: packing.pack(docs, tokenizer_path()),
+        "pages": lambda: wrappers.main_texts(spark.createDataFrame([], "page_id long, url string, html string")), "shards": lambda: shards.interleave(docs),
+    }
+    assert run[name]().count() == 0
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    got = minhash.near_duplicates(odd_docs(spark), 2).collect()
+    assert len(got) == 9
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add((r["n_shingles"], r["component_id"], r["kept"]))
+    assert by[1] == {(5, 1, True)} and by[2] == {(5, 1, False)} and by[3] == {(0, 3, True)} and by[4] == {(0, 4, True)} and by[None] == {(1, None, True)} and by[6] == {(1, 6, True)}
+
+
+def write_tables(spark, folder, docs, labels):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_whole_pipeline(spark, tmp_path):
+    """Each stage on what the one before kept: toxic, short and depleted documents and copies go, frequent lines too, and the rest is mixed and packed whole."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    body = lambda n: " ".join(word() for _ in range(n))
+    menu = "home news sport weather contact"
+    rows = [(i, f"{menu}\n{body(80)}", "en", f"s{i % 2}") for i in range(120)]
+    rows += [(1000 + i, f"{body(40)} vilest vilest {body(40)}", "en", "s0") for i in range(60)]
+    rows += [(2000 + i, rows[3][1], "en", "s1") for i in range(4)] + [(2010, rows[5][1].rsplit(" ", 2)[0], "en", "s1")]
+    rows += [(3000, "short text", "en", "s0"), (3001, None, "en", None), (3002, "", "en", "s0"), (3003, "again and so " * 50, "en", "s0")]
+    labels = spark.createDataFrame([(r[0], int(1000 <= r[0] < 1060)) for r in rows], "doc_id long, toxic int")
+    folder = write_tables(spark, tmp_path, odd_docs(spark, rows), labels)
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns
+        docs = materialize(out, name)
+        seen[name] = docs.collect()
+    ids = {k: {r["doc_id"] for r in v} for k, v in seen.items()}
+    everyone = {r[0] for r in rows}
+    assert everyone - ids["toxicity"] == set(range(1000, 1060))
+    good = linefreq.verdicts(odd_docs(spark, [r for r in rows if r[0] in ids["toxicity"]])).collect()
+    assert ids["quality_rules"] == {r["doc_id"] for r in good if r["kept"]} == ids["toxicity"] - {3000, 3001, 3002, 3003}
+    assert sum(menu in r["text"] for r in seen["quality_rules"]) == 2  # the first document of each host keeps its lines
+    left = brute_components({r["doc_id"]: r["text"] for r in seen["quality_rules"]}, 5)
+    assert ids["near_dedup"] == {i for i, (_, c) in left.items() if c == i} and not ids["near_dedup"] & {2000, 2001, 2002, 2003, 2010}
+    texts = {r["doc_id"]: r["text"] for r in seen["near_dedup"]}
+    words = {i: len(t.split()) for i, t in texts.items()}
+    copies = Counter(r["doc_id"] for r in seen["mixing"])
+    assert all(r["text"] == texts[r["doc_id"]] for r in seen["mixing"]) and max(copies.values()) <= 2
+    assert abs(sum(n * words[i] for i, n in copies.items()) - 1.5 * sum(words.values())) < 0.03 * sum(words.values())
+    packed = Counter(r["doc_id"] for r in seen["best_fit_packing"] if r["piece"] == 0)
+    assert packed == copies
+    assert sum(r["length"] for r in seen["best_fit_packing"]) == sum(n * (len(WHOLE.encode(texts[i], add_special_tokens=False).ids) + 1) for i, n in copies.items())
+    assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()) == Counter(r["doc_id"] for r in seen["best_fit_packing"])
+
+
+@pytest.mark.parametrize("rows", [[], None], ids=["empty", "odd"])
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    df = odd_docs(spark, rows).withColumns({c: F.lit(c) for c in ("_rid", "_doc", "gone")})
+    folder = write_tables(spark, tmp_path, df, spark.createDataFrame([], "doc_id long, toxic int"))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == df.columns and out.count() <= 2 * df.count()
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
 def test_mixture_meets_its_targets(spark):
     rows = [(i, "w " * (1 + i % 50), "en", "abcd"[min(3, i % 7)]) for i in range(2000)]
     got = mixture.mix(odd_docs(spark, rows), word_count(F.col("text")), keep=("source",)).collect()
