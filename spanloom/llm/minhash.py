@@ -182,9 +182,9 @@ def _sets(size: int):
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """cid, words (the whole set) for the classes in wanted (cid, rid, fp). Of repeated rows a task gives one."""
+    """cid, words (the whole set) for the classes in wanted (cid, rid, fp). Of repeated rows a task gives one. Texts are dealt by their rows' keys, once and at every size, as no bound holds for the classes."""
     texts = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("rid"), "text")
-    return texts.join(wanted, "rid").select("cid", "fp", "text").mapInPandas(_sets(size), "cid long, words binary")
+    return texts.join(wanted.hint("merge"), "rid").select("cid", "fp", "text").mapInPandas(_sets(size), "cid long, words binary")
 
 
 def _intersect(percent: int):
@@ -323,7 +323,7 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, threshold: float,
     members = write(banded.join(shared, "key").join(classes.select("cid", "n", "bits"), "cid").select("key", "cid", "n", "bits", F.col("cid").alias("root")), "members")
     # from here on, only classes that share a band; their texts are read once
     near = write(classes.select("cid", "rid", "fp", "sig").join(members.select("cid"), "cid", "left_semi"), "near")
-    sets = write(whole_sets(docs, write(near.select("cid", "rid", "fp"), "wanted"), size), "sets")
+    sets = write(whole_sets(docs, near.select("cid", "rid", "fp"), size), "sets")
     links, roots, tried, labelled, before = None, None, None, members, None
     for turn in range(MOST_TURNS):
         stars = _stars(labelled, turn).where(sized(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
