@@ -269,21 +269,22 @@ def components(links: DataFrame, write: Write) -> DataFrame:
         done, most = _stars_and_most(edges)
         if done:
             return edges.select(F.col("u").alias("cid"), F.col("v").alias("root"))
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _towards_least(both.where("v > u"), both, most, write).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v")
-        edges = write(small.distinct(), "edges")
+        # each edge from both of its ends, in one reading
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        m = F.least("m", "u").alias("v")
+        large = _with_least(both, most, write).where("v > u").select(F.col("v").alias("u"), m)
+        ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        small = _with_least(large, most, write).select(ends.alias("e")).select("e.*")
+        edges = write(small.where("u <> v").distinct(), "edges")
 
 
-def _towards_least(edges: DataFrame, both: DataFrame, most: int, write: Write) -> DataFrame:
-    """edges (u, v) with m, the least of u and its neighbours in both. Where a u has over HUB edges, edges are dealt by u and a part of v; the part's own minimum is all that is gathered by u."""
+def _with_least(pairs: DataFrame, most: int, write: Write) -> DataFrame:
+    """pairs (u, v) with m, the least v of their u. Where one end has over HUB edges, pairs are dealt by u and a part of v, and all that is gathered by u is each part's least."""
     if most <= HUB:
-        return edges.join(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
-    part = F.pmod(F.xxhash64("v"), F.lit(1 + most // HUB)).alias("part")
-    parts = write(both.groupBy("u", part).agg(F.min("v").alias("m")), "parts")
-    least = parts.groupBy("u").agg(F.least(F.min("m"), F.col("u")).alias("m"))
-    return edges.select("u", "v", part).join(parts.select("u", "part").join(least, "u"), ["u", "part"])
+        return pairs.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
+    dealt = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(1 + most // HUB)).alias("part"))
+    parts = write(dealt.groupBy("u", "part").agg(F.min("v").alias("m")), "parts")
+    return dealt.join(parts.select("u", "part").join(parts.groupBy("u").agg(F.min("m").alias("m")), "u"), ["u", "part"])
 
 
 def _stars_and_most(edges: DataFrame) -> tuple[bool, int]:

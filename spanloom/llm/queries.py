@@ -108,6 +108,26 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT f.*, NOT base_failed AND 100 * (n_words - coalesce(removed, 0)) >= 75 * n_words AS kept FROM f LEFT JOIN lost USING (doc_id)
 """
 
+#: Five hexadecimal digits are four characters of base 32.
+_OP1 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+r AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, array_to_string(list_transform(range(8), lambda k: list_reduce(list_transform([15, 10, 5, 0],
+    lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 1 + 5 * k, 5))::BIGINT >> b) & 31)::INT + 1, 1)), lambda x, y: x || y)), '') AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM r
+"""
+
+#: All pairs with a shingle in common: for a small table.
+_OP2 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
+SELECT id AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id, id = min(root) AS kept FROM r LEFT JOIN n ON n.doc_id = id GROUP BY id
+"""
+
 _DRAWS = ", ".join(f"('0x' || substr(md5('17:{i}:' || coalesce(doc_id::VARCHAR, 'null')), {1 + 8 * j}, 8))::BIGINT" for i in range(8) for j in range(4))
 
 _OP9 = rf"""
@@ -132,4 +152,4 @@ SELECT doc_id, size, source_size, target, ((whole + CASE WHEN draws[pick] < belo
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_frequency": _OP4, "op9_mixture": _OP9}
+    return {"op1_warc_zip": _OP1, "op2_minhash_dedup": _OP2, "op4_line_frequency": _OP4, "op9_mixture": _OP9}

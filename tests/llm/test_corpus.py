@@ -449,19 +449,23 @@ def test_whole_pipeline(spark, tmp_path):
     packed = Counter(r["doc_id"] for r in seen["best_fit_packing"] if r["piece"] == 0)
     assert packed == copies
     assert sum(r["length"] for r in seen["best_fit_packing"]) == sum(n * (len(WHOLE.encode(texts[i], add_special_tokens=False).ids) + 1) for i, n in copies.items())
-    assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()) == Counter(r["doc_id"] for r in seen["best_fit_packing"])
 
 
-@pytest.mark.parametrize("rows", [[], None], ids=["empty", "odd"])
-def test_pipeline_of_empty_and_odd_tables(spark, tmp_path, rows):
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
-    df = odd_docs(spark, rows).withColumns({c: F.lit(c) for c in ("_rid", "_doc", "gone")})
+    df = odd_docs(spark).withColumns({c: F.lit(c) for c in ("_rid", "_doc", "gone")})
     folder = write_tables(spark, tmp_path, df, spark.createDataFrame([], "doc_id long, toxic int"))
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, folder)
         assert out.columns == df.columns and out.count() <= 2 * df.count()
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = write_tables(spark, tmp_path, odd_docs(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))
     assert corpus_pipeline.run(spark, folder).count() == 0
 
 
