@@ -27,7 +27,7 @@ class Episodes:
 
     @cached_property
     def walls(self) -> DataFrame:
-        return episodes.session_wall(self.rows, self.turns, self.calls, self.hooks, self.modes)
+        return episodes.session_wall(self.rows)
 
     @cached_property
     def bounds(self) -> DataFrame:

@@ -40,7 +40,7 @@ def stack_levels(events: DataFrame, push: Column, pop: Column, prefix: str) -> D
 
 
 def routed(events: DataFrame) -> DataFrame:
-    """Events with stack levels of tools and hooks, abort_route (tool, hook, turn, session) and the turn that was open before each event (open_turn_seq, open_turn_id)."""
+    """Events with stack levels of tools and hooks, abort_route (tool, hook, turn, session) and the turn that was open before each event (open_turn_seq, open_turn_id, open_turn_ts)."""
     kind = F.col("kind")
     rows = stack_levels(events, kind == "tool_start", kind.isin("tool_complete", "abort"), "tool")
     past_tools = (kind == "abort") & F.col("tool_orphan")
@@ -49,7 +49,7 @@ def routed(events: DataFrame) -> DataFrame:
     slot = F.when(kind.isin("turn_start", "turn_end") | past_hooks, F.struct((kind == "turn_start").alias("open"), F.col("seq"), F.col("event_id"), F.col("ts")))
     rows = rows.withColumn("_slot", F.last(slot, ignorenulls=True).over(before()))
     is_open = F.coalesce(F.col("_slot.open"), F.lit(False))
-    rows = rows.withColumn("open_turn_seq", F.when(is_open, F.col("_slot.seq"))).withColumn("open_turn_id", F.when(is_open, F.col("_slot.event_id")))
+    rows = rows.withColumn("open_turn_seq", F.when(is_open, F.col("_slot.seq"))).withColumn("open_turn_id", F.when(is_open, F.col("_slot.event_id"))).withColumn("open_turn_ts", F.when(is_open, F.col("_slot.ts")))
     route = F.when(kind != "abort", None).when(~F.col("tool_orphan"), "tool").when(~F.col("hook_orphan"), "hook").when(is_open, "turn").otherwise("session")
     rows = rows.withColumn("abort_route", route).withColumn("mode_now", F.coalesce(F.last(F.when(kind == "mode_changed", mode_of(F.col("mode"))), ignorenulls=True).over(so_far()), F.lit("interactive")))
     whole = Window.partitionBy("session_id")
@@ -159,9 +159,21 @@ def warnings(rows: DataFrame) -> DataFrame:
     return marked.select("session_id", "event_id", "ts", F.explode(found).alias("kind")).select("session_id", "kind", F.col("event_id").alias("ref"), F.col("ts").alias("at"))
 
 
-def session_wall(rows: DataFrame, turn: DataFrame, tool: DataFrame, hook: DataFrame, mode: DataFrame) -> DataFrame:
-    """session_id, started_at, wall_ms: from the first event to the latest end of a turn, tool, hook, skill or mode segment."""
-    starts = rows.groupBy("session_id").agg(F.min_by("ts", "seq").alias("started_at"))
-    ends = turn.select("session_id", "ended_at").union(tool.select("session_id", "ended_at")).union(hook.select("session_id", "ended_at")).union(mode.select("session_id", "ended_at")).union(rows.where("kind = 'skill_invoked'").select("session_id", "ts"))
-    last = ends.groupBy("session_id").agg(F.max("ended_at").alias("last_end"))
-    return starts.join(last, "session_id", "left").select("session_id", "started_at", millis(F.col("started_at"), F.coalesce("last_end", "started_at")).alias("wall_ms"))
+def session_wall(rows: DataFrame) -> DataFrame:
+    """session_id, started_at, wall_ms: from the first event to the latest end of a turn, tool, hook, skill or mode segment.
+
+    Every end is the time of some routed event, or the session's last one for what is open then, so one aggregate by session
+    finds the latest: starts count as ends of calls do, since no call ends before its start; a turn's start counts once it ends.
+    """
+    kind, route, ts = F.col("kind"), F.coalesce("abort_route", F.lit("")), F.col("ts")
+    marks = kind.isin("tool_start", "tool_complete", "hook_start", "hook_end", "skill_invoked", "mode_changed") | route.isin("tool", "hook")
+    at = F.when((kind == "turn_end") | (route == "turn"), F.greatest("ts", "open_turn_ts")).when(marks, ts)
+    left = lambda start, end, popped: F.count_if(kind == start) > F.count_if(popped | (kind == end) & ~F.col(f"{start[:4]}_orphan"))
+    when = lambda k, c: F.when(kind == k, c)
+    each = rows.groupBy("session_id").agg(
+        F.min_by("ts", "seq").alias("started_at"), F.max(at).alias("mark"), F.max("last_ts").alias("last_ts"), (left("tool_start", "tool_complete", route == "tool") | left("hook_start", "hook_end", route == "hook")).alias("open"),
+        F.max(when("mode_changed", F.col("seq"))).alias("mode"), F.max(when("model_change", F.col("seq"))).alias("model"), F.max_by("ts", when("model_change", F.col("seq"))).alias("model_ts"),
+    )
+    mode_end = F.when(F.col("mode").isNotNull(), F.when(F.col("model") > F.col("mode"), F.col("model_ts")).otherwise(F.col("last_ts")))
+    last = F.greatest("mark", F.when(F.col("open"), F.col("last_ts")), mode_end)
+    return each.select("session_id", "started_at", millis(F.col("started_at"), F.coalesce(last, F.col("started_at"))).alias("wall_ms"))

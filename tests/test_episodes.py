@@ -125,6 +125,23 @@ def test_flame_events_equal_a_plain_loop(spark, seed):
     assert flame.marks(spans).count() == 2 * len(got)
 
 
+@pytest.mark.parametrize("seed", range(5, 8))
+def test_walls_reach_the_latest_end_of_any_episode(spark, seed):
+    rng, rows = random.Random(seed), []
+    for s in range(60):
+        for i in range(rng.randint(1, 12)):
+            kind = rng.choice([*KINDS, "model_change", "skill_invoked", "user_message"])
+            rows.append((f"s{s}", i, f"e{i}", datetime(2024, 1, 1) + timedelta(seconds=rng.randint(0, 60)), kind, "x", "c", None, None, "plan", True, None, None, None, None))
+    e = Episodes(spark.createDataFrame(rows, EVENTS))
+    ends = {}
+    for df in (e.turns, e.calls, e.hooks, e.modes, e.skills.withColumn("ended_at", F.col("ts"))):
+        for r in df.where("ended_at is not null").select("session_id", "ended_at").collect():
+            ends[r[0]] = max(ends.get(r[0], r[1]), r[1])
+    first = {r[0]: r[3] for r in sorted(rows, key=lambda r: -r[1])}
+    expected = {s: max(0, (ends.get(s, t) - t) // timedelta(milliseconds=1)) for s, t in first.items()}
+    assert {r["session_id"]: r["wall_ms"] for r in e.walls.collect()} == expected
+
+
 def test_bundle_names_its_tables(spark):
     tables = Episodes(spark.createDataFrame(streams(4), EVENTS)).bundle()
     assert {"turn_summary", "tool_rank", "usage", "sessions"} <= set(tables) and tables["turn_summary"].count() > 0
