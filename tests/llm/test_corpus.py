@@ -571,7 +571,7 @@ def test_keys_that_return_keep_their_texts(spark):
 def test_quality_stage_removes_the_lines_of_what_it_keeps(spark):
     from corpus_pipeline import quality_rules
 
-    own = lambda i: " ".join(f"own{i}x{j}" for j in range(60))
+    own = lambda i: " ".join(f"own{chr(97 + i // 26)}{chr(97 + i % 26)}{'x' * j}" for j in range(60))
     last = lambda i: f"last of {chr(97 + i // 26)}{chr(97 + i % 26)}"
     rows = [(i, f"{own(i)}\nShare this page\n{last(i)}", "en", "h") for i in range(40)] + [(100, "Share this page\n" * 40, "en", "h"), (101, None, "en", "h")]
     got = {r["doc_id"]: r for r in quality_rules(spark, odd_docs(spark, rows), "").collect()}
