@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, langid, linefreq, minhash, mixture, mpegaudio, packing, shards, warc, wrappers
+from . import collocations, crf, langid, lexsearch, linededup, linefreq, minhash, mixture, mpegaudio, packing, shards, warc, wrappers
 from .common import documents, word_count
 
 
@@ -82,8 +82,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that five or more of them share, but in the last of them."""
+    return linededup.report(documents(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k by contract: each language's 2000 best phrases of all documents."""
+    return collocations.phrases(documents(spark, sf_dir))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k by contract: the ten best documents of each benchmark item."""
+    return lexsearch.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc_zip, op2_minhash_dedup, op3_language_id, op4_line_frequency, op5_mpeg_audio, op6_wrapper_extraction, op7_crf_toxicity, op8_interleaved_shards, op9_mixture, op10_best_fit_packing)
+    found = (op1_warc_zip, op2_minhash_dedup, op3_language_id, op4_line_frequency, op5_mpeg_audio, op6_wrapper_extraction, op7_crf_toxicity, op8_interleaved_shards, op9_mixture, op10_best_fit_packing, op11_line_dedup, op12_collocations, op13_lexical_search)
     return {f.__name__: f for f in found}
 
 
@@ -150,6 +165,43 @@ q AS (SELECT position, arg_min(i, (off, i)) AS pick FROM m GROUP BY position)
 SELECT doc_id, size, source_size, target, ((whole + CASE WHEN draws[pick] < below THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM k JOIN q USING (position)
 """
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_OP11 = rf"""
+WITH x AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), {_LOWER}) AS key FROM x),
+f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count_if(coalesce(doc_id <> last, false))::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT coalesce(doc_id <> last, false)), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY doc_id
+"""
+
+_OP12 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, 1 AS k, unnest(w) AS g FROM w UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT *, split_part(g, ' ', 1) AS x, split_part(g, ' ', 2) AS y, split_part(g, ' ', 3) AS z FROM f WHERE k > 1 AND f >= 10),
+parts AS (SELECT lang, g, f, k, 1 AS cut, x AS l, CASE k WHEN 2 THEN y ELSE y || ' ' || z END AS r FROM c UNION ALL SELECT lang, g, f, k, 2, x || ' ' || y, z FROM c WHERE k = 3),
+s AS (SELECT p.lang, p.g, p.f, p.k, p.cut, a.f AS l, b.f AS r, ((1000000::HUGEINT * p.f * p.f) // (a.f::HUGEINT * b.f))::BIGINT AS score FROM parts p JOIN f a ON a.lang = p.lang AND a.g = p.l AND a.k = p.cut JOIN f b ON b.lang = p.lang AND b.g = p.r AND b.k = p.k - p.cut),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+big AS (SELECT lang, g, max(f) AS f FROM (SELECT lang, x || ' ' || y AS g, f FROM c WHERE k = 3 UNION ALL SELECT lang, y || ' ' || z, f FROM c WHERE k = 3) GROUP BY 1, 2),
+free AS (SELECT b.* FROM best b LEFT JOIN big USING (lang, g) WHERE b.k = 3 OR big.f IS NULL OR 100 * big.f < 50 * b.f)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, g) AS rank, g AS phrase, f AS a, l, r, n, score FROM free JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+_OP13 = rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+dl AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY 1),
+g AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM dl),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, g GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), g GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_zip": _OP1, "op2_minhash_dedup": _OP2, "op4_line_frequency": _OP4, "op9_mixture": _OP9}
+    return {"op1_warc_zip": _OP1, "op2_minhash_dedup": _OP2, "op4_line_frequency": _OP4, "op9_mixture": _OP9, "op11_line_dedup": _OP11, "op12_collocations": _OP12, "op13_lexical_search": _OP13}
