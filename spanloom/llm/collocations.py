@@ -23,6 +23,8 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes(10 if c in BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words that a task holds before it gives out their grams.
 CHUNK = 4_000_000
+#: Three numbers of words below 2 ** PACK_BITS are counted as one.
+PACK_BITS = 21
 GRAMS = pa.schema([("lang", pa.string()), ("node", pa.string()), ("last", pa.string()), ("n", pa.int64())])
 
 
@@ -31,9 +33,10 @@ def _grams(lang: str, words: list[bytes], ids: np.ndarray) -> pa.RecordBatch:
     a, b, c = ids, np.append(ids[1:], 0), np.append(ids[2:], [0, 0])[: len(ids)]
     c = np.where(b == 0, 0, c)
     a, b, c = (x[ids > 0] for x in (a, b, c))
-    if len(words) < 1 << 21:
-        keys, n = np.unique(a << 42 | b << 21 | c, return_counts=True)
-        a, b, c = keys >> 42, keys >> 21 & (1 << 21) - 1, keys & (1 << 21) - 1
+    if len(words) < 1 << PACK_BITS:
+        keys, n = np.unique(a << 2 * PACK_BITS | b << PACK_BITS | c, return_counts=True)
+        low = (1 << PACK_BITS) - 1
+        a, b, c = keys >> 2 * PACK_BITS, keys >> PACK_BITS & low, keys & low
     else:
         pairs, at = np.unique(a * len(words) + b, return_inverse=True)
         keys, n = np.unique(at * len(words) + c, return_counts=True)
@@ -110,7 +113,7 @@ def compacted(edges: DataFrame, space: Scratch) -> DataFrame:
     An edge goes on in another where its end node has no other edges and neither begins nor ends a piece: both weights equal the node's flow.
     So all edges of a path weigh the same, and every occurrence of its first edge lies in one piece with the rest: a path is no
     longer than a piece. Heads are found by pointer doubling over a written table, in as many rounds as the logarithm of the longest path;
-    edges of a ring have no head and stay paths of their own.
+    edges of a ring would have no head and stay paths of their own (but some piece begins in every ring, so none is unary).
     """
     to = F.concat(F.substring_index("node", " ", -1), F.lit(" "), F.col("last")).alias("to")
     flows = edges.groupBy(F.col("lang").alias("l"), F.col("node").alias("v")).agg(F.max("flow").alias("out_flow"), F.max("n").alias("out_n"))

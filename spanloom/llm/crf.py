@@ -31,6 +31,11 @@ BLOCK = 64
 MEMORY = 150_000
 
 
+def tokens(text: str) -> list[str]:
+    """A text's tokens in lower case. Each is lower-cased by itself, as that can change a text's length: so the tokens are those of the text as it stands, in number and place."""
+    return list(map(str.lower, TOKEN.findall(text)))
+
+
 def features(word: str) -> list[int]:
     """Hashed features of a token: a bias, the word, its beginnings and its end."""
     names = [word, word[-3:], *[word[:n] for n in BEGINNINGS]]
@@ -148,7 +153,7 @@ def _summary(p: np.ndarray) -> list[float]:
 
 def train(texts: list[str], toxic: list[int], prior: float, epochs: int = 6, batch: int = 64, rate: float = 0.3, seed: int = 17) -> Model:
     """Fits the field on four documents in five, and on the fifth the logistic curve that makes scores of marginals; prior is the share of toxic documents among all, which the sample need not have."""
-    words = [TOKEN.findall(t.lower()) for t in texts]
+    words = [tokens(t) for t in texts]
     ids: dict[str, int] = {}
     codes = [np.array([ids.setdefault(w, len(ids)) for w in ws], np.int32) for ws in words]
     del words
@@ -206,7 +211,7 @@ def marginals(model: Model, texts: list[str], memory: dict[str, float]) -> list[
     """Each text's tokens' toxic marginals. memory holds the emissions of words already met."""
     emissions = []
     for t in texts:
-        ws = TOKEN.findall(t.lower())
+        ws = tokens(t)
         try:
             e = [memory[w] for w in ws]
         except KeyError:
@@ -232,10 +237,10 @@ def document_score(model: Model, p: np.ndarray) -> float:
 
 
 def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[list[int]]:
-    """Begin and end, in characters, of runs of tokens with a marginal of at least `least`."""
+    """Begin and end, in characters of the text, of runs of tokens with a marginal of at least `least`."""
     out: list[list[int]] = []
     last = -2
-    for i, m in enumerate(TOKEN.finditer(text.lower() if len(text.lower()) == len(text) else text)):
+    for i, m in enumerate(TOKEN.finditer(text)):
         if i < len(p) and p[i] >= least:
             if last == i - 1:
                 out[-1][1] = m.end()
@@ -246,7 +251,7 @@ def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[list[int]]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int, most_bytes: int) -> tuple[list[str], list[int], float]:
-    """Texts and labels of `most` documents of each class, or of all it has: those with the least hashes of doc_id; of rows that repeat a doc_id one. A class's texts end where they pass half of most_bytes. And the share of toxic ones among all that may be learnt from."""
+    """Texts and labels of `most` documents of each class, or of all it has: those with the least hashes of doc_id; of rows that repeat a doc_id one. A class's texts end where they pass half of most_bytes; texts that pass it by themselves come last, so one is taken only where its class has no other. And the share of toxic ones among all that may be learnt from."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     h = F.xxhash64(F.lit("sample"), "doc_id")
@@ -256,8 +261,10 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int, most_by
     # two times `most` ids at the most, whatever the tables' sizes
     ids = F.broadcast(reduce(DataFrame.union, picked))
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(ids, "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))
-    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("h", "doc_id"))
-    found = sorted((r["toxic"], r["text"]) for r in rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes // 2).select("toxic", "text").collect())
+    half = most_bytes // 2
+    order = Window.partitionBy("toxic").orderBy(F.octet_length("text") > half, "h", "doc_id")
+    ranked = rows.withColumns({"so_far": F.sum(F.octet_length("text")).over(order), "rank": F.row_number().over(order)})
+    found = sorted((r["toxic"], r["text"]) for r in ranked.where((F.col("rank") == 1) | (F.col("so_far") <= half)).select("toxic", "text").collect())
     return [t for _, t in found], [y for y, _ in found], counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
 
 

@@ -45,7 +45,7 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out, h = np.empty((len(GRAMS), len(codes)), np.int32), np.zeros(len(codes), np.uint32)
     for k, size in enumerate(GRAMS):
         shifted = np.zeros_like(codes)
-        shifted[: len(codes) - size + 1] = codes[size - 1 :]
+        shifted[: max(0, len(codes) - size + 1)] = codes[size - 1 :]
         h = (h ^ shifted) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         bucket = ((h + np.uint32(size * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
@@ -124,19 +124,19 @@ def train(texts: list[str], languages: list[str], epochs: int = 12, rate: float
 
 
 def sample(docs: DataFrame, learn: Column, most: int, least: int, most_bytes: int) -> tuple[list[str], list[str]]:
-    """Labelled texts, the languages as evenly as they can be: each of k languages gives max(most / k, least) texts, picked by a hash, or all that it has; fewer where they would pass most_bytes / k bytes, one at least. No language is left out."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = materialize(rows.groupBy(F.col("lang").alias("name")).agg(F.count("*").alias("n")), "languages")
+    """Labelled texts, the languages as evenly as they can be: each of k languages gives max(most / k, least) distinct texts, picked by a hash of the text, or all that it has; fewer where they would pass most_bytes / k bytes, one at least. Texts over that bound come last, so one is taken only where a language has no other. A text counts once for a language, however often it is repeated, and no language is left out."""
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.lit("sample"), "text").alias("t"))
+    counts = materialize(rows.groupBy(F.col("lang").alias("name")).agg(F.count_distinct("t").alias("n")), "languages")
     k = counts.count()
     if not k:
         return [], []
-    each = max(most // k, least)
-    h = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(10**9)) / F.lit(10.0**9)
-    # twice the rows that are wanted, so that the cut below finds enough of them
-    few = rows.join(counts, F.col("lang") == F.col("name")).where(h * F.col("n") < F.lit(2.0 * each)).select("lang", "text", h.alias("h"), F.octet_length("text").alias("size"))
-    by_hash = Window.partitionBy("lang").orderBy("h", "text")
-    few = few.withColumns({"rank": F.row_number().over(by_hash), "before": F.sum("size").over(by_hash) - F.col("size")})
-    taken = few.where((F.col("rank") <= each) & ((F.col("rank") == 1) | (F.col("before") + F.col("size") <= F.lit(most_bytes // k)))).select("text", "lang")
+    each, cap = max(most // k, least), most_bytes // k
+    h = F.pmod(F.col("t"), F.lit(10**9)) / F.lit(10.0**9)
+    # twice the texts that are wanted, so that the cut below finds enough of them
+    few = rows.join(counts, F.col("lang") == F.col("name")).where(h * F.col("n") < F.lit(2.0 * each)).dropDuplicates(["lang", "t"]).select("lang", "text", h.alias("h"), F.octet_length("text").alias("size"))
+    by_hash = Window.partitionBy("lang").orderBy(F.col("size") > cap, "h", "text")
+    few = few.withColumns({"rank": F.row_number().over(by_hash), "upto": F.sum("size").over(by_hash)})
+    taken = few.where((F.col("rank") <= each) & ((F.col("rank") == 1) | (F.col("upto") <= cap))).select("text", "lang")
     found = [(t, x) for t, x in sorted((r["text"], r["lang"]) for r in taken.collect()) if has_letter(t)]
     return [t for t, _ in found], [x for _, x in found]
 
@@ -162,7 +162,7 @@ def _predict(model: Model | None):
 def identify(docs: DataFrame, learn: Column, most: int = 2000, least: int = 20, most_bytes: int = 32_000_000) -> DataFrame:
     """Per row of docs (doc_id, text, lang): doc_id, held_out (learn is false), lang_pred, score, rejected.
 
-    Trains on a sample of `most` rows for which learn holds and lang is not null (at least `least` of each language, if it has
+    Trains on a sample of `most` distinct texts for which learn holds and lang is not null (at least `least` of each language, if it has
     them, and about most_bytes bytes; see sample), and predicts every whole text from its characters alone. score is the calibrated probability of lang_pred. Texts that are null, empty or have no
     letter get `und`, score 0 and rejected; so do all if there is nothing to learn from. rejected also marks scores
     under the model's threshold. Repeated rows get equal results. An empty table gives an empty result.

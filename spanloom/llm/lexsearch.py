@@ -145,7 +145,9 @@ def search_slice(best: Best, tree: tuple, docs: np.ndarray, null: np.ndarray, pt
     """
     items, groups, root, group = tree
     owner = np.repeat(np.arange(len(docs)), np.diff(ptr))
-    top = root.values[root.starts[term]] * value
+    largest = np.zeros(n_terms, "int64")
+    largest[np.diff(root.starts) > 0] = root.values
+    top = largest[term] * value
     heavy = np.zeros(len(docs), "int64")
     order = np.lexsort((top, owner))
     heavy[owner[order]] = term[order]

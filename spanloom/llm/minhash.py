@@ -131,15 +131,15 @@ def _sketch(size: int):
                 cols = {c: [None] * len(sets) for c in ("fp", "sig", "bands", "bits")}
                 for k, i in enumerate(full):
                     cols["fp"][i], cols["sig"][i], cols["bands"][i], cols["bits"][i] = fingerprint(sets[i]), low[k].tobytes(), keys[k].tolist(), int(bits[k])
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "rid": part["rid"], "n": [len(s) for s in sets], **cols, "bits": pd.array(cols["bits"], dtype="Int64")})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "rid": part["rid"], "rid2": part["rid2"], "n": [len(s) for s in sets], **cols, "bits": pd.array(cols["bits"], dtype="Int64")})
 
     return run
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, rid (a row's key), n (size of the set), and for texts with words fp, sig, bands, bits."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text")
-    return rows.mapInPandas(_sketch(size), "doc_id long, rid long, n long, fp binary, sig binary, bands array<long>, bits long")
+    """doc_id, rid and rid2 (a row's key, 128 bits together), n (size of the set), and for texts with words fp, sig, bands, bits."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64("text", "doc_id").alias("rid2"), "text")
+    return rows.mapInPandas(_sketch(size), "doc_id long, rid long, rid2 long, n long, fp binary, sig binary, bands array<long>, bits long")
 
 
 def _sieve(threshold: float, miss: float):
@@ -357,20 +357,21 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, threshold: float,
     found = classes.select("cid", "fp", "doc_id").join(roots, "cid", "left").select("cid", "fp", "doc_id", label)
     ids = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_fp = found.join(ids, "root").select("fp", "component_id")
-    out = rows.select("doc_id", "rid", F.col("n").alias("n_shingles"), "fp").join(by_fp, "fp", "left")
+    out = rows.select("doc_id", "rid", "rid2", F.col("n").alias("n_shingles"), "fp").join(by_fp, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "rid")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "rid", "rid2")
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that near_duplicates keeps: one of each component, and of repeated rows one. Null texts and those without words are kept, with their repeats. An empty table gives an empty result."""
+    key = ["rid", "rid2"]
     found = near_duplicates(docs, size, percent)
-    gone = materialize(found.where(~F.col("kept")).select("rid").distinct(), "gone")
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("rid"))
-    left = rows.join(gone, "rid", "left_anti")
-    again = materialize(found.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy("rid").count().where("count > 1").select("rid"), "repeated")
+    gone = materialize(found.where(~F.col("kept")).select(*key).distinct(), "gone")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("rid"), F.xxhash64(docs["text"], docs["doc_id"]).alias("rid2"))
+    left = rows.join(gone, key, "left_anti")
+    again = materialize(found.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy(*key).count().where("count > 1").select(*key), "repeated")
     if not again.isEmpty():
-        left = left.join(again, "rid", "left_anti").unionByName(left.join(again, "rid", "left_semi").dropDuplicates(["rid"]))
+        left = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates(key))
     return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 

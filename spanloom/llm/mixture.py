@@ -50,16 +50,21 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = (3, 1, 2), sha
     Empty documents and sources without words take nothing. Repeated rows draw alike. An empty table gives an empty result.
     """
     n = 4 * DIGESTS
-    rows = docs.select("doc_id", "source", size.alias("size"), *keep)
+    rows = materialize(docs.select("doc_id", "source", size.alias("size")), "sizes")
     sizes = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sizes = sizes.withColumn("whole", F.floor(rate)).withColumn("below", F.floor((rate - F.floor(rate)) * F.lit(2.0**32)))
-    drawn = rows.join(sizes, rows["source"].eqNullSafe(sizes["source"])).select(rows["*"], "source_size", "target", "position", "whole", "below", draws(F.col("doc_id"), seed).alias("draws"))
+
+    def with_draws(rows: DataFrame) -> DataFrame:
+        return rows.join(sizes, rows["source"].eqNullSafe(sizes["source"])).select(rows["*"], "source_size", "target", "position", "whole", "below", draws(F.col("doc_id"), seed).alias("draws"))
+
+    drawn = with_draws(rows)
     extra = [F.sum(F.when(F.col("draws")[i] < F.col("below"), F.col("size")).otherwise(0)) for i in range(n)]
     sums = drawn.groupBy("position").agg(F.first("target").alias("target"), F.first("whole").alias("whole"), F.first("source_size").alias("source_size"), F.array(*extra).alias("extra"))
     off = F.transform("extra", lambda x: F.abs(F.col("whole") * F.col("source_size") + x - F.col("target")))
     pick = sums.select("position", (F.array_position(off, F.array_min(off)) - 1).cast("int").alias("pick"))
     picked = materialize(pick, "picks").select(F.col("position").alias("p"), "pick")
-    out = drawn.join(picked, F.col("position") == F.col("p"))
+    # sizes are written once; texts are read again only to be carried
+    out = (with_draws(docs.select("doc_id", "source", size.alias("size"), *keep)) if keep else drawn).join(picked, F.col("position") == F.col("p"))
     copies = (F.col("whole") + F.when(F.get("draws", F.col("pick")) < F.col("below"), 1).otherwise(0)).cast("int")
     return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)

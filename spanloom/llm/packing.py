@@ -122,13 +122,13 @@ def pack(docs: DataFrame, tokenizer_path: str, most: int = 1024, end: int = 2) -
     """Per piece of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's ids are its text's and then `end`; a null text is empty. Only documents of more than `most` ids are cut,
-    into pieces of `most`, the first of which may be shorter. Pieces are dealt to groups by a hash, and each group is
-    packed by the sum-of-squares rule: pieces of a quarter of a sequence and more first, the longest first, then the
+    into pieces of `most`, the first of which may be shorter. Pieces are dealt to groups by random numbers
+    that are written with them, so repeated rows spread as others do, and each group is packed by the sum-of-squares rule: pieces of a quarter of a sequence and more first, the longest first, then the
     others in the order of their checksums, which is as good as random (closer than all longest first or all random; README). Ids of sequences are unique, not gapless. Null doc_ids are
     carried; repeated rows are packed each. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    pieces = materialize(rows.mapInPandas(_pieces(tokenizer_path, most, end), "doc_id long, row long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = materialize(rows.mapInPandas(_pieces(tokenizer_path, most, end), "doc_id long, row long, piece int, start long, length long, ids_crc32 long").withColumn("deal", F.rand(17)), "pieces")
     groups = -(-pieces.count() // PER_GROUP) or 1
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("row", "piece", "doc_id"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.floor(F.col("deal") * groups)).drop("deal")
     return dealt.groupBy("grp").applyInPandas(_pack(most), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -37,7 +37,7 @@ def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents by two-word shingles at a similarity of 0.8."""
-    return minhash.near_duplicates(documents(spark, sf_dir), size=2, percent=80).drop("rid")
+    return minhash.near_duplicates(documents(spark, sf_dir), size=2, percent=80).drop("rid", "rid2")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,14 +26,14 @@ def ranked(rows: DataFrame, by: list[str], bucket: str, order: list[str], rank:
 def interleave(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     """Per row of docs (doc_id, text, source): doc_id, size, text_crc32, shard, slot.
 
-    Rows are shuffled within their source by a seeded hash of doc_id (ties by a hash of the text, then by checksum and
-    size, so only equal rows are exchangeable). The row of rank r among n has the fractional rank (2r + 1) / 2n; all
+    Rows are shuffled within their source by a seeded hash of doc_id and text, so rows without an id, or with one that is
+    repeated, spread as others do, and only equal rows are exchangeable. The method knows no groups: equal texts may lie in different shards. The row of rank r among n has the fractional rank (2r + 1) / 2n; all
     rows are sorted by it (ties: source, null last, then rank) and cut into `shards` runs of which the lengths differ by one at most.
     slot counts from 0 within a shard. size is the UTF-8 bytes of the text plus 1; a null text has none and the
     checksum of an empty one. Null sources are one source. An empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
-    shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text)).cast("binary"))
     rows = docs.select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), shuffled.alias("_h"), F.md5(text).alias("_t"))
     totals = materialize(rows.groupBy("source").agg(F.count("*").alias("_total")), "sources")
     n = totals.agg(F.sum("_total")).first()[0] or 0

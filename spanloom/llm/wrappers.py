@@ -30,17 +30,19 @@ from .common import materialize
 # Fixed values of HTML: elements without content, elements whose content is not markup, elements that end others left open, and
 # elements that stand within a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select object".split())
 CLOSES = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"},
     **{t: {"p"} for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()},
 }
 #: An element whose open tags stop the search for what to close.
 SCOPES = frozenset("ul ol dl table article section div body td th nav aside main header footer form blockquote".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr #text".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr #text math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle mtable mtr mtd".split())
 
+#: Elements that hold texts of their own: inside a marked article their class says nothing about what they are.
+TEXTS = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption".split())
 #: Elements, and words in class, id or role, that are no part of an article; and those that hold one.
-OUTSIDE = frozenset("head nav header footer aside form script style noscript template iframe svg math button select textarea input object dialog menu title".split())
+OUTSIDE = frozenset("head nav header footer aside form script style noscript template iframe svg button select textarea input object dialog menu title annotation annotation-xml".split())
 OUTSIDE_WORDS = frozenset("ad ads advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup sidebar side menu nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar header footer copyright legal share sharing social related recommended recommendations trending tags widget comment comments disqus replies reply respond discussion login search hidden skip".split())
 ARTICLE, ARTICLE_WORDS = ("article", "main"), frozenset("article content post entry story body text".split())
 
@@ -344,9 +346,10 @@ def expression(parts: list[dict]) -> str:
 
 
 @lru_cache(1 << 16)
-def _outside(key: str) -> bool:
+def _outside(key: str, inside: bool = False) -> bool:
+    """Whether an element is no part of an article by its tag or the words of its class. Inside a marked article words count for elements that hold others only."""
     tag, *words = key.split(".")
-    return tag in OUTSIDE or bool(set(words) & OUTSIDE_WORDS)
+    return tag in OUTSIDE or (bool(set(words) & OUTSIDE_WORDS) and not (inside and tag in TEXTS))
 
 
 def _holds(key: str, level: int) -> bool:
@@ -385,7 +388,7 @@ def slots(wrapper: dict, level: int) -> tuple[dict[int, bool], frozenset[str]]:
                 rows += x["c"]
             elif "t" in x:
                 constants |= {x["k"]} - {"#text"}
-            elif not _outside(x["k"]):
+            elif not _outside(x["k"], inside and level < 3):
                 linked = level == 3 and x["k"].split(".")[0] in ("li", "ul", "ol") and _only_links(x)
                 todo.append((x, _path(path, x["k"]), not linked and (inside or _holds(x["k"], level) if level < 3 else inside or x["k"] == "body")))
     return reading, frozenset(constants)
@@ -431,9 +434,10 @@ def blocks(page: Node, reading: dict[int, bool] | None = None) -> list[tuple[int
                     line.append(kid)
             elif kid.tag == "br":
                 line.append(BREAK)
-            elif not _outside(kid.key):
+            else:
                 at = _path(path, kid.key)
-                inner = True if reading is None else reading.get(at)
+                # the wrapper's paths leave out what is outside
+                inner = (None if _outside(kid.key, True) else True) if reading is None else reading.get(at)
                 if inner is None:
                     continue
                 closes = kid.tag not in INLINE
