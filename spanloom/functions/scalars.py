@@ -99,8 +99,10 @@ def severity(calls: Column, failures: Column) -> Column:
 
 
 def shorten(text: Column, most: int = 60) -> Column:
-    """Long strings inside a JSON sample cut to `most` characters."""
-    return F.regexp_replace(text, rf'"((?:[^"\\]|\\.){{{most}}})(?:[^"\\]|\\.)+"', '"$1…"')
+    """The string values inside a JSON text cut to `most` characters and three dots; keys stay. A match begins where the last one ended and takes whole short strings and keys first, so it never begins between two strings."""
+    one = r'(?:[^"\\]|\\.)'
+    before = rf'\G((?:[^"]++|"{one}*+"(?=\s*:)|"{one}{{0,{most}}}+")*+)'
+    return F.regexp_replace(text, rf'{before}"({one}{{{most}}}){one}++"', '$1"$2..."')
 
 
 def home_leaks(text: Column, allowed: tuple[str, ...] = ("user", "runner", "example")) -> Column:
@@ -109,20 +111,39 @@ def home_leaks(text: Column, allowed: tuple[str, ...] = ("user", "runner", "exam
     return F.filter(found, lambda x: ~x.isin(*allowed))
 
 
-def attribute(attrs: Column, key: str) -> Column:
-    """The first value of a key in an array of struct(key, value)."""
-    return F.get(F.filter(attrs, lambda a: a["key"] == key), F.lit(0))["value"]
+def first_attribute(attrs: Column, *keys: str) -> Column:
+    """The typed value (a struct of stringValue, intValue, doubleValue, boolValue) of the first entry with a key in an array of struct(key, value); of several keys the first that has a value."""
+
+    def first(key: str) -> Column:
+        return F.get(F.filter(attrs, lambda a: a["key"] == key), F.lit(0))["value"]
+
+    return F.coalesce(*map(first, keys))
+
+
+def text_value(value: Column) -> Column:
+    """A typed value's text; null for other types."""
+    return value["stringValue"]
+
+
+def flag_value(value: Column) -> Column:
+    """A typed value's truth value; null for other types, texts too."""
+    return value["boolValue"]
+
+
+def count_value(value: Column) -> Column:
+    """A typed value as a count: an integer, or a rounded double; null if negative, not finite or of another type."""
+    return token_value(value["intValue"].try_cast("bigint"), value["doubleValue"])
 
 
 def session_of(resource: Column, record: Column) -> Column:
-    """Session.id of the resource, its claude.session_id, or session.id of the record; empty ones are skipped."""
-    some = lambda c: F.nullif(c, F.lit(""))
-    return F.coalesce(some(attribute(resource, "session.id")), some(attribute(resource, "claude.session_id")), some(attribute(record, "session.id")))
+    """Session.id of the resource, its claude.session_id, or session.id of the record; texts only, and empty ones are skipped."""
+    found = F.array(*[text_value(first_attribute(of, key)) for of, key in ((resource, "session.id"), (resource, "claude.session_id"), (record, "session.id"))])
+    return F.get(F.filter(found, lambda x: x != ""), F.lit(0))
 
 
 def direction(text: Column) -> Column:
     """One of four token directions; null for unknown ones."""
-    return F.when(text.isin("input", "prompt"), "input").when(text.isin("output", "completion"), "output").when(text.isin("cacheRead", "cache_read"), "cache_read").when(text.isin("cacheCreation", "cache_creation", "cache_write"), "cache_creation")
+    return F.when(text.isin("input", "prompt"), "input").when(text.isin("output", "completion"), "output").when(text.isin("cache_read", "cache.read"), "cache_read").when(text.isin("cache_create", "cache_creation", "cache.create"), "cache_creation")
 
 
 def token_value(whole: Column, real: Column) -> Column:

@@ -36,6 +36,6 @@ class Episodes:
 
     def bundle(self) -> dict[str, DataFrame]:
         return {
-            "turn_summary": ranks.turn_summary(self.turns, self.calls, self.hooks), "tool_rank": ranks.tool_rank(self.calls), "hook_rank": ranks.hook_rank(self.hooks), "by_mode": ranks.by_mode(self.turns, self.calls),
+            "turn_summary": ranks.turn_summary(self.turns, self.calls, self.hooks, self.skills), "tool_rank": ranks.tool_rank(self.calls), "hook_rank": ranks.hook_rank(self.hooks), "by_mode": ranks.by_mode(self.turns, self.calls),
             "sessions": ranks.session_list(self.turns, self.walls), "usage": ranks.last_usage(self.events), "announced": ranks.announced(self.events), "warnings": episodes.warnings(self.rows),
         }

@@ -74,7 +74,7 @@ def tool_calls(rows: DataFrame) -> DataFrame:
     out = c.select(
         "session_id", F.when(orphan, ORPHAN).otherwise(F.col("name")).alias("name"), F.col("seq").alias("start_seq"), F.when(orphan, F.col("seq")).otherwise(F.col("end.seq")).alias("commit_seq"),
         F.col("ts").alias("started_at"), ended.alias("ended_at"), status.alias("status"), F.when(aborted, "aborted").otherwise(F.when(status == "failure", F.col("end.error_message"))).alias("error_message"),
-        F.coalesce(F.when(orphan, F.col("call_id")), F.when(~aborted, F.col("end.call_id")), F.col("call_id")).alias("call_id"), F.col("open_turn_seq").alias("turn_seq"), F.col("open_turn_id").alias("turn_id"), "last_seq",
+        F.coalesce(F.when(orphan, F.col("call_id")), F.when(~aborted, F.col("end.call_id")), F.col("call_id")).alias("call_id"), F.when(~orphan, F.col("call_id")).alias("start_call_id"), F.col("open_turn_seq").alias("turn_seq"), F.col("open_turn_id").alias("turn_id"), "last_seq",
     )
     order = Window.partitionBy("session_id", "name").orderBy(F.col("commit_seq").asc_nulls_last(), "start_seq")
     return out.withColumn("duration_ms", millis(F.col("started_at"), F.col("ended_at"))).withColumn("call_index", (F.row_number().over(order) - 1).cast("long"))
@@ -135,13 +135,25 @@ def first_arguments(rows: DataFrame) -> DataFrame:
 
 
 def user_requested(rows: DataFrame, calls: DataFrame) -> DataFrame:
-    """(session_id, start_seq) of calls that a user asked for: the latest call with that id that is open then, else the next start with it."""
-    marks = rows.where("kind = 'tool_user_requested'").select("session_id", "call_id", F.col("seq").alias("mark"))
-    starts = calls.where("status <> 'orphan'").select("session_id", "call_id", "start_seq", "commit_seq")
-    both = marks.join(starts, ["session_id", "call_id"])
-    is_open = (F.col("start_seq") < F.col("mark")) & (F.col("commit_seq").isNull() | (F.col("commit_seq") > F.col("mark")))
-    picked = both.groupBy("session_id", "call_id", "mark").agg(F.max(F.when(is_open, F.col("start_seq"))).alias("o"), F.min(F.when(F.col("start_seq") > F.col("mark"), F.col("start_seq"))).alias("n"))
-    return picked.select("session_id", F.coalesce("o", "n").alias("start_seq")).where("start_seq is not null").distinct()
+    """(session_id, start_seq) of calls that a user asked for: of the calls that started with the mark's id the latest that is open then, else the next start with it; for a mark without an id the latest open call of all.
+
+    An as-of match without a join of marks and calls: marks, starts and ends of one id are ordered together. Starts and ends nest, so
+    the open call at a mark is the last start before it on the level that the running depth has there.
+    """
+    any_id = F.lit("*")
+    marks = rows.where("kind = 'tool_user_requested'").select("session_id", F.coalesce(F.concat(F.lit("="), "call_id"), any_id).alias("key"), F.lit(2).alias("what"), "seq", F.lit(None).cast("long").alias("start"))
+    starts = calls.where("status <> 'orphan'").select("session_id", F.explode(F.array_compact(F.array(F.concat(F.lit("="), "start_call_id"), any_id))).alias("key"), "start_seq", "commit_seq").join(marks.select("session_id", "key").distinct(), ["session_id", "key"], "left_semi")
+    point = lambda what, seq: F.struct(F.lit(what).alias("what"), seq.alias("seq"), F.when(F.lit(what == 1), F.col("start_seq")).alias("start"))
+    points = starts.select("session_id", "key", F.explode(F.array(point(1, F.col("start_seq")), point(0, F.col("commit_seq")))).alias("p")).select("session_id", "key", "p.*").where("seq is not null")
+    order = Window.partitionBy("session_id", "key").orderBy("seq", "what")
+    step = F.when(F.col("what") == 1, 1).when(F.col("what") == 0, -1).otherwise(0)
+    depth = F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    later = F.first("start", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    leveled = points.unionByName(marks.select("session_id", "key", "what", "seq", "start")).withColumns({"depth": depth, "later": later}).where("what > 0")
+    on_level = Window.partitionBy("session_id", "key", "depth").orderBy("seq", "what").rowsBetween(Window.unboundedPreceding, -1)
+    found = leveled.withColumn("open", F.last("start", ignorenulls=True).over(on_level)).where("what = 2")
+    picked = F.when(F.col("depth") > 0, F.col("open")).when(F.col("key") != any_id, F.col("later"))
+    return found.select("session_id", picked.alias("start_seq")).where("start_seq is not null").distinct()
 
 
 def warnings(rows: DataFrame) -> DataFrame:

@@ -31,12 +31,22 @@ def hook_rank(hooks: DataFrame) -> DataFrame:
     return agg.join(rounded_index(hooks, by, "duration_ms", {"p50": 50, "p95": 95}), by)
 
 
-def turn_summary(turns: DataFrame, calls: DataFrame, hooks: DataFrame) -> DataFrame:
-    """Turns with their duration and numbers of tool and hook calls."""
-    n = lambda rows, name: rows.where("turn_seq is not null").groupBy("session_id", "turn_seq").agg(F.count("*").alias(name))
-    out = turns.join(n(calls, "tools"), ["session_id", "turn_seq"], "left").join(n(hooks, "hooks"), ["session_id", "turn_seq"], "left")
+def turn_summary(turns: DataFrame, calls: DataFrame, hooks: DataFrame, skills: DataFrame | None = None) -> DataFrame:
+    """Turns with their duration and numbers of tool and hook calls, and of skills where those are given."""
+    kinds = {"tools": calls, "hooks": hooks} | ({} if skills is None else {"skills": skills})
+    out = turns
+    for name, rows in kinds.items():
+        n = rows.where("turn_seq is not null").groupBy("session_id", "turn_seq").agg(F.count("*").alias(name))
+        out = out.join(n, ["session_id", "turn_seq"], "left")
     ms = F.floor((F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1000)
-    return out.select("session_id", "turn_id", "status", "model", "output_tokens", "mode", ms.alias("duration_ms"), F.coalesce("tools", F.lit(0)).alias("tools"), F.coalesce("hooks", F.lit(0)).alias("hooks"))
+    return out.select("session_id", "turn_id", "status", "model", "output_tokens", "mode", ms.alias("duration_ms"), *[F.coalesce(name, F.lit(0)).alias(name) for name in kinds])
+
+
+def turn_detail(calls: DataFrame, arguments: DataFrame, shown: int = 80) -> DataFrame:
+    """The calls of each turn, longest first: session_id, turn_id, name, status, duration_ms, source, preview (the first `shown` characters of its arguments, by first_arguments). Choose a turn with where."""
+    rows = calls.where("turn_seq is not null").join(arguments, ["session_id", "call_id"], "left")
+    out = rows.select("session_id", "turn_id", "name", "status", "duration_ms", source_kind(F.col("name")).alias("source"), F.left("arguments", F.lit(shown)).alias("preview"), "start_seq")
+    return out.orderBy("session_id", "turn_id", F.desc("duration_ms"), "start_seq").drop("start_seq")
 
 
 def by_tool(calls: DataFrame) -> DataFrame:
@@ -48,10 +58,13 @@ def by_tool(calls: DataFrame) -> DataFrame:
 
 
 def by_server(calls: DataFrame, waste_servers: DataFrame) -> DataFrame:
-    """Per MCP server: tools called, calls, fails, total_ms, calling sessions; unused loaded tools, fully unused sessions, wasted tokens."""
+    """Per MCP server: tools called, calls, fails, total_ms, calling sessions; unused loaded tools, fully unused sessions, wasted tokens (waste_servers: rows by session and server, or shared_servers)."""
     mcp = calls.where(source_kind(F.col("name")) == "mcp").withColumn("server", source_name(F.col("name")))
     used = mcp.groupBy("server").agg(F.count_distinct("name").alias("tools"), F.count("*").alias("calls"), _count(F.col("status") == "failure").alias("fail"), F.sum("duration_ms").alias("total_ms"), F.count_distinct("session_id").alias("sessions"))
-    lost = waste_servers.groupBy("server").agg(F.sum("unused").alias("unused"), _count(F.col("called") == 0).alias("unused_sessions"), F.sum("unused_tokens").alias("wasted_tokens"))
+    if "zero_sessions" in waste_servers.columns:
+        lost = waste_servers.select("server", "unused", F.col("zero_sessions").alias("unused_sessions"), F.col("unused_tokens").alias("wasted_tokens"))
+    else:
+        lost = waste_servers.groupBy("server").agg(F.sum("unused").alias("unused"), _count(F.col("called") == 0).alias("unused_sessions"), F.sum("unused_tokens").alias("wasted_tokens"))
     out = used.join(lost, "server", "full")
     return out.select("server", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tools", "calls", "fail", "total_ms", "sessions", "unused", "unused_sessions", "wasted_tokens")])
 
@@ -62,20 +75,33 @@ def by_day(walls: DataFrame, calls: DataFrame, turns: DataFrame, low: float = 20
     k = turns.groupBy("session_id").agg(F.sum("output_tokens").alias("tokens"))
     per = walls.join(t, "session_id", "left").join(k, "session_id", "left").withColumn("day", F.to_date("started_at"))
     agg = per.groupBy("day").agg(F.count("*").alias("sessions"), F.sum("wall_ms").alias("wall_ms"), F.coalesce(F.sum("tool_ms"), F.lit(0)).alias("tool_ms"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("output_tokens"))
+    return with_utilisation(agg, low)
+
+
+def with_utilisation(days: DataFrame, low: float = 20.0) -> DataFrame:
+    """Days with the share of wall_ms that tool_ms is, in percent, and whether it is under `low`."""
     used = F.when(F.col("wall_ms") > 0, F.least(F.lit(100.0), F.lit(100.0) * F.col("tool_ms") / F.col("wall_ms"))).otherwise(0.0).cast("float")
-    return agg.withColumn("utilisation", used).withColumn("low", F.col("utilisation") < F.lit(low).cast("float"))
+    return days.withColumn("utilisation", used).withColumn("low", F.col("utilisation") < F.lit(low).cast("float"))
 
 
-def by_model(walls: DataFrame, turns: DataFrame) -> DataFrame:
-    """Per model of the session's first turn (sessions where that is null are left out): sessions, turns, tokens, wall."""
+def by_model(walls: DataFrame, turns: DataFrame, usage: DataFrame | None = None) -> DataFrame:
+    """Per model of the session's first turn (sessions where that is null are left out): sessions, turns, tokens, wall; with usage (last_usage) also its sessions' cache_read and cache_write, null where none has usage."""
     per = turns.groupBy("session_id").agg(F.min_by(F.struct("model"), "turn_seq").alias("f"), F.count("*").alias("turns"), F.sum("output_tokens").alias("tokens"))
     named = per.select("session_id", F.col("f.model").alias("model"), "turns", "tokens").where("model is not null").join(walls, "session_id")
-    return named.groupBy("model").agg(F.count("*").alias("sessions"), F.sum("turns").alias("turns"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("output_tokens"), F.sum("wall_ms").alias("wall_ms"))
+    cache = [] if usage is None else ["cache_read", "cache_write"]
+    if cache:
+        sums = usage.groupBy("session_id").agg(*[saturating_sum(F.col(c)).alias(c) for c in cache])
+        named = named.join(sums, "session_id", "left")
+    return named.groupBy("model").agg(F.count("*").alias("sessions"), F.sum("turns").alias("turns"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("output_tokens"), F.sum("wall_ms").alias("wall_ms"), *[saturating_sum(F.col(c)).alias(c) for c in cache])
 
 
-def header(walls: DataFrame) -> DataFrame:
-    """One row with the number of sessions and their total wall time."""
-    return walls.agg(F.count("*").alias("sessions"), F.coalesce(F.sum("wall_ms"), F.lit(0)).alias("total_wall_ms"))
+def header(walls: DataFrame, by: str | None = None, since: str | None = None, failed: int | None = None) -> DataFrame:
+    """One row with the number of sessions and their total wall time; and what the roll-up's key and window are, and how many sessions could not be read, where they are given. If all failed, that is an error."""
+    out = walls.agg(F.count("*").alias("sessions"), F.coalesce(F.sum("wall_ms"), F.lit(0)).alias("total_wall_ms"))
+    if failed and not out.first()["sessions"]:
+        raise ValueError(f"all {failed} sessions failed")
+    given = {"by": by, "since": since, "failed": failed}
+    return out.withColumns({k: F.lit(v) for k, v in given.items() if v is not None}) if any(v is not None for v in given.values()) else out
 
 
 def by_mode(turns: DataFrame, calls: DataFrame) -> DataFrame:
@@ -86,10 +112,14 @@ def by_mode(turns: DataFrame, calls: DataFrame) -> DataFrame:
     return rows.groupBy("session_id", F.coalesce("mode", F.lit("—")).alias("mode")).agg(F.count("*").alias("turns"), F.coalesce(F.sum("ms"), F.lit(0)).alias("duration_ms"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"), F.coalesce(F.sum("c"), F.lit(0)).alias("tool_calls"))
 
 
-def session_list(turns: DataFrame, walls: DataFrame) -> DataFrame:
-    """Per session: start, first non-null model, turns, tokens, span from the first to the last turn's start."""
+def session_list(turns: DataFrame, walls: DataFrame, usage: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Per session: start, first non-null model, turns, tokens, span from the first to the last turn's start; with usage (last_usage) the honest share of cache hits in percent, null if nothing was read or written; with files (session_id, size) the log's bytes."""
     per = turns.groupBy("session_id").agg(F.min_by("model", F.when(F.col("model").isNotNull(), F.col("turn_seq"))).alias("model"), F.count("*").alias("turns"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"), F.floor((F.unix_micros(F.max("started_at")) - F.unix_micros(F.min("started_at"))) / 1000).alias("span_ms"))
-    return walls.select("session_id", "started_at").join(per, "session_id", "left").withColumns({"turns": F.coalesce("turns", F.lit(0)), "output_tokens": F.coalesce("output_tokens", F.lit(0))})
+    out = walls.select("session_id", "started_at").join(per, "session_id", "left").withColumns({"turns": F.coalesce("turns", F.lit(0)), "output_tokens": F.coalesce("output_tokens", F.lit(0))})
+    if usage is not None:
+        rates = model_usage(usage, ["session_id"]).select("session_id", (100 * F.col("honest")).alias("cache_pct"))
+        out = out.join(rates, "session_id", "left")
+    return out if files is None else out.join(files.select("session_id", F.col("size").alias("bytes")), "session_id", "left")
 
 
 def flame_scale(turns: DataFrame, calls: DataFrame) -> DataFrame:

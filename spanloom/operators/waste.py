@@ -53,6 +53,35 @@ def cross_servers(tools: DataFrame) -> DataFrame:
     return per.groupBy("server").agg(F.count("*").alias("sessions"), F.count_if(F.col("calls") == 0).alias("zero_sessions"), F.sum("calls").alias("calls"), F.sum("lost").alias("unused_tokens"))
 
 
+def shared_servers(loaded: DataFrame, members: DataFrame, called: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+    """E20, and E12's losses, where sessions load tools in groups (a configuration, a workspace): server, sessions, zero_sessions, calls, unused, unused_tokens, as cross_servers and waste_servers would sum them.
+
+    loaded holds (grp, server, tool), members (session_id, grp), called (session_id, server, tool, call_count). A group's tools count once
+    for each of its sessions, less what those called, so loaded tools are never written out by session.
+    """
+    by = ["grp", "server", "tool"]
+    tools = loaded.select(*by).distinct()
+    cost = F.lit(HEURISTIC_TOKENS).cast("long")
+    if costs is not None:
+        tools = tools.join(costs.groupBy("server", "tool").agg(F.max("tokens").alias("t")), ["server", "tool"], "left")
+        cost = F.coalesce("t", cost).cast("long")
+    tools = tools.select(*by, cost.alias("tokens"))
+    used = called.where("call_count > 0").groupBy("session_id", "server", "tool").agg(F.sum("call_count").alias("n")).join(members.select("session_id", "grp").distinct(), "session_id")
+    marked = used.join(tools.withColumn("known", F.lit(1)), by, "left")
+    per = marked.groupBy("session_id", "grp", "server").agg(F.sum("n").alias("calls"), F.count("known").alias("tools"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    sets = tools.groupBy("grp", "server").agg(F.count("*").alias("set_tools"), F.sum("tokens").alias("set_tokens"))
+    by_group = per.groupBy("grp", "server").agg(F.count("*").alias("callers"), F.sum("calls").alias("calls"), F.sum("tools").alias("tools"), F.sum("tokens").alias("tokens"))
+    sizes = members.groupBy("grp").agg(F.count_distinct("session_id").alias("m"))
+    both = sets.join(sizes, "grp").join(by_group, ["grp", "server"], "full")
+    z = lambda c: F.coalesce(c, F.lit(0))
+    held = F.col("m").isNotNull()
+    sums = {
+        "sessions": F.when(held, F.col("m")).otherwise(F.col("callers")), "zero_sessions": F.when(held, F.col("m") - z("callers")).otherwise(0), "calls": z("calls"),
+        "unused": F.when(held, F.col("m") * F.col("set_tools") - z("tools")).otherwise(0), "unused_tokens": F.when(held, F.col("m") * F.col("set_tokens") - z("tokens")).otherwise(0),
+    }
+    return both.groupBy("server").agg(*[F.sum(v).cast("long").alias(k) for k, v in sums.items()])
+
+
 def cross_tools(tools: DataFrame) -> DataFrame:
     """Per server and tool: sessions, calls; never called ones have calls 0."""
     return tools.groupBy("server", "tool").agg(F.count_distinct("session_id").alias("sessions"), F.sum("call_count").alias("calls"))

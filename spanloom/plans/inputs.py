@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -56,12 +56,21 @@ def tool_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return loaded, counted.select("session_id", "server", "tool", "call_count"), costs
 
 
+def shared_tools(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(loaded, members, called, costs) as tool_sets has them, with tools by customer: an order loads what its customer used in any order."""
+    by = ["o_custkey", "session_id", "server", "tool"]
+    counted = order_tools(spark, sf_dir).groupBy(*by).agg(F.count("*").alias("call_count"))
+    grp = F.col("o_custkey").alias("grp")
+    costs = order_parts(table(spark, sf_dir, "part")).where("server like '%1'").select("server", "tool", (F.length("tool") * 10).alias("tokens"))
+    return counted.select(grp, "server", "tool"), counted.select("session_id", grp), counted.select("session_id", "server", "tool", "call_count"), costs
+
+
 def order_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counters a line item: session is the order, model its priority."""
+    """Token counters a line item: session is the order, model its priority, day its date."""
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     rows = line.join(orders, line.l_orderkey == orders.o_orderkey)
     n = lambda c: F.floor(c).cast("long")
-    return rows.select(F.col("o_orderkey").cast("string").alias("session_id"), F.col("o_orderpriority").alias("model"), n(F.col("l_extendedprice")).alias("input_tokens"), n(F.col("l_quantity")).alias("output_tokens"), n(F.col("l_extendedprice") * F.col("l_discount")).alias("cache_read"), n(F.col("l_extendedprice") * F.col("l_tax")).alias("cache_write"))
+    return rows.select(F.col("o_orderkey").cast("string").alias("session_id"), F.col("o_orderpriority").alias("model"), F.to_date("o_orderdate").alias("day"), n(F.col("l_extendedprice")).alias("input_tokens"), n(F.col("l_quantity")).alias("output_tokens"), n(F.col("l_extendedprice") * F.col("l_discount")).alias("cache_read"), n(F.col("l_extendedprice") * F.col("l_tax")).alias("cache_write"))
 
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,3 +101,48 @@ def telemetry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         text(F.col("user_id")).alias("session_id"), of.alias("event_type"), F.when(k % 2 == 0, "codex").otherwise("copilot").alias("agent"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("t"), text(k % 2)).alias("turn_id"), F.concat(F.lit("tool"), text(k % 3)).alias("tool_name"),
         F.when(F.col("event_id") % 5 == 0, "failure").otherwise("success").alias("status"), F.lit(None).cast("string").alias("error_message"), F.concat(F.lit("m"), text(k % 2)).alias("model"), way.alias("direction"), k.cast("long").alias("value"),
     )
+
+
+def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry exports of `events` as JSON (value): each event gives two log records, a metric of tokens with two points, another metric, and a span. All names of the format occur, and ids, times, directions and values that are missing or wrong."""
+    e = table(spark, sf_dir, "events").withColumns({"k": F.get_json_object("props", "$.k").cast("int"), "ns": F.unix_micros(F.col("ts").cast("timestamp")) * 1000})
+    k, i, ns = F.col("k"), F.col("event_id"), F.col("ns")
+    text = lambda c: c.cast("string")
+    pick = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    shape = "stringValue string, intValue string, doubleValue double, boolValue boolean"
+
+    def attr(key: str, only: Column | None = None, **value: Column) -> Column:
+        fields = [value.get(f.split()[0], F.lit(None)).cast(f.split()[1]).alias(f.split()[0]) for f in shape.split(", ")]
+        made = F.struct(F.lit(key).alias("key"), F.struct(*fields).alias("value"))
+        return made if only is None else F.when(only, made)
+
+    def attrs(*each: Column) -> Column:
+        return F.filter(F.array(*each), lambda x: x.isNotNull()).alias("attributes")
+
+    user = text(F.col("user_id"))
+    resource = F.struct(attrs(attr("service.name", stringValue=pick(i, "claude-code", "codex-cli", "other")), attr("agent.kind", i % 7 == 0, stringValue=F.lit("claude")), attr("session.id", i % 5 != 0, stringValue=user), attr("claude.session_id", i % 10 == 0, stringValue=F.concat(F.lit("c"), user)))).alias("resource")
+    own = attr("session.id", i % 10 == 5, stringValue=F.when(i % 20 == 5, F.repeat(F.lit("x"), F.lit(257))).otherwise(F.concat(F.lit("r"), user)))
+    name = pick(i, "claude_code.session.start", "session.end", "user.prompt", "user_prompt", "tool.decision_start", "claude_code.tool_decision", "tool.decision", "tool.result", "claude_code.tool_result", "other.name")
+    turn, tool, model = attr("turn.id", stringValue=F.concat(F.lit("t"), text(k % 2))), attr("tool.name", k % 4 != 0, stringValue=F.concat(F.lit("tool"), text(k % 3))), attr("model", stringValue=F.concat(F.lit("m"), text(k % 2)))
+    some = (attr("success", i % 4 == 1, boolValue=F.lit(False)), attr("success", i % 4 == 2, stringValue=F.lit("false")), attr("error.message", stringValue=F.lit("failed")), attr("user.approved", boolValue=i % 2 == 0), attr("prompt.size_bytes", i % 3 == 0, intValue=text(k)), attr("prompt_size_bytes", i % 3 == 1, doubleValue=k + 0.5), attr("cwd", stringValue=F.lit("/w")))
+    big = F.when(i % 13 == 0, "18446744073709551615").otherwise(text(ns))
+    log = lambda named, at: F.struct(at.alias("timeUnixNano"), text(ns + (i % 2) * 1000).alias("observedTimeUnixNano"), attrs(attr("event.name", stringValue=named), turn, tool, model, own, *some))
+    way = pick(k, "input", "prompt", "output", "completion", "cache_read", "cache.read", "cache_create", "cache_creation", "cache.create", "sideways")
+    points = F.array(
+        F.struct(attrs(attr("gen_ai.token.type", stringValue=way), attr("gen_ai.response.model", i % 2 == 0, stringValue=F.lit("g1")), model).alias("attributes"), text(ns).alias("timeUnixNano"), text(F.when(i % 7 == 0, -1).otherwise(k)).alias("asInt"), F.lit(None).cast("double").alias("asDouble")),
+        F.struct(attrs(attr("direction", i % 6 != 0, stringValue=F.lit("input"))).alias("attributes"), text(ns).alias("timeUnixNano"), F.lit(None).cast("string").alias("asInt"), (k + 0.5).alias("asDouble")),
+    )
+    data = F.struct(points.alias("dataPoints"))
+    metric = F.struct(pick(i, "gen_ai.client.token.usage", "agent.token.usage", "claude_code.token.usage").alias("name"), F.when((i % 2 == 0) & (i % 11 != 0), data).alias("sum"), F.when((i % 2 == 1) & (i % 11 != 0), data).alias("gauge"))
+    other = F.struct(F.lit("agent.other.usage").alias("name"), data.alias("sum"), F.lit(None).cast(f"struct<dataPoints: {dict(e.select(points.alias('p')).dtypes)['p']}>").alias("gauge"))
+    span = F.struct(
+        pick(i, "a", "b", "llm.toolbox", "tool.execute", "session").alias("name"), text(ns).alias("startTimeUnixNano"), text(ns + (i % 3 - 1) * 5_000_000).alias("endTimeUnixNano"),
+        attrs(attr("session.event", i % 5 == 0, stringValue=F.lit("start")), attr("session.event", i % 5 == 1, stringValue=F.lit("session.end")), attr("gen_ai.operation.name", (i % 5 == 2) & (i % 2 == 0), stringValue=F.lit("tool.execute")), turn, attr("gen_ai.tool.name", stringValue=F.lit("g")), attr("tool.name", i % 2 == 1, stringValue=F.lit("x")), model),
+        F.struct(F.when(i % 6 == 0, "2").otherwise("1").alias("code"), F.when(i % 12 == 0, "").otherwise("bad").alias("message")).alias("status"),
+    )
+    whole = F.struct(
+        F.array(F.struct(resource, F.array(F.struct(F.array(log(name, big), log(F.lit("user_prompt"), text(ns))).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"),
+        F.array(F.struct(resource, F.array(F.struct(F.array(metric, other).alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics"),
+        F.array(F.struct(resource, F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"),
+    )
+    return e.select(F.to_json(whole).alias("value"))

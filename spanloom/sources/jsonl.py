@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import announced_tools
 from ..schema import KINDS, REQUIRED
+from .folders import matching
 
 
 def since_seconds(window: str) -> int | None:
@@ -30,6 +31,13 @@ def lines(spark: SparkSession, pattern: str, since: Column | None = None) -> Dat
     return raw.select("file_path", "mtime", (F.row_number().over(order) - 1).cast("long").alias("line_no"), F.col("value").alias("line"), F.lead("value").over(order).isNull().alias("is_last"))
 
 
+def folder_lines(spark: SparkSession, places: list[str]) -> DataFrame:
+    """A5: lines of sessions whose log lies in several files of one folder (*.jsonl), as lines gives them: numbered on from file to file, in order of the files' names; file_path is that of an events.jsonl in the folder."""
+    raw = spark.read.text([f"{p.rstrip('/')}/*.jsonl" for p in places]).select("value", F.regexp_replace("_metadata.file_path", r"[^/]+$", "events.jsonl").alias("file_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    order = Window.partitionBy("file_path").orderBy("file", "block", "at")
+    return raw.select("file_path", "mtime", (F.row_number().over(order) - 1).cast("long").alias("line_no"), F.col("value").alias("line"), F.lead("value").over(order).isNull().alias("is_last"))
+
+
 def incomplete(line: Column) -> Column:
     """Whether a line ends inside a string or with braces open."""
     bare = F.regexp_replace(F.regexp_replace(line, r"\\\\.", ""), r'"[^"]*"', "")
@@ -82,9 +90,9 @@ def sessions(events: DataFrame) -> DataFrame:
 
 
 def live_folders(spark: SparkSession, root: str) -> DataFrame:
-    """A2: session_id of folders that hold an inuse.*.lock file."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "inuse.*.lock").option("recursiveFileLookup", "true").load(root)
-    return found.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("session_id")).distinct()
+    """A2: session_id of folders that hold an inuse.*.lock file, which is empty as a rule: so folders are listed, and no file is read."""
+    found = matching(spark, f"{root.rstrip('/')}/*/inuse.*.lock")
+    return spark.createDataFrame([(p.rsplit("/", 2)[-2],) for p in found], "session_id string").distinct()
 
 
 def server_config(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Live telemetry: records to typed events, session state with idle and size limits, and roll-ups."""
+"""Live telemetry: session state with idle and size limits over typed events, and roll-ups."""
 
 from __future__ import annotations
 
@@ -7,54 +7,27 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ..functions import scalars as S
 from ..functions.percentiles import ceiling_rank
 from ..operators.ranks import pending
+from .exports import TYPED
 
 #: Limits of a live session.
 IDLE_MS, MOST_BYTES, MOST_EVENTS = 300_000, 16 << 20, 100_000
-ATTRS = "array<struct<key: string, value: string>>"
-TYPED = "session_id string, event_type string, agent string, ts timestamp, turn_id string, tool_name string, status string, error_message string, model string, direction string, value bigint"
-
-
-def typed_logs(logs: DataFrame) -> DataFrame:
-    """Typed events of log records (resource, attrs: key-value arrays; time_ns, observed_ns). A record without a session or with an id of over 256 bytes gets event_type `error`."""
-    a = lambda k: S.attribute(F.col("attrs"), k)
-    name = F.regexp_replace(a("event.name"), r"^claude_code\.", "")
-    session = S.session_of(F.col("resource"), F.col("attrs"))
-    kind = F.when(name == "session_start", "session_start").when(name == "session_end", "session_end").when(name == "user_prompt", "prompt").when(name == "tool_start", "tool_start").when(name.isin("tool_result", "tool_complete"), "tool_result")
-    kind = F.when(session.isNull() | (F.octet_length(session) > 256), "error").otherwise(F.coalesce(kind, F.lit("unrecognised")))
-    ts = F.timestamp_micros(F.floor(F.greatest("time_ns", F.coalesce("observed_ns", F.lit(0))) / 1000).cast("long"))
-    return logs.select(session.alias("session_id"), kind.alias("event_type"), agent(F.col("resource")).alias("agent"), ts.alias("ts"), a("turn.id").alias("turn_id"), a("tool.name").alias("tool_name"), F.when(a("success") == "false", "failure").when(a("success").isNotNull(), "success").alias("status"), a("error").alias("error_message"), a("model").alias("model"), F.lit(None).cast("string").alias("direction"), F.lit(None).cast("long").alias("value"))
-
-
-def agent(resource):
-    """The agent by agent.kind or service.name; copilot by default."""
-    named = F.lower(F.coalesce(S.attribute(resource, "agent.kind"), S.attribute(resource, "service.name"), F.lit("")))
-    return F.when(named.contains("claude"), "claude").when(named.contains("codex"), "codex").otherwise("copilot")
-
-
-def typed_metrics(metrics: DataFrame) -> DataFrame:
-    """Token usage events of metric points (resource, attrs, name, kind, time_ns, value_int, value_double), of sums and gauges of token usage only. Unknown directions and bad values get event_type `error`."""
-    way, value = S.direction(S.attribute(F.col("attrs"), "type")), S.token_value(F.col("value_int"), F.col("value_double"))
-    session = S.session_of(F.col("resource"), F.col("attrs"))
-    ok = way.isNotNull() & value.isNotNull() & session.isNotNull()
-    rows = metrics.where(F.col("name").rlike(r"token\.usage$") & F.col("kind").isin("sum", "gauge"))
-    none = F.lit(None).cast("string")
-    return rows.select(session.alias("session_id"), F.when(ok, "token_usage").otherwise("error").alias("event_type"), agent(F.col("resource")).alias("agent"), F.timestamp_micros(F.floor(F.col("time_ns") / 1000).cast("long")).alias("ts"), none.alias("turn_id"), none.alias("tool_name"), none.alias("status"), none.alias("error_message"), S.attribute(F.col("attrs"), "model").alias("model"), way.alias("direction"), value.alias("value"))
+#: How long a call may be open before the user is told: one that waits for the user, and any other.
+BLOCKING_MS, OTHER_MS = 30_000, 300_000
+COLUMNS = [c.split()[0] for c in TYPED.split(", ")]
+WHOLE = {c.split()[0] for c in TYPED.split(", ") if c.endswith("bigint")}
+ALERTS = "session_id string, tool_name string, turn_id string, started_at timestamp, blocking boolean, waited_ms bigint"
 
 
-def typed_spans(spans: DataFrame) -> DataFrame:
-    """A start and a result for each tool span, a session start and end for each session span."""
-    a = lambda k: S.attribute(F.col("attrs"), k)
-    tool = F.col("name").contains("tool")
-    at = lambda c: F.timestamp_micros(F.floor(F.col(c) / 1000).cast("long"))
-    both = F.array(F.struct(F.when(tool, "tool_start").otherwise("session_start").alias("t"), at("start_ns").alias("ts")), F.struct(F.when(tool, "tool_result").otherwise("session_end").alias("t"), at("end_ns").alias("ts")))
-    rows = spans.where(tool | F.col("name").contains("session")).select("*", F.explode(both).alias("e"))
-    none = F.lit(None).cast("string")
-    return rows.select(S.session_of(F.col("resource"), F.col("attrs")).alias("session_id"), F.col("e.t").alias("event_type"), agent(F.col("resource")).alias("agent"), F.col("e.ts").alias("ts"), a("turn.id").alias("turn_id"), a("tool.name").alias("tool_name"), F.when(tool & (F.col("e.t") == "tool_result"), F.when(F.col("status_code") == 2, "failure").otherwise("success")).alias("status"), F.col("status_message").alias("error_message"), none.alias("model"), none.alias("direction"), F.lit(None).cast("long").alias("value"))
+def plain(column: str, x):
+    """A value of a pandas column as state takes it: missing ones as None."""
+    if x is None or x is pd.NaT or x != x:
+        return None
+    return int(x) if column in WHOLE else x.to_pydatetime() if column == "ts" else x
 
 
 def split_records(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -122,6 +95,7 @@ class Sessions(StatefulProcessor):
         self.handle = handle
         self.events = handle.getListState("events", TYPED)
         self.seen = handle.getValueState("seen", "n bigint, bytes bigint, timer bigint")
+        self.closings = handle.getValueState("closings", "n bigint", ttlDurationMs=86_400_000)
 
     def _close(self, reason: str) -> pd.DataFrame:
         rows = pd.DataFrame(list(self.events.get()), columns=COLUMNS)
@@ -136,7 +110,9 @@ class Sessions(StatefulProcessor):
         calls = rows[rows["event_type"].isin(["tool_start", "tool_result"])].fillna({"turn_id": "", "tool_name": ""})
         last = calls.sort_values(["ts", "event_type"], key=lambda c: c if c.name == "ts" else c == "tool_result", kind="stable").groupby(["tool_name", "turn_id"], sort=True).tail(1)
         left = rows.loc[last.index[last["event_type"] == "tool_start"]].assign(event_type="tool_result", status="open", ts=at)
-        return pd.concat([rows, left]).assign(reason=reason)[COLUMNS + ["reason"]]
+        number = (self.closings.get()[0] if self.closings.exists() else 0) + 1
+        self.closings.update((number,))
+        return pd.concat([rows, left]).assign(reason=reason, closing=number)[COLUMNS + ["reason", "closing"]]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, size, timer = self.seen.get() if self.seen.exists() else (0, 0, -1)
@@ -145,7 +121,7 @@ class Sessions(StatefulProcessor):
             pdf = pdf[COLUMNS]
             n, ended = n + len(pdf), ended or bool((pdf["event_type"] == "session_end").any())
             size += 64 * len(pdf) + int(sum(pdf[c].str.len().sum() for c in ("tool_name", "error_message", "model") if pdf[c].notna().any()))
-            self.events.appendList([tuple(None if x is None or x is pd.NaT or x != x else int(x) if c == "value" else x.to_pydatetime() if c == "ts" else x for c, x in zip(COLUMNS, r, strict=True)) for r in pdf.itertuples(index=False, name=None)])
+            self.events.appendList([tuple(plain(c, x) for c, x in zip(COLUMNS, r, strict=True)) for r in pdf.itertuples(index=False, name=None)])
         if timer > 0:
             self.handle.deleteTimer(timer)
         timer = timerValues.getCurrentProcessingTimeInMs() + IDLE_MS
@@ -165,28 +141,111 @@ class Sessions(StatefulProcessor):
         pass
 
 
-COLUMNS = [c.split()[0] for c in TYPED.split(", ")]
-
-
 def closed_sessions(typed: DataFrame) -> DataFrame:
     """The events of each session that closes, with the reason, from a stream of typed events; records that split_records drops are left out."""
-    return split_records(typed)[0].groupBy("session_id").transformWithStateInPandas(Sessions(), TYPED + ", reason string", "append", "processingTime")
+    return split_records(typed)[0].groupBy("session_id").transformWithStateInPandas(Sessions(), TYPED + ", reason string, closing bigint", "append", "processingTime")
 
 
 def persist(closed: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Writes closed sessions to a store that grows by one folder a batch; a batch that runs again replaces its own folder, so nothing counts twice."""
+    """Writes closed sessions to a store that grows by one folder a batch; a batch that runs again replaces its own folder, so nothing counts twice. Folders bear the query's id, which its checkpoint keeps: a new or lost checkpoint begins folders of its own and replaces none."""
 
     def flush(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "run"
+        batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
 
     return closed.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
 
 
+class WaitingCalls(StatefulProcessor):
+    """Tells of a live session's call once it has been open for BLOCKING_MS (tools that wait for the user) or OTHER_MS after it arrived. A timer a call; its result, a later start of the same call, or the session's end takes the timer back. The session stays open, and a call is told of once."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # a session that never ends is forgotten after a day
+        self.open = handle.getMapState("open", "tool string, turn string", "started timestamp, arrived bigint, due bigint", ttlDurationMs=86_400_000)
+
+    def _forget(self, call: tuple) -> None:
+        if not self.open.containsKey(call):
+            return
+        due = self.open.getValue(call)[2]
+        self.open.removeKey(call)
+        if due > 0 and not any(v[2] == due for _, v in self.open.iterator()):
+            self.handle.deleteTimer(due)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        seen = pd.concat([r[["event_type", "tool_name", "turn_id", "ts"]] for r in rows])
+        seen["order"] = seen["event_type"] == "tool_result"
+        for kind, tool, turn, ts, _ in seen.sort_values(["ts", "order"], kind="stable", na_position="first").itertuples(index=False, name=None):
+            call = (plain("tool_name", tool) or "", plain("turn_id", turn) or "")
+            if kind in ("tool_start", "tool_result"):
+                self._forget(call)
+            if kind == "tool_start":
+                due = now + (BLOCKING_MS if call[0] in S.USER_BLOCKING else OTHER_MS)
+                self.open.updateValue(call, (plain("ts", ts), now, due))
+                self.handle.registerTimer(due)
+        if (seen["event_type"] == "session_end").any():
+            for call in [k for k, _ in self.open.iterator()]:
+                self._forget(call)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, at = timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        told = [(k, v) for k, v in self.open.iterator() if 0 < v[2] <= at]
+        for call, (started, arrived, _) in told:
+            self.open.updateValue(call, (started, arrived, -1))
+        if told:
+            yield pd.DataFrame([(key[0], k[0], k[1], started, k[0] in S.USER_BLOCKING, now - arrived) for k, (started, arrived, _) in told], columns=[c.split()[0] for c in ALERTS.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def live_alerts(typed: DataFrame) -> DataFrame:
+    """session_id, tool_name, turn_id, started_at, blocking, waited_ms of calls of live sessions that wait too long, from a stream of typed events."""
+    return split_records(typed)[0].groupBy("session_id").transformWithStateInPandas(WaitingCalls(), ALERTS, "append", "processingTime")
+
+
+class DropCounts(StreamingQueryListener):
+    """The counts that observed() attaches to running queries, added up over their batches: {name: {signal: {dropped, kept}}}."""
+
+    def __init__(self):
+        self.counts: dict[str, dict[str, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for name, row in event.progress.observedMetrics.items():
+            held = self.counts.setdefault(name, {})
+            for k, v in row.asDict().items():
+                held[k] = held.get(k, 0) + (v or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def observed(typed: DataFrame, name: str) -> DataFrame:
+    """Typed events, counted as they pass: per signal those that are kept (kept_log, ...) and those that split_records drops (dropped_log, ...). A running stream reports them by batch; see DropCounts."""
+    bad = F.col("session_id").isNull() | F.coalesce(F.col("event_type").isin("error", "unrecognised"), F.lit(True))
+    of = lambda signal, c: F.count_if(F.coalesce(F.col("signal") == signal, F.lit(False)) & c)
+    counts = [of(x, c).alias(f"{what}_{x}") for x in ("log", "metric", "trace", "unknown") for what, c in (("kept", ~bad), ("dropped", bad))]
+    return typed.observe(name, *counts)
+
+
+def error_sink(typed: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Writes what split_records drops to Parquet, a folder a signal."""
+    return split_records(typed)[1].writeStream.partitionBy("signal").option("path", path).option("checkpointLocation", checkpoint).format("parquet")
+
+
 def stored_events(stored: DataFrame, late: str = "merge") -> DataFrame:
-    """The events of a store that persist wrote (with its column batch). Of a session that closed, and opened again by late events, `merge` takes all its parts (and drops results that an earlier close made up), `replace` the last one only."""
+    """The events of a store that persist wrote (with its column batch; closing numbers a session's closings). Of a session that closed, and opened again by late events, `merge` takes all its parts (and drops results that an earlier close made up), `replace` the last one only."""
     if late == "replace":
         latest = Window.partitionBy("session_id")
-        return stored.withColumn("_last", F.max("batch").over(latest)).where("batch = _last").drop("_last")
+        return stored.withColumn("_last", F.max(F.struct("batch", "closing")).over(latest)).where(F.struct("batch", "closing") == F.col("_last")).drop("_last")
     if late != "merge":
         raise ValueError(f"late must be merge or replace, not {late!r}")
     return stored.where(~F.coalesce((F.col("event_type") == "tool_result") & (F.col("status") == "open"), F.lit(False)))

@@ -113,7 +113,7 @@ def test_flame_events_equal_a_plain_loop(spark, seed):
     for part, df, label in ((1, e.calls, "{}"), (2, e.hooks, "hook:{}"), (3, e.skills.withColumnsRenamed({"seq": "start_seq", "ts": "started_at"}).withColumn("ended_at", F.col("started_at")), "skill:{}")):
         for r in df.collect():
             kids.setdefault(r["session_id"], []).append((r["turn_seq"], part, r["start_seq"], r["started_at"], r["ended_at"], label.format(r["name"])))
-    spans = flame.adjusted(e.bounds, e.turns, e.calls, e.hooks, e.skills)
+    spans = flame.adjusted(e.bounds, e.turns, e.calls, e.hooks, e.skills).drop("place")
     got = {tuple(r) for r in spans.collect()}
     assert got == plain_flame(bounds, turns, kids)
     assert any(r[1] == flame.ORPHANS for r in got) and any("(open)" in r[3] for r in got)

@@ -1,15 +1,17 @@
 """Telemetry: records to typed events, roll-ups, live sessions, late events and the store of closed sessions."""
 
 import json
+import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.streaming import telemetry
 
 T0 = datetime(2024, 1, 1)
-FIELDS = "session_id event_type agent ts turn_id tool_name status error_message model direction value".split()
+FIELDS = telemetry.COLUMNS
 
 
 def event(session, kind, at, **more):
@@ -27,24 +29,6 @@ ROWS = [
 ]
 
 
-def test_log_records(spark):
-    pair = "array<struct<key: string, value: string>>"
-    rows = [([("session.id", "s"), ("service.name", "Claude")], [("event.name", "claude_code.tool_start"), ("tool.name", "x")], 1_000_000_000, None), ([], [("event.name", "tool_start"), ("session.id", "r")], 1, 2_000_000_000), ([], [("event.name", "tool_start")], 1, 1), ([("session.id", "s")], [("event.name", "odd")], 1, 1)]
-    got = telemetry.typed_logs(spark.createDataFrame(rows, f"resource {pair}, attrs {pair}, time_ns long, observed_ns long")).collect()
-    assert [(r["session_id"], r["event_type"], r["agent"]) for r in got] == [("s", "tool_start", "claude"), ("r", "tool_start", "copilot"), (None, "error", "copilot"), ("s", "unrecognised", "copilot")]
-    assert got[1]["ts"] == datetime(1970, 1, 1, 0, 0, 2)
-
-
-def test_metric_points_and_spans(spark):
-    pair = "array<struct<key: string, value: string>>"
-    points = [([("session.id", "s")], [("type", w)], "x.token.usage", "sum", 1, i, d) for w, i, d in (("input", 3, None), ("cacheRead", None, 2.6), ("sideways", 1, None), ("output", -1, None), ("output", None, float("nan")))]
-    got = telemetry.typed_metrics(spark.createDataFrame(points, f"resource {pair}, attrs {pair}, name string, kind string, time_ns long, value_int long, value_double double")).collect()
-    assert [(r["event_type"], r["direction"], r["value"]) for r in got] == [("token_usage", "input", 3), ("token_usage", "cache_read", 3), ("error", None, 1), ("error", "output", None), ("error", "output", None)]
-    spans = [([("session.id", "s")], [("tool.name", "x")], "tool.run", 1000, 2000, 2, "bad"), ([("session.id", "s")], [], "session", 0, 5000, 0, None), ([], [], "other", 0, 1, 0, None)]
-    got = telemetry.typed_spans(spark.createDataFrame(spans, f"resource {pair}, attrs {pair}, name string, start_ns long, end_ns long, status_code int, status_message string")).collect()
-    assert [(r["event_type"], r["status"]) for r in got] == [("tool_start", None), ("tool_result", "failure"), ("session_start", None), ("session_end", None)]
-
-
 def test_rollup_of_a_session(spark):
     df = typed(spark, ROWS)
     tools = {(r["session_id"], r["tool_name"]): r for r in telemetry.session_tools(df).collect()}
@@ -89,7 +73,7 @@ def test_live_sessions_close_persist_and_open_again(spark, tmp_path, monkeypatch
             try:
                 for _ in range(60):
                     query.awaitTermination(2)
-                    if (tmp_path / "store").exists() and len({r[0] for r in spark.read.schema(telemetry.TYPED + ", reason string, batch long").parquet(store).select("batch").distinct().collect()}) == parts:
+                    if (tmp_path / "store").exists() and len({r[0] for r in spark.read.schema(telemetry.TYPED + ", reason string, closing long, run string, batch long").parquet(store).select("batch").distinct().collect()}) == parts:
                         return
                 raise AssertionError(f"no session closed: {query.lastProgress}")
             finally:
@@ -108,8 +92,135 @@ def test_live_sessions_close_persist_and_open_again(spark, tmp_path, monkeypatch
         late = {way: {r["tool_name"]: r for r in telemetry.session_tools(telemetry.stored_events(stored, way)).collect()} for way in ("merge", "replace")}
         assert (late["merge"]["y"]["ok"], late["merge"]["y"]["orphan"], late["merge"]["y"]["total_ms"]) == (1, 0, 2000) and late["merge"]["x"]["calls"] == 2
         assert set(late["replace"]) == {"y"} and late["replace"]["y"]["total_ms"] == 0
+        assert {r["closing"] for r in stored.collect()} == {1, 2} and stored.select("run").distinct().count() == 1
         with pytest.raises(ValueError):
             telemetry.stored_events(stored, "other")
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+class Clock:
+    """Stands for Spark's state and timers: a map state, and a processing time that the test sets."""
+
+    def __init__(self):
+        self.now, self.timers, self.state = 0, set(), {}
+
+    # the handle
+    def getMapState(self, *_, **__):
+        return self
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    # the map
+    def containsKey(self, key):
+        return key in self.state
+
+    def getValue(self, key):
+        return self.state[key]
+
+    def updateValue(self, key, value):
+        self.state[key] = value
+
+    def removeKey(self, key):
+        del self.state[key]
+
+    def iterator(self):
+        return iter(list(self.state.items()))
+
+    # the timer values
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.now
+
+
+def test_alerts_by_a_clock():
+    clock, calls = Clock(), telemetry.WaitingCalls()
+    calls.init(clock)
+
+    def arrive(at, *rows):
+        clock.now = at
+        return list(calls.handleInputRows(("s",), iter([pd.DataFrame([event("s", *r[:2], **r[2]) for r in rows], columns=FIELDS)]), clock))
+
+    def pass_until(at):
+        told = []
+        for due in sorted(t for t in clock.timers if t <= at):
+            clock.now = due
+            clock.timers.discard(due)
+            told += [tuple(r) for df in calls.handleExpiredTimer(("s",), clock, clock) for r in df[["tool_name", "turn_id", "blocking", "waited_ms"]].itertuples(index=False)]
+        return told
+
+    assert arrive(0, ("tool_start", 0, {"tool_name": "ask_user"}), ("tool_start", 0, {"tool_name": "slow", "turn_id": "1"}), ("tool_start", 1, {"tool_name": "quick"}), ("tool_result", 2, {"tool_name": "quick"})) == []
+    assert clock.timers == {30_000, 300_000}
+    assert pass_until(29_999) == [] and pass_until(30_000) == [("ask_user", "", True, 30_000)]
+    arrive(40_000, ("tool_start", 40, {"tool_name": "ask_user"}))  # a later start replaces the first
+    assert clock.timers == {70_000, 300_000}
+    arrive(50_000, ("tool_result", 50, {"tool_name": "ask_user"}))  # the result takes the timer back
+    assert clock.timers == {300_000} and pass_until(200_000) == []
+    assert pass_until(300_000) == [("slow", "1", False, 300_000)] and pass_until(10**9) == [] and len(clock.state) == 1
+    arrive(400_000, ("tool_start", 400, {"tool_name": "a"}), ("tool_start", 400, {"tool_name": "b"}))
+    arrive(400_001, ("tool_result", 401, {"tool_name": "a"}))
+    assert clock.timers == {700_000}  # b still waits for the same timer
+    arrive(400_002, ("session_end", 402, {}))
+    assert clock.timers == set() and clock.state == {}
+
+
+@pytest.fixture
+def stateful(spark):
+    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": "1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_alerts_on_a_stream(stateful, tmp_path, monkeypatch):
+    spark, source = stateful, tmp_path / "in"
+    monkeypatch.setattr(telemetry, "BLOCKING_MS", 1_500)
+    source.mkdir()
+    write_batch(source, 1, [event("w", "tool_start", 0, tool_name="ask_user"), event("w", "tool_start", 0, tool_name="slow"), event("v", "tool_start", 0, tool_name="ask_user"), event("v", "tool_result", 1, tool_name="ask_user", status="success")])
+    query = telemetry.live_alerts(spark.readStream.schema(telemetry.TYPED).json(str(source))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(40):
+            query.awaitTermination(2)
+            rows = spark.read.schema(telemetry.ALERTS).parquet(str(tmp_path / "out")).collect() if (tmp_path / "out").exists() else []
+            if rows:
+                break
+        assert [(r["session_id"], r["tool_name"], r["blocking"]) for r in rows] == [("w", "ask_user", True)] and rows[0]["waited_ms"] >= 1_500
+    finally:
+        query.stop()
+
+
+def test_counts_of_a_running_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    rows = [event("a", "prompt", 0, signal="log"), event("a", "token_usage", 0, signal="metric"), event(None, "error", 0, signal="metric", identity="x"), event(None, "unrecognised", 0, signal="trace", identity="y")]
+    listener = telemetry.DropCounts()
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema(telemetry.TYPED).json(str(source)).transform(telemetry.observed, "telemetry")
+        query = telemetry.error_sink(stream, str(tmp_path / "bad"), str(tmp_path / "cp")).start()
+        try:
+            for n in range(2):
+                write_batch(source, n, rows)
+                query.processAllAvailable()
+            for _ in range(50):
+                if listener.counts.get("telemetry", {}).get("dropped_trace") == 2:
+                    break
+                time.sleep(0.2)
+        finally:
+            query.stop()
+    finally:
+        spark.streams.removeListener(listener)
+    assert {k: v for k, v in listener.counts["telemetry"].items() if v} == {"kept_log": 2, "kept_metric": 2, "dropped_metric": 2, "dropped_trace": 2}
+    kept = spark.read.parquet(str(tmp_path / "bad"))
+    assert {(r["signal"], r["n"]) for r in kept.groupBy("signal").agg(F.count("*").alias("n")).collect()} == {("metric", 2), ("trace", 2)}
+    assert telemetry.dropped_counts(kept).agg(F.sum("records")).first()[0] == 4
