@@ -274,12 +274,12 @@ def F13_last_event(e):
     return e.rows.select("session_id", "last_ts").distinct()
 
 
-_ENDS = "(SELECT session_id, zero, greatest(zero, max(at)) AS fin FROM (SELECT session_id, arg_min(ts, seq) AS zero FROM ev GROUP BY 1) LEFT JOIN (SELECT session_id, coalesce(ended_at, started_at) AS at FROM turns UNION ALL SELECT session_id, ended_at FROM calls UNION ALL SELECT session_id, ended_at FROM hooks UNION ALL SELECT session_id, ts FROM ev WHERE kind = 'skill_invoked') USING (session_id) GROUP BY ALL)"
+_ENDS = "(SELECT session_id, zero, greatest(zero, max(tm)) AS fin FROM (SELECT session_id, arg_min(ts, seq) AS zero FROM ev GROUP BY 1) LEFT JOIN (SELECT session_id, coalesce(ended_at, started_at) AS tm FROM turns UNION ALL SELECT session_id, ended_at FROM calls UNION ALL SELECT session_id, ended_at FROM hooks UNION ALL SELECT session_id, ts FROM ev WHERE kind = 'skill_invoked') USING (session_id) GROUP BY 1, 2)"
 _PROFILES = FLAME[: FLAME.rindex("SELECT session_id, ordinal::BIGINT")].replace("(SELECT session_id, arg_min(ts, seq) AS zero, arg_max(ts, seq) AS fin FROM ev GROUP BY 1)", _ENDS) + """
 , lf AS (SELECT session_id, CASE WHEN name LIKE 'mcp\\_\\_%' ESCAPE '\\' THEN 'mcp:' || regexp_extract(name, '^mcp__(.*?)__(.*)$', 1) || '::' || regexp_extract(name, '^mcp__(.*?)__(.*)$', 2) ELSE name END AS name FROM calls
     UNION SELECT session_id, 'hook:' || name FROM hooks UNION SELECT session_id, 'skill:' || name FROM ev WHERE kind = 'skill_invoked'),
 fr AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY d, o, name) - 1 AS frame FROM (SELECT session_id, -1 AS d, 0 AS o, 'session' AS name FROM bd UNION ALL SELECT session_id, 0, ordinal, name FROM sp WHERE depth = 0 UNION ALL SELECT session_id, 1, 0, name FROM lf)),
-mk AS (SELECT session_id, ordinal AS o, 0 AS p, 0 AS d, 'O' AS t, a AS at, name FROM tr UNION ALL SELECT session_id, ordinal, 1099511627776, 0, 'C', z, name FROM tr
+mk AS (SELECT session_id, ordinal AS o, 0 AS p, 0 AS d, 'O' AS t, a AS tm, name FROM tr UNION ALL SELECT session_id, ordinal, 1099511627776, 0, 'C', z, name FROM tr
     UNION ALL SELECT session_id, ordinal, 2 * n, 1, 'O', b, name FROM f1 UNION ALL SELECT session_id, ordinal, 2 * n + 1, 1, 'C', e, name FROM f1
     UNION ALL SELECT session_id, 1099511627776, 2 * n, 1, 'O', b, name FROM f2 UNION ALL SELECT session_id, 1099511627776, 2 * n + 1, 1, 'C', e, name FROM f2
     UNION ALL SELECT session_id, 1099511627776, 0, 0, 'O', begin_, 'turn-orphan' FROM f2 WHERE n = c UNION ALL SELECT session_id, 1099511627776, 1099511627776, 0, 'C', greatest(begin_, z, e), 'turn-orphan' FROM f2 WHERE n = c)
@@ -288,7 +288,7 @@ mk AS (SELECT session_id, ordinal AS o, 0 AS p, 0 AS d, 'O' AS t, a AS at, name
 
 @on_episodes("""SELECT session_id, fs.frames, n_frames, m.marks, coalesce(n, 0) + 2 AS n_events, greatest(coalesce(top, 0), (epoch_us(fin) - epoch_us(zero)) // 1000)::BIGINT AS end_value FROM bd
  JOIN (SELECT session_id, string_agg(name, '|' ORDER BY frame) AS frames, count(*) AS n_frames FROM fr GROUP BY 1) fs USING (session_id)
- LEFT JOIN (SELECT session_id, count(*) AS n, max(at) AS top, string_agg(t || frame || '@' || at, ' ' ORDER BY mk.o, p) AS marks FROM mk JOIN fr USING (session_id, d, name) GROUP BY 1) m USING (session_id)""", _PROFILES)
+ LEFT JOIN (SELECT session_id, count(*) AS n, max(tm) AS top, string_agg(t || frame || '@' || tm, ' ' ORDER BY mk.o, p) AS marks FROM mk JOIN fr USING (session_id, d, name) GROUP BY 1) m USING (session_id)""", _PROFILES)
 def B11_profiles(e):
     """The parts of each session's profile: frames, inner marks with their frames, and the end."""
     made = flame.profiles(flame.session_ends(e.bounds, e.turns, e.calls, e.hooks, e.skills), e.turns, e.calls, e.hooks, e.skills)
@@ -601,8 +601,8 @@ def B6_pruned_store(e):
 
 _EXPORTS = """WITH t0 AS (SELECT *, (props ->> 'k')::INT AS k, event_id AS i, user_id::VARCHAR AS u FROM events),
 t AS (SELECT *, CASE WHEN i % 3 = 0 OR i % 7 = 0 THEN 'claude' WHEN i % 3 = 1 THEN 'codex' ELSE 'copilot' END AS agent, CASE WHEN i % 5 <> 0 THEN u WHEN i % 10 = 0 THEN 'c' || u END AS sid FROM t0),
-lg AS (SELECT *, coalesce(sid, CASE WHEN i % 20 <> 5 THEN 'r' || u END) AS s, CASE WHEN sid IS NULL AND i % 20 = 5 THEN 'session.id is too long' END AS lost, at, nm, ['session_start', 'session_end', 'prompt', 'prompt', 'tool_start', 'tool_start', 'tool_start', 'tool_result', 'tool_result', 'unrecognised'][nm + 1] AS kind
-    FROM (SELECT *, i % 10 AS nm, i % 13 = 0 AS late, ts + (i % 2) * INTERVAL 1 MICROSECOND AS at FROM t UNION ALL SELECT *, 3, false, ts + (i % 2) * INTERVAL 1 MICROSECOND FROM t)),
+lg AS (SELECT *, coalesce(sid, CASE WHEN i % 20 <> 5 THEN 'r' || u END) AS s, CASE WHEN sid IS NULL AND i % 20 = 5 THEN 'session.id is too long' END AS lost, tm, nm, ['session_start', 'session_end', 'prompt', 'prompt', 'tool_start', 'tool_start', 'tool_start', 'tool_result', 'tool_result', 'unrecognised'][nm + 1] AS kind
+    FROM (SELECT *, i % 10 AS nm, i % 13 = 0 AS late, ts + (i % 2) * INTERVAL 1 MICROSECOND AS tm FROM t UNION ALL SELECT *, 3, false, ts + (i % 2) * INTERVAL 1 MICROSECOND FROM t)),
 lx AS (SELECT *, CASE WHEN late THEN 'time is out of range' WHEN kind <> 'unrecognised' THEN lost END AS problem FROM lg),
 mp AS (SELECT *, 1 AS p, ['input', 'prompt', 'output', 'completion', 'cache_read', 'cache.read', 'cache_create', 'cache_creation', 'cache.create', 'sideways'][k % 10 + 1] AS way FROM t WHERE i % 11 <> 0 UNION ALL SELECT *, 2, CASE WHEN i % 6 <> 0 THEN 'input' END FROM t WHERE i % 11 <> 0),
 mx AS (SELECT *, ['input', 'input', 'output', 'output', 'cache_read', 'cache_read', 'cache_creation', 'cache_creation', 'cache_creation'][list_position(['input', 'prompt', 'output', 'completion', 'cache_read', 'cache.read', 'cache_create', 'cache_creation', 'cache.create'], way)] AS direction,
@@ -615,7 +615,7 @@ def _typed(spark: SparkSession, sf_dir: str, signal: str) -> DataFrame:
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("""SELECT CASE WHEN ok THEN s END AS session_id, CASE WHEN problem IS NOT NULL THEN 'error' ELSE kind END AS event_type, agent, CASE WHEN NOT late THEN at END AS ts, CASE WHEN ok AND kind NOT LIKE 'session%' THEN 't' || (k % 2) END AS turn_id,
+@query("""SELECT CASE WHEN ok THEN s END AS session_id, CASE WHEN problem IS NOT NULL THEN 'error' ELSE kind END AS event_type, agent, CASE WHEN NOT late THEN tm END AS ts, CASE WHEN ok AND kind NOT LIKE 'session%' THEN 't' || (k % 2) END AS turn_id,
  CASE WHEN tool THEN CASE WHEN k % 4 <> 0 THEN 'tool' || (k % 3) ELSE '' END END AS tool_name, CASE WHEN tool THEN 'builtin' END AS source, CASE WHEN tool AND kind = 'tool_start' THEN i % 2 = 0 END AS user_approved, CASE WHEN tool AND kind = 'tool_result' THEN CASE WHEN i % 4 = 1 THEN 'failure' ELSE 'success' END END AS status,
  CASE WHEN tool AND kind = 'tool_result' AND i % 4 = 1 THEN 'failed' END AS error_message, CASE WHEN ok AND kind = 'session_start' THEN 'm' || (k % 2) END AS model, NULL::VARCHAR AS direction, NULL::BIGINT AS value, CASE WHEN ok AND kind = 'session_start' THEN '/w' END AS cwd,
  CASE WHEN ok AND kind = 'prompt' THEN CASE i % 3 WHEN 0 THEN k WHEN 1 THEN k + 1 END END::BIGINT AS prompt_size_bytes, 'log' AS signal, CASE WHEN problem IS NOT NULL THEN problem WHEN kind = 'unrecognised' THEN 'log.event_name=other.name' END AS identity

@@ -60,6 +60,11 @@ def decode(raw: DataFrame, live: Column | None = None, unknown_ts: str = "epoch"
     for kind, fields in REQUIRED.items():
         some = [_field(f"data.{f}").isNull() for f in fields]
         lacking = lacking | ((F.col("type") == kind) & F.coalesce(*[F.when(c, F.lit(True)) for c in some], F.lit(False)))
+    asked, failed = _field("data.toolRequests"), _field("data.error")
+    each = F.from_json(asked, "array<struct<toolCallId: string, name: string, arguments: string, type: string>>")
+    some = F.exists(each, lambda r: r["toolCallId"].isNull() | r["name"].isNull() | r["arguments"].isNull() | r["type"].isNull())
+    nested = ((F.col("type") == "assistant.message") & asked.isNotNull() & (each.isNull() | some)) | ((F.col("type") == "tool.execution_complete") & failed.isNotNull() & _field("data.error.message").isNull())
+    lacking = lacking | F.coalesce(nested, F.lit(False))
     envelope = F.col("kind").isNotNull() & (_field("id").isNull() | F.try_to_timestamp(_field("timestamp")).isNull() | _field("data").isNull())
     bad = ~ok_json | lacking | envelope
     marked = rows.withColumn("bad", bad)

@@ -26,6 +26,18 @@ def test_log_lines_become_events_and_warnings(spark, tmp_path):
     assert [r["session_id"] for r in jsonl.sessions(events).collect()] == ["S"]
 
 
+def test_fields_that_nested_parts_must_have(spark, tmp_path):
+    message = {"messageId": "m", "model": "x", "content": "", "interactionId": "i", "outputTokens": 1}
+    full = {"toolCallId": "c", "name": "bash", "arguments": {"a": 1}, "type": "function"}
+    text = [event("assistant.message", 0, **message), event("assistant.message", 1, **message, toolRequests=[full]), event("assistant.message", 2, **message, toolRequests=[full, {k: v for k, v in full.items() if k != "type"}]), event("assistant.message", 3, **message, toolRequests="none"),
+            event("tool.execution_complete", 4, toolCallId="c", success=False, error={"message": "m"}), event("tool.execution_complete", 5, toolCallId="c", success=False, error={"code": "1"}), event("assistant.message", 6, **message, toolRequests=[])]
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "events.jsonl").write_text("\n".join(text))
+    events, warnings = jsonl.decode(jsonl.lines(spark, str(tmp_path / "*/events.jsonl")))
+    assert sorted(r["line_no"] for r in warnings.collect()) == [2, 3, 5] and sorted(r["seq"] for r in events.collect()) == [0, 1, 4, 6]
+    assert [r["arguments"] for r in events.where("seq = 1").selectExpr("inline(tool_requests)").collect()] == ['{"a":1}']
+
+
 def test_windows():
     assert jsonl.since_seconds("2h") == 7200 and jsonl.since_seconds("all") is None
     with pytest.raises(ValueError):
