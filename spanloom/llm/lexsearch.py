@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import Scratch, new_path
 
 #: A-Z become a-z; other bytes that are no letter, digit or part of a non-ASCII character become spaces.
 TABLE = bytes(c if c >= 128 or chr(c).isalnum() and not chr(c).isupper() else c + 32 if chr(c).isupper() else 32 for c in range(256))
@@ -193,9 +193,9 @@ def search_slice(best: Best, tree: tuple, docs: np.ndarray, null: np.ndarray, pt
     return compared
 
 
-def search_block(docs: DataFrame, items: Items, k: int) -> DataFrame | None:
+def search_block(docs: DataFrame, items: Items, k: int, space: Scratch) -> DataFrame | None:
     """item (its number in the block), doc_id, score: each task's k best documents of each item; None where nothing can be found."""
-    found = materialize(vectors(docs, items), "term-vectors")
+    found = space.write(vectors(docs, items), "vectors")
     n_docs, n_all = found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     counts = found.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()  # at most the block's vocabulary
     weights = np.zeros(len(items.vocabulary), "int64")
@@ -244,13 +244,16 @@ def rank(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
         block = Items()
         for r in rows:
             block.add(r["text"])
-        out = search_block(docs, block, k) if block.vocabulary else None
+        space = Scratch(spark, "search-block")
+        out = search_block(docs, block, k, space) if block.vocabulary else None
         if out is None:
+            space.clear()
             continue
         ids = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)], "item int, item_id bigint")
         order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
         ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         ranked.join(ids, "item").select("item_id", "rank", "doc_id", "score").write.mode("append").parquet(path)
+        space.clear()
         parts += 1
     schema = "item_id bigint, rank int, doc_id bigint, score bigint"
     return spark.read.schema(schema).parquet(path) if parts else spark.createDataFrame([], schema)

@@ -96,20 +96,23 @@ def gone_lines(docs: DataFrame, enough: int = 5, least_chars: int = 40, batches:
     keyed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(line_key(x).alias("k"), i.alias("pos")))
     hashed = F.transform(F.filter(keyed, lambda l: F.char_length(l["k"]) >= least_chars), lambda l: F.struct(F.xxhash64(l["k"]).alias("a"), F.xxhash64(F.lit("line"), l["k"]).alias("b"), l["pos"].alias("pos")))
     rows = docs.select(a.alias("row_a"), b.alias("row_b"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), hashed.alias("lines")).where(F.size("lines") > 0)
-    lined = materialize(rows, "hashed-lines")
+    space = Scratch(spark, "line-dedup")
+    lined = space.write(rows, "hashed")
     runs = LineRuns(spark, enough)
     for i in range(batches):
         part = lined.where(F.pmod(F.col("row_a"), F.lit(batches)) == i)
         distinct = F.array_distinct(F.transform("lines", lambda l: F.struct(l["a"].alias("a"), l["b"].alias("b"))))
         runs.add(part.select(F.explode(distinct).alias("k")).select("k.*"))
-    often = materialize(runs.often(), "often-lines")
+    often = space.write(runs.often(), "often")
     runs.clear()
     lines = lined.select("row_a", "row_b", "doc", F.explode("lines").alias("l")).select("row_a", "row_b", "doc", "l.*")
-    held = materialize(lines.join(often.hint("merge"), ["a", "b"]), "held-lines")
+    held = space.write(lines.join(often.hint("merge"), ["a", "b"]), "held")
     counts = held.groupBy("a", "b").agg(F.count_distinct("doc").alias("docs"), F.max("doc").alias("last")).where(F.col("docs") >= enough)
-    frequent = materialize(counts.select("a", "b", "last"), "frequent-lines")
+    frequent = space.write(counts.select("a", "b", "last"), "frequent")
     gone = held.join(frequent, ["a", "b"]).where(F.col("doc") != F.col("last"))
-    return materialize(gone.groupBy("row_a", "row_b").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone-lines")
+    out = materialize(gone.groupBy("row_a", "row_b").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone-lines")
+    space.clear()
+    return out
 
 
 def _with_gone(docs: DataFrame, gone: DataFrame) -> DataFrame:

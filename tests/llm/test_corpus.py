@@ -373,7 +373,7 @@ def test_interleaving_equals_plain_ranks(spark):
     digest = lambda x: hashlib.md5(x.encode()).hexdigest()
     ranked = []
     for source in ("a", "b", None):
-        mine = sorted((r for r in rows if r[3] == source), key=lambda r: (digest(f"17:{'null' if r[0] is None else r[0]}"), digest(r[1] or "")))
+        mine = sorted((r for r in rows if r[3] == source), key=lambda r: digest(f"17:{'null' if r[0] is None else r[0]}:{digest(r[1] or '')}"))
         ranked += [((2 * k + 1) / (2 * len(mine)), source is None, source or "", k, r) for k, r in enumerate(mine)]
     ranked.sort(key=lambda x: x[:4])
     n, expected = len(rows), []
@@ -561,6 +561,13 @@ def test_wrappers_read_articles(spark):
     assert ")+" in wrappers.expression(tree) and "#PCDATA" in wrappers.expression(tree)
 
 
+def test_class_words_do_not_drop_article_texts(spark):
+    body = "<p class='menu'>one</p><p class='side'>two <math><mi>x</mi><mo>=</mo><mn>1</mn></math> end</p><div class='share'>no</div><blockquote class='legal'>three</blockquote>"
+    rows = [(i, "http://h/", f"<body><p class='menu'>no</p><article><h1>T{i}</h1>{body}</article>") for i in range(2)] + [(9, "http://bare/", "<body><p class='copyright'>no</p><p>yes</p></body>")]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"T{i}\n\none\n\ntwo x=1 end\n\nthree" for i in range(2)}, 9: "yes"}
+
+
 def test_keys_that_return_keep_their_texts(spark):
     page = lambda i: f"<body><article><div><p>text{i} <a href=x>link{i}</a></p></div><h2>head{i}</h2><div><p><img src=x></p></div></article>"
     df = spark.createDataFrame([(i, "http://h/", page(i)) for i in range(4)], "page_id long, url string, html string")
