@@ -1,8 +1,9 @@
 """Phrase collocations from a weighted de Bruijn graph of words.
 
 Edges are grams of three words, from the node of their first two words to the node of their last two. Each position of a
-piece gives its longest gram: three words, or at the end two or one. So a node's occurrences are the weights of its
-edges plus how often it ends a piece, and a word's those of the nodes that it begins plus how often it stands last.
+piece gives its longest gram: three words, or two at the end; a piece of one word gives that. So a node's occurrences are the
+weights of its edges plus how often it ends a piece, and a word's those of the nodes that it begins plus how often it stands
+last, as the nodes that end pieces tell, or alone.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ GRAMS = pa.schema([("lang", pa.string()), ("node", pa.string()), ("last", pa.str
 
 
 def _grams(lang: str, words: list[bytes], ids: np.ndarray) -> pa.RecordBatch:
-    """The distinct longest grams of a run of word numbers (0: a piece ends) with their counts."""
+    """The distinct longest grams of a run of word numbers (0: a piece ends) with their counts; a piece's last word gives none unless it stands alone."""
     a, b, c = ids, np.append(ids[1:], 0), np.append(ids[2:], [0, 0])[: len(ids)]
     c = np.where(b == 0, 0, c)
-    a, b, c = (x[ids > 0] for x in (a, b, c))
+    first = np.append(0, ids[:-1]) == 0
+    a, b, c = (x[(ids > 0) & ((b > 0) | first)] for x in (a, b, c))
     if len(words) < 1 << PACK_BITS:
         keys, n = np.unique(a << 2 * PACK_BITS | b << PACK_BITS | c, return_counts=True)
         low = (1 << PACK_BITS) - 1
@@ -83,9 +85,9 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def graph(docs: DataFrame, least: int) -> DataFrame:
-    """A written table of docs (lang, text; a null lang is `und`): lang, node (two words, or one that ends a piece), flow (the node's occurrences), is_node (true on one row a node), last, n (the edge to the word `last` and its weight; last is null for a piece's end).
+    """A written table of docs (lang, text; a null lang is `und`): lang, node (two words, or one that is a piece), flow (the node's occurrences), is_node (true on one row a node), last, n (the edge to the word `last` and its weight; last is null for a piece's end).
 
-    Grams are added up in tasks first, then dealt by their node, so a node's edges meet: a frequent pair has at most one row a following word and chunk of a task. All nodes are kept, and of the other edges those that weigh `least` or more.
+    Grams are added up in tasks first, then dealt by their node, so a node's edges meet: a frequent pair has at most one row a following word and chunk of a task. All nodes are kept, the rows of those that end pieces being their ends, and of the other edges those that weigh `least` or more.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").alias("text"))
     grams = texts.mapInArrow(count_grams, "lang string, node string, last string, n bigint")
@@ -157,7 +159,9 @@ def phrases(docs: DataFrame, least: int = 10, cover: int = 50, most: int = 2000)
     g = space.write(graph(docs, least), "graph")
     edges = g.where((F.col("n") >= least) & F.col("last").isNotNull()).select("lang", "node", "last", "n", "flow")
     pairs = space.write(g.where(F.col("is_node") & _two() & (F.col("flow") >= least)).select("lang", "node", "flow"), "pairs")
-    words = space.write(g.where("is_node").groupBy("lang", _head("node").alias("word")).agg(F.sum("flow").alias("f")), "words")
+    begun = F.struct(_head("node").alias("word"), F.col("flow").alias("f"))
+    ended = F.when(F.col("last").isNull() & _two(), F.struct(F.substring_index("node", " ", -1).alias("word"), F.col("n").alias("f")))
+    words = space.write(g.where("is_node").select("lang", F.inline(F.array_compact(F.array(begun, ended)))).groupBy("lang", "word").agg(F.sum("f").alias("f")), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n_words"))
     paths = compacted(edges, space)
 
