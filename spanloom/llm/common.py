@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,11 @@ class Scratch:
         place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def give_back() -> None:
+    """Hands memory that Arrow keeps for later back to the system: workers outlive a task, and the next one may need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+
+
 def row_keys(*names: str) -> tuple[Column, Column]:
     """Two 64-bit keys, equal for rows that are equal in these columns; together they tell rows apart at any size of a table."""
     nulls = F.concat(*(F.col(n).isNull().cast("string") for n in names))

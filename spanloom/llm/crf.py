@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 TOKEN = re.compile(r"[^\W_]+")
 FEATURE_BITS = 18
 BEGINNINGS = (3, 4, 5, 6)
@@ -292,6 +294,8 @@ def _keep(model: Model | None, least: float):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 found = marginals(model, texts, memory) if model else None
                 yield part.filter(pa.array([found is None or document_score(model, p) < least for p in found or texts], pa.bool_()))
+        memory.clear()
+        give_back()
 
     return run
 

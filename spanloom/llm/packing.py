@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize
 
 #: Pieces that one task packs, about; the waste of a group is a fixed few sequences, so larger groups waste less.
 PER_GROUP = 40_000
 #: Parts of texts of which a worker remembers the ids, and the most characters of one.
-REMEMBERED, PART_CHARS = 600_000, 64
+REMEMBERED, PART_CHARS = 400_000, 64
 #: A part of a text: white space, then ASCII letters up to white space or a mark, or any characters up to ASCII white space. A byte-level
 #: tokenizer's own rule never makes a token over such an edge, nor looks over one: see the tests.
 PART = re.compile(r"\s*(?:[A-Za-z]+(?=[ \t\n\r.,;:!?)]|\Z)|\S+(?:[^\S \t\n\r]\s*\S*)*)|\s+")
@@ -76,6 +76,7 @@ def _pieces(path: str, most: int, end: int):
                             out[c].append(v)
                         start = stop
                 yield pd.DataFrame(out).astype({"doc_id": "Int64"})
+        give_back()
 
     return run
 
