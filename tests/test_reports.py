@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import scalars as S
 from spanloom.operators import audit, episodes, ranks
 from spanloom.operators.bundle import Episodes
-from spanloom.sources import jsonl, store
+from spanloom.sources import jsonl, reports, store
 
 T0 = datetime(2024, 1, 1)
 
@@ -144,3 +144,27 @@ def test_lines_of_reports(spark, tmp_path):
     store.write_csv(rows, str(tmp_path / "csv"))
     [file] = (tmp_path / "csv").glob("*.csv")
     assert file.read_text().splitlines()[0] == "name,rate,n" and file.read_text().splitlines()[2] == "b,20.00,3"
+
+
+def test_csv_headers_and_documents(spark, tmp_path):
+    tools = spark.createDataFrame([("mcp__a__b", "mcp", "a", 2, 1, 1, 30, 2, 10, 20), ("bash", "builtin", "", 1, 1, 0, 5, 1, 5, 5)], "name string, source_kind string, source_name string, calls long, ok long, fail long, total_ms long, sessions long, p50 long, p95 long").coalesce(1)
+    reports.write_csv(tools, "tool", str(tmp_path / "t"))
+    [file] = (tmp_path / "t").glob("*.csv")
+    assert file.read_text().splitlines() == ["name,source,call_count,success_count,failure_count,total_duration_ms,p50_ms,p95_ms,session_count", "mcp__a__b,mcp:a,2,1,1,30,10,20,2", "bash,builtin,1,1,0,5,5,5,1"]
+    days = spark.createDataFrame([("2024-01-01", 1, 10, 4, 7, 40.0, False, 10, 30), ("2024-01-02", 1, 0, 0, 0, 0.0, True, None, None)], "day string, sessions long, wall_ms long, tool_ms long, output_tokens long, utilisation float, low boolean, cache_write long, cache_read long").coalesce(1)
+    assert [tuple(r) for r in reports.csv_rows(days, "day").collect()] == [("2024-01-01", "1", "10", "4", "7", "40.00", "false", "10", "30", "75.00", "25"), ("2024-01-02", "1", "0", "0", "0", "0.00", "true", "0", "0", "", "")]
+    models = spark.createDataFrame([("m", 1, 2, 3, 4)], "model string, sessions long, turns long, output_tokens long, wall_ms long")
+    assert reports.csv_rows(models, "model").columns[-4:] == ["cache_creation", "cache_read", "hit_pct_honest", "saved_net"]
+    with pytest.raises(ValueError):
+        reports.csv_rows(models, "hour")
+    header = spark.createDataFrame([(3, 9, "tool", "7d")], "sessions long, total_wall_ms long, by string, since string")
+    [doc] = reports.rollup_json(tools, "tool", header).collect()
+    doc = json.loads(doc["value"])
+    assert doc["by"] == "tool" and {k: v for k, v in doc["data"].items() if k != "buckets"} == {"sessions": 3, "total_wall_ms": 9, "since": "7d"}
+    assert [b["name"] for b in doc["data"]["buckets"]] == ["mcp__a__b", "bash"] and doc["data"]["buckets"][0]["source"] == "mcp:a"
+
+
+def test_parts_of_stored_reports(spark):
+    stored = spark.createDataFrame([('{"meta": {"id": "x"}, "n": 1, "s": "a\\"b", "l": [1, null], "z": null}',), ("[1, 2]",), ('"t"',), (None,)], "analysis_report_json string").coalesce(1)
+    got = [json.loads(r[0]) for r in reports.report_parts(stored).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [{"meta": {"id": "x"}}, {"n": 1}, {"s": 'a"b'}, {"l": [1, None]}, {"z": None}, {"value": [1, 2]}, {"value": "t"}]))
