@@ -65,7 +65,7 @@ def test_lines_equal_brute_force(spark):
     assert got == brute_lines(rows) and sum(r[2] for r in got) > 50
 
 
-@pytest.mark.parametrize("batches", [1, 2, 7])
+@pytest.mark.parametrize("batches", [1, 5])
 def test_runs_do_not_depend_on_batches(spark, batches):
     rows = line_rows()
     got = sorted((tuple(r) for r in linededup.report(docs(spark, rows).repartition(3), batches=batches, enough=3, least_chars=10).collect()), key=str)
