@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import display_name
+from ..sources.folders import written
 
 #: The number of the turn that gathers calls without a turn; it comes after all others.
 ORPHANS = 1 << 40
@@ -71,9 +72,9 @@ def adjusted(bounds: DataFrame, turns: DataFrame, calls: DataFrame, hooks: DataF
     A child that begins before its neighbour's end is moved to 1 ms after it (and lasts 1 ms at least); none ends after its turn, or
     before it begins. F10: turns are numbered by start; an open one ends where the next begins, or with the session. Calls
     without a turn are gathered in a last turn, which opens when all others are closed. bounds holds session_id, zero, last:
-    the times of a session's start and end. All of it stays in the JVM, and a turn is dealt to one task, not a session.
+    the times of a session's start and end. Rows are written once, as several passes read them; all of it stays in the JVM, and a turn is dealt to one task, not a session.
     """
-    rows = _rows(bounds, turns, calls, hooks, skills)
+    rows = written(_rows(bounds, turns, calls, hooks, skills), "flame-rows")
     whole = lambda c: F.col(c).cast("bigint")
     heads = rows.where("part = 0").select("session_id", "ordinal", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("place"), "name", whole("a").alias("open_ms"), whole("z").alias("close_ms"))
     # a turn's row stands first and hands its bounds to what it holds
@@ -114,12 +115,13 @@ def profiles(bounds: DataFrame, turns: DataFrame, calls: DataFrame, hooks: DataF
     skills in order; events refer to frames by index. An outer frame spans the session, up to its end or to the last mark. bounds
     are session_ends; agents (session_id, agent) name the sessions' agents. A row holds one session's marks, as its file does.
     """
-    spans = adjusted(bounds, turns, calls, hooks, skills)
+    bounds = written(bounds, "flame-bounds")
+    spans = written(adjusted(bounds, turns, calls, hooks, skills), "flame-spans")
     leaf = lambda rows, name: rows.select("session_id", name.alias("name"))
     leaves = leaf(calls, display_name(F.col("name"))).unionByName(leaf(hooks, F.concat(F.lit("hook:"), "name"))).unionByName(leaf(skills, F.concat(F.lit("skill:"), "name"))).distinct()
     frames = bounds.select("session_id", F.lit(-1).alias("depth"), F.lit(0).cast("long").alias("ordinal"), F.lit("session").alias("name"))
     frames = frames.unionByName(spans.where("depth = 0").select("session_id", "depth", "ordinal", "name")).unionByName(leaves.select("session_id", F.lit(1).alias("depth"), F.lit(0).cast("long").alias("ordinal"), "name"))
-    frames = frames.withColumn("frame", F.row_number().over(Window.partitionBy("session_id").orderBy("depth", "ordinal", "name")) - 1)
+    frames = written(frames.withColumn("frame", F.row_number().over(Window.partitionBy("session_id").orderBy("depth", "ordinal", "name")) - 1), "flame-frames")
     index = frames.select(F.col("session_id").alias("s"), F.col("depth").alias("d"), F.col("name").alias("n"), "frame")
     numbered = spans.join(index, (F.col("session_id") == F.col("s")) & (F.col("depth") == F.col("d")) & (F.col("name") == F.col("n")))
     after = F.when(F.col("depth") == 0, F.lit(ORPHANS)).otherwise(2 * F.col("place") + 1)

@@ -568,7 +568,7 @@ _STORED = CTES + """, um AS (SELECT session_id, model, sum(output_tokens)::BIGIN
 us AS (SELECT session_id, sum(k)::BIGINT AS k, arg_min(model, (-k, model)) AS model FROM um WHERE session_id::BIGINT % 3 = 0 GROUP BY 1) """
 
 
-@on_episodes("""SELECT session_id AS id, us.model AS dominant_model, epoch_ms(started_at) AS started_at, CASE WHEN us.k IS NOT NULL THEN 0 END::BIGINT AS total_input_tokens, us.k AS total_output_tokens, CASE WHEN session_id::BIGINT % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS ingested_at FROM walls LEFT JOIN us USING (session_id)""", _STORED)
+@on_episodes("""SELECT session_id AS id, us.model AS dominant_model, epoch_us(started_at) // 1000 AS started_at, CASE WHEN us.k IS NOT NULL THEN 0 END::BIGINT AS total_input_tokens, us.k AS total_output_tokens, CASE WHEN session_id::BIGINT % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS ingested_at FROM walls LEFT JOIN us USING (session_id)""", _STORED)
 def B1_stored_sessions(e):
     """Sessions on disk after two batches, of which the second replaces every third."""
     return _stored(e).table("sessions").select("id", "dominant_model", "started_at", "total_input_tokens", "total_output_tokens", "ingested_at")

@@ -97,7 +97,9 @@ class SessionStore:
         if n:
             blank = rows.select(F.col("id").alias("session_id"), F.lit(at_ms).cast("bigint").alias("ingested_at"), F.lit(NO_EPISODES).alias("episodes_json"))
             for name, new in (("episodes", blank), ("turn_buckets", turns), ("tools_loaded", tools), ("sessions", rows.drop("day"))):
-                self._replace(name, new, ids, touched)
+                # read several times, so made once
+                new.write.parquet(f"{batch}/new-{name}")
+                self._replace(name, self.spark.read.schema(new.schema).parquet(f"{batch}/new-{name}"), ids, touched)
         folders.remove(self.spark, batch)
         return n
 
