@@ -650,7 +650,7 @@ def G5_announced_tools(spark, sf_dir):
 
 
 @query("""SELECT session_id, model, floor(l_extendedprice)::BIGINT AS input_tokens, floor(l_quantity)::BIGINT AS output_tokens, CASE WHEN l_linenumber % 2 = 1 THEN l_suppkey ELSE 0 END::BIGINT AS cache_read, CASE WHEN l_linenumber % 2 = 1 THEN l_partkey ELSE 0 END::BIGINT AS cache_write
- FROM (SELECT o_orderkey::VARCHAR AS session_id, o_orderpriority AS model, lineitem.* FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber % 3 <> 0) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY l_linenumber DESC) = 1""", "")
+ FROM (SELECT o_orderkey::VARCHAR AS session_id, o_orderpriority AS model, lineitem.* FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber % 3 <> 0) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY l_linenumber DESC, l_extendedprice DESC, l_quantity DESC, l_suppkey DESC, l_partkey DESC) = 1""", "")
 def E6_last_usage(spark, sf_dir):
     return ranks.last_usage(inputs.shutdowns(spark, sf_dir))
 
