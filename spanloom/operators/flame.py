@@ -43,14 +43,14 @@ SHIFTED = "struct<last: bigint, out: array<struct<place: bigint, name: string, o
 def _shifted(kids: DataFrame) -> DataFrame:
     """session_id, ordinal, place, name, open_ms, close_ms of what turns hold (kids: session_id, ordinal, part, seq, name, a, z, first: where the neighbour of the first ends, stop or null), each moved behind its neighbour's end.
 
-    Only neighbours that overlap depend on each other. No end lies beyond the largest of all starts and ends before it by more than two for
-    each row between, so where a row begins later than that, a new run begins. Runs are mostly a row or two; each is folded in the JVM.
+    Only neighbours that overlap depend on each other. No end lies beyond the largest of `first` and all starts and ends before it by more than two
+    for each row between, so where a row begins later than that, a new run begins. Runs are mostly a row or two; each is folded in the JVM.
     """
     order = Window.partitionBy("session_id", "ordinal").orderBy("a", "part", "seq")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = kids.withColumn("place", F.row_number().over(order).cast("bigint"))
     reach = F.max(F.greatest(F.col("a") + 1, F.col("z")) - 2 * F.col("place")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("free", F.col("a") >= F.greatest(F.col("first"), reach + 2 * (F.col("place") - 1)))
+    rows = rows.withColumn("free", F.col("a") >= F.greatest(F.col("first"), reach) + 2 * (F.col("place") - 1))
     rows = rows.withColumn("run", F.sum(F.when(F.col("free"), 1).otherwise(0)).over(so_far))
     runs = rows.groupBy("session_id", "ordinal", "run").agg(F.array_sort(F.collect_list(F.struct("place", "name", "a", "z"))).alias("kids"), F.min("first").alias("first"), F.min("stop").alias("stop"), F.min("a").alias("a"))
 

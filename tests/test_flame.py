@@ -64,3 +64,14 @@ def test_one_file_a_session(spark, tmp_path):
     for f in files:
         [line] = f.read_text().splitlines()
         assert json.loads(line)["shared"]["frames"][0] == {"name": "session"}
+
+
+def test_calls_that_queue_behind_the_turns_push_on_later_ones(spark):
+    ms = lambda n: T0 + timedelta(milliseconds=n)
+    bounds = spark.createDataFrame([("a", T0, ms(30))], "session_id string, zero timestamp, last timestamp")
+    turns = spark.createDataFrame([("a", 1, T0, ms(10))], "session_id string, turn_seq long, started_at timestamp, ended_at timestamp")
+    # five calls wait for the turn's end, each with 1 ms of its own; the sixth begins after that end, but while they still queue
+    begins = [1, 2, 3, 4, 5, 13]
+    calls = spark.createDataFrame([("a", None, n, f"t{n}", ms(b), ms(b)) for n, b in enumerate(begins)], "session_id string, turn_seq long, start_seq long, name string, started_at timestamp, ended_at timestamp")
+    spans = flame.adjusted(bounds, turns, calls).where("depth = 1").orderBy("place").collect()
+    assert [(r["name"], r["open_ms"], r["close_ms"]) for r in spans] == [("t0", 11, 12), ("t1", 13, 14), ("t2", 15, 16), ("t3", 17, 18), ("t4", 19, 20), ("t5", 21, 22)]
