@@ -399,24 +399,20 @@ def E26_model_table(spark, sf_dir):
     return ranks.model_table(inputs.order_usage(spark, sf_dir))
 
 
-def _waste(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return waste.marked_tools(*inputs.tool_sets(spark, sf_dir))
-
-
 @query("SELECT * FROM wt", WASTE)
 def D8_waste_tools(spark, sf_dir):
-    return _waste(spark, sf_dir)
+    return waste.shared_tools(*inputs.shared_tools(spark, sf_dir))
 
 
 @query("SELECT session_id, server, loaded, called, unused, unused_tokens, called = 0 AS fully_unused FROM ws", WASTE)
 def E18_waste_servers(spark, sf_dir):
-    return waste.waste_servers(_waste(spark, sf_dir))
+    return waste.shared_session_servers(*inputs.shared_tools(spark, sf_dir)).drop("calls")
 
 
 @query("""SELECT session_id, count(*) AS loaded, count_if(call_count = 0)::BIGINT AS unused, sum(CASE WHEN call_count = 0 THEN tokens ELSE 0 END)::BIGINT AS wasted_tokens,
  CASE WHEN bool_or(origin IN ('wire', 'both')) AND bool_or(origin IN ('config', 'both')) THEN 'wire_and_config' WHEN bool_or(origin IN ('wire', 'both')) THEN 'wire' WHEN bool_or(origin IN ('config', 'both')) THEN 'config' ELSE 'calls' END AS data_source FROM wt GROUP BY 1""", WASTE)
 def E19_waste_totals(spark, sf_dir):
-    return waste.waste_totals(_waste(spark, sf_dir))
+    return waste.shared_totals(*inputs.shared_tools(spark, sf_dir))
 
 
 _CROSS = "SELECT server, count(*) AS sessions, count_if(calls = 0)::BIGINT AS zero_sessions, sum(calls)::BIGINT AS calls, sum(unused_tokens)::BIGINT AS unused_tokens FROM (SELECT session_id, server, sum(call_count) AS calls, sum(CASE WHEN call_count = 0 THEN tokens ELSE 0 END) AS unused_tokens FROM wt GROUP BY ALL) GROUP BY 1"
@@ -430,13 +426,13 @@ def E20_cross_servers(spark, sf_dir):
 
 @query("SELECT server, tool, count(DISTINCT session_id) AS sessions, sum(call_count)::BIGINT AS calls FROM wt GROUP BY 1, 2", WASTE)
 def E36_cross_tools(spark, sf_dir):
-    return waste.cross_tools(_waste(spark, sf_dir))
+    return waste.shared_cross_tools(*inputs.shared_tools(spark, sf_dir)[:3])
 
 
 @query("SELECT * FROM (" + _CROSS + ") WHERE unused_tokens > 0 ORDER BY unused_tokens DESC, zero_sessions, server DESC LIMIT 1", WASTE)
 def E22_largest_waste(spark, sf_dir):
     """Top-k: the server with the largest waste."""
-    return waste.largest_waste(waste.cross_servers(_waste(spark, sf_dir)))
+    return waste.largest_waste(waste.shared_servers(*inputs.shared_tools(spark, sf_dir)).select("server", "sessions", "zero_sessions", "calls", "unused_tokens"))
 
 
 @query("""SELECT server, tools, calls, fail, total_ms, sessions, unused, unused_sessions, wasted_tokens FROM
@@ -450,8 +446,8 @@ def E12_by_server(spark, sf_dir):
 
 @query(_CROSS, WASTE)
 def E20_servers_by_session(spark, sf_dir):
-    """E20 over tools written out by session."""
-    return waste.cross_servers(_waste(spark, sf_dir))
+    """E20 over servers written out by session."""
+    return waste.servers_of_sessions(waste.shared_session_servers(*inputs.shared_tools(spark, sf_dir)))
 
 
 @on_episodes("SELECT DISTINCT model, array_to_string(string_split(model, '-')[:2], '-') AS family, substr(sha256(model), 1, 8) AS hash, CASE WHEN regexp_matches(model, '^(gpt-5|gpt-4o|o1|o3)') THEN 'o200k' ELSE 'cl100k' END AS tokenizer FROM ev WHERE model IS NOT NULL")
@@ -683,8 +679,9 @@ def G3_tools_by_sessions(e):
 @query("SELECT tool, max(server) AS server FROM wt GROUP BY 1 HAVING sum(call_count) = 0", WASTE.replace("FULL JOIN cc", "FULL JOIN (SELECT * FROM cc WHERE tool NOT LIKE 'P%') cc"))
 def G6_never_called(spark, sf_dir):
     """Loaded tools that no session calls, where the calls of tools with a P are unknown."""
-    loaded, called, costs = inputs.tool_sets(spark, sf_dir)
-    return waste.never_called(waste.marked_tools(loaded, called.where("tool not like 'P%'"), costs), 0)
+    loaded, members, called, _ = inputs.shared_tools(spark, sf_dir)
+    tools = waste.shared_cross_tools(loaded, members, called.where("tool not like 'P%'"))
+    return waste.never_called(tools.withColumnRenamed("calls", "call_count"), 0)
 
 
 @query("SELECT id, started_at, path, mtime FROM o WHERE k = 7", _REFS)
