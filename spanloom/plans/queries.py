@@ -607,7 +607,7 @@ sp AS (SELECT *, CASE WHEN i % 5 = 0 THEN 'session_start' WHEN i % 5 = 1 THEN 's
 
 
 def _typed(spark: SparkSession, sf_dir: str, signal: str) -> DataFrame:
-    out = exports.typed_events(inputs.exports(spark, sf_dir)).where(F.col("signal") == signal)
+    out = exports.typed_events(inputs.exports(spark, sf_dir), signals=(signal,)).where(F.col("signal") == signal)
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

@@ -11,12 +11,12 @@ VALUE = "struct<stringValue: string, intValue: string, doubleValue: double, bool
 ATTRS = f"array<struct<key: string, value: {VALUE}>>"
 POINTS = f"struct<dataPoints: array<struct<attributes: {ATTRS}, timeUnixNano: string, asInt: string, asDouble: double>>>"
 RESOURCE = f"resource: struct<attributes: {ATTRS}>"
-#: The parts of a request that are read: resources, their scopes, their records. 64-bit numbers may be numbers or texts.
-EXPORT = (
-    f"struct<resourceLogs: array<struct<{RESOURCE}, scopeLogs: array<struct<logRecords: array<struct<timeUnixNano: string, observedTimeUnixNano: string, attributes: {ATTRS}>>>>>>, "
-    f"resourceMetrics: array<struct<{RESOURCE}, scopeMetrics: array<struct<metrics: array<struct<name: string, sum: {POINTS}, gauge: {POINTS}>>>>>>, "
-    f"resourceSpans: array<struct<{RESOURCE}, scopeSpans: array<struct<spans: array<struct<name: string, startTimeUnixNano: string, endTimeUnixNano: string, attributes: {ATTRS}, status: struct<code: string, message: string>>>>>>>>"
-)
+#: The parts of a request that are read, by signal: resources, their scopes, their records. 64-bit numbers may be numbers or texts.
+EXPORT = {
+    "log": f"resourceLogs: array<struct<{RESOURCE}, scopeLogs: array<struct<logRecords: array<struct<timeUnixNano: string, observedTimeUnixNano: string, attributes: {ATTRS}>>>>>>",
+    "metric": f"resourceMetrics: array<struct<{RESOURCE}, scopeMetrics: array<struct<metrics: array<struct<name: string, sum: {POINTS}, gauge: {POINTS}>>>>>>",
+    "trace": f"resourceSpans: array<struct<{RESOURCE}, scopeSpans: array<struct<spans: array<struct<name: string, startTimeUnixNano: string, endTimeUnixNano: string, attributes: {ATTRS}, status: struct<code: string, message: string>>>>>>>",
+}
 TYPED = (
     "session_id string, event_type string, agent string, ts timestamp, turn_id string, tool_name string, source string, user_approved boolean, status string, error_message string, "
     "model string, direction string, value bigint, cwd string, prompt_size_bytes bigint, signal string, identity string"
@@ -29,13 +29,13 @@ LOG_EVENTS = {"session_start": ("session.start",), "session_end": ("session.end"
 LONGEST_ID = 256
 
 
-def records(exports: DataFrame, column: str = "value") -> DataFrame:
+def records(exports: DataFrame, column: str = "value", signals: tuple[str, ...] = tuple(EXPORT)) -> DataFrame:
     """One row a log record, metric point or span of exports (a JSON text a row): signal, resource, attrs (key and typed value), name, kind, first_ns, last_ns, whole, real, code, message.
 
     A metric that doesn't count tokens, or has neither a sum nor a gauge, is one row without a point. A text that is no export gives a row of signal
-    `unknown`; null and blank texts give none. All three signals are read in one pass.
+    `unknown`; null and blank texts give none. All signals that are asked for are read in one pass; the parser steps over the others.
     """
-    e = F.from_json(F.col(column), EXPORT)
+    e = F.from_json(F.col(column), f"struct<{', '.join(EXPORT[s] for s in signals)}>")
     none = lambda kind: F.lit(None).cast(kind)
 
     def row(signal: str, resource: Column, attrs: Column, **more: Column) -> Column:
@@ -53,12 +53,13 @@ def records(exports: DataFrame, column: str = "value") -> DataFrame:
         each_point = F.transform(points, lambda p: row("metric", r, p["attributes"], name=m["name"], kind=kind, first_ns=p["timeUnixNano"], whole=p["asInt"], real=p["asDouble"]))
         return F.when(counts & kind.isNotNull(), each_point).otherwise(F.array(row("metric", r, none(ATTRS), name=m["name"])))
 
-    logs = each(e["resourceLogs"], lambda r: each(r["scopeLogs"], lambda s: F.transform(s["logRecords"], lambda x: row("log", r, x["attributes"], first_ns=x["timeUnixNano"], last_ns=x["observedTimeUnixNano"]))))
-    metrics = each(e["resourceMetrics"], lambda r: each(r["scopeMetrics"], lambda s: each(s["metrics"], lambda m: of_metric(r, m))))
-    spans = each(e["resourceSpans"], lambda r: each(r["scopeSpans"], lambda s: F.transform(s["spans"], lambda x: row("trace", r, x["attributes"], name=x["name"], first_ns=x["startTimeUnixNano"], last_ns=x["endTimeUnixNano"], code=x["status"]["code"], message=x["status"]["message"]))))
+    logs = lambda: each(e["resourceLogs"], lambda r: each(r["scopeLogs"], lambda s: F.transform(s["logRecords"], lambda x: row("log", r, x["attributes"], first_ns=x["timeUnixNano"], last_ns=x["observedTimeUnixNano"]))))
+    metrics = lambda: each(e["resourceMetrics"], lambda r: each(r["scopeMetrics"], lambda s: each(s["metrics"], lambda m: of_metric(r, m))))
+    spans = lambda: each(e["resourceSpans"], lambda r: each(r["scopeSpans"], lambda s: F.transform(s["spans"], lambda x: row("trace", r, x["attributes"], name=x["name"], first_ns=x["startTimeUnixNano"], last_ns=x["endTimeUnixNano"], code=x["status"]["code"], message=x["status"]["message"]))))
+    lists = {"log": logs, "metric": metrics, "trace": spans}
     broken = F.try_parse_json(F.col(column)).isNull() | ~F.ltrim(F.col(column)).startswith("{")
     nothing = F.struct(none(f"struct<{RESOURCE}>")["resource"].alias("resource"))
-    made = F.when(broken, F.array(row("unknown", nothing, none(ATTRS), name=F.left(F.col(column), F.lit(60))))).otherwise(F.concat(logs, metrics, spans))
+    made = F.when(broken, F.array(row("unknown", nothing, none(ATTRS), name=F.left(F.col(column), F.lit(60))))).otherwise(F.concat(*[lists[s]() for s in signals]))
     return exports.where(F.trim(F.col(column)) != "").select(F.inline(made))
 
 
@@ -125,6 +126,6 @@ def agent(resource: Column) -> Column:
     return F.when((service == "claude-code") | (kind == "claude"), "claude").when((service == "codex-cli") | (kind == "codex"), "codex").otherwise("copilot")
 
 
-def typed_events(exports: DataFrame, column: str = "value") -> DataFrame:
-    """Typed events of exports (a JSON text a row)."""
-    return typed(records(exports, column))
+def typed_events(exports: DataFrame, column: str = "value", signals: tuple[str, ...] = tuple(EXPORT)) -> DataFrame:
+    """Typed events of exports (a JSON text a row), of all signals or of some; texts that are no exports are told in any case."""
+    return typed(records(exports, column, signals))

@@ -112,3 +112,16 @@ def test_spans(spark):
 def test_requests_that_are_empty_or_broken(spark):
     got = typed(spark, {}, "no json", " ", "[1]", {"resourceLogs": None}, {"resourceLogs": [{"scopeLogs": [{"logRecords": [record("session.end", session__id="r")]}, {}]}]}, {"resourceMetrics": [{}]})
     assert [(r["event_type"], r["signal"]) for r in got] == [("unrecognised", "unknown"), ("unrecognised", "unknown"), ("session_end", "log")]
+
+
+def test_one_signal_of_exports(spark):
+    """One signal's events are those that all signals give of it; texts that are no exports are told in any case."""
+    both = json.dumps(logs(S, record("user_prompt")) | spans(S, span("a", {})))
+    rows = spark.createDataFrame([(both,), ("{broken",)], "value string")
+    whole = exports.typed_events(rows).collect()
+    assert sorted(r["signal"] for r in whole) == ["log", "trace", "unknown"]
+    for signal in ("log", "trace", "metric"):
+        got = exports.typed_events(rows, signals=(signal,))
+        assert sorted(map(str, got.collect())) == sorted(str(r) for r in whole if r["signal"] in (signal, "unknown"))
+        schema = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("resourceLogs" in schema) == (signal == "log") and ("resourceSpans" in schema) == (signal == "trace")
