@@ -679,8 +679,8 @@ def G3_tools_by_sessions(e):
 @query("SELECT tool, max(server) AS server FROM wt GROUP BY 1 HAVING sum(call_count) = 0", WASTE.replace("FULL JOIN cc", "FULL JOIN (SELECT * FROM cc WHERE tool NOT LIKE 'P%') cc"))
 def G6_never_called(spark, sf_dir):
     """Loaded tools that no session calls, where the calls of tools with a P are unknown."""
-    loaded, members, called, _ = inputs.shared_tools(spark, sf_dir)
-    tools = waste.shared_cross_tools(loaded, members, called.where("tool not like 'P%'"))
+    loaded, _, called, _ = inputs.shared_tools(spark, sf_dir)
+    tools = waste.shared_cross_tools(loaded, called.select("grp", "session_id"), called.where("tool not like 'P%'"))
     return waste.never_called(tools.withColumnRenamed("calls", "call_count"), 0)
 
 

@@ -26,6 +26,15 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """A table as of `written`, in buckets by key: sums and joins by that key read it where it lies, so it is dealt once, however often it is read."""
+    spark = rows.sparkSession
+    path, buckets = scratch(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    rows.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
