@@ -552,11 +552,12 @@ def _stored(e: Episodes) -> sessionstore.SessionStore:
     """A store that took in all sessions without their failed calls and unfinished turns, and then every third session again as a whole."""
     spark = e.events.sparkSession
     store_ = sessionstore.SessionStore(spark, folders.scratch(spark, "session-store"), parts=4)
-    meta = e.walls.select("session_id", F.lit("copilot").alias("agent"), "started_at", F.concat(F.lit("/s/"), "session_id").alias("raw_path"), F.lit(1).cast("long").alias("raw_mtime"))
-    used = e.events.where("kind = 'assistant_message'").groupBy("session_id", "model").agg(F.sum("output_tokens").alias("output_tokens")).select("*", *[F.lit(0).cast("long").alias(c) for c in ("input_tokens", "cache_read", "cache_write")])
-    again = F.col("session_id").cast("long") % 3 == 0
-    store_.upsert(*sessionstore.report_tables(meta, ranks.tool_rank(e.calls.where("status <> 'failure'")), e.turns.where("status = 'completed'"), used.limit(0)), at_ms=1)
-    store_.upsert(*sessionstore.report_tables(meta.where(again), ranks.tool_rank(e.calls.where(again)), e.turns.where(again), used.where(again)), at_ms=2)
+    with e.held() as h:
+        meta = h.walls.select("session_id", F.lit("copilot").alias("agent"), "started_at", F.concat(F.lit("/s/"), "session_id").alias("raw_path"), F.lit(1).cast("long").alias("raw_mtime"))
+        used = h.rows.where("kind = 'assistant_message'").groupBy("session_id", "model").agg(F.sum("output_tokens").alias("output_tokens")).select("*", *[F.lit(0).cast("long").alias(c) for c in ("input_tokens", "cache_read", "cache_write")])
+        again = F.col("session_id").cast("long") % 3 == 0
+        store_.upsert(*sessionstore.report_tables(meta, ranks.tool_rank(h.calls.where("status <> 'failure'")), h.turns.where("status = 'completed'"), used.limit(0)), at_ms=1)
+        store_.upsert(*sessionstore.report_tables(meta.where(again), ranks.tool_rank(h.calls.where(again)), h.turns.where(again), used.where(again)), at_ms=2)
     return store_
 
 

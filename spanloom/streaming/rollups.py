@@ -34,7 +34,7 @@ def shares(e: Episodes) -> DataFrame:
     status = F.col("status")
     calls = e.calls.groupBy("session_id", "name", "duration_ms").agg(F.count("*").alias("n"), F.count_if(status == "success").alias("ok"), F.count_if(status == "failure").alias("fail"))
     tools = calls.select(*_row("tool", F.col("name"), F.col("duration_ms"), calls=F.col("n"), ok=F.col("ok"), fail=F.col("fail"), tool_ms=F.col("n") * F.col("duration_ms")))
-    callers = e.calls.select("session_id", "name").distinct().select(*_row("caller", F.col("name"), sessions=one))
+    callers = calls.select("session_id", "name").distinct().select(*_row("caller", F.col("name"), sessions=one))
     spent = calls.groupBy("session_id").agg(F.sum(F.col("n") * F.col("duration_ms")).alias("tool_ms"))
     turns = e.turns.groupBy("session_id").agg(F.min_by(F.struct("model"), "turn_seq").alias("first"), F.count("*").alias("turns"), F.sum("output_tokens").alias("tokens"))
     each = e.walls.join(spent, "session_id", "left").join(turns, "session_id", "left")
@@ -98,7 +98,8 @@ class LiveRollups:
     def refresh(self, events: DataFrame, number: int) -> None:
         """Batch `number`: events are the whole logs, decoded, of the sessions that changed. Their shares take the place of those that earlier batches gave them."""
         new = f"{self.path}/shares/batch={number}"
-        shares(Episodes(events)).write.mode("overwrite").parquet(new)
+        with Episodes(events).held() as e:
+            shares(e).write.mode("overwrite").parquet(new)
         fresh = self.spark.read.schema(SHARES).parquet(new)
         changed = fresh.select("session_id").distinct()
         old = self.shares(before=number).join(changed, "session_id", "left_semi")

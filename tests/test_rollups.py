@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 from spanloom.operators import ranks
 from spanloom.operators.bundle import Episodes
@@ -63,3 +64,25 @@ def test_five_random_appends_equal_a_full_recompute(spark, tmp_path):
     assert rows(live.totals()) == before and live._batches("shares", None) == [last + 1]
     live.refresh(e.events.limit(0), last + 2)
     assert rows(live.totals()) == before
+
+
+def test_a_batch_pairs_its_events_once(spark, tmp_path):
+    """All shares of a batch come of events that are dealt by session and paired once; what is dealt after that is a part of them. The paired events are removed."""
+    rng = random.Random(7)
+    (tmp_path / "logs" / "s").mkdir(parents=True)
+    (tmp_path / "logs" / "s" / "events-0001.jsonl").write_text("\n".join(random_lines(rng, i, i) for i in range(2000)) + "\n")
+    events = jsonl.decode(jsonl.folder_lines(spark, [str(tmp_path / "logs" / "s")]))[0]
+    events.write.parquet(str(tmp_path / "events"))
+    store, doubles = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0)
+
+    def shuffled() -> int:
+        stages = store.stageList(None, False, False, doubles, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before, events = shuffled(), spark.read.schema(events.schema).parquet(str(tmp_path / "events"))
+    rollups.LiveRollups(spark, str(tmp_path / "state")).refresh(events, 0)
+    assert shuffled() - before < 3 * 2000
+    with Episodes(events).held() as h:
+        assert rows(h.calls) == rows(Episodes(events).calls)
+        paths = h.rows.inputFiles()
+    assert paths and not any(Path(p.removeprefix("file://")).exists() for p in paths)
