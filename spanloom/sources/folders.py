@@ -26,15 +26,24 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def dealt(rows: DataFrame, name: str, key: str) -> DataFrame:
-    """A table as of `written`, in buckets by key: sums and joins by that key read it where it lies, so it is dealt once, however often it is read."""
+#: Rows of a dealt table for which it has a further bucket, about. A task sums up a bucket, so that what it holds at once has a bound at every size.
+PER_BUCKET = 250_000
+
+
+def dealt(rows: DataFrame, name: str, key: str, most: int = 0) -> DataFrame:
+    """A table as of `written`, in buckets by key: sums and joins by that key read it where it lies, so it is dealt once, however often it is read. `most` rows are expected."""
     spark = rows.sparkSession
-    path, buckets = scratch(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, buckets = scratch(spark, name), buckets_of(spark, most)
     table = path.rsplit("/", 1)[1].replace("-", "_")
     rows.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 
+def buckets_of(spark: SparkSession, most: int) -> int:
+    """Buckets for so many rows: as many as a shuffle has partitions, at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-most // PER_BUCKET))
+
+
 def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
