@@ -8,6 +8,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,11 +19,14 @@ from .common import give_back, materialize
 
 #: Pieces that one task packs, about; the waste of a group is a fixed few sequences, so larger groups waste less.
 PER_GROUP = 40_000
-#: Parts of texts of which a worker remembers the ids, and the most characters of one.
-REMEMBERED, PART_CHARS = 400_000, 64
-#: A part of a text: white space, then ASCII letters up to white space or a mark, or any characters up to ASCII white space. A byte-level
-#: tokenizer's own rule never makes a token over such an edge, nor looks over one: see the tests.
-PART = re.compile(r"\s*(?:[A-Za-z]+(?=[ \t\n\r.,;:!?)]|\Z)|\S+(?:[^\S \t\n\r]\s*\S*)*)|\s+")
+#: Parts of texts of which a worker remembers the ids, and the most characters of one. Half of them are the latest; of the others those are kept
+#: that come again while the next half fills up.
+REMEMBERED, PART_CHARS = 500_000, 64
+#: New parts that the tokenizer takes as one text.
+PARTS_AT_ONCE = 512
+#: A part of a text: up to a space that stands alone. A byte-level tokenizer's own rule never makes a token over such an edge, nor looks over
+#: one: see the tests. Texts without a space that lies within or ends a run of white space may be cut before each space.
+PART, WITHIN_RUN = re.compile(r"(?s).(?:[^ ]+|(?<!\S) | (?!\S))*"), re.compile(r" (?<=\s )(?:\s|\Z)")
 
 
 @lru_cache(maxsize=4)
@@ -30,7 +34,7 @@ def encoder(path: str):
     """A function from texts to their ids by the `tokenizers` library.
 
     Its time goes into words, and most words of a corpus come again; so texts are cut at edges that no token crosses, each part
-    is encoded once, and its ids are remembered. A tokenizer for which the edges don't hold (other than byte-level with
+    is encoded once, many at a time, and its ids are remembered. A tokenizer for which the edges don't hold (other than byte-level with
     the usual rule, or with a normalizer, or with special tokens that hold white space or take it) encodes whole texts.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
@@ -42,20 +46,52 @@ def encoder(path: str):
     plain = before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not model["normalizer"]
     apart = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and re.fullmatch(r"<\|?[A-Za-z_]+\|?>", t["content"]) for t in model["added_tokens"])
     known: dict[str, bytes] = {}
-
-    def ids(found) -> bytes:
-        return np.array(found.ids, "<u4").tobytes()
+    older: dict[str, bytes] = {}
+    token_bytes = np.zeros(max(whole.get_vocab().values()) + 1, np.int64)
+    for token, i in whole.get_vocab(with_added_tokens=False).items():
+        token_bytes[i] = len(token)  # a character stands for a byte
+    for t in model["added_tokens"]:
+        token_bytes[t["id"]] = len(t["content"].encode())
+
+    def ids(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_new(new: list[str]) -> Iterator[bytes]:
+        """The ids of each part and the space before it. Tokens are bytes of the text, so their lengths tell where in a text of many parts each one ends."""
+        for at in range(0, len(new), PARTS_AT_ONCE):
+            some = [" " + x for x in new[at : at + PARTS_AT_ONCE]]
+            [found] = ids(["".join(some)])
+            ends, tokens = np.cumsum([len(x.encode()) for x in some]), np.cumsum(token_bytes[found])
+            stops = np.searchsorted(tokens, ends) + 1
+            if len(tokens) and stops[-1] == len(tokens) and (tokens[stops - 1] == ends).all():
+                raw, start = found.tobytes(), 0
+                for stop in (4 * stops).tolist():
+                    yield raw[start:stop]
+                    start = stop
+            else:
+                yield from (x.tobytes() for x in ids(some))
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         if not plain or not apart:
-            return [np.frombuffer(ids(x), "<u4") for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
-        parts = [PART.findall(t) for t in texts]
-        if len(known) > REMEMBERED:
+            return ids(texts)
+        parts = [[x[i > 0 :] for i, x in enumerate(PART.findall(t))] or [""] if WITHIN_RUN.search(t) else t.split(" ") for t in texts]
+        first = [p.pop(0) for p in parts]  # the only ones without a space before them, which the others' keys leave out
+        if len(known) > REMEMBERED // 2:
+            older.clear()
+            older.update(known)
             known.clear()
-        new = list({x for p in parts for x in p if x not in known})
-        once = dict(zip(new, map(ids, whole.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        known.update((x, i) for x, i in once.items() if len(x) <= PART_CHARS)
-        return [np.frombuffer(b"".join([once[x] if x in once else known[x] for x in p]), "<u4") for p in parts]
+        missing = set(chain.from_iterable(parts)).difference(known)
+        known.update((x, older[x]) for x in missing if x in older)
+        new = [x for x in missing if x not in known]
+        inner = [x for x in new if x and x.strip() == x]  # side by side, others could make runs of white space
+        outer = [x for x in new if not x or x.strip() != x] if len(inner) < len(new) else []
+        known.update(zip(inner, encode_new(inner), strict=True))
+        known.update(zip(outer, (x.tobytes() for x in ids([" " + x for x in outer])), strict=True))
+        out = [np.frombuffer(b"".join([x.tobytes(), *map(known.__getitem__, p)]), "<u4") for x, p in zip(ids(first), parts, strict=True)]
+        for x in new:
+            if len(x) > PART_CHARS:
+                del known[x]
+        return out
 
     return encode
 

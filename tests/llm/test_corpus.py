@@ -494,6 +494,34 @@ def test_ids_of_odd_texts():
     assert [x.tolist() for x in packing.encoder(tokenizer_path())(texts)] == [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_that_come_again_are_encoded_once(monkeypatch):
+    """Words that come in every batch are encoded once, however many others fill the memory meanwhile, and many new words are one text for the tokenizer."""
+    import tokenizers
+
+    seen = []
+
+    class Spy:
+        def __init__(self, path):
+            self.real = Tokenizer.from_file(path)
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return self.real.encode_batch_fast(texts, **more)
+
+    Spy.from_file = Spy
+    Tokenizer = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", Spy)
+    monkeypatch.setattr(packing, "REMEMBERED", 60)
+    encode = packing.encoder.__wrapped__(tokenizer_path())
+    for i in range(20):
+        text = "a whale, " + " ".join(f"w{i}x{k}" for k in range(20)) + "  harpoon's\n end"
+        assert encode([text])[0].tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+    assert sum("whale" in x for x in seen) == 1 and len(seen) < 20 * 4
+
+
 def plain_sum_of_squares(lengths, most):
     """Bins with gaps in a list; each possible place is tried and the sum of squared counts counted anew."""
     gaps, where = [], []
