@@ -43,7 +43,7 @@ class Scratch:
     """A folder of its own in the shared folder for the tables of one run, which clear() removes when its result is written elsewhere."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path, self.tables = spark, new_path(spark, name), 0
+        self.spark, self.path, self.tables, self.dealt = spark, new_path(spark, name), 0, []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.tables += 1
@@ -51,7 +51,18 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def deal(self, df: DataFrame, name: str, key: str, least: int = 0) -> DataFrame:
+        """As write, in buckets by key, of which there are `least`, or as many as a shuffle has partitions: a join by that key reads them where they lie."""
+        self.tables += 1
+        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), least)
+        table = f"{name}_{self.tables:03d}_{self.path.rsplit('-', 1)[1]}"
+        df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", f"{self.path}/{self.tables:03d}-{name}").saveAsTable(table)
+        self.dealt.append(table)
+        return self.spark.table(table)
+
     def clear(self) -> None:
+        for table in self.dealt:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 

@@ -35,6 +35,8 @@ ROWS, BANDS, BATCH = 6, 40, 24
 BLOCK = 1 << 15
 #: Sets that are held at once for one pivot.
 CHUNK = 64
+#: Whole sets in a bucket, about, where they are more than a shuffle's partitions can hold.
+PER_BUCKET = 4000
 #: Turns of stars before what is left in mixed buckets is tried by pairs or by differences.
 MOST_TURNS = 3
 #: Members of a bucket up to which its pairs are tried one by one.
@@ -306,12 +308,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     """
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     try:
-        return materialize(_near_duplicates(docs, size, percent, percent / 100, miss, scratch.write), "duplicates")
+        return materialize(_near_duplicates(docs, size, percent, percent / 100, miss, scratch), "duplicates")
     finally:
         scratch.clear()
 
 
-def _near_duplicates(docs: DataFrame, size: int, percent: int, threshold: float, miss: float, write: Write) -> DataFrame:
+def _near_duplicates(docs: DataFrame, size: int, percent: int, threshold: float, miss: float, scratch: Scratch) -> DataFrame:
+    write = scratch.write
     rows = write(sketch(docs, size), "sketch")
     full = rows.where("fp is not null")
     by_text = full.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("rid").alias("rid"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
@@ -324,7 +327,8 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, threshold: float,
     members = write(banded.join(shared, "key").join(classes.select("cid", "n", "bits"), "cid").select("key", "cid", "n", "bits", F.col("cid").alias("root")), "members")
     # from here on, only classes that share a band; their texts are read once
     near = write(classes.select("cid", "rid", "fp", "sig").join(members.select("cid"), "cid", "left_semi"), "near")
-    sets = write(whole_sets(docs, near.select("cid", "rid", "fp"), size), "sets")
+    # the largest table here, and each turn joins it with its pairs: it is dealt by class once, and stays where it lies
+    sets = scratch.deal(whole_sets(docs, near.select("cid", "rid", "fp"), size), "sets", "cid", near.count() // PER_BUCKET)
     links, roots, tried, labelled, before = None, None, None, members, None
     for turn in range(MOST_TURNS):
         stars = _stars(labelled, turn).where(sized(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()

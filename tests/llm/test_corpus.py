@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanloom.llm import crf, langid, linefreq, minhash, mixture, mpegaudio, packing, shards, warc, wrappers
+from spanloom.llm import common, crf, langid, linefreq, minhash, mixture, mpegaudio, packing, shards, warc, wrappers
 from spanloom.llm.common import materialize, word_count
 from spanloom.llm.queries import tokenizer_path
 
@@ -481,6 +481,26 @@ def test_mixture_meets_its_targets(spark):
     assert len(mixture.mix(odd_docs(spark), word_count(F.col("text"))).collect()) == 9
 
 
+def test_whole_sets_stay_where_they_lie(spark):
+    """Pairs go to the sets, which are dealt by class once: verifying pairs moves no row of the dealt table. Its entry in the catalogue goes with its files."""
+    scratch = common.Scratch(spark, "sets-test")
+    words = [(i, np.array([1, 2, 3, 4, 5 + i // 2], np.uint64).tobytes()) for i in range(8)]
+    sets = scratch.deal(spark.createDataFrame(words, "cid long, words binary"), "sets", "cid", 6)
+    name = scratch.dealt[0]
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(7)], "a long, b long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = minhash.verify(pairs, sets, 80)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(cid") == 1 and "6 out of 6" in plan
+        assert sorted(map(tuple, found.collect())) == [(0, 1), (2, 3), (4, 5), (6, 7)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        scratch.clear()
+    assert not spark.catalog.tableExists(name)
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.one_of(st.text(), st.text("ab'sdZ .,!?)\n\t\r\x0b\x1c\x85\xa0\u2003\u20281é中\u0301<|>"), st.sampled_from(["<|endoftext|>", " ", "  ", "don't", "\n\n"]))))
 def test_ids_of_parts_are_those_of_whole_texts(parts):
