@@ -6,12 +6,14 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,14 @@ from .common import give_back, materialize
 PER_GROUP = 40_000
 #: Parts of texts of which a worker remembers the ids, and the most characters of one. Half of them are the latest; of the others those are kept
 #: that come again while the next half fills up.
-REMEMBERED, PART_CHARS = 500_000, 64
+REMEMBERED, PART_CHARS = 1_000_000, 64
 #: New parts that the tokenizer takes as one text.
-PARTS_AT_ONCE = 512
+PARTS_AT_ONCE = 128
+#: A part of letters, and ASCII marks after them: the tokenizer's own rule parts them there, so the word's ids serve for it with any marks.
+#: Apostrophes may begin a token with letters. The letters are those of scripts that Unicode no longer adds to.
+MARKS, MARKED = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"), re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
+#: Texts that are cut at once, and about the most characters of them: a longer text stands alone. A part is looked up once for all of them.
+TEXTS, CHARS = 4096, 16_000_000
 #: A part of a text: up to a space that stands alone. A byte-level tokenizer's own rule never makes a token over such an edge, nor looks over
 #: one: see the tests. Texts without a space that lies within or ends a run of white space may be cut before each space.
 PART, WITHIN_RUN = re.compile(r"(?s).(?:[^ ]+|(?<!\S) | (?!\S))*"), re.compile(r" (?<=\s )(?:\s|\Z)")
@@ -34,7 +41,8 @@ def encoder(path: str):
     """A function from texts to their ids by the `tokenizers` library.
 
     Its time goes into words, and most words of a corpus come again; so texts are cut at edges that no token crosses, each part
-    is encoded once, many at a time, and its ids are remembered. A tokenizer for which the edges don't hold (other than byte-level with
+    is encoded once, many at a time, and its ids are remembered. Arrow cuts many texts at once and numbers their parts, so only
+    distinct ones become Python strings. A tokenizer for which the edges don't hold (other than byte-level with
     the usual rule, or with a normalizer, or with special tokens that hold white space or take it) encodes whole texts.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
@@ -59,56 +67,99 @@ def encoder(path: str):
     def encode_new(new: list[str]) -> Iterator[bytes]:
         """The ids of each part and the space before it. Tokens are bytes of the text, so their lengths tell where in a text of many parts each one ends."""
         for at in range(0, len(new), PARTS_AT_ONCE):
-            some = [" " + x for x in new[at : at + PARTS_AT_ONCE]]
-            [found] = ids(["".join(some)])
-            ends, tokens = np.cumsum([len(x.encode()) for x in some]), np.cumsum(token_bytes[found])
+            some = new[at : at + PARTS_AT_ONCE]
+            [found] = ids([" " + " ".join(some)])
+            ends, tokens = np.cumsum(pc.binary_length(pa.array(some, pa.large_string())).to_numpy() + 1), np.cumsum(token_bytes[found])
             stops = np.searchsorted(tokens, ends) + 1
             if len(tokens) and stops[-1] == len(tokens) and (tokens[stops - 1] == ends).all():
-                raw, start = found.tobytes(), 0
-                for stop in (4 * stops).tolist():
-                    yield raw[start:stop]
-                    start = stop
+                raw, stops = found.tobytes(), (4 * stops).tolist()
+                yield from [raw[start:stop] for start, stop in zip([0, *stops], stops, strict=False)]
             else:
-                yield from (x.tobytes() for x in ids(some))
+                yield from (x.tobytes() for x in ids([" " + x for x in some]))
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        if not plain or not apart:
-            return ids(texts)
-        parts = [[x[i > 0 :] for i, x in enumerate(PART.findall(t))] or [""] if WITHIN_RUN.search(t) else t.split(" ") for t in texts]
-        first = [p.pop(0) for p in parts]  # the only ones without a space before them, which the others' keys leave out
+    @lru_cache(maxsize=4096)
+    def marks(text: str) -> bytes:
+        return ids([text])[0].tobytes()
+
+    def unknown(parts: Iterable[str]) -> list[str]:
+        """Those parts that are not remembered; the others are among the latest from now on."""
+        missing = [x for x in parts if x not in known]
+        known.update((x, older[x]) for x in missing if x in older)
+        return [x for x in missing if x not in known]
+
+    def learn(parts: list[str]) -> list[str]:
+        """Sees to it that the ids of these parts are known; returns those that were not, and words in them."""
         if len(known) > REMEMBERED // 2:
             older.clear()
             older.update(known)
             known.clear()
-        missing = set(chain.from_iterable(parts)).difference(known)
-        known.update((x, older[x]) for x in missing if x in older)
-        new = [x for x in missing if x not in known]
-        inner = [x for x in new if x and x.strip() == x]  # side by side, others could make runs of white space
-        outer = [x for x in new if not x or x.strip() != x] if len(inner) < len(new) else []
+        new = unknown(parts)
+        marked = [m for x in new if x[-1:] in MARKS and (m := MARKED.fullmatch(x))]
+        whole = set(new).difference(m[0] for m in marked)
+        whole.update(unknown({m[1] for m in marked}))
+        inner = [x for x in whole if x and x.strip() == x]  # side by side, others could make runs of white space
+        outer = [x for x in whole if not x or x.strip() != x] if len(inner) < len(whole) else []
         known.update(zip(inner, encode_new(inner), strict=True))
         known.update(zip(outer, (x.tobytes() for x in ids([" " + x for x in outer])), strict=True))
-        out = [np.frombuffer(b"".join([x.tobytes(), *map(known.__getitem__, p)]), "<u4") for x, p in zip(ids(first), parts, strict=True)]
+        known.update((m[0], known[m[1]] + marks(m[2])) for m in marked)
+        return [*whole, *(m[0] for m in marked)]
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        if not plain or not apart:
+            return ids(texts)
+        if not texts:
+            return []
+        inside = [bool(WITHIN_RUN.search(t)) for t in texts]
+        order = sorted(range(len(texts)), key=inside.__getitem__)
+        cut = pc.split_pattern(pa.array([t for t, x in zip(texts, inside, strict=True) if not x], pa.large_string()), " ")
+        slow = [[x[i > 0 :] for i, x in enumerate(PART.findall(t))] for t, x in zip(texts, inside, strict=True) if x]
+        parts = pa.concat_arrays([cut.flatten(), pa.array(list(chain.from_iterable(slow)), pa.large_string())])
+        stops = np.cumsum(np.concatenate([pc.list_value_length(cut).to_numpy(), np.array([len(x) for x in slow], np.int64)]))
+        starts = np.concatenate([[0], stops[:-1]])
+        later = np.ones(len(parts), bool)
+        later[starts] = False
+        first = ids(parts.take(pa.array(starts)).to_pylist())  # the only ones without a space before them, which the others' keys leave out
+        coded = parts.filter(pa.array(later)).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = learn(distinct)
+        found = pa.array([known[x] for x in distinct], pa.large_binary()).take(coded.indices)
         for x in new:
             if len(x) > PART_CHARS:
                 del known[x]
-        return out
+        _, ends, raw = found.buffers()
+        ends, flat = (np.frombuffer(ends, np.int64) // 4, np.frombuffer(raw, "<u4")) if len(found) else (np.zeros(1, np.int64), np.empty(0, "<u4"))
+        before = np.arange(len(texts))  # first parts of the texts up to this one
+        out = dict(zip(order, (np.concatenate([x, flat[a:b]]) for x, a, b in zip(first, ends[starts - before], ends[stops - before - 1], strict=True)), strict=True))
+        return [out[i] for i in range(len(texts))]
 
     return encode
 
 
+def _runs(chars: list[int]) -> Iterator[tuple[int, int]]:
+    """Where runs of texts of these lengths begin and end: TEXTS at most, and CHARS but for a single longer text."""
+    at, total = 0, 0
+    for i, n in enumerate(chars):
+        if i > at and (i - at == TEXTS or total + n > CHARS):
+            yield at, i
+            at, total = i, 0
+        total += n
+    if chars:
+        yield at, len(chars)
+
+
 def _pieces(path: str, most: int, end: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path)
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            for at, to in _runs([len(t) for t in texts]):
+                part = pdf.iloc[at:to]
                 out = {c: [] for c in ("doc_id", "row", "piece", "start", "length", "ids_crc32")}
-                encoded = encode([t if isinstance(t, str) else "" for t in part["text"]])
-                for doc_id, row, found in zip(part["doc_id"].astype("Int64"), part["row"], encoded, strict=True):
-                    ids = np.append(found, np.uint32(end)).astype("<u4")
+                for doc_id, row, found in zip(part["doc_id"].astype("Int64"), part["row"], encode(texts[at:to]), strict=True):
+                    ids = np.append(found, np.uint32(end)).astype("<u4", copy=False)
                     start = 0
                     for piece, stop in enumerate(range((len(ids) - 1) % most + 1, len(ids) + 1, most)):
-                        for c, v in zip(out, (doc_id, row, piece, start, stop - start, zlib.crc32(ids[start:stop].tobytes())), strict=True):
+                        for c, v in zip(out, (doc_id, row, piece, start, stop - start, zlib.crc32(ids[start:stop])), strict=True):
                             out[c].append(v)
                         start = stop
                 yield pd.DataFrame(out).astype({"doc_id": "Int64"})

@@ -542,6 +542,45 @@ def test_words_that_come_again_are_encoded_once(monkeypatch):
     assert sum("whale" in x for x in seen) == 1 and len(seen) < 20 * 4
 
 
+def test_a_word_is_encoded_once_for_all_marks_after_it(monkeypatch):
+    import tokenizers
+
+    seen = []
+
+    class Spy:
+        def __init__(self, path):
+            self.real = Tokenizer.from_file(path)
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return self.real.encode_batch_fast(texts, **more)
+
+    Spy.from_file = Spy
+    Tokenizer = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", Spy)
+    encode = packing.encoder.__wrapped__(tokenizer_path())
+    texts = ["a whale, whale whale. (a whale! señor señor;", "one señor? whale", "a whale$$$ señor."]
+    for some in (texts, texts[:1], ["the end: whale... señor!"]):
+        assert [x.tolist() for x in encode(some)] == [WHOLE.encode(t, add_special_tokens=False).ids for t in some]
+    assert sum(x.count("whale") for x in seen) == sum(x.count("señor") for x in seen) == 1
+
+
+def test_ids_of_words_with_marks():
+    ends = [*map(chr, range(33, 127)), "''", "'s,", "n't.", ",'", "<|", "<|endoftext|>", "|>", "×", "÷", "\u0301", "\u0301.", ".\n", ".\nThe", ",,,,", "__", "ʼ."]
+    words = ["a", "Whale", "señor", "Àÿ", "Ɂɏ", "ɐ", "中", "x1", "don't", "<|endoftext|>", ""]
+    texts = ["of " + " ".join(w + e for e in ends) for w in words] + [f"the {w}{e}" for w in words for e in ends]
+    assert [x.tolist() for x in packing.encoder.__wrapped__(tokenizer_path())(texts)] == [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_texts_are_cut_in_bounded_runs(monkeypatch):
+    monkeypatch.setattr(packing, "TEXTS", 3)
+    monkeypatch.setattr(packing, "CHARS", 10)
+    assert list(packing._runs([1, 2, 3, 4, 50, 9, 1, 1])) == [(0, 3), (3, 4), (4, 5), (5, 7), (7, 8)] and not list(packing._runs([]))
+
+
 def plain_sum_of_squares(lengths, most):
     """Bins with gaps in a list; each possible place is tried and the sum of squared counts counted anew."""
     gaps, where = [], []
