@@ -51,12 +51,13 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def deal(self, df: DataFrame, name: str, key: str, least: int = 0) -> DataFrame:
-        """As write, in buckets by key, of which there are `least`, or as many as a shuffle has partitions: a join by that key reads them where they lie."""
+    def deal(self, df: DataFrame, name: str, key: str | tuple[str, ...], least: int = 0) -> DataFrame:
+        """As write, in buckets by key (one column or several), of which there are `least`, or as many as a shuffle has partitions: a join by that key reads them where they lie."""
         self.tables += 1
         buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), least)
+        key = (key,) if isinstance(key, str) else key
         table = f"{name}_{self.tables:03d}_{self.path.rsplit('-', 1)[1]}"
-        df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", f"{self.path}/{self.tables:03d}-{name}").saveAsTable(table)
+        df.repartition(buckets, *key).write.bucketBy(buckets, *key).option("path", f"{self.path}/{self.tables:03d}-{name}").saveAsTable(table)
         self.dealt.append(table)
         return self.spark.table(table)
 

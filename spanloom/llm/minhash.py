@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,7 +35,7 @@ ROWS, BANDS, BATCH = 6, 40, 24
 BLOCK = 1 << 15
 #: Sets that are held at once for one pivot.
 CHUNK = 64
-#: Whole sets in a bucket, about, where they are more than a shuffle's partitions can hold.
+#: Whole sets or documents in a bucket, about, where they are more than a shuffle's partitions can hold.
 PER_BUCKET = 4000
 #: Turns of stars before what is left in mixed buckets is tried by pairs or by differences.
 MOST_TURNS = 3
@@ -44,6 +44,11 @@ SMALL = 8
 PIVOT_SEEDS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD, 0x61C8864680B583EB, 0x106689D45497FDB5)
 
 
+#: The chance that the sieve loses a link.
+MISS = 1e-6
+#: A row's key, 128 bits.
+KEY = ("rid", "rid2")
+
 #: Links of one text from which they are dealt to many tasks when components are formed.
 HUB = 50_000
 
@@ -138,10 +143,15 @@ def _sketch(size: int):
     return run
 
 
-def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, rid and rid2 (a row's key, 128 bits together), n (size of the set), and for texts with words fp, sig, bands, bits."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64("text", "doc_id").alias("rid2"), "text")
-    return rows.mapInPandas(_sketch(size), "doc_id long, rid long, rid2 long, n long, fp binary, sig binary, bands array<long>, bits long")
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, rid, rid2 and text of docs, and more."""
+    doc_id, text = docs["doc_id"], docs["text"]
+    return docs.select(doc_id.cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("rid"), F.xxhash64(text, doc_id).alias("rid2"), text.alias("text"), *more)
+
+
+def sketch(rows: DataFrame, size: int) -> DataFrame:
+    """For rows as of keyed: doc_id, rid, rid2, n (size of the set), and for texts with words fp, sig, bands, bits."""
+    return rows.select("doc_id", *KEY, "text").mapInPandas(_sketch(size), "doc_id long, rid long, rid2 long, n long, fp binary, sig binary, bands array<long>, bits long")
 
 
 def _sieve(threshold: float, miss: float):
@@ -183,10 +193,9 @@ def _sets(size: int):
     return run
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """cid, words (the whole set) for the classes in wanted (cid, rid, fp). Of repeated rows a task gives one. Texts are dealt by their rows' keys, once and at every size, as no bound holds for the classes."""
-    texts = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("rid"), "text")
-    return texts.join(wanted.hint("merge"), "rid").select("cid", "fp", "text").mapInPandas(_sets(size), "cid long, words binary")
+def whole_sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """cid, words (the whole set) for the classes in wanted (cid, rid, rid2, fp), from rows as of keyed. Of repeated rows a task gives one. Texts are dealt by their rows' keys, once and at every size, as no bound holds for the classes; rows in buckets by key stay where they lie."""
+    return rows.select(*KEY, "text").join(wanted.hint("merge"), [*KEY]).select("cid", "fp", "text").mapInPandas(_sets(size), "cid long, words binary")
 
 
 def _intersect(percent: int):
@@ -297,7 +306,7 @@ def _stars_and_most(edges: DataFrame) -> tuple[bool, int]:
     return not row["other"], row["most"] or 0
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept.
 
     Texts are linked if their sets of distinct `size`-word shingles have 100 * intersection >= percent * union.
@@ -306,19 +315,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     get equal results. Other columns are ignored. An empty table gives an empty result. The result is a written table; those on the
     way to it are removed.
     """
-    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    return _of_keyed(keyed(docs), size, percent, miss)
+
+
+def _of_keyed(rows: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
+    scratch = Scratch(rows.sparkSession, "near-duplicates")
     try:
-        return materialize(_near_duplicates(docs, size, percent, percent / 100, miss, scratch), "duplicates")
+        return materialize(_near_duplicates(rows, size, percent, percent / 100, miss, scratch), "duplicates")
     finally:
         scratch.clear()
 
 
-def _near_duplicates(docs: DataFrame, size: int, percent: int, threshold: float, miss: float, scratch: Scratch) -> DataFrame:
+def _near_duplicates(texts: DataFrame, size: int, percent: int, threshold: float, miss: float, scratch: Scratch) -> DataFrame:
     write = scratch.write
-    rows = write(sketch(docs, size), "sketch")
+    rows = write(sketch(texts, size), "sketch")
     full = rows.where("fp is not null")
-    by_text = full.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("rid").alias("rid"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    classes = write(by_text.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    by_text = full.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first(F.struct(*KEY)).alias("key"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    classes = write(by_text.select("*", "key.*").drop("key").withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     sized = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
     # dealt by key once, for the count and for the join
@@ -326,9 +339,9 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, threshold: float,
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = write(banded.join(shared, "key").join(classes.select("cid", "n", "bits"), "cid").select("key", "cid", "n", "bits", F.col("cid").alias("root")), "members")
     # from here on, only classes that share a band; their texts are read once
-    near = write(classes.select("cid", "rid", "fp", "sig").join(members.select("cid"), "cid", "left_semi"), "near")
+    near = write(classes.select("cid", *KEY, "fp", "sig").join(members.select("cid"), "cid", "left_semi"), "near")
     # the largest table here, and each turn joins it with its pairs: it is dealt by class once, and stays where it lies
-    sets = scratch.deal(whole_sets(docs, near.select("cid", "rid", "fp"), size), "sets", "cid", near.count() // PER_BUCKET)
+    sets = scratch.deal(whole_sets(texts, near.select("cid", *KEY, "fp"), size), "sets", "cid", near.count() // PER_BUCKET)
     links, roots, tried, labelled, before = None, None, None, members, None
     for turn in range(MOST_TURNS):
         stars = _stars(labelled, turn).where(sized(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
@@ -367,16 +380,19 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, threshold: float,
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that near_duplicates keeps: one of each component, and of repeated rows one. Null texts and those without words are kept, with their repeats. An empty table gives an empty result."""
-    key = ["rid", "rid2"]
-    found = near_duplicates(docs, size, percent)
-    gone = materialize(found.where(~F.col("kept")).select(*key).distinct(), "gone")
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("rid"), F.xxhash64(docs["text"], docs["doc_id"]).alias("rid2"))
-    left = rows.join(gone, key, "left_anti")
-    again = materialize(found.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy(*key).count().where("count > 1").select(*key), "repeated")
+    """The rows of docs, with all their columns, that near_duplicates keeps: one of each component, and of repeated rows one. Null texts and those without words are kept, with their repeats. An empty table gives an empty result.
+
+    Rows are dealt by key once, at every size, into a table that both the whole sets and the result are joined from where it lies. That table stays, as the result reads it.
+    """
+    rows = keyed(docs, F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"))
+    dealt = Scratch(docs.sparkSession, "keep-first").deal(rows, "rows", KEY, docs.count() // PER_BUCKET)
+    found = _of_keyed(dealt, size, percent, MISS)
+    gone = materialize(found.where(~F.col("kept")).select(*KEY).distinct(), "gone")
+    left = dealt.join(gone, [*KEY], "left_anti")
+    again = materialize(found.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy(*KEY).count().where("count > 1").select(*KEY), "repeated")
     if not again.isEmpty():
-        left = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates(key))
-    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+        left = left.join(again, [*KEY], "left_anti").unionByName(left.join(again, [*KEY], "left_semi").dropDuplicates([*KEY]))
+    return left.select(*((F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def _stars_of(roots: DataFrame) -> DataFrame:

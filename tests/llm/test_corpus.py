@@ -501,6 +501,28 @@ def test_whole_sets_stay_where_they_lie(spark):
     assert not spark.catalog.tableExists(name)
 
 
+def test_near_dedup_deals_texts_once(spark):
+    """Neither the whole sets nor the rows that stay move a text again, even where nothing is small enough to be broadcast."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[i % 5 :], f"x{i}"]), "en", "s") for i in range(30)] + [(90, "a b c d e f", "en", "s")] * 2
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = minhash.keep_first(odd_docs(spark, rows))
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        moved = [x for x in plan.split("\n") if "Exchange" in x and "hashpartitioning" in x]
+        assert "Bucketed: true" in plan and "text#" in plan and len(left.collect()) < 31
+        texts = left.sparkSession.table(next(t.name for t in spark.catalog.listTables() if t.name.startswith("rows_")))
+        wanted = texts.selectExpr("monotonically_increasing_id() cid", "rid", "rid2", "cast(null as binary) fp")
+        sets = minhash.whole_sets(texts, minhash.materialize(wanted, "wanted"), 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # only keys are dealt: one exchange a join, on its side of keys
+    assert sets.count("hashpartitioning(rid") == 1
+    assert len(moved) == plan.count("SortMergeJoin")
+    assert Counter(r["doc_id"] for r in left.collect())[90] == 1
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.one_of(st.text(), st.text("ab'sdZ .,!?)\n\t\r\x0b\x1c\x85\xa0\u2003\u20281é中\u0301<|>"), st.sampled_from(["<|endoftext|>", " ", "  ", "don't", "\n\n"]))))
 def test_ids_of_parts_are_those_of_whole_texts(parts):
