@@ -23,14 +23,14 @@ from .common import give_back, materialize
 PER_GROUP = 40_000
 #: Parts of texts of which a worker remembers the ids, and the most characters of one. Half of them are the latest; of the others those are kept
 #: that come again while the next half fills up.
-REMEMBERED, PART_CHARS = 1_000_000, 64
+REMEMBERED, PART_CHARS = 600_000, 64
 #: New parts that the tokenizer takes as one text.
 PARTS_AT_ONCE = 128
 #: A part of letters, and ASCII marks after them: the tokenizer's own rule parts them there, so the word's ids serve for it with any marks.
 #: Apostrophes may begin a token with letters. The letters are those of scripts that Unicode no longer adds to.
 MARKS, MARKED = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"), re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
 #: Texts that are cut at once, and about the most characters of them: a longer text stands alone. A part is looked up once for all of them.
-TEXTS, CHARS = 4096, 16_000_000
+TEXTS, CHARS = 2048, 8_000_000
 #: A part of a text: up to a space that stands alone. A byte-level tokenizer's own rule never makes a token over such an edge, nor looks over
 #: one: see the tests. Texts without a space that lies within or ends a run of white space may be cut before each space.
 PART, WITHIN_RUN = re.compile(r"(?s).(?:[^ ]+|(?<!\S) | (?!\S))*"), re.compile(r" (?<=\s )(?:\s|\Z)")
@@ -89,7 +89,7 @@ def encoder(path: str):
 
     def learn(parts: list[str]) -> list[str]:
         """Sees to it that the ids of these parts are known; returns those that were not, and words in them."""
-        if len(known) > REMEMBERED // 2:
+        if len(known) + len(parts) > REMEMBERED // 2:
             older.clear()
             older.update(known)
             known.clear()
